@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, mpeg_audio
+from . import mixing, mpeg_audio, token_files, warc_index
 from .shared import documents
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_table(documents(spark, sf_dir))
+
+
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    # the table has no capture time: captures are a second apart, in order of their ids
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0))), "yyyyMMddHHmmss")
+    return warc_index.archive_table(pages, stamp)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(documents(spark, sf_dir))
 
@@ -20,7 +32,12 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_source_mix": op6_source_mix, "op10_mpeg_audio": op10_mpeg_audio}
+    return {
+        "op1_token_files": op1_token_files,
+        "op2_warc_archives": op2_warc_archives,
+        "op6_source_mix": op6_source_mix,
+        "op10_mpeg_audio": op10_mpeg_audio,
+    }
 
 
 OP6_SQL = r"""
