@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, mpeg_audio, token_files, warc_index
+from . import license_scan, mixing, mpeg_audio, token_files, warc_index
 from .shared import documents
 
 
@@ -26,6 +26,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(documents(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).withColumn("passages", F.size("passages").cast("long"))
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mpeg_audio.media_features(documents(spark, sf_dir))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s", "frames", "seek_points")
@@ -36,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": op1_token_files,
         "op2_warc_archives": op2_warc_archives,
         "op6_source_mix": op6_source_mix,
+        "op7_license_scan": op7_license_scan,
         "op10_mpeg_audio": op10_mpeg_audio,
     }
 
