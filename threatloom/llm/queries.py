@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, mpeg_audio, token_files, warc_index
+from . import decontaminate, license_scan, mixing, mpeg_audio, substring_dedup, token_files, warc_index
 from .shared import documents
 
 
@@ -22,6 +22,10 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.archive_table(pages, stamp)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(documents(spark, sf_dir))
 
@@ -30,6 +34,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).withColumn("passages", F.size("passages").cast("long"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mpeg_audio.media_features(documents(spark, sf_dir))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s", "frames", "seek_points")
@@ -39,8 +48,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op2_warc_archives": op2_warc_archives,
+        "op3_decontaminate": op3_decontaminate,
         "op6_source_mix": op6_source_mix,
         "op7_license_scan": op7_license_scan,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_mpeg_audio": op10_mpeg_audio,
     }
 
@@ -80,5 +91,38 @@ FROM summed
 """
 
 
+OP3_SQL = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item_shingles AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words)),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc_words)),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, any_value(n_shingles) AS n_shingles, count(*)::DOUBLE / any_value(n_shingles) AS containment
+FROM doc_shingles JOIN item_shingles USING (s) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) >= 0.8::DOUBLE * any_value(n_shingles)
+"""
+
+OP9_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+starts AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)),
+firsts AS (SELECT s, min(doc_id) AS first_doc FROM starts GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM starts JOIN firsts USING (s) WHERE first_doc < doc_id),
+spans AS (
+  SELECT doc_id, count(*) AS n_spans FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) WHERE before IS NULL OR before < pos - 1 GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, list(w[pos] ORDER BY pos) AS kept FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM words) LEFT JOIN gone g USING (doc_id, pos) WHERE g.pos IS NULL GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(len(kept), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans
+FROM words LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mix": OP6_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op6_source_mix": OP6_SQL}
