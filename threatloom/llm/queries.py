@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, mpeg_audio, substring_dedup, token_files, warc_index
+from . import decontaminate, license_scan, mixing, mpeg_audio, quality_mil, substring_dedup, token_files, warc_index
 from .shared import documents
 
 
@@ -34,6 +34,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).withColumn("passages", F.size("passages").cast("long"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_repeats(documents(spark, sf_dir))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op6_source_mix": op6_source_mix,
         "op7_license_scan": op7_license_scan,
+        "op8_quality": op8_quality,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_mpeg_audio": op10_mpeg_audio,
     }
