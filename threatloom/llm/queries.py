@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, mpeg_audio, quality_mil, substring_dedup, token_files, warc_index
+from . import decontaminate, license_scan, mixing, mpeg_audio, quality_mil, simhash, substring_dedup, token_files, warc_index
 from .shared import documents
 
 
@@ -26,6 +26,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_report(documents(spark, sf_dir))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": op1_token_files,
         "op2_warc_archives": op2_warc_archives,
         "op3_decontaminate": op3_decontaminate,
+        "op4_simhash": op4_simhash,
         "op6_source_mix": op6_source_mix,
         "op7_license_scan": op7_license_scan,
         "op8_quality": op8_quality,
