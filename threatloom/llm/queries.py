@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, mpeg_audio, quality_mil, simhash, substring_dedup, token_files, warc_index
+from . import decontaminate, katz, license_scan, mixing, mpeg_audio, quality_mil, simhash, substring_dedup, token_files, warc_index
 from .shared import documents
 
 
@@ -30,6 +30,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(documents(spark, sf_dir))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(documents(spark, sf_dir))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc_archives": op2_warc_archives,
         "op3_decontaminate": op3_decontaminate,
         "op4_simhash": op4_simhash,
+        "op5_katz": op5_katz,
         "op6_source_mix": op6_source_mix,
         "op7_license_scan": op7_license_scan,
         "op8_quality": op8_quality,

@@ -7,10 +7,12 @@ the end; they agree between tasks and runs.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -128,3 +130,30 @@ def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """start, start + 1, ... count times, for each pair."""
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Integer columns of any lengths, byte by byte (high bytes of sorted values repeat)."""
+    parts = []
+    for c in columns:
+        raw = np.ascontiguousarray(c)
+        parts.append(struct.pack("<cI", raw.dtype.char.encode(), len(raw)) + raw.view(np.uint8).reshape(len(raw), raw.dtype.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        kind, n = struct.unpack_from("<cI", raw, at)
+        dtype = np.dtype(kind.decode())
+        at += 5
+        planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(dtype).reshape(n))
+        at += n * dtype.itemsize
+    return out
+
+
+def bucket_cuts(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted 64-bit hashes dealt by range; empty buckets are left out."""
+    cuts = np.searchsorted(sorted_hashes, np.array([(i << 64) // buckets for i in range(1, buckets)], U64))
+    return [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(np.r_[0, cuts], np.r_[cuts, len(sorted_hashes)])) if b > a]
