@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_mpeg_audio": op10_mpeg_audio,
+        "pipeline": corpus_pipeline.run,
     }
 
 
