@@ -1,0 +1,15 @@
+"""Composed jobs: derived inputs, registered queries and their oracle SQL."""
+
+from __future__ import annotations
+
+
+def all_queries() -> dict:
+    from . import queries
+
+    return dict(queries.QUERIES)
+
+
+def all_sql() -> dict:
+    from . import queries
+
+    return dict(queries.SQL)
