@@ -3,8 +3,8 @@
 Each task rolls Rabin-Karp hashes over every ``width`` consecutive words. What it has seen of a hash
 leaves it once, with the smallest document that has it: sorted hashes, cut into buckets by their range
 and packed column by column. Spark groups the packs by bucket; there a hash's smallest document decides
-for all others. The hashes to remove go back to their documents, whose texts are hashed once more;
-overlapping windows merge into maximal intervals.
+for all others. The hashes to remove go back to their documents (in groups of documents by id, joined with
+their texts), which are hashed once more; overlapping windows merge into maximal intervals.
 
 A hash with any share of all rows costs one entry a task. Equality is that of 64-bit hashes: among n
 distinct windows a false match is expected n * n / 2**65 times.
@@ -31,38 +31,28 @@ WIDTH = 13
 #: Windows that a task gathers before it sends them off.
 BLOCK = 1 << 21
 #: Bytes of text behind a bucket, about: what one task groups at once.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 24 << 20
 LAST = (1 << 63) - 1
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Integer columns of equal kind of length, byte by byte (high bytes of sorted values repeat)."""
-    parts = []
-    for c in columns:
-        raw = np.ascontiguousarray(c)
-        parts.append(struct.pack("<cI", raw.dtype.char.encode(), len(raw)) + raw.view(np.uint8).reshape(len(raw), raw.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+def group_of(docs: np.ndarray, groups: int) -> np.ndarray:
+    return (textops.mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
-def unpack(data: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
-    while at < len(raw):
-        kind, n = struct.unpack_from("<cI", raw, at)
-        dtype = np.dtype(kind.decode())
-        at += 5
-        planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(dtype).reshape(n))
-        at += n * dtype.itemsize
-    return out
+def _by_group(docs: np.ndarray, hashes: np.ndarray, groups: int):
+    """(group, pack of documents, how many hashes each has, and the hashes) of pairs."""
+    group = group_of(docs, groups)
+    order = np.lexsort((docs, group))
+    docs, hashes, group = docs[order], hashes[order], group[order]
+    for a, b in _runs(group):
+        at = [x for x, _ in _runs(docs[a:b])]
+        yield int(group[a]), textops.pack(np.diff(docs[a:b][at], prepend=0), np.diff(np.r_[at, b - a]), hashes[a:b])
 
 
-def _by_document(docs: np.ndarray, hashes: np.ndarray):
-    """(document, its hashes) of pairs."""
-    order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[order]
-    at = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
-    for a, b in zip(at, np.r_[at[1:], len(docs)]):
-        yield int(docs[a]), hashes[a:b]
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return list(zip(at.tolist(), np.r_[at[1:], len(values)].tolist()))
 
 
 def _smallest(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,8 +65,8 @@ def _smallest(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[at], first, docs > np.repeat(first, np.diff(np.r_[at, len(hashes)]))
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(_doc, _hashes): packed hashes of the windows of a document that an earlier one has too."""
+def repeated_windows(docs: DataFrame, groups: int, width: int = WIDTH) -> DataFrame:
+    """(_group, _hashes): by group of documents, packed hashes of windows that an earlier document has too."""
     buckets = max(partitions(docs.sparkSession), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
 
     def gather(batches):
@@ -88,18 +78,15 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             hashes, ids = (np.concatenate(x) for x in zip(*held))
             held, n = [], 0
             distinct, first, later = _smallest(hashes, ids)
-            cuts = np.searchsorted(distinct, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64))
             table, local = np.unique(first, return_inverse=True)
             local = local.astype(np.uint32 if len(table) > 1 << 16 else np.uint16)
             rows = []
-            for bucket, (a, b) in enumerate(zip(np.r_[0, cuts], np.r_[cuts, len(distinct)])):
-                if b > a:
-                    own, place = np.unique(local[a:b], return_inverse=True)
-                    ids_own = table[own]
-                    rows.append((bucket, 0, pack(distinct[a:b], place.astype(local.dtype), np.diff(ids_own, prepend=0))))
+            for bucket, a, b in textops.bucket_cuts(distinct, buckets):
+                own, place = np.unique(local[a:b], return_inverse=True)
+                rows.append((bucket, 0, textops.pack(distinct[a:b], place.astype(local.dtype), np.diff(table[own], prepend=0))))
             # what this block already shows to be repeated needs no comparing
-            for doc, own in _by_document(ids[later], hashes[later]):
-                rows.append((turn % buckets, 1, struct.pack("<q", doc) + pack(np.unique(own))))
+            for group, packed in _by_group(ids[later], hashes[later], groups):
+                rows.append((turn % buckets, 1, struct.pack("<q", group) + packed))
                 turn += 1
             bucket, known, data = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(known, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "known", "data"])
@@ -120,17 +107,17 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def decide(table: pa.Table) -> pa.Table:
         rows, data = [], table.column("data").to_pylist()
         known = table.column("known").to_pylist()
-        parts = [unpack(x) for x, k in zip(data, known) if not k]
+        parts = [textops.unpack(x) for x, k in zip(data, known) if not k]
         if parts:
             hashes = np.concatenate([h for h, _, _ in parts])
             ids = np.concatenate([np.cumsum(delta)[place] for _, place, delta in parts])
             _, _, later = _smallest(hashes, ids)
-            rows = [(doc, pack(own)) for doc, own in _by_document(ids[later], hashes[later])]
+            rows = list(_by_group(ids[later], hashes[later], groups))
         rows += [(struct.unpack_from("<q", x)[0], x[8:]) for x, k in zip(data, known) if k]
-        return pa.table({"_doc": pa.array([r[0] for r in rows], pa.int64()), "_hashes": pa.array([r[1] for r in rows], pa.binary())})
+        return pa.table({"_group": pa.array([r[0] for r in rows], pa.int64()), "_hashes": pa.array([r[1] for r in rows], pa.binary())})
 
     found = docs.select("doc_id", "text").mapInArrow(gather, "bucket int, known int, data binary")
-    return found.groupBy("bucket").applyInArrow(decide, "_doc long, _hashes binary")
+    return found.groupBy("bucket").applyInArrow(decide, "_group long, _hashes binary")
 
 
 _SCHEMA = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first: bigint, last: bigint>>"
@@ -142,42 +129,46 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     small_batches(docs.sparkSession, 1000)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
 
+    groups = 2 * partitions(docs.sparkSession)
+
     def shrink(batches):
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).fill_null(LAST), pa.array([packer.compress(t or b"") for t in texts], pa.binary())], names=["doc_id", "_doc", "_text"])
+            group = group_of(batch.column(0).fill_null(LAST).to_numpy(), groups)
+            yield pa.RecordBatch.from_arrays([pa.array(group), batch.column(0), pa.array([packer.compress(t or b"") for t in texts], pa.binary())], names=["_group", "doc_id", "_text"])
 
-    def cut(batches):
+    def cut(table: pa.Table, found: pa.Table) -> pa.Table:
         opener = zstandard.ZstdDecompressor()
-        for batch in batches:
-            rows = []
-            for doc_id, packed, repeated in zip(*(c.to_pylist() for c in batch.columns)):
-                text = opener.decompress(packed)
-                words = text.split()  # of bytes: exactly at the six white space bytes
-                spans: list[tuple[int, int]] = []
-                if repeated:
-                    known = np.concatenate([unpack(x)[0] for x in repeated])
-                    own = textops.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-                    hashes, start = textops.windows(own.hashes(), own.first, width)
-                    edges = np.zeros(len(words) + 2, np.int32)
-                    hit = start[np.isin(hashes, known)]
-                    np.add.at(edges, hit + 1, 1)
-                    np.add.at(edges, hit + width + 1, -1)
-                    gone = np.cumsum(edges) > 0  # shifted by one
-                    turns = np.flatnonzero(gone[1:] != gone[:-1])
-                    spans = [(int(a), int(b) - 1) for a, b in zip(turns[::2], turns[1::2])]
-                    kept, at = [], 0
-                    for a, b in spans:
-                        kept += words[at:a]
-                        at = b + 1
-                    kept += words[at:]
-                else:
-                    kept = words
-                rows.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept), [{"first": a, "last": b} for a, b in spans]))
-            a, b, c, kept, spans = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, _SPAN)], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
-
-    repeated = repeated_windows(docs, width).groupBy("_doc").agg(F.collect_list("_hashes").alias("_hashes"))
-    packed = docs.mapInArrow(shrink, "doc_id long, _doc long, _text binary")
-    return packed.join(repeated, "_doc", "left").select("doc_id", "_text", "_hashes").mapInArrow(cut, _SCHEMA)
+        known: dict[int, list[np.ndarray]] = {}
+        for data in found.column("_hashes").to_pylist():
+            delta, n, hashes = textops.unpack(data)
+            for doc, own in zip(np.cumsum(delta).tolist(), np.split(hashes, np.cumsum(n)[:-1])):
+                known.setdefault(doc, []).append(own)
+        rows = []
+        for doc_id, packed in zip(table.column("doc_id").to_pylist(), table.column("_text").to_pylist()):
+            text = opener.decompress(packed)
+            words = text.split()  # of bytes: exactly at the six white space bytes
+            spans: list[tuple[int, int]] = []
+            kept = words
+            if repeated := known.get(LAST if doc_id is None else doc_id):
+                own = textops.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+                hashes, start = textops.windows(own.hashes(), own.first, width)
+                hit = start[np.isin(hashes, np.concatenate(repeated))]
+                edges = np.zeros(len(words) + 2, np.int32)
+                np.add.at(edges, hit + 1, 1)
+                np.add.at(edges, hit + width + 1, -1)
+                gone = np.cumsum(edges) > 0  # shifted by one
+                turns = np.flatnonzero(gone[1:] != gone[:-1])
+                spans = [(int(a), int(b) - 1) for a, b in zip(turns[::2], turns[1::2])]
+                kept, at = [], 0
+                for a, b in spans:
+                    kept += words[at:a]
+                    at = b + 1
+                kept += words[at:]
+            rows.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept), [{"first": a, "last": b} for a, b in spans]))
+        a, b, c, kept, spans = zip(*rows) if rows else ((),) * 5
+        return pa.table({"doc_id": pa.array(a, pa.int64()), "n_words": pa.array(b, pa.int64()), "n_removed": pa.array(c, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "spans": pa.array(spans, _SPAN)})
+
+    packed = docs.mapInArrow(shrink, "_group long, doc_id long, _text binary")
+    return packed.groupBy("_group").cogroup(repeated_windows(docs, groups, width).groupBy("_group")).applyInArrow(cut, _SCHEMA)
