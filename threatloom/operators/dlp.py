@@ -109,19 +109,18 @@ def scan_text(df: DataFrame, text: str = "text", regions: tuple[str, ...] = ("gl
     """``df`` with ``found``: redacted matches in order of patterns. Once over 50 are found, each later
     pattern adds one at most; then tokens of high entropy follow; equal kind and value count once."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    found = F.array().cast(_FOUND)
-    out = df.withColumn("found", found)
-    for kind, severity, region, pattern in PII:
-        if region not in regions:
-            continue
-        hits = F.regexp_extract_all(raw, F.lit(bounded(pattern)), F.lit(0))
+
+    def hits(kind: str, severity: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(raw, F.lit(bounded(pattern)), F.lit(0))
         if kind == "creditCard":
-            hits = F.filter(hits, luhn)
+            found = F.filter(found, luhn)
         if kind == "awsSecret":
-            hits = F.when(raw.rlike("(?i)aws|secret|amazon"), hits).otherwise(F.array().cast("array<string>"))
-        hits = F.transform(hits, lambda h: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), redact(h).alias("value")))  # noqa: B023
-        out = out.withColumn("found", F.concat("found", F.slice(hits.cast(_FOUND), F.lit(1), F.greatest(F.lit(1), F.lit(51) - F.size("found")))))
-    return out.withColumn("found", F.array_distinct(F.concat("found", high_entropy(raw))))
+            found = F.when(raw.rlike("(?i)aws|secret|amazon"), found).otherwise(F.array().cast("array<string>"))
+        return F.transform(found, lambda h: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), redact(h).alias("value"))).cast(_FOUND)
+
+    each = F.array(*[hits(kind, severity, pattern) for kind, severity, region, pattern in PII if region in regions])
+    found = F.aggregate(each, F.array().cast(_FOUND), lambda a, h: F.concat(a, F.slice(h, F.lit(1), F.greatest(F.lit(1), F.lit(51) - F.size(a)))))
+    return df.withColumn("found", F.array_distinct(F.concat(found, high_entropy(raw))))
 
 
 def finding_rows(found: DataFrame, key: str = "doc_id") -> DataFrame:

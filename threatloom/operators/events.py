@@ -14,6 +14,11 @@ from ..functions import hosts as H
 CHAIN, STEPS, TTL = 25, 64, 300
 
 
+def micros(name: str) -> Column:
+    """Microseconds of a time, with or without zone (one without is read in the session's zone)."""
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
 def redirect_chains(nav: DataFrame, keep: int = CHAIN) -> DataFrame:
     """(tab_id, chain_no, n_hops, urls): a navigation begins a chain, redirects extend it, the last
     ``keep`` URLs stay."""
@@ -59,7 +64,7 @@ def flow_anomalies(steps: Column) -> dict[str, Column]:
 
 def auth_flows(steps: DataFrame, ttl: int = TTL, keep: int = STEPS) -> DataFrame:
     """Each step with the anomalies of its flow as of then: the last ``keep`` steps of ``ttl`` seconds."""
-    seconds = F.unix_micros("ts")
+    seconds = micros("ts")
     rows = steps.withColumn("_us", seconds)
     last = Window.partitionBy("flow_id").orderBy("_us").rangeBetween(-ttl * 1_000_000, 0)
     seen = F.array_sort(F.collect_list(F.struct("_us", "seq", "kind", "origin", "post_origin", "in_iframe")).over(last))
@@ -72,19 +77,19 @@ def auth_flows(steps: DataFrame, ttl: int = TTL, keep: int = STEPS) -> DataFrame
 def cooldown(warnings: DataFrame, seconds: int = 1800) -> DataFrame:
     """Warnings (host, kind, ts) that are shown: at most one a host and kind in ``seconds`` from the last
     one shown. A fold over each key's times; times of one bucket of a day come together first."""
-    us = F.unix_micros("ts")
+    us = micros("ts")
     keys = warnings.groupBy("host", "kind").agg(F.array_sort(F.collect_list(us)).alias("_t"))
     step = lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= seconds * 1_000_000), F.concat(a, F.array(t))).otherwise(a)
     start = F.array().cast("array<bigint>")
     shown = F.aggregate("_t", start, lambda a, t: F.when(F.size(a) == 0, F.array(t)).otherwise(step(a, t)))
-    return keys.select("host", "kind", F.explode(shown).alias("_us")).select("host", "kind", F.timestamp_micros("_us").alias("ts"))
+    return keys.select("host", "kind", F.explode(shown).alias("_us")).select("host", "kind", F.timestamp_micros("_us").cast(warnings.schema["ts"].dataType).alias("ts"))
 
 
 def rate_budget(calls: DataFrame, most: int, seconds: float) -> DataFrame:
     """(key, n_calls, n_allowed): a call is allowed if fewer than ``most`` allowed ones lie within the last
     ``seconds``; rejected calls don't count."""
     us = int(seconds * 1_000_000)
-    keys = calls.groupBy("key").agg(F.array_sort(F.collect_list(F.unix_micros("ts"))).alias("_t"))
+    keys = calls.groupBy("key").agg(F.array_sort(F.collect_list(micros("ts"))).alias("_t"))
     zero = F.struct(F.array().cast("array<bigint>").alias("hits"), F.lit(0).cast("bigint").alias("n"))
 
     def step(a: Column, t: Column) -> Column:

@@ -212,9 +212,9 @@ def a10(spark, sf):
 # feeds ----------------------------------------------------------------------------------------------
 
 
-@query("e1_normalize_feed_hosts", O.TO_FEED + "SELECT line_no, line, host FROM feed_hosts")
+@query("e1_normalize_feed_hosts", O.TO_FEED + "SELECT line_no, host FROM feed_hosts")
 def e1(spark, sf):
-    return feed_table(spark, sf).select("line_no", "line", feeds.feed_host(F.col("line")).alias("host"))
+    return feed_table(spark, sf).select("line_no", feeds.feed_host(F.col("line")).alias("host"))
 
 
 _MERGED = O.TO_FEED + ", merged AS (SELECT host, min(feed_ord * 1000000000 + line_no) AS seen FROM feed_hosts WHERE host IS NOT NULL GROUP BY host ORDER BY seen, host LIMIT 200000)"
