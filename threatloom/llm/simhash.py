@@ -167,8 +167,8 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the document with the smallest id.
     Rows without an id stay if no other document is in their component; of repeated rows of an id one stays."""
     rows = near_duplicates(docs, **how)
-    kept = rows.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
-    kept = materialize(kept.where(F.col("component_id").eqNullSafe(F.col("doc_id"))), "simhash-kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept_id")).distinct(), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").limit(1).count() > 0
+    kept = materialize(rows.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept_id")), "simhash-kept")
+    repeated = kept.groupBy("_kept_id").count().where("count > 1").limit(1).count() > 0
+    # one plan at every size: the ids grow with the table, so they are never broadcast
+    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
     return out.dropDuplicates(["doc_id"]) if repeated else out
