@@ -11,6 +11,8 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,7 +26,8 @@ _B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
 def bounded(pattern: str) -> str:
-    """A pattern with ASCII word boundaries for \\b."""
+    """A pattern with ASCII word boundaries for \\b; before a sure word character that is a look-behind."""
+    pattern = re.sub(r"(^|\||\(\?i\))\\b(?=[A-Za-z]|\[[0-9A-Z]|\((?:\?:)?(?:[A-Z]|api|\[0-9\]|\?!))", r"\1(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", pattern)
     return pattern.replace(r"\b", _B)
 
 
@@ -97,6 +100,11 @@ PII = (
     ("genericApiKey", "high", "global", r"(?i)\b(?:api[_-]?key|secret|token)[\"':=\s]+[\"']?[A-Za-z0-9_\-]{24,}"),
 )
 _FOUND = "array<struct<kind: string, severity: string, value: string>>"
+#: What a text must hold for a pattern to be tried: cheap tests that most texts fail.
+HINTS = {
+    "email": ("@",), "phoneIN": r"[6-9][0-9]{9}", "phoneUS": r"[0-9]{3}[^A-Za-z]{0,3}[0-9]{4}", "aadhaar": r"[0-9]{4}\s?-?[0-9]{4}", "pan": r"[A-Z]{5}[0-9]{4}", "ssn": r"[0-9]{3}-[0-9]{2}-", "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{10}",
+    "creditCard": r"[0-9][ -]*[0-9][ -]*[0-9][ -]*[0-9]", "awsKey": ("AKIA", "ASIA"), "awsSecret": r"[A-Za-z0-9/+=]{40}", "ghToken": ("ghp_", "github_pat_"), "slackToken": ("xox",), "jwt": ("eyJ",), "privateKey": ("PRIVATE KEY",), "genericApiKey": r"(?i)key|secret|token",
+}
 
 
 def high_entropy(text: Column, least: int = 24, threshold: float = 4.2) -> Column:
@@ -111,7 +119,9 @@ def scan_text(df: DataFrame, text: str = "text", regions: tuple[str, ...] = ("gl
     raw = F.coalesce(F.col(text), F.lit(""))
 
     def hits(kind: str, severity: str, pattern: str) -> Column:
-        found = F.regexp_extract_all(raw, F.lit(bounded(pattern)), F.lit(0))
+        hint = HINTS[kind]
+        worth = raw.rlike(hint) if isinstance(hint, str) else reduce(or_, [F.contains(raw, F.lit(h)) for h in hint])
+        found = F.when(worth, F.regexp_extract_all(raw, F.lit(bounded(pattern)), F.lit(0))).otherwise(F.array().cast("array<string>"))
         if kind == "creditCard":
             found = F.filter(found, luhn)
         if kind == "awsSecret":
