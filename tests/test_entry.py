@@ -30,3 +30,15 @@ def test_matches_sql(spark, name):
     columns = sorted(got.columns)
     place = [want.columns.index(c) for c in columns]
     assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, (tuple(r[i] for i in place) for r in want.fetchall())))
+
+
+def test_registry_needs_no_session():
+    """Names and SQL can be read before there is a Spark session."""
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 50)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert done.stdout.split()[-1:] == ["True"], done.stderr

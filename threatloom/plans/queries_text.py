@@ -218,23 +218,25 @@ def p4(spark, sf):
     return pages.page_context(page_table(spark, sf)).where(F.size("oauth_buttons") > 0).select("page_id", F.array_join(F.array_sort("oauth_buttons"), ",").alias("providers"))
 
 
-def _page_query(name: str, *columns):
+def _page_query(name: str, columns):
+    """Registers a query over page facts; ``columns`` is called when it runs, as columns need a session."""
+
     @query(name)
     def run(spark, sf):
-        return page_facts(spark, sf).select("page_id", *columns)
+        return page_facts(spark, sf).select("page_id", *columns())
 
 
 def _ids(c: str):
     return F.array_join(F.transform(c, lambda s: s["id"]), ",")
 
 
-_page_query("p5_phishing_signals", _ids("page_signals").alias("signals"), "creds", "auth_risk", "page_external_post", "page_cap", "page_force", F.round("phish_conf", 6).alias("phish_conf"))
-_page_query("p6_brand_impersonation", F.col("brand_hit.brand").alias("brand"), F.col("brand_hit.evidence").alias("evidence"), "brand_text")
-_page_query("p7_external_form_post", "page_external_post", F.array_join(F.transform("targets", lambda t: t["target_root"]), ",").alias("target_roots"))
-_page_query("p8_clone_signals", "favicon_mismatch", "brand_image", "layout_signal", F.col("clone_signals").cast("long").alias("clone_signals"), F.round("clone_conf", 6).alias("clone_conf"))
-_page_query("p9_auth_layout_fingerprint", "zones", F.round("hidden_ratio", 6).alias("hidden_ratio"))
-_page_query("p10_auth_layout_match", "layout_template", "layout_match")
-_page_query("p11_security_context", F.col("research_terms").cast("long").alias("research_terms"), F.col("education_terms").cast("long").alias("education_terms"), F.col("auth_doc_terms").cast("long").alias("auth_doc_terms"), "context_score")
+_page_query("p5_phishing_signals", lambda: (_ids("page_signals").alias("signals"), "creds", "auth_risk", "page_external_post", "page_cap", "page_force", F.round("phish_conf", 6).alias("phish_conf"),))
+_page_query("p6_brand_impersonation", lambda: (F.col("brand_hit.brand").alias("brand"), F.col("brand_hit.evidence").alias("evidence"), "brand_text",))
+_page_query("p7_external_form_post", lambda: ("page_external_post", F.array_join(F.transform("targets", lambda t: t["target_root"]), ",").alias("target_roots"),))
+_page_query("p8_clone_signals", lambda: ("favicon_mismatch", "brand_image", "layout_signal", F.col("clone_signals").cast("long").alias("clone_signals"), F.round("clone_conf", 6).alias("clone_conf"),))
+_page_query("p9_auth_layout_fingerprint", lambda: ("zones", F.round("hidden_ratio", 6).alias("hidden_ratio"),))
+_page_query("p10_auth_layout_match", lambda: ("layout_template", "layout_match",))
+_page_query("p11_security_context", lambda: (F.col("research_terms").cast("long").alias("research_terms"), F.col("education_terms").cast("long").alias("education_terms"), F.col("auth_doc_terms").cast("long").alias("auth_doc_terms"), "context_score",))
 
 
 def _re2(p: str) -> str:
