@@ -82,14 +82,26 @@ def no_www(host: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 
 
-def root_domain(host: Column) -> Column:
-    """Registrable domain: three labels below a two-level suffix, else the last two."""
+def sql_list(values) -> str:
+    """Strings as a list of SQL literals: long lists are parsed at once, not built literal by literal."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
+def one_of(name: str, values) -> Column:
+    return F.expr(f"{name} IN ({sql_list(values)})")
+
+
+def root_domain(host: Column | str) -> Column:
+    """Registrable domain of a host (column or its name): three labels below a two-level suffix, else the
+    last two."""
+    if isinstance(host, str):
+        return F.expr(f"CASE WHEN size(split({host}, '[.]')) <= 2 THEN {host} WHEN substring_index({host}, '.', -2) IN ({sql_list(C.TWO_LEVEL_SUFFIXES)}) THEN substring_index({host}, '.', -3) ELSE substring_index({host}, '.', -2) END")
     last2 = F.substring_index(host, ".", -2)
     return F.when(F.size(F.split(host, r"\.")) <= 2, host).when(last2.isin(*C.TWO_LEVEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(last2)
 
 
 def letters(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(f"array({sql_list(values)})")
 
 
 def normal_form(text: Column) -> Column:
@@ -124,7 +136,7 @@ def redirect_target(query: Column, page_root: Column) -> Column:
         value = decoded(raw)
         url = F.when(value.startswith("//"), F.concat(F.lit("https:"), value)).otherwise(value)
         host = no_www(F.lower(url_part(url, 3)))
-        good = F.lower(name).isin(*C.REDIRECT_PARAMS) & url.rlike("(?i)^https?://") & (host != "") & (root_domain(host) != page_root)
+        good = F.array_contains(letters(C.REDIRECT_PARAMS), F.lower(name)) & url.rlike("(?i)^https?://") & (host != "") & (root_domain(host) != page_root)
         risky = host.rlike(IP) | (url_part(url, 2) != "") | raw.rlike("%[0-9a-fA-F]{2}")
         return F.when(good, F.struct(name.alias("param"), host.alias("target_host"), risky.alias("risky")))
 

@@ -130,7 +130,8 @@ def scan_text(df: DataFrame, text: str = "text", regions: tuple[str, ...] = ("gl
 
     each = F.array(*[hits(kind, severity, pattern) for kind, severity, region, pattern in PII if region in regions])
     found = F.aggregate(each, F.array().cast(_FOUND), lambda a, h: F.concat(a, F.slice(h, F.lit(1), F.greatest(F.lit(1), F.lit(51) - F.size(a)))))
-    return df.withColumn("found", F.array_distinct(F.concat(found, high_entropy(raw))))
+    # by way of a generator, below which no later filter on the findings moves: each text is scanned once
+    return df.withColumn("found", F.explode_outer(F.array(F.array_distinct(F.concat(found, high_entropy(raw))))))
 
 
 def finding_rows(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -210,7 +210,7 @@ PAGE_AFTER = (
 
 def brand_hit(text: Column, root: Column, host: Column) -> Column:
     """struct(brand, evidence): the first brand whose keywords stand in the text of a page off its roots."""
-    rows = F.array(*[F.struct(F.lit(r).alias("brand"), F.array(*map(F.lit, kw)).alias("kw"), F.array(*map(F.lit, al)).alias("at")) for kw, r, al in BRANDS])
+    rows = F.expr("array(" + ", ".join(f"named_struct('brand', '{r}', 'kw', array({H.sql_list(kw)}), 'at', array({H.sql_list(at)}))" for kw, r, at in BRANDS) + ")")
     hit = H.first_of(F.filter(rows, lambda b: F.exists(b["kw"], lambda k: F.contains(text, k)) & ~F.exists(b["at"], lambda a: (root == a) | F.endswith(host, F.concat(F.lit("."), a)))))
     return F.when(hit.isNotNull(), F.struct(hit["brand"].alias("brand"), H.first_of(F.filter(hit["kw"], lambda k: F.contains(text, k))).alias("evidence")))
 
@@ -231,7 +231,7 @@ def phishing(facts: DataFrame) -> DataFrame:
     """Page facts (context with host facts) with phishing signals, flags, cap and forced status."""
     root = F.col("root")
     text = F.lower(F.concat("title", F.lit(" \n "), "visible_text"))
-    out = facts.withColumns({"page_trusted": root.isin(*C.PAGE_LOGIN_ROOTS), "_text": text, "top_level_iframe": F.lit(False), "page_idn": (F.coalesce("lookalike_kind", F.lit("")) == "punycode") | F.col("hostname").rlike(r"(^|\.)xn--")})
+    out = facts.withColumns({"page_trusted": H.one_of("root", C.PAGE_LOGIN_ROOTS), "_text": text, "top_level_iframe": F.lit(False), "page_idn": (F.coalesce("lookalike_kind", F.lit("")) == "punycode") | F.col("hostname").rlike(r"(^|\.)xn--")})
     any_form = lambda test: F.exists("forms", test)
     login = any_form(lambda f: f["has_password"] | (f["has_email_like"] & f["has_otp"]))
     out = out.withColumns({"brand_hit": brand_hit(F.col("_text"), root, F.col("hostname")), "brand_intent": F.col("has_password") | any_form(lambda f: f["has_password"] | f["has_otp"]) | (F.size("oauth_buttons") > 0), "has_pwd": F.col("has_password") | login, "urgent": F.col("_text").rlike("(?i)" + URGENT), "targets": form_targets(F.col("forms"), F.col("page_origin"), root, F.col("page_trusted"))})
@@ -302,7 +302,7 @@ def clone_facts(facts: DataFrame) -> DataFrame:
     four make a confidence. The share of foreign assets is reported and never counts."""
     root = F.col("root")
     foreign = lambda h: (h != "") & (H.root_domain(h) != root) & ~listed_or_below(h, C.CDN_HOSTS) & ~listed_or_below(h, C.INFRA_HOSTS)
-    brand = lambda h: H.root_domain(h).isin(*C.CLONE_BRANDS)
+    brand = lambda h: F.array_contains(H.letters(C.CLONE_BRANDS), H.root_domain(h))
     assets = F.concat("scripts", "styles")
     icon = _host_of(F.col("favicon"))
     tpl = F.col("layout_root")

@@ -16,7 +16,8 @@ _RULES = "array<struct<id: string, cap: int, force: string>>"
 
 def rule_hits(table) -> Column:
     """The rules of a table (id, cap, force, condition) that hold, in order."""
-    return F.array_compact(F.array(*[F.when(F.expr(cond), F.struct(F.lit(rid).alias("id"), F.lit(cap).alias("cap"), F.lit(force).cast("string").alias("force"))) for rid, cap, force, cond in table])).cast(_RULES)
+    force = lambda f: f"'{f}'" if f else "CAST(NULL AS STRING)"
+    return F.array_compact(F.expr("array(" + ", ".join(f"CASE WHEN {cond} THEN named_struct('id', '{rid}', 'cap', {cap}, 'force', {force(f)}) END" for rid, cap, f, cond in table) + ")")).cast(_RULES)
 
 
 def worst(forces: Column) -> Column:
@@ -54,12 +55,12 @@ def arbitrate(facts: DataFrame) -> DataFrame:
 
 
 def trust_points() -> Column:
-    return sum((F.when(F.expr(cond), F.expr(points)).otherwise(0) for _, points, cond in R.TRUST), F.lit(0))
+    return F.expr(" + ".join(f"CASE WHEN {cond} THEN {points} ELSE 0 END" for _, points, cond in R.TRUST))
 
 
 def decay() -> Column:
     """Points that contradicting behaviour takes from trusted roots."""
-    total = sum((F.when(F.expr(cond), points).otherwise(0) for _, points, cond in R.DECAY), F.lit(0))
+    total = F.expr(" + ".join(f"CASE WHEN {cond} THEN {points} ELSE 0 END" for _, points, cond in R.DECAY))
     return F.when(F.col("reputable") | F.col("provider") | F.col("allowlisted"), total).otherwise(0)
 
 

@@ -20,7 +20,7 @@ def url_parts(urls: DataFrame) -> DataFrame:
     url = F.col("url")
     out = urls.withColumns({"scheme": F.lower(H.url_part(url, 1)), "userinfo": H.url_part(url, 2), "hostname": F.lower(H.url_part(url, 3)), "path": H.url_part(url, 4), "query": H.url_part(url, 5)})
     out = out.withColumn("is_idn", F.col("hostname").rlike(H.IDN)).withColumn("hostname", H.rare(H._ascii_udf, F.col("hostname")))
-    out = out.withColumn("host", H.no_www(F.col("hostname"))).withColumn("root", H.root_domain(F.col("host")))
+    out = out.withColumn("host", H.no_www(F.col("hostname"))).withColumn("root", H.root_domain("host"))
     return out.withColumns({"tld": F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)).otherwise(""), "valid": F.col("hostname") != ""})
 
 
@@ -33,8 +33,8 @@ def unicode_hosts(parts: DataFrame) -> DataFrame:
 def lookalikes(hosts: DataFrame) -> DataFrame:
     """Look-alike kind, brand and confidence of distinct hosts (hostname, host, host_unicode): homoglyphs
     before typos before punycode before a brand's name inside the host."""
-    brands = F.array(*[F.struct(F.lit(b).alias("brand"), F.lit(b.split(".")[0]).alias("name"), F.lit(i).alias("place")) for i, b in enumerate(C.LOOKALIKE_BRANDS)])
-    out = hosts.withColumns({"root_unicode": H.root_domain(F.col("host_unicode")), "root_ascii": H.root_domain(F.col("host")), "punycode": F.col("host").rlike(r"(^|\.)xn--")})
+    brands = F.expr("array(" + ", ".join(f"named_struct('brand', '{b}', 'name', '{b.split('.')[0]}', 'place', {i})" for i, b in enumerate(C.LOOKALIKE_BRANDS)) + ")")
+    out = hosts.withColumns({"root_unicode": H.root_domain("host_unicode"), "root_ascii": H.root_domain("host"), "punycode": F.col("host").rlike(r"(^|\.)xn--")})
     out = out.withColumn("root_normal", H.normal_form(F.col("root_unicode")))
 
     def distance(b: Column) -> Column:
@@ -45,8 +45,8 @@ def lookalikes(hosts: DataFrame) -> DataFrame:
     words = F.flatten(F.array(*[F.split(F.col(c), "[.-]") for c in ("host_unicode", "host", "root_normal")]))
     inside = F.filter(brands, lambda b: (F.length(b["name"]) >= 4) & (F.col("root_normal") != b["brand"]) & F.array_contains(words, b["name"]))
     out = out.withColumns({"_typo": F.array_min(near), "_inside": H.first_of(inside)["brand"]})
-    known = F.col("root_normal").isin(*C.LOOKALIKE_BRANDS)
-    exact = ~F.col("punycode") & F.col("root_unicode").isin(*C.LOOKALIKE_BRANDS)
+    known = H.one_of("root_normal", C.LOOKALIKE_BRANDS)
+    exact = ~F.col("punycode") & H.one_of("root_unicode", C.LOOKALIKE_BRANDS)
     kind = (
         F.when(exact, None)
         .when((F.col("root_normal") != F.col("root_unicode")) & known, "homoglyph")
@@ -78,7 +78,7 @@ def reputation(parts: DataFrame) -> DataFrame:
     """Repute of the root, brands in subdomains or on other TLDs, abused TLDs, shorteners, lure wording."""
     root, host = F.col("root"), F.col("host")
     web = F.col("scheme").isin("http", "https") & F.col("valid")
-    out = parts.withColumns({"reputable": root.isin(*C.REPUTABLE_ROOTS), "provider": root.isin(*C.LOGIN_ROOTS)})
+    out = parts.withColumns({"reputable": H.one_of("root", C.REPUTABLE_ROOTS), "provider": H.one_of("root", C.LOGIN_ROOTS)})
     out = out.withColumn("trusted", F.col("reputable") | F.col("provider"))
     # in order, up to the brand that the root itself is
     brands = H.letters(C.BRAND_DOMAINS)
@@ -88,12 +88,12 @@ def reputation(parts: DataFrame) -> DataFrame:
     label = F.substring_index(root, ".", 1)
     swap = H.first_of(F.filter(upto, lambda b: (F.length(F.substring_index(b, ".", 1)) >= 4) & (F.substring_index(b, ".", 1) == label)))
     token = H.first_of(F.filter(H.letters(C.PHISHY_TOKENS), lambda t: F.contains(F.concat(host, F.lit(" "), F.lower("path")), t)))
-    kinds = F.coalesce(*[F.when(root.isin(*roots), F.lit(kind)) for kind, roots in C.SAFELIST.items()])
+    kinds = F.expr("CASE " + " ".join(f"WHEN root IN ({H.sql_list(roots)}) THEN '{kind}'" for kind, roots in C.SAFELIST.items()) + " END")
     return out.withColumns(
         {
             "tld_swap": F.when(web & F.col("brand_subdomain").isNull() & ~F.col("trusted"), swap),
-            "abused_tld": F.when(web & ~F.col("trusted") & F.col("tld").isin(*C.ABUSED_TLDS), F.col("tld")),
-            "shortener": web & root.isin(*C.URL_SHORTENERS),
+            "abused_tld": F.when(web & ~F.col("trusted") & H.one_of("tld", C.ABUSED_TLDS), F.col("tld")),
+            "shortener": web & H.one_of("root", C.URL_SHORTENERS),
             "phishy_token": F.when(web & ~F.col("trusted"), token),
             "safelist_kind": kinds,
         }
@@ -131,7 +131,7 @@ def url_features(parts: DataFrame) -> DataFrame:
     features = {
         "not_https": flag(F.col("scheme") != "https"),
         "punycode": flag(host.rlike(r"(^|\.)xn--")),
-        "abused_tld_f": flag(F.substring_index(host, ".", -1).isin(*C.CLASSIFIER_TLDS)),
+        "abused_tld_f": flag(H.one_of("substring_index(host, '.', -1)", C.CLASSIFIER_TLDS)),
         "many_subdomains": F.when(sub >= 3, 1.0).when(sub == 2, 0.5).otherwise(0.0),
         "host_digits_ratio": F.when(F.length(host) > 0, F.regexp_count(host, F.lit("[0-9]")) / F.length(host)).otherwise(0.0),
         "host_hyphens": F.least(F.lit(3), F.regexp_count(host, F.lit("-"))).cast("double"),
@@ -151,29 +151,22 @@ def no_page(df: DataFrame) -> DataFrame:
 SIGNALS = "array<struct<id: string, category: string, severity: string, weight: double, confidence: double, contribution: bigint>>"
 
 
-def contribution(weight: Column, confidence: Column, sensitivity: float = 1.0) -> Column:
-    """Points that a signal takes: -floor(weight * confidence * sensitivity + 0.5)."""
-    return -F.floor(weight * F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)) * sensitivity + 0.5).cast("long")
-
-
 def signals(table=R.URL_SIGNALS, sensitivity: float = 1.0) -> Column:
-    """The signals of a row by a rule table, in its order."""
+    """The signals of a row by a rule table, in its order. A signal takes -floor(weight * confidence *
+    sensitivity + 0.5) points."""
 
     def one(sid, category, severity, weight, conf, condition):
-        w, c = F.expr(weight).cast("double"), F.expr(conf).cast("double")
-        fields = [F.lit(sid).alias("id"), F.lit(category).alias("category"), F.expr(severity).alias("severity"), w.alias("weight"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)).alias("confidence"), contribution(w, c, sensitivity).alias("contribution")]
-        return F.when(F.expr(condition), F.struct(*fields))
+        w, c = f"CAST({weight} AS DOUBLE)", f"least(1D, greatest(0D, CAST({conf} AS DOUBLE)))"
+        points = f"-CAST(floor({w} * {c} * {float(sensitivity)}D + 0.5D) AS BIGINT)"
+        return f"CASE WHEN {condition} THEN named_struct('id', '{sid}', 'category', '{category}', 'severity', {severity}, 'weight', {w}, 'confidence', {c}, 'contribution', {points}) END"
 
-    return F.array_compact(F.array(*[one(*r) for r in table])).cast(SIGNALS)
+    return F.array_compact(F.expr("array(" + ", ".join(one(*r) for r in table) + ")")).cast(SIGNALS)
 
 
 def classify(df: DataFrame) -> DataFrame:
     """Probability of the bundled linear classifier, rounded to hundredths; 0 on trusted roots."""
-    z = F.lit(R.CLASSIFIER_BIAS)
-    for name, weight in R.CLASSIFIER:
-        z = z + F.col(name) * weight
-    p = F.floor(1 / (1 + F.exp(-z)) * 100 + 0.5) / 100
-    return df.withColumn("probability", F.when(F.col("trusted"), 0.0).otherwise(p))
+    z = " + ".join([f"{R.CLASSIFIER_BIAS}D", *(f"{name} * {weight}D" for name, weight in R.CLASSIFIER)])
+    return df.withColumn("probability", F.expr(f"CASE WHEN trusted THEN 0D ELSE floor(1 / (1 + exp(-({z}))) * 100 + 0.5D) / 100 END"))
 
 
 def top_contributors(n: int = 4) -> Column:

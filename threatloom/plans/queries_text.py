@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..operators import classifier, dlp, feeds, pages, scoring, urls
+from ..session import spread
 from . import inputs as I
 from . import oracle_parts as O
 from .queries import blocklist, feed_table, query, url_table
@@ -15,7 +16,7 @@ _TEXTS = f"WITH texts AS ({I.TEXTS})"
 
 
 def texts(spark, sf) -> DataFrame:
-    return I.derived(spark, sf, I.TEXTS)
+    return spread(I.derived(spark, sf, I.TEXTS))
 
 
 def hundredths(x: str) -> str:
@@ -176,7 +177,7 @@ def d17(spark, sf):
 
 
 def page_table(spark, sf) -> DataFrame:
-    return I.derived(spark, sf, I.PAGES)
+    return spread(I.derived(spark, sf, I.PAGES))
 
 
 def page_facts(spark, sf) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Makes the package importable on the workers of a session."""
+"""Session helpers: the package on the workers, work on all cores."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -24,3 +24,11 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(shutil.make_archive(str(folder / "threatloom"), "zip", folder / "tree"))
     context._threatloom_sent = True
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt round robin over the cores if its files have fewer than two splits a core. Scans of whole
+    texts and pages are bound by the processor, and however a small file is split, one task reads each
+    row group. Larger inputs stay where they are: nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
