@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -46,7 +48,8 @@ class Encoder:
 
     Byte-level tokenizers never join a word with the space-led word behind it, so a text is cut at
     its single spaces and each distinct piece goes through the tokenizer once. Texts with any other
-    run of white space, special tokens, and tokenizers of another kind are encoded whole.
+    run of white space, special tokens, and tokenizers of another kind are encoded whole. Single line ends
+    are cut likewise.
     """
 
     def __init__(self, path: str):
@@ -55,7 +58,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.dtype = np.dtype(f"<u{self.width}")
         pre = spec["pre_tokenizer"] or {}
         self.by_piece = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"]
         self.special = [x["content"] for x in spec["added_tokens"]]
@@ -65,19 +67,29 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
+        packed = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _word(self, piece: str) -> bytes:
-        """A piece that the pattern doesn't split: letters, or one run of punctuation."""
+        """A piece that the pattern doesn't split: letters, one run of punctuation, or a line's end."""
         found = self.known.get(piece)
         if found is None:
-            symbols = piece.encode().decode("latin-1").translate(self.symbols)
+            if piece.isascii() and piece.isprintable():
+                symbols = piece.replace(" ", self.symbols[32])
+            else:
+                symbols = piece.encode().decode("latin-1").translate(self.symbols)
             found = self._pack([t.id for t in self.tokenizer.model.tokenize(symbols)])
             if len(self.known) < REMEMBERED:
                 self.known[piece] = found
         return found
 
     def _piece(self, piece: str) -> bytes:
+        if "\n" in piece:  # single ones between other characters: each stands alone, what follows begins anew
+            first, *lines = piece.split("\n")
+            known, end = self.known.get, self._word("\n")
+            return b"".join([(known(first) or self._piece(first)) if first else b"", *(end + (known(x) or self._piece(x)) for x in lines)])
         if m := _LETTERS.fullmatch(piece):
             found = self._word(m[1]) + (self._word(m[2]) if m[2] else b"")
         else:
