@@ -190,7 +190,11 @@ def s4(spark, sf):
     return spark.read.text(path).withColumnRenamed("value", "host")
 
 
-@query("s5_write_dnr_rules")
+_ADS = O.TO_FEED + r""", a0 AS (SELECT lower(trim(line)) AS t FROM feed), a1 AS (SELECT t, regexp_extract(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^\|\|', ''), '[\^/].*$', ''), '^(0\.0\.0\.0|127\.0\.0\.1)\s+', ''), '^www\.', ''), '^(\S*)', 1) AS d FROM a0),
+ads AS (SELECT DISTINCT d FROM a1 WHERE NOT regexp_matches(t, '^[#!]') AND contains(d, '.') AND NOT regexp_matches(d, '[^a-z0-9.-]') AND length(d) <= 253)"""
+
+
+@query("s5_write_dnr_rules", _ADS + f", kept AS (SELECT row_number() OVER (ORDER BY d) - 1 AS i FROM ads WHERE d NOT IN {O.KEPT} AND {O.root_of('d')} NOT IN {O.KEPT}) SELECT i // 50 + 1 AS id, 'block' AS type, count(*) AS n_domains FROM kept WHERE i < 6000 GROUP BY 1")
 def s5(spark, sf):
     path = shared_path(spark, "rules")
     sinks.write_dnr_rules(feeds.ad_rules(feed_table(spark, sf), chunk=50), path)
@@ -265,9 +269,11 @@ def t4(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t5_stream_metrics")
+# only intervals that the watermark (an hour behind the latest event) has passed are out
+@query("t5_stream_metrics", "SELECT date_trunc('hour', ts) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def t5(spark, sf):
-    return _streamed(spark, sf, "SELECT ts, event_type AS kind FROM events", streams.metrics, "metrics")
+    rows = _streamed(spark, sf, "SELECT ts, event_type AS kind FROM events", streams.metrics, "metrics")
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("t6_stream_verdicts", O.TO_VERDICTS + "SELECT url_id, host, CAST(score AS INT) AS score, status FROM verdicts WHERE status <> 'safe'")
