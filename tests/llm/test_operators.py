@@ -156,6 +156,13 @@ def test_keep_one(docs, rows):
     assert simhash.keep_one(empty(docs)).count() == 0
 
 
+def test_keep_one_decides_for_rows(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "abcde"]
+    given = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (None, texts[2]), (2, texts[3]), (2, texts[4]), (2, texts[4]), (3, texts[4])]
+    kept = simhash.keep_one(spark.createDataFrame(given, "doc_id long, text string"))
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([(None, texts[0]), (None, texts[1]), (1, texts[2]), (2, texts[3]), (2, texts[4])])
+
+
 def test_katz(docs, rows, monkeypatch):
     monkeypatch.setattr(katz, "BLOCK", 500)
     got = defaultdict(list)

@@ -163,12 +163,35 @@ def near_duplicate_report(docs: DataFrame, **how) -> DataFrame:
     return near_duplicates(docs, **how).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the document with the smallest id.
-    Rows without an id stay if no other document is in their component; of repeated rows of an id one stays."""
-    rows = near_duplicates(docs, **how)
-    kept = materialize(rows.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept_id")), "simhash-kept")
-    repeated = kept.groupBy("_kept_id").count().where("count > 1").limit(1).count() > 0
+def _keyed_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_key, fp, n) of every distinct id and text; text_key is a 64-bit hash of the text, n the rows."""
+    small_batches(docs.sparkSession, 1000)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(2).cast(pa.large_binary()).to_pylist()
+            values = [simhash([shingle_hashes(t or b"", width) for t in texts[i : i + 100]]) for i in range(0, len(texts), 100)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64))], names=["doc_id", "text_key", "fp"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"), docs["text"])
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long").groupBy("doc_id", "text_key", "fp").agg(F.count(F.lit(1)).alias("n"))
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one row of each component, that with the smallest id.
+
+    Rows are decided, not ids: rows without an id link like others, and one of them stays only if its
+    component has no row with an id; texts that share an id stay if their components differ."""
+    rows = materialize(_keyed_fingerprints(docs, width), "simhash-prints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("text_key").alias("node")), "simhash-nodes")
+    found = components(links(nodes, max_bits))
+    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n")).alias("first")
+    least = rows.join(classes, "fp").groupBy("component").agg(first)
+    kept = materialize(least.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.text_key").alias("_kept_key"), F.col("first.n").alias("_kept_n")), "simhash-kept")
     # one plan at every size: the ids grow with the table, so they are never broadcast
-    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    same = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.xxhash64(docs["text"]) == F.col("_kept_key"))
+    out = docs.join(kept.hint("merge"), same, "left_semi")
+    if kept.where("_kept_n > 1").isEmpty():
+        return out
+    return out.withColumn("_kept_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_kept_key"]).select(*docs.columns)
