@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threatloom.llm import decontaminate, mixing, quality_mil, simhash, token_files
+from threatloom.llm import decontaminate, mixing, near_copies, quality_mil, simhash, token_files
 from threatloom.llm.shared import documents, materialize
 
 
@@ -19,8 +19,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document, that with the smallest id, of each group of near-duplicates: fingerprints as in ``op4``,
+    and texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return simhash.keep_one(docs, more_links=near_copies.links)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The corpus pipeline: columns, effect of every stage, and its last stage against the tokenizer."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -26,6 +28,29 @@ def test_stages_keep_columns_and_take_effect(stages):
     assert tokens.count() == mixed.count()
 
 
+def test_near_dedup_finds_copies_of_similarity_four_fifths(spark):
+    chance = random.Random(3)
+    given = {}
+    for k in range(30):
+        words = [f"w{chance.randrange(5000)}" for _ in range(chance.randrange(20, 200))]
+        for copy in range(4):
+            changed = list(words)
+            for _ in range(chance.randrange(1, 5) if copy else 0):
+                changed[chance.randrange(len(words))] = f"x{chance.randrange(5000)}"
+            given[4 * k + copy] = " ".join(changed)
+    given[120] = given[7] + "  "
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in given.items()}
+    docs = spark.createDataFrame(list(given.items()), "doc_id long, text string")
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    for i in given:
+        for j in given:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert kept == set(group.values()) and kept < {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+
+
 def test_empty_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:

@@ -177,14 +177,23 @@ def _keyed_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key long, fp long").groupBy("doc_id", "text_key", "fp").agg(F.count(F.lit(1)).alias("n"))
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS, more_links=None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one row of each component, that with the smallest id.
+    ``more_links`` makes further edges (a, b) of (node, text), a row a text; they join components too.
 
     Rows are decided, not ids: rows without an id link like others, and one of them stays only if its
     component has no row with an id; texts that share an id stay if their components differ."""
     rows = materialize(_keyed_fingerprints(docs, width), "simhash-prints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("text_key").alias("node")), "simhash-nodes")
-    found = components(links(nodes, max_bits))
+    edges = links(nodes, max_bits)
+    if more_links is not None:
+        place = rows.select("text_key", "fp").distinct().join(nodes, "fp")
+        more = more_links(docs.select(F.xxhash64("text").alias("node"), "text"))
+        for end in ("a", "b"):  # texts of one fingerprint are one node
+            more = more.join(place.select(F.col("text_key").alias(end), F.col("node").alias(f"{end}_node")), end)
+        more = more.where("a_node <> b_node").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+        edges = materialize(edges.unionByName(more).distinct(), "simhash-more")
+    found = components(edges)
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n")).alias("first")
     least = rows.join(classes, "fp").groupBy("component").agg(first)
