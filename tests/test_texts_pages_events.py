@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threatloom.operators import classifier, dlp, events, feeds, pages, scoring
+from threatloom.plans import queries_text
 from threatloom.sources import readers, sinks
 
 
@@ -126,3 +127,16 @@ def test_adopt_gate_needs_rows(spark):
     rows = spark.createDataFrame([(1, 0.9, 0.1, False), (0, 0.1, 0.1, True)], "label int, p_new double, p_old double, is_login boolean")
     assert not classifier.adopt_gate(rows).first()["adopt"]
     assert classifier.adopt_gate(rows, least=1).first()["adopt"]
+
+
+def test_submissions_stay_bounded(spark, tmp_path):
+    rows = [(200 * k, f"field {k} " + "plain words " * 80, "web") for k in range(400)] + [(i, f"short {i}", "web") for i in range(1, 60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for doc_id, text in sorted((r["doc_id"], r["text"]) for r in queries_text.texts(spark, str(tmp_path)).collect()):
+        if doc_id % 11:
+            want.setdefault(doc_id // 8, []).append(text)
+    found = {k: dlp.sensitive("\n".join(v)) for k, v in want.items()}
+    got = {r["submit_id"]: (r["n_findings"], r["warn"]) for r in queries_text.j13(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(f), k % 2 == 0 and any(not x["suppressed"] and x["severity"] in ("high", "critical") and x["confidence"] >= 0.85 for x in f)) for k, f in found.items()}
+    assert any(n for n, _ in got.values()) and any(w for _, w in got.values())

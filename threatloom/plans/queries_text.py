@@ -319,7 +319,8 @@ def j12(spark, sf):
 
 @query("j13_cross_domain_submissions")
 def j13(spark, sf):
-    fields = texts(spark, sf).where(F.length("text") < 2000).select((F.col("doc_id") % 200).alias("submit_id"), "doc_id", "text", F.when(F.col("doc_id") % 11 == 0, "password").otherwise("text").alias("field_type"))
+    """Submissions of at most eight fields, so their number grows with the table and not their text."""
+    fields = texts(spark, sf).where(F.length("text") < 2000).select(F.expr("doc_id DIV 8").alias("submit_id"), "doc_id", "text", F.when(F.col("doc_id") % 11 == 0, "password").otherwise("text").alias("field_type"))
     joined = fields.where("field_type NOT IN ('password', 'hidden')").groupBy("submit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
     rows = joined.withColumn("f", dlp.sensitive_findings("text"))
     grave = F.exists("f", lambda x: ~x["suppressed"] & x["severity"].isin("high", "critical") & (x["confidence"] >= 0.85))
