@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threatloom.operators import classifier, dlp, events, feeds, pages, scoring
-from threatloom.plans import queries_text
+from threatloom.plans import queries_events, queries_text
 from threatloom.sources import readers, sinks
 
 
@@ -140,3 +140,11 @@ def test_submissions_stay_bounded(spark, tmp_path):
     got = {r["submit_id"]: (r["n_findings"], r["warn"]) for r in queries_text.j13(spark, str(tmp_path)).collect()}
     assert got == {k: (len(f), k % 2 == 0 and any(not x["suppressed"] and x["severity"] in ("high", "critical") and x["confidence"] >= 0.85 for x in f)) for k, f in found.items()}
     assert any(n for n, _ in got.values()) and any(w for _, w in got.values())
+
+
+def test_upload_files_hold_every_document(spark, tmp_path):
+    rows = [(i, "é" * 150_000, "web") for i in range(20)] + [(i, f"text {i}\nline", "web") for i in range(20, 300)] + [(300, None, "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries_events.s2(spark, str(tmp_path)).collect()
+    assert sum(r["n_chars"] for r in got) == sum(len(t) + 1 for _, t, _ in rows if t)
+    assert sum(r["size"] for r in got) == sum(len(t.encode()) + 1 for _, t, _ in rows if t) and max(r["n_chars"] for r in got) <= readers.MAX_TEXT

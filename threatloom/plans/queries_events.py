@@ -173,7 +173,17 @@ def s1(spark, sf):
 @query("s2_read_upload_files")
 def s2(spark, sf):
     path = shared_path(spark, "uploads")
-    spark.read.parquet(f"{sf}/documents.parquet").select("source", "text").where("text IS NOT NULL").repartition("source").write.partitionBy("source").text(path)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL")
+    groups = rows.groupBy(F.expr("coalesce(doc_id DIV 64, xxhash64(text))").alias("g")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("docs"))
+
+    # neighbours share a file up to the reader's limit, so that it bites only on documents that are oversize themselves
+    def pack(files, doc):
+        last = F.try_element_at(files, F.lit(-1))
+        fits = F.length(last) + F.length(doc["text"]) + 2 <= readers.MAX_TEXT
+        return F.when(fits, F.concat(F.slice(files, 1, F.size(files) - 1), F.array(F.concat(last, F.lit("\n"), doc["text"])))).otherwise(F.concat(files, F.array(doc["text"])))
+
+    packed = groups.select(F.explode(F.aggregate("docs", F.array().cast("array<string>"), pack)).alias("value"))
+    packed.write.option("maxRecordsPerFile", 1).text(path)
     files = readers.read_upload_files(spark, path)
     return files.select(F.length("text").cast("long").alias("n_chars"), "size")
 
