@@ -1,7 +1,7 @@
 """Links between near copies: texts whose sets of word shingles have a Jaccard similarity of ``LEAST`` or more.
 
 Candidates share a band of MinHash values; at the bound a pair is missed with a chance of
-(1 - LEAST ** ROWS) ** BANDS, 5e-8. Every candidate is then verified with the exact similarity of its shingle
+(1 - LEAST ** ROWS) ** BANDS, 3e-5. Every candidate is then verified with the exact similarity of its shingle
 sets (64-bit hashes). Texts with equal sets are one entry from the start.
 
 A band is not paired as it stands. First each member is compared with the band's smallest; then only members
@@ -18,55 +18,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_batches
-from .simhash import components, shingle_hashes
+from . import textops
+from .shared import discard, materialize, small_batches
+from .simhash import components
 
 WIDTH = 5
 LEAST = 0.8
 ROWS = 4
-BANDS = 32
+BANDS = 20
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(29))
+def bands(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Keys of sets of shingle hashes (none empty), a column a band; keys of different bands differ."""
+    out = np.empty((len(first) - 1, BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(first) - 1, b, np.uint64)
+        for m in _MULTIPLIERS[b * ROWS : (b + 1) * ROWS]:
+            key = textops.mix(key) + np.minimum.reduceat(hashes * m, first[:-1])
+        out[:, b] = textops.mix(key)
+    return out.view(np.int64)
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """One key a band of a set of shingle hashes; keys of different bands differ."""
-    minima = np.array([(shingles * m).min() for m in _MULTIPLIERS]).reshape(BANDS, ROWS)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for r in range(ROWS):
-        keys = _mixed(keys) + minima[:, r]
-    return _mixed(keys).view(np.int64)
-
-
-def _sets(texts: DataFrame, width: int, columns: str, values) -> DataFrame:
-    """(node, ...) of every row of ``texts`` (node, text) with words: what ``values`` makes of its shingle set."""
-    small_batches(texts.sparkSession, 1000)
+def _each(texts: DataFrame, width: int, schema: str, columns) -> DataFrame:
+    """(node, ...) of every row of ``texts`` (node, text) with words: what ``columns`` makes of the sets of shingle
+    hashes of many texts, given one after the other and where each begins."""
+    small_batches(texts.sparkSession)
 
     def run(batches):
         for batch in batches:
-            nodes, rows = [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-                found = np.unique(shingle_hashes(text.as_py() or b"", width))
-                if len(found):
-                    nodes.append(node)
-                    rows.append(values(found))
-            names = [c.split()[0] for c in columns.split(", ")]
-            kinds = [pa.int64() if c.endswith(" long") else pa.list_(pa.int64()) if c.endswith(">") else pa.binary() for c in columns.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=["node", *names])
+            for at, data, offsets in textops.slices(batch.column(1)):
+                hashes, first = textops.shingles(textops.Words(data, offsets, lower=True), width)
+                full = np.flatnonzero(np.diff(first))
+                if len(full):
+                    first = np.r_[first[full], len(hashes)]
+                    nodes = batch.column(0).take(pa.array(at + full))
+                    yield pa.RecordBatch.from_arrays([nodes, *columns(hashes, first)], names=["node", *(c.split()[0] for c in schema.split(", "))])
+
+    return texts.select("node", "text").mapInArrow(run, f"node long, {schema}")
 
-    return texts.select("node", "text").mapInArrow(run, f"node long, {columns}")
 
+def _distinct(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    return [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:])]
 
-def _sketch(found: np.ndarray) -> tuple:
+
+def _sketch(hashes: np.ndarray, first: np.ndarray) -> list[pa.Array]:
     from xxhash import xxh64_intdigest
 
-    return int(np.uint64(xxh64_intdigest(found.tobytes())).view(np.int64)), len(found), bands(found)
+    sets, keys = _distinct(hashes, first), bands(hashes, first)
+    set_key = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+    return [pa.array(set_key), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.reshape(-1))]
+
+
+def _sets(hashes: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    return [pa.array([s.tobytes() for s in _distinct(hashes, first)], pa.binary())]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -87,7 +93,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def links(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """Edges (a, b), a < b, whose components are those of all near copies among ``texts`` (node, text)."""
-    sketches = materialize(_sets(texts, width, "set_key long, size long, bands array<bigint>", _sketch), "copies-sketches")
+    sketches = materialize(_each(texts, width, "set_key long, size long, bands array<bigint>", _sketch), "copies-sketches")
     same = sketches.groupBy("set_key").agg(F.min("node").alias("a"))
     equal = sketches.select("set_key", F.col("node").alias("b")).join(same, "set_key").where("a < b").select("a", "b").distinct()
     entries = sketches.join(same, "set_key").where("node = a").dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("band"))
@@ -96,7 +102,7 @@ def links(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFra
 
     # few texts share a band with another; Spark broadcasts their keys only while they are few
     wanted = texts.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(_sets(wanted, width, "shingles binary", lambda found: (found.tobytes(),)), "copies-sets")
+    sets = materialize(_each(wanted, width, "shingles binary", _sets), "copies-sets")
 
     def alike(x: str, y: str):
         return F.least(x, y) >= F.lit(least) * F.greatest(x, y)
@@ -112,4 +118,6 @@ def links(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFra
     cross = groups.join(other, "band").where("component < component2").select(F.explode("nodes").alias("x"), "nodes2").select("x", F.explode("nodes2").alias("y"))
     cross = cross.where(alike("x.size", "y.size")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     late = _verified(cross.join(stars, ["a", "b"], "left_anti"), sets, least)
-    return materialize(equal.unionByName(near).unionByName(late), "copies-links")
+    out = materialize(equal.unionByName(near).unionByName(late), "copies-links")
+    discard(sketches, shared, sets, near, found, groups)
+    return out

@@ -2,38 +2,63 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path as shared_dir
+
+__all__ = ["WORD", "ascii_lower", "block_size", "crc_of_id", "discard", "documents", "filesystem", "materialize", "partitions", "shared_dir", "small_batches"]
+
 #: Words are maximal runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch, about; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+#: Bytes that a Parquet writer holds before it writes them as a row group.
+ROW_GROUP = 16 << 20
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``. Where the session names none (tests, notebooks)
-    a temporary folder becomes the checkpoint folder of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="threatloom-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: later jobs neither
-    recompute it nor lose it with an executor."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows a Python batch holds at most: whole texts can be long, so batches are short."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """``df`` written once as Parquet in the shared folder and read back: later jobs neither recompute it nor
+    lose it with an executor. The shuffle files behind it go when it is written."""
+    spark = df.sparkSession
+    path, before = shared_dir(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes tables of ``materialize`` that nothing reads any more."""
+    for df in frames:
+        if path := _written.pop(df, None):
+            fs, root = filesystem(path)
+            fs.delete_dir(root)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded by bytes, unless the session has a bound of its own. The value is the same for all
+    operators and changes no result."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":  # Spark's default
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def block_size(total: int, least: int, row: int) -> int:
+    """Entries that a task gathers before it deals them into as many buckets as there are such blocks:
+    at least ``least``, and so many that the dealt rows hold ``row`` entries on average. Rows thus grow as the
+    input, memory and a bucket as its square root."""
+    return max(least, math.isqrt(max(0, total) * row))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -9,14 +9,14 @@ every chain of l consecutive segments differs in at most floor(l * max_bits / SE
 longest chains that must not differ at all are the keys of an index with one entry a rotation; in a
 bucket, pairs are cut by the budgets of the longer chains, then by the full Hamming distance.
 
-A bucket of over BUCKET fingerprints is not paired. Its fingerprints are linked exactly in another
-way: two are within two bits if and only if some value is within one bit of both, so each joins the
-smallest fingerprint around every such value. Equal fingerprints are one entry from the start, and
-links grow with entries, never with the square of a group.
+A bucket of over BUCKET fingerprints is split along the ring before anything in it is paired. The chain
+behind the key may differ in one bit, so one of its halves is equal: the bucket becomes one bucket a half,
+then one a quarter of the other half, and one an eighth. Then 56 of 64 bits are equal, so a bucket holds at
+most 256 distinct fingerprints, and pairs grow with fingerprints, never with the square of a group.
 
 Defined results: texts without words (null, empty, white space) have fingerprint zero, linked like any
-other; with fewer words than a shingle, the whole sequence is the only shingle; component_id is the
-smallest id reachable; rows without an id link nothing and take the component of their fingerprint, or
+other; with fewer words than a shingle, the whole sequence is the only shingle; texts of any length are read
+whole; component_id is the smallest id reachable; rows without an id link nothing and take the component of their fingerprint, or
 null; repeated rows get equal results; extra columns are never read; an empty table gives an empty one.
 """
 
@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_batches
+from .shared import discard, materialize, small_batches
 
 WIDTH = 3
 MAX_BITS = 2
 SEED = 42
 SEGMENTS = 16
+#: Fingerprints of a bucket that are paired; larger buckets are split, SPLITS times at most.
 BUCKET = 64
+SPLITS = 3
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -62,23 +64,34 @@ def simhash(values: list[np.ndarray]) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp) of every row; fp has the fingerprint's bits as a long."""
-    small_batches(docs.sparkSession, 1000)
+def _with_fingerprints(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` of longs and, as the last column, the text: that is replaced by fp, the fingerprint's bits as a long."""
+    small_batches(rows.sparkSession)
+    names = [*rows.columns[:-1], "fp"]
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            texts = batch.column(len(names) - 1).cast(pa.large_binary()).to_pylist()
             values = [simhash([shingle_hashes(t or b"", width) for t in texts[i : i + 100]]) for i in range(0, len(texts), 100)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64))], names=names)
+
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, fp) of every row."""
+    return _with_fingerprints(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), width)
 
 
 def _rotated(x: Column, bits: int) -> Column:
     return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits)) if bits else x
 
 
+def _mask(start: int, end: int) -> int:
+    """Bits start..end of 64, counted from the highest."""
+    return (1 << 64 - start) - (1 << 64 - end)
+
+
 def _budgets(max_bits: int) -> list[tuple[int, int]]:
     """(chain length, bits it may differ in): the longest chain of every budget."""
     budget = {length * max_bits // SEGMENTS: length for length in range(1, SEGMENTS + 1)}
@@ -94,30 +107,43 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     (free, _), *longer = [(n, b) for n, b in _budgets(max_bits)]
     if max_bits == 0:
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    keys = F.array(*[F.struct(F.lit(r).alias("turn"), F.shiftrightunsigned(_rotated(F.col("fp"), r * step), 64 - free * step).alias("chain")) for r in range(SEGMENTS)])
-    entries = nodes.select("fp", "node", F.inline(keys))
-    sizes = entries.groupBy("turn", "chain").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(entries.join(sizes, ["turn", "chain"]), "simhash-buckets")
-
-    few = shared.where(F.col("n") <= BUCKET).drop("n")
-    other = few.select("turn", "chain", F.col("fp").alias("fp2"), F.col("node").alias("node2"))
-    apart = F.col("fp").bitwiseXOR(F.col("fp2"))
-    # the differing bits, turned so that the chain comes first
-    turned = F.element_at(F.array(*[_rotated(apart, r * step) for r in range(SEGMENTS)]), F.col("turn") + 1)
-    within = F.lit(True)
-    for length, bits in longer:
-        within = within & (F.bit_count(F.shiftrightunsigned(turned, 64 - length * step) if length < SEGMENTS else turned) <= bits)
-    paired = few.join(other, ["turn", "chain"]).where((F.col("node") < F.col("node2")) & within & (F.bit_count(apart) <= max_bits)).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-
-    crowd = shared.where(F.col("n") > BUCKET).select("fp", "node").distinct()
-    if max_bits == 2:
-        near = [0, *(1 << i if i < 63 else -(1 << 63) for i in range(64))]
-        around = crowd.select("node", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m).cast("long")) for m in near])).alias("point"))
-    else:  # within one bit: clearing one bit of each gives an equal value, or they are one bit apart there
-        around = crowd.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("bit"), F.col("fp").bitwiseAND(F.lit(~(1 << i) if i < 63 else (1 << 63) - 1).cast("long")).alias("rest")) for i in range(64)])).alias("point"))
-    hubs = around.groupBy("point").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "hub")
-    starred = around.join(hubs, "point").where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    return materialize(paired.unionByName(starred).distinct(), "simhash-links")
+    turns = F.array(*[F.struct(F.lit(r).alias("turn"), _rotated(F.col("fp"), r * step).alias("ring")) for r in range(SEGMENTS)])
+    # (path, mask of the bits that a bucket shares): the key chain, then with halves of what may differ in one bit
+    paths = [[(0, ((1 << 64) - (1 << 64 - free * step), longer[0][0] * step, free * step))]]
+    while max_bits == 2 and len(paths) <= SPLITS:
+        finer = []
+        for path, (mask, end, start) in paths[-1]:
+            middle = (start + end) // 2
+            finer.append((2 * path, (mask | _mask(start, middle), end, middle)))
+            finer.append((2 * path + 1, (mask | _mask(middle, end), middle, start)))
+        paths.append(finer)
+
+    entries = nodes.select("fp", "node", F.inline(turns)).withColumn("path", F.lit(0))
+    found, tables = [], []
+    for level, known in enumerate(paths):
+        mask = F.element_at(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for _, (m, _, _) in known]), F.col("path") + 1)
+        entries = entries.withColumn("chain", F.col("ring").bitwiseAND(mask))
+        sizes = entries.groupBy("turn", "path", "chain").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = materialize(entries.join(sizes, ["turn", "path", "chain"]), "simhash-buckets")
+        tables.append(shared)
+        last = level == len(paths) - 1
+        few = (shared if last else shared.where(F.col("n") <= BUCKET)).drop("n")
+        other = few.select("turn", "path", "chain", F.col("ring").alias("ring2"), F.col("node").alias("node2"))
+        apart = F.col("ring").bitwiseXOR(F.col("ring2"))
+        within = F.bit_count(apart) <= max_bits
+        for length, bits in longer:
+            within = within & (F.bit_count(F.shiftrightunsigned(apart, 64 - length * step) if length < SEGMENTS else apart) <= bits)
+        found.append(few.join(other, ["turn", "path", "chain"]).where((F.col("node") < F.col("node2")) & within).select(F.col("node").alias("a"), F.col("node2").alias("b")))
+        crowd = shared.where(F.col("n") > BUCKET).select("fp", "node", "turn", "ring", "path")
+        if last or crowd.isEmpty():
+            break
+        entries = crowd.withColumn("path", F.explode(F.array(2 * F.col("path"), 2 * F.col("path") + 1)))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    out = materialize(out.distinct(), "simhash-links")
+    discard(*tables)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -136,14 +162,17 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     edges = edges.where("a < b")
-    now = state(edges)
+    now, rounds = state(edges), 0
     while now[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = smallest_of(both).where("v > u").select(F.col("m").alias("v"), F.col("v").alias("u")).where("u > v").distinct()
         small = smallest_of(large)
         small = small.select("v", "m").unionByName(small.select(F.col("u").alias("v"), "m")).where("v > m").distinct()
-        edges = materialize(small.select(F.col("m").alias("a"), F.col("v").alias("b")), "components")
+        last, edges = edges, materialize(small.select(F.col("m").alias("a"), F.col("v").alias("b")), "components")
         before, now = now, state(edges)
+        if rounds:
+            discard(last)
+        rounds += 1
         if now == before:
             break
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
@@ -165,16 +194,8 @@ def near_duplicate_report(docs: DataFrame, **how) -> DataFrame:
 
 def _keyed_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, text_key, fp, n) of every distinct id and text; text_key is a 64-bit hash of the text, n the rows."""
-    small_batches(docs.sparkSession, 1000)
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(2).cast(pa.large_binary()).to_pylist()
-            values = [simhash([shingle_hashes(t or b"", width) for t in texts[i : i + 100]]) for i in range(0, len(texts), 100)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64))], names=["doc_id", "text_key", "fp"])
-
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"), docs["text"])
-    return rows.mapInArrow(run, "doc_id long, text_key long, fp long").groupBy("doc_id", "text_key", "fp").agg(F.count(F.lit(1)).alias("n"))
+    return _with_fingerprints(rows, width).groupBy("doc_id", "text_key", "fp").agg(F.count(F.lit(1)).alias("n"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS, more_links=None) -> DataFrame:

@@ -17,7 +17,7 @@ import zstandard
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes that are handled at once; numpy needs about 40 bytes of memory for each.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _byte_values() -> np.ndarray:
@@ -127,6 +127,21 @@ def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return mix(rolled[at]), at
 
 
+def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of every ``width`` consecutive words, first of each text and the end); a text with fewer words
+    has one shingle, all of them, and a text without words none."""
+    counts = words.counts
+    first = np.r_[0, np.cumsum(np.where(counts >= width, counts - width + 1, counts > 0))]
+    hashes, out = words.hashes(), np.zeros(int(first[-1]), U64)
+    rolled, at = windows(hashes, words.first, width)
+    text = np.searchsorted(words.first, at, "right") - 1
+    out[first[text] + at - words.first[text]] = rolled
+    for k in range(1, width):
+        few = np.flatnonzero(counts == k)
+        out[first[few]] = mix(sum((hashes[words.first[few] + j] * p for j, p in enumerate(powers(k)[::-1])), np.full(len(few), k, U64)))
+    return out, first
+
+
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """start, start + 1, ... count times, for each pair."""
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
