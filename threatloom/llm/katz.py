@@ -1,22 +1,25 @@
-"""Language-model scores by Katz backoff over word bigrams.
-
-log10 P(w | h) = log10(d(c) * c / n(h)) for a pair seen c times in training, else log10(alpha(h)) plus the
-unigram's, where d are Good-Turing discounts, n(h) counts h as a history and alpha(h) shares exactly what
-the discounts leave among words not seen after h. Unigrams are discounted likewise; what is left there is
-the probability of the one class of unknown words. So the probabilities after any history sum to 1. The
-first word's history is a begin mark, which is no token; the end of a text is a token.
-
-Texts are cut into blocks of about BLOCK tokens, written to the shared folder as local word numbers. Tables
-of counts are partitioned by ranges of 64-bit hashes: each block asks, for its distinct words, pairs and
-histories, with its own counts of them; the partition adds them up and answers in the same order. Thus
-a word of any frequency costs one entry a block, no count passes through the driver (which sees counts of
-counts alone), and scoring is the evaluation of a block with its answers. Every text, training or held
-out, is read whole. The backoff sums of a history are whole numbers (counts by discount class), so they
-don't depend on the order of addition.
-
-Defined results: null and empty texts are the end token alone; null ids are the text ``null`` for the
-split; repeated rows count and score as often as they stand; without training tokens every token is
-unknown and has probability 1; extra columns are never read; an empty table gives an empty one. If counts
+"""Language-model scores by Katz backoff over word trigrams, bigrams and unigrams.
+
+log10 P(w | h) = log10(d(c) * c / n(h)) for an n-gram seen c times in training, else log10(alpha(h)) plus
+log10 P(w | h') where h' is h without its first word; d are the Good-Turing discounts of the order, n(h) counts
+h as a history, and alpha(h) shares exactly what the discounts leave among words not seen after h.
+Unigrams are discounted likewise; what is left there is the probability of the one class of unknown
+words. So the probabilities after any history sum to 1. Begin marks, which are no tokens, stand before a
+text; its end is a token.
+
+Texts are cut into blocks, written to the shared folder as local word numbers. Tables of counts are
+partitioned by ranges of 64-bit hashes, one for each order and one for the histories of each order above
+the first: a block asks, for its distinct words, pairs, triples and histories, with its own counts of them;
+the partition adds them up and answers in the same order. So an n-gram of any frequency costs one entry a
+block, no count passes through the driver (which sees counts of counts alone), and scoring is the
+evaluation of a block with its answers. The backoff sums of a history are whole numbers (counts by
+discount class), so they don't depend on the order of addition. ``fit`` keeps the tables, ``score`` answers
+from kept tables; ``katz_scores`` does both at once. Blocks and partitions grow as the square root of the
+input (``block_size``), so the rows that are exchanged grow as the input.
+
+Defined results: null and empty texts are the end token alone; texts of any length are read whole; null ids are
+the text ``null`` for the split; repeated rows count and score as often as they stand; without training tokens every
+token is unknown and has probability 1; extra columns are never read; an empty table gives an empty one. If counts
 of counts are too thin for Good-Turing (a discount outside (0, 1)), fewer counts are discounted, and if
 that doesn't help either, discounts are (r - 0.5) / r. If
 nothing is left for words unseen after a history, its count is one larger.
@@ -25,6 +28,7 @@ nothing is left for words unseen after a history, its count is one larger.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +36,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import crc_of_id, filesystem, materialize, partitions, shared_dir, small_batches
+from .shared import block_size, crc_of_id, filesystem, materialize, partitions, shared_dir, small_batches
 
-BLOCK = 1 << 21
+#: Tokens of a block, at least, and entries of an exchanged row, on average.
+BLOCK = 1 << 20
+ROW = 128
 #: Counts up to this one are discounted.
 CUTOFF = 5
 END = np.uint64(0xE17D)
-BEGIN = np.uint64(0xBE61)
-_PAIR = np.uint64(0xD6E8FEB86659FD93)
+#: Histories of the first token: no word, and no two words.
+BEGIN, BEGIN_2 = np.uint64(0xBE61), np.uint64(0xBE62)
+_GRAM = np.uint64(0xD6E8FEB86659FD93)
 
 
 # blocks -------------------------------------------------------------------------------------------
 
 
+@dataclass
+class Grams:
+    """The distinct n-grams of a block, in the order of their hashes."""
+
+    hashes: np.ndarray
+    number: np.ndarray  # of each token's n-gram
+    history: np.ndarray  # numbers of histories
+    word: np.ndarray  # and of words
+
+    def counts(self, of_token: np.ndarray) -> np.ndarray:
+        return np.bincount(self.number, of_token, len(self.hashes)).astype(np.int64)
+
+
 @dataclass
 class Block:
     ids: np.ndarray  # document ids
@@ -57,29 +77,43 @@ class Block:
     def of_token(self, per_document: np.ndarray) -> np.ndarray:
         return np.repeat(per_document, self.size)
 
-    def histories(self) -> np.ndarray:
-        """Number of each token's history; the begin mark comes after all words."""
-        out = np.r_[len(self.words), self.token[:-1]].astype(np.int64)
-        out[np.cumsum(self.size)[:-1]] = len(self.words)
+    def _after(self, number: np.ndarray, begin: int) -> np.ndarray:
+        """Of each token the number of what stands before it, ``begin`` before the first of a document."""
+        out = np.r_[begin, number[:-1]].astype(np.int64)
+        out[np.cumsum(self.size)[:-1]] = begin
         return out
 
-    def history_hashes(self) -> np.ndarray:
-        return np.r_[self.words, BEGIN]
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted distinct hashes of pairs, number of each token's pair, history and word of each pair)."""
-        h = self.histories()
-        local = h * (len(self.words) + 1) + self.token
-        distinct, number = np.unique(local, return_inverse=True)
-        history, word = np.divmod(distinct, len(self.words) + 1)
-        hashes = textops.mix(textops.mix(self.history_hashes()[history]) * _PAIR + self.words[word])
+    def _grams(self, history: np.ndarray, history_hashes: np.ndarray) -> Grams:
+        hashes = textops.mix(textops.mix(history_hashes)[history] * _GRAM + self.words[self.token])
         order = np.argsort(hashes)
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        return hashes[order], rank[number], history[order], word[order]
+        new = np.r_[True, hashes[order][1:] != hashes[order][:-1]]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        one = order[new]  # a token of each
+        return Grams(hashes[one], number, history[one], self.token[one].astype(np.int64))
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        return self._after(self.token, len(self.words))
+
+    @cached_property
+    def pairs(self) -> Grams:
+        return self._grams(self.before, self.histories(2))
+
+    @cached_property
+    def before_2(self) -> np.ndarray:
+        return self._after(self.pairs.number, len(self.pairs.hashes))
 
+    @cached_property
+    def triples(self) -> Grams:
+        return self._grams(self.before_2, self.histories(3))
 
-def write_blocks(docs: DataFrame, folder: str) -> DataFrame:
+    def histories(self, order: int) -> np.ndarray:
+        """Hashes of the histories of n-grams of this order; the begin comes after all others."""
+        return np.r_[self.words, BEGIN] if order == 2 else np.r_[self.pairs.hashes, BEGIN_2]
+
+
+def write_blocks(docs: DataFrame, folder: str, tokens: int) -> DataFrame:
     """Blocks of documents (doc_id, train, text) as files; (block) of each."""
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
 
@@ -107,7 +141,7 @@ def write_blocks(docs: DataFrame, folder: str) -> DataFrame:
                 to = at + len(offsets) - 1
                 held.append((ids[at:to], null[at:to], words.counts + 1, train[at:to], np.insert(words.hashes(), words.first[1:], END)))
                 n += len(words) + to - at
-                if n >= BLOCK:
+                if n >= tokens:
                     yield flush()
         if held:
             yield flush()
@@ -123,23 +157,26 @@ def read_block(folder: str, name: str) -> Block:
 
 # counting -----------------------------------------------------------------------------------------
 
-
-def _questions(block: str, hashes: np.ndarray, columns: list[np.ndarray], buckets: int):
-    rows = [(k, block, textops.pack(hashes[a:b], *(c[a:b] for c in columns))) for k, a, b in textops.bucket_cuts(hashes, buckets)]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary()))], names=["bucket", "block", "data"])
+_QUESTION = "bucket int, block string, data binary"
 
 
 def _small(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint32) if not len(a) or a.max() < 1 << 32 else a.astype(np.int64)
+    most = int(a.max()) if len(a) else 0
+    return a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64)
 
 
-_ANSWER = "block string, bucket int, data binary"
+def _questions(block: str, hashes: np.ndarray, columns: list[np.ndarray], buckets: int):
+    columns = [_small(c) for c in columns]
+    rows = [(k, block, textops.pack(hashes[a:b], *(c[a:b] for c in columns))) for k, a, b in textops.bucket_cuts(hashes, buckets)]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary()))], names=["bucket", "block", "data"])
 
 
-def _answers(questions: DataFrame, owners: bool, name: str) -> DataFrame:
+def _answers(questions: DataFrame, owners: bool, name: str, keep: bool) -> DataFrame:
     """Sums of the asked columns over all blocks, in the order of each question, and a row without a
     block of counts of counts (distinct with a count, their sum, how many have 1, 2, ...) of the first
-    column. With ``owners``, a last column marks the one block that stands for the hash."""
+    column. With ``owners``, a last column marks the one block that stands for the hash. With ``keep``, a
+    row of the block "" has the table: distinct hashes that have a count, and their sums. Questions of the block
+    "" are such tables; they get no answer."""
 
     def run(table: pa.Table) -> pa.Table:
         blocks, data = table.column("block").to_pylist(), [textops.unpack(x) for x in table.column("data").to_pylist()]
@@ -147,29 +184,32 @@ def _answers(questions: DataFrame, owners: bool, name: str) -> DataFrame:
         hashes = np.concatenate([d[0] for d in data])
         order = np.argsort(hashes, kind="stable")
         new = np.r_[True, hashes[order][1:] != hashes[order][:-1]]
-        at = np.flatnonzero(new)
+        at, group = np.flatnonzero(new), np.cumsum(new) - 1
         number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        columns = [np.concatenate([d[k] for d in data]).astype(np.int64) for k in range(1, len(data[0]))]
-        sums = [np.add.reduceat(c[order], at) for c in columns]
-        out = [s[number] for s in sums]
-        if owners:
-            owner = np.zeros(len(order), np.uint8)
-            has = np.flatnonzero(columns[0][order] > 0)
-            group = (np.cumsum(new) - 1)[has]
-            owner[order[has[np.r_[True, group[1:] != group[:-1]]]]] = 1 if len(has) else 0
-            out.append(owner)
-        ends = np.cumsum([len(d[0]) for d in data])
-        rows = [(b, bucket, textops.pack(*(_small(c[e - len(d[0]) : e]) for c in out))) for b, d, e in zip(blocks, data, ends)]
-        counts = sums[0][sums[0] > 0]
-        rows.append((None, bucket, np.array([len(counts), counts.sum(), *[(counts == r).sum() for r in range(1, CUTOFF + 2)]], "<i8").tobytes()))
-        block, bucket_, packed = zip(*rows)
-        return pa.table({"block": pa.array(block, pa.string()), "bucket": pa.array(bucket_, pa.int32()), "data": pa.array(packed, pa.binary())})
-
-    return materialize(questions.groupBy("bucket").applyInArrow(run, _ANSWER), name)
-
-
-def _statistics(answers: DataFrame) -> np.ndarray:
+        number[order] = group
+        ends, sums, out = np.cumsum([len(d[0]) for d in data]), [], []
+        for k in range(1, len(data[0])):
+            column = np.concatenate([d[k] for d in data]).astype(np.int64)[order]
+            sums.append(_small(np.add.reduceat(column, at)))
+            out.append(sums[-1][number])
+            if owners and k == 1:
+                has = np.flatnonzero(column > 0)
+                owner = np.zeros(len(order), np.uint8)
+                owner[order[has[np.r_[True, group[has][1:] != group[has][:-1]]]] if len(has) else has] = 1
+        out += [owner] if owners else []
+        rows = [(b, textops.pack(*(c[e - len(d[0]) : e] for c in out))) for b, d, e in zip(blocks, data, ends) if b]
+        counts = sums[0][sums[0] > 0].astype(np.int64)
+        rows.append((None, np.array([len(counts), counts.sum(), *[(counts == r).sum() for r in range(1, CUTOFF + 2)]], "<i8").tobytes()))
+        if keep:
+            known = np.flatnonzero(sums[0] > 0)
+            rows.append(("", textops.pack(hashes[order][at][known], *(x[known] for x in sums))))
+        block, packed = zip(*rows)
+        return pa.table({"block": pa.array(block, pa.string()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "data": pa.array(packed, pa.binary())})
+
+    return materialize(questions.groupBy("bucket").applyInArrow(run, "block string, bucket int, data binary"), name)
+
+
+def _statistics(answers: DataFrame) -> list[int]:
     """Distinct, total and counts of counts, summed over the partitions of a table."""
     size = CUTOFF + 3
 
@@ -182,7 +222,7 @@ def _statistics(answers: DataFrame) -> np.ndarray:
 
     rows = answers.where("block IS NULL").select("data").mapInArrow(run, ", ".join(f"s{i} long" for i in range(size)))
     found = rows.agg(*[F.sum(f"s{i}") for i in range(size)]).first()
-    return np.array([x or 0 for x in found], np.int64)
+    return [int(x or 0) for x in found]
 
 
 def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
@@ -199,132 +239,196 @@ def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
     return np.r_[1.0, (r - 0.5) / r]
 
 
+def _discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(c <= CUTOFF, d[np.minimum(c, CUTOFF)], 1.0) * c
+
+
 @dataclass
 class Model:
-    """What all blocks share: totals and discounts of unigrams and bigrams."""
+    """What all blocks share: totals and discounts of the three orders."""
 
     total: int
     distinct: int
-    unigram: np.ndarray
-    bigram: np.ndarray
+    discount: list[np.ndarray]  # of orders 1, 2, 3
     left: float  # probability of unknown words
 
     @classmethod
-    def of(cls, words: np.ndarray, pairs: np.ndarray) -> Model:
-        total, d = int(words[1]), discounts(words[2:])
-        left = float(((1 - d[1:]) * np.arange(1, CUTOFF + 1) * words[2 : 2 + CUTOFF]).sum())
-        return cls(total, int(words[0]), d, discounts(pairs[2:]), left / total if left > 0 else 1 / (total + 1))
+    def of(cls, statistics: list[list[int]]) -> Model:
+        d = [discounts(np.array(s[2:])) for s in statistics]
+        (distinct, total, *counts), r = statistics[0], np.arange(1, CUTOFF + 1)
+        left = float(((1 - d[0][1:]) * r * counts[:CUTOFF]).sum())
+        return cls(total, distinct, d, left / total if left > 0 else 1 / (total + 1))
 
     def word_probability(self, c: np.ndarray) -> np.ndarray:
-        n = self.total if (1 - self.unigram[1:]).any() and self.left != 1 / (self.total + 1) else self.total + 1
-        return np.where(c > 0, _discounted(c, self.unigram) / n, self.left)
+        n = self.total + 1 if self.left == 1 / (self.total + 1) else self.total
+        return np.where(c > 0, _discounted(c, self.discount[0]) / n, self.left)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
-    def backoff(self, n: np.ndarray, by_class: np.ndarray, large: np.ndarray, words_by_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(denominator, alpha) of histories: n, counts of pairs by count up to CUTOFF, and of the words
-        seen after them the sum of larger counts and the numbers by smaller count."""
-        r = np.arange(1, CUTOFF + 1)
-        left = ((1 - self.bigram[1:]) * r * by_class.T).sum(1)
-        over = np.where(left > 0, n, n + 1).astype(np.float64)
-        left = np.where(left > 0, left, 1.0)
-        scale = self.word_probability(np.array([CUTOFF + 1]))[0] / (CUTOFF + 1)
-        seen = large * scale + (self.word_probability(r) * words_by_class.T).sum(1)
-        alpha = np.where(n > 0, left / over / np.maximum(1e-12, 1 - seen), 1.0)
-        return over, alpha
+    def over(self, order: int, sums: list[np.ndarray]) -> np.ndarray:
+        """Denominators of the histories of an order, from n and their n-grams by count up to CUTOFF."""
+        return np.where(self._left(order, sums) > 0, sums[0], sums[0] + 1.0)
 
+    def _left(self, order: int, sums: list[np.ndarray]) -> np.ndarray:
+        return sum((1 - self.discount[order - 1][r]) * r * sums[r].astype(np.float64) for r in range(1, CUTOFF + 1))
 
-def _discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    return np.where(c <= CUTOFF, d[np.minimum(c, CUTOFF)], 1.0) * c
+    def alpha(self, order: int, sums: list[np.ndarray], lower: np.ndarray | None = None) -> np.ndarray:
+        """Backoff weights of histories. ``sums`` goes on with the lower order's counts of the words seen after
+        them: the sum of those above CUTOFF and the numbers by smaller count; ``lower`` has its denominators."""
+        left, over = self._left(order, sums), self.over(order, sums)
+        left = np.where(left > 0, left, 1.0)
+        large, small = sums[1 + CUTOFF], sums[2 + CUTOFF :]
+        if lower is None:
+            seen = large * (self.word_probability(np.array([CUTOFF + 1]))[0] / (CUTOFF + 1)) + sum(self.word_probability(np.array([r]))[0] * x for r, x in zip(range(1, CUTOFF + 1), small))
+        else:
+            seen = (large + sum(self.discount[order - 2][r] * r * x for r, x in zip(range(1, CUTOFF + 1), small))) / np.maximum(1, lower)
+        return np.where(sums[0] > 0, left / over / np.maximum(1e-12, 1 - seen), 1.0)
 
 
 def _gathered(answers: list[DataFrame]) -> DataFrame:
+    """A row a block with its answers: one a level and bucket."""
     rows = None
     for level, a in enumerate(answers):
-        own = a.where("block IS NOT NULL").select("block", F.struct(F.lit(level).alias("level"), "bucket", "data").alias("answer"))
+        own = a.where("block <> ''").select("block", F.struct(F.lit(level).alias("level"), "bucket", "data").alias("answer"))
         rows = own if rows is None else rows.unionByName(own)
-    return rows.groupBy("block").agg(F.collect_list("answer").alias("answers"))  # a row a bucket and level
+    return rows.groupBy("block").agg(F.collect_list("answer").alias("answers"))
 
 
-def _answer_columns(answers: list[dict], level: int) -> list[np.ndarray]:
+def _columns_of(answers: list[dict], level: int) -> list[np.ndarray]:
     parts = [textops.unpack(a["data"]) for a in sorted((a for a in answers if a["level"] == level), key=lambda a: a["bucket"])]
-    return [np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(len(parts[0]))]
+    return [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))]
 
 
-def katz_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = docs.sparkSession
-    small_batches(spark, 1000)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.pmod(crc_of_id(docs["doc_id"]), F.lit(5)) != 1).alias("train"), docs["text"].alias("text"))
+def _history_columns(block: Block, order: int, grams: Grams, answer: list[np.ndarray], lower: np.ndarray) -> list[np.ndarray]:
+    """What a block tells of its histories: how often they are one in training, and of the n-grams that it
+    stands for, how many there are by count, and the counts of their lower order."""
+    n, before = len(block.histories(order)), block.before if order == 2 else block.before_2
+    mine = answer[1] > 0
+    history, c, low = grams.history[mine], answer[0][mine], lower[mine].astype(np.int64)
+    counted = lambda keep, weight=None: np.bincount(history[keep], None if weight is None else weight[keep], n).astype(np.int64)
+    return [np.bincount(before, block.of_token(block.train), n).astype(np.int64), *[counted(c == r) for r in range(1, CUTOFF + 1)], counted(low > CUTOFF, low.astype(np.float64)), *[counted(low == r) for r in range(1, CUTOFF + 1)]]
+
+
+def _lower_pair(block: Block) -> np.ndarray:
+    """Number of the pair that each triple ends with."""
+    out = np.empty(len(block.triples.hashes), np.int64)
+    out[block.triples.number] = block.pairs.number
+    return out
+
+
+_LEVELS = ("words", "pairs", "histories-2", "triples", "histories-3")
+
+
+@dataclass
+class Tables:
+    """A kept model: its totals and discounts, and the tables (bucket, block "", data) of the five levels."""
+
+    model: Model
+    buckets: int
+    levels: list[DataFrame]
+
+
+def _run(rows: DataFrame, keep: bool = False, tables: Tables | None = None):
+    """(folder of the blocks, answers of the five levels, the model, buckets) for rows (doc_id, train, text); None if there are none."""
+    spark = rows.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark, "katz")
-    blocks = write_blocks(rows, folder)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = write_blocks(rows, folder, block_size(total // 6, BLOCK, ROW))
     n_blocks = blocks.count()
     if not n_blocks:
-        return spark.createDataFrame([], _SCORES).select(*_COLUMNS)
-    buckets = max(partitions(spark), n_blocks)
+        return None
+    buckets = tables.buckets if tables else max(partitions(spark), n_blocks)
     dealt = blocks.repartitionByRange(min(n_blocks, 4 * partitions(spark)), "block")
-    question = "bucket int, block string, data binary"
 
-    def ask_words(batches):
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                b = read_block(folder, name)
-                yield _questions(name, b.words, [np.bincount(b.token, b.of_token(b.train), len(b.words)).astype(np.uint32)], buckets)
+    def asked(block, level, answers):
+        if level == 0:
+            return block.words, [np.bincount(block.token, block.of_token(block.train), len(block.words)).astype(np.int64)]
+        if level in (1, 3):
+            grams = block.pairs if level == 1 else block.triples
+            return grams.hashes, [grams.counts(block.of_token(block.train))]
+        if level == 2:
+            (of_word,), of_pair = _columns_of(answers, 0), _columns_of(answers, 1)
+            columns = _history_columns(block, 2, block.pairs, of_pair, of_word[block.pairs.word])
+        else:
+            of_pair, of_triple = _columns_of(answers, 0), _columns_of(answers, 1)
+            columns = _history_columns(block, 3, block.triples, of_triple, of_pair[0][_lower_pair(block)])
+        hashes = block.histories(2 if level == 2 else 3)
+        order = np.argsort(hashes)
+        return hashes[order], [c[order] for c in columns]
 
-    def ask_pairs(batches):
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                b = read_block(folder, name)
-                hashes, number, _, _ = b.pairs()
-                yield _questions(name, hashes, [np.bincount(number, b.of_token(b.train), len(hashes)).astype(np.uint32)], buckets)
+    def ask(level: int, given: list[DataFrame]) -> DataFrame:
+        answered = bool(given)
 
-    words = _answers(dealt.mapInArrow(ask_words, question), False, "katz-words")
-    pairs = _answers(dealt.mapInArrow(ask_pairs, question), True, "katz-pairs")
-    model = Model.of(_statistics(words), _statistics(pairs))
+        def run(batches):
+            for batch in batches:
+                answers = batch.column(1).to_pylist() if answered else [None] * len(batch)
+                for name, own in zip(batch.column(0).to_pylist(), answers):
+                    yield _questions(name, *asked(read_block(folder, name), level, own), buckets)
 
-    def ask_histories(batches):
-        for batch in batches:
-            for name, answers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                b = read_block(folder, name)
-                (of_word,), (of_pair, owner) = _answer_columns(answers, 0), _answer_columns(answers, 1)
-                _, _, history, word = b.pairs()
-                n = len(b.words) + 1
-                mine = owner > 0
-                history, c, cw = history[mine], of_pair[mine], of_word[word[mine]]
-                counted = lambda keep, weight=None: np.bincount(history[keep], None if weight is None else weight[keep], n).astype(np.int64)
-                columns = [np.bincount(b.histories(), b.of_token(b.train), n).astype(np.int64), *[counted(c == r) for r in range(1, CUTOFF + 1)], counted(cw > CUTOFF, cw.astype(np.float64)), *[counted(cw == r) for r in range(1, CUTOFF + 1)]]
-                hashes = b.history_hashes()
-                order = np.argsort(hashes)
-                yield _questions(name, hashes[order], [_small(x[order]) for x in columns], buckets)
-
-    histories = _answers(_gathered([words, pairs]).mapInArrow(ask_histories, question), False, "katz-histories")
-
-    def evaluate(batches):
+        questions = (_gathered(given) if given else dealt).mapInArrow(run, _QUESTION)
+        if tables:
+            questions = questions.unionByName(tables.levels[level].select("bucket", "block", "data"))
+        return _answers(questions, level in (1, 3), f"katz-{_LEVELS[level]}", keep)
+
+    words, pairs, triples = ask(0, []), ask(1, []), ask(3, [])
+    model = tables.model if tables else Model.of([_statistics(x) for x in (words, pairs, triples)])
+    return folder, [words, pairs, ask(2, [words, pairs]), triples, ask(4, [pairs, triples])], model, buckets
+
+
+def _evaluated(folder: str, answers: list[DataFrame], model: Model) -> DataFrame:
+    def run(batches):
         for batch in batches:
-            for name, answers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, given in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 b = read_block(folder, name)
-                (of_word,), (of_pair, _), sums = _answer_columns(answers, 0), _answer_columns(answers, 1), _answer_columns(answers, 2)
-                place = np.argsort(np.argsort(b.history_hashes()))
-                n, small, large, of_small = sums[0][place], np.array(sums[1 : 1 + CUTOFF])[:, place], sums[1 + CUTOFF][place], np.array(sums[2 + CUTOFF :])[:, place]
-                over, alpha = model.backoff(n, small, large, of_small)
-                _, number, history, word = b.pairs()
-                seen = of_pair > 0
+                (of_word,), of_pair, sums, of_triple, sums_3 = (_columns_of(given, level) for level in range(5))
+                place = np.argsort(np.argsort(b.histories(2)))
+                sums = [x[place] for x in sums]
+                over_2 = model.over(2, sums)
                 with np.errstate(divide="ignore"):
-                    known = np.log10(_discounted(of_pair, model.bigram) / over[history])
-                    else_ = np.log10(alpha)[history] + np.log10(model.word_probability(of_word))[word]
-                logs = np.where(seen, known, else_)[number]
+                    one = np.log10(model.word_probability(of_word.astype(np.int64)))
+                    c, h = of_pair[0].astype(np.int64), b.pairs.history
+                    two = np.where(c > 0, np.log10(_discounted(c, model.discount[1]) / over_2[h]), np.log10(model.alpha(2, sums))[h] + one[b.pairs.word])
+                    # the history of a triple is a pair, whose last word is the pair's own history
+                    place = np.argsort(np.argsort(b.histories(3)))
+                    sums_3 = [x[place] for x in sums_3]
+                    lower = over_2[np.r_[b.pairs.word, len(b.words)]]
+                    c, h = of_triple[0].astype(np.int64), b.triples.history
+                    three = np.where(c > 0, np.log10(_discounted(c, model.discount[2]) / model.over(3, sums_3)[h]), np.log10(model.alpha(3, sums_3, lower))[h] + two[_lower_pair(b)])
                 first = np.cumsum(b.size) - b.size
                 add = lambda x: np.add.reduceat(x, first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.ids, mask=b.null > 0), pa.array(b.size.astype(np.int64)), pa.array(add((of_word > 0)[b.token].astype(np.int64))), pa.array(add(model.base(of_word)[b.token])), pa.array(add(logs))],
+                    [pa.array(b.ids, mask=b.null > 0), pa.array(b.size.astype(np.int64)), pa.array(add((of_word > 0)[b.token].astype(np.int64))), pa.array(add(model.base(of_word.astype(np.int64))[b.token])), pa.array(add(three[b.triples.number]))],
                     names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
 
-    found = _gathered([words, pairs, histories]).mapInArrow(evaluate, _SCORES_PLAIN)
-    return found.withColumn("held_out", F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) == 1).withColumn("train_tokens", F.lit(model.total).cast("long")).select(*_COLUMNS)
+    return _gathered(answers).mapInArrow(run, _SCORES)
+
+
+def fit(docs: DataFrame) -> Tables | None:
+    """The model of all texts of ``docs``, with its tables kept in the shared folder; None without rows."""
+    found = _run(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.lit(True).alias("train"), docs["text"].alias("text")), keep=True)
+    if not found:
+        return None
+    _, answers, model, buckets = found
+    return Tables(model, buckets, [a.where("block = ''") for a in answers])
+
+
+def score(docs: DataFrame, tables: Tables) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every document by a kept model."""
+    found = _run(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.lit(False).alias("train"), docs["text"].alias("text")), tables=tables)
+    return _evaluated(*found[:3]) if found else docs.sparkSession.createDataFrame([], _SCORES)
+
+
+def katz_scores(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document, by the model of
+    those that are not held out."""
+    held_out = lambda doc_id: F.pmod(crc_of_id(doc_id), F.lit(5)) == 1
+    found = _run(docs.select(docs["doc_id"].cast("long").alias("doc_id"), (~held_out(docs["doc_id"])).alias("train"), docs["text"].alias("text")))
+    rows = _evaluated(*found[:3]) if found else docs.sparkSession.createDataFrame([], _SCORES)
+    return rows.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("train_tokens", F.lit(found[2].total if found else 0).cast("long")).select(*_COLUMNS)
 
 
-_SCORES_PLAIN = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-_SCORES = _SCORES_PLAIN + ", held_out boolean, train_tokens long"
+_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 _COLUMNS = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
