@@ -1,23 +1,30 @@
-"""Licence scans with a positional index of rare template words.
+"""Licence scans with a positional index of rare licence words.
 
-Templates are short passages of licence texts and notices. A first pass counts, for the words of the
-templates only, in how many files each occurs (one small row a word leaves a task). The rarest words of
-each template, by inverse document frequency, enter a positional index: word -> (template, place). The
-second pass looks the words of every file up in it, highest IDF first by construction since commoner
-words are not indexed, turns each hit into the place where the template would begin, and keeps places
-on which enough different index words agree. There the whole template is compared: it counts if its
-mandatory key phrases stand where they belong and the agreeing share of words reaches ``least``.
+Templates are the telling passages of licence texts and of notices that name one; callers may pass whole
+licence texts. A first pass counts in how many files each template word occurs (one small row a word
+leaves a task), which gives the words' inverse document frequencies. The second pass looks every file's own
+licence words up in the positional index word -> (template, places):
+
+* a template whose words are not all but ``1 - least`` of them in the file can't be there;
+* of the others, the places of the words with the highest IDF among those the file has are anchors. A passage that
+  agrees in ``least`` of its n words differs in at most m = n - ceil(least * n) places; with m + 2 anchors, less the
+  places whose words the file lacks, two at least agree. So the positions of anchor words, each less its place, are
+  intersected: where two meet, the passage may begin, and none is lost;
+* there the whole passage is compared: it counts if its mandatory key phrases stand where they belong and the
+  agreeing share of words reaches ``least``.
 
 Phrases of ``BASE`` are templates that are mandatory as a whole; all their places are counted exactly.
 
 Files are whole; nothing is shuffled but word counts, so long files and common phrases cost their own
-length alone. Defined results: null and empty texts have no words, null labels ("" and null places) and
-score 0; repeated rows give equal rows; extra columns are never read.
+length alone. Defined results: null and empty texts have no words, null places, "" for labels and
+score 0; null ids are kept; repeated rows give equal rows; texts of any length are read whole; an empty table
+gives an empty one; extra columns are never read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,32 +36,65 @@ from .shared import small_batches
 
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: (label, passage, mandatory key phrases): excerpts of public licence texts.
+#: Fixed values: (label, passage, mandatory key phrases) of public licence texts and their usual notices.
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("free of charge", "obtaining a copy")),
-    ("apache-2", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("free of charge", "deal in the software",)),
+    ("apache-2", "licensed under the apache license version 2 0", ("apache license", "version 2 0",)),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at", ("except in compliance with the license",)),
+    ("apache-1.1", "the end user documentation included with the redistribution if any must include the following acknowledgment this product includes software developed by the apache software foundation", ("apache software foundation",)),
     ("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    ("gpl", "it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license", "free software foundation")),
+    ("gpl", "it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license", "free software foundation",)),
+    ("gpl-3", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", ("verbatim copies",)),
     ("lgpl", "under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
+    ("lgpl-2", "under the terms of the gnu library general public license", ("gnu library general public license",)),
     ("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms", "with or without modification")),
-    ("bsd-3", "may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products", "prior written permission")),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", ("gnu free documentation license",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms", "with or without modification",)),
+    ("bsd-3", "may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products", "prior written permission",)),
+    ("bsd-4", "all advertising materials mentioning features or use of this software must display the following acknowledgement", ("advertising materials",)),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is", ("any purpose with or without fee", "as is",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("any purpose with or without fee",)),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", ("mozilla public license version 1 1",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("any purpose with or without fee", "appear in all copies",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    ("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", ("attribution noncommercial",)),
     ("cc-by-sa", "creative commons attribution sharealike 4 0 international license", ("attribution sharealike",)),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights", ("waived all copyright", "neighboring rights")),
+    ("cc-by-nd", "creative commons attribution noderivatives 4 0 international license", ("attribution noderivatives",)),
+    ("cc-by", "creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights", ("waived all copyright", "neighboring rights",)),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
+    ("epl-1", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", ("eclipse public license v1",)),
+    ("cddl-1", "the contents of this file are subject to the terms of the common development and distribution license", ("common development and distribution license",)),
+    ("eupl-1.2", "licensed under the eupl version 1 2 or as soon they will be approved by the european commission", ("eupl version 1 2",)),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license if you do not accept the license do not use the software", ("governs use of the accompanying software",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("held liable for any damages",)),
+    ("libpng", "the png reference library is supplied as is the contributing authors and group 42 inc disclaim all warranties expressed or implied", ("png reference library",)),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("artistic-2", "you can redistribute it and or modify it under the terms of the artistic license 2 0", ("artistic license 2 0",)),
+    ("artistic-1", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control", ("artistic control",)),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("verbatim or modified copies",)),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ("open font license",)),
+    ("psf-2", "this license agreement is between the python software foundation psf and the individual or organization licensee", ("python software foundation",)),
+    ("php-3.01", "this source file is subject to version 3 01 of the php license", ("php license",)),
+    ("ruby", "you can redistribute it and or modify it under either the terms of the 2 clause bsdl or the conditions below", ("2 clause bsdl",)),
+    ("vim", "this license applies to the vim editor you may distribute unmodified copies of vim without restrictions", ("copies of vim",)),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", ("openssl project",)),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", ("without a written agreement",)),
+    ("ncsa", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction", ("to deal with the software",)),
+    ("odbl-1.0", "this database is made available under the open database license", ("open database license",)),
+    ("pddl-1.0", "made available under the public domain dedication and license v1 0", ("public domain dedication and license",)),
+    ("bsl-1.1", "use of the licensed work will be governed by the business source license", ("business source license",)),
+    ("sspl-1", "you can redistribute it and or modify it under the terms of the server side public license version 1", ("server side public license",)),
+    ("elastic-2", "licensed under the elastic license 2 0 you may not use this file except in compliance with the elastic license 2 0", ("elastic license 2 0",)),
+    ("upl-1.0", "licensed under the universal permissive license v 1 0 as shown at", ("universal permissive license",)),
     ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
 )
 LEAST = 0.8
-#: Index words a template has at most.
-RARE = 4
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -68,7 +108,10 @@ class Template:
     words: np.ndarray  # numbers in the vocabulary
     keys: np.ndarray  # places that must agree
     base: bool
-    rare: list[int] = field(default_factory=list)  # places of index words
+
+    def slack(self, least: float) -> int:
+        """Places that may differ."""
+        return 0 if self.base else len(self.words) - math.ceil(least * len(self.words) - 1e-9)
 
 
 @dataclass
@@ -120,92 +163,79 @@ def document_frequencies(docs: DataFrame, lib: Library) -> tuple[np.ndarray, int
     return counts[:size], int(counts[size])
 
 
-def index_rare_words(lib: Library, frequencies: np.ndarray, files: int) -> np.ndarray:
-    """Chooses each template's index words; returns the IDF of the vocabulary."""
-    idf = np.log((files + 1) / (frequencies + 1.0)) + 1.0
-    for t in lib.templates:
-        distinct = {int(w): i for i, w in reversed(list(enumerate(t.words)))}
-        t.rare = [i for _, i in sorted(distinct.items(), key=lambda x: (-idf[x[0]], x[1]))[:RARE]]
-    return idf
-
-
-def _postings(lib: Library, bases: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positional index as arrays by word: first posting of each word, template, place. Of a base phrase
-    only the rarest word is indexed, as all its words must stand in place."""
-    found = [(int(t.words[p]), n, p) for n, t in enumerate(lib.templates) if t.base == bases for p in (t.rare[:1] if bases else t.rare)]
-    found += [(w, n, q) for w, n, p in found for q in np.flatnonzero(lib.templates[n].words == w).tolist() if q != p and not bases]
-    found.sort()
-    words = np.array([f[0] for f in found])
-    return np.searchsorted(words, np.arange(len(lib.vocabulary) + 1)), np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64)
-
-
-def _begins(index, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template, word number where it would begin, index word) of every hit."""
-    first, template, place = index
-    at = np.flatnonzero(numbers >= 0)
-    n = first[numbers[at] + 1] - first[numbers[at]]
-    at, n = at[n > 0], n[n > 0]
-    posting = textops.ranges(first[numbers[at]], n)
-    return template[posting], np.repeat(at, n) - place[posting], np.repeat(numbers[at], n)
+def inverse_frequencies(frequencies: np.ndarray, files: int) -> np.ndarray:
+    return np.log((files + 1) / (frequencies + 1.0)) + 1.0
+
+
+class Index:
+    """Positional postings of the templates, and where files hold their passages."""
+
+    def __init__(self, lib: Library, idf: np.ndarray, least: float):
+        self.lib, self.least = lib, least
+        self.slack = np.array([t.slack(least) for t in lib.templates])
+        # places of each word in each template, and each template's places from the highest IDF on
+        self.places = np.zeros((len(lib.vocabulary), len(lib.templates)), np.int32)
+        for n, t in enumerate(lib.templates):
+            np.add.at(self.places[:, n], t.words, 1)
+        self.by_idf = [np.lexsort((np.arange(len(t.words)), -idf[t.words])) for t in lib.templates]
+
+    def candidates(self, words: textops.Words, numbers: np.ndarray):
+        """(file, template, places whose words the file lacks) where the file has enough of the words."""
+        hit = np.flatnonzero(numbers >= 0)
+        present = np.zeros((len(words.first) - 1, len(self.lib.vocabulary)), bool)
+        present[np.searchsorted(words.first, hit, "right") - 1, numbers[hit]] = True
+        absent = self.places.sum(0) - present.astype(np.int32) @ self.places
+        for file, template in np.argwhere(absent <= self.slack).tolist():
+            yield file, template, present[file], int(absent[file, template])
+
+    def passages(self, words: textops.Words):
+        """(file, template, first word in the run of files, agreeing share) of every passage found."""
+        numbers, known = self.lib.numbers(words.hashes()), (-1, {})
+        for file, n, present, absent in self.candidates(words, numbers):
+            t, low, high = self.lib.templates[n], int(words.first[file]), int(words.first[file + 1])
+            own = numbers[low:high]
+            if known[0] != file:
+                known = (file, {})
+            anchors = [p for p in self.by_idf[n].tolist() if present[t.words[p]]][: int(self.slack[n]) - absent + 2]
+            begins = []
+            for p in anchors:
+                w = int(t.words[p])
+                if w not in known[1]:
+                    known[1][w] = np.flatnonzero(own == w)
+                begins.append(known[1][w] - p)
+            start, votes = np.unique(np.concatenate(begins), return_counts=True)
+            start = start[votes >= min(2, len(anchors))]
+            at = start[:, None] + np.arange(len(t.words))
+            same = (at >= 0) & (at < len(own)) & (own[np.clip(at, 0, len(own) - 1)] == t.words)
+            share = same.mean(axis=1)
+            good = same[:, t.keys].all(axis=1) & (same.sum(axis=1) >= len(t.words) - self.slack[n])
+            yield from zip([file] * int(good.sum()), [n] * int(good.sum()), start[good].tolist(), share[good].tolist())
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, least: float = LEAST) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and the passages found
     (label, first word, words, agreeing share) of every file."""
-    small_batches(docs.sparkSession, 2000)
+    small_batches(docs.sparkSession)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     lib = library(templates, base)
-    index_rare_words(lib, *document_frequencies(docs, lib))
-    passages, phrases = _postings(lib, False), _postings(lib, True)
-
-    def agree(t: Template, numbers: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Places of ``t`` (columns) that agree when it begins at ``starts`` in files of words low..high."""
-        at = starts[:, None] + np.arange(len(t.words))
-        inside = (at >= low[:, None]) & (at < high[:, None])
-        return inside & (numbers[np.clip(at, 0, len(numbers) - 1)] == t.words)
-
-    def found(words: textops.Words) -> tuple[list, list]:
-        """[(file, template, start, share)] of accepted passages and of base phrases."""
-        numbers = lib.numbers(words.hashes())
-        out: tuple[list, list] = ([], [])
-        for bases, index in ((False, passages), (True, phrases)):
-            template, start, word = _begins(index, numbers)
-            if not len(template):
-                continue
-            hit = np.unique(np.stack([template, start, word]), axis=1)  # a word votes once for a place
-            places, votes = np.unique(hit[:2], axis=1, return_counts=True)
-            for n in np.unique(places[0]):
-                t = lib.templates[n]
-                mine = (places[0] == n) & (votes >= (1 if bases else min(2, len(t.rare))))
-                starts = places[1][mine]
-                # the file of a place is that of the first mandatory word
-                file = np.searchsorted(words.first, starts + t.keys[0], "right") - 1
-                ok = (starts + t.keys[0] >= 0) & (file < len(words.first) - 1)
-                starts, file = starts[ok], file[ok]
-                same = agree(t, numbers, starts, words.first[file], words.first[file + 1])
-                share = same.mean(axis=1)
-                good = same[:, t.keys].all(axis=1) & (share >= least)
-                out[bases].extend(zip(file[good].tolist(), [n] * int(good.sum()), starts[good].tolist(), share[good].tolist()))
-        return out
+    index = Index(lib, inverse_frequencies(*document_frequencies(docs, lib)), least)
 
     def run(batches):
         for batch in batches:
             for at, data, offsets in textops.slices(batch.column(1)):
                 words = textops.Words(data, offsets, textops.ALNUM_WORD, lower=True)
                 rows = [[n, 0, None, None, set(), set(), 0.0, []] for n in words.counts.tolist()]
-                taken, based = found(words)
-                for file, n, start, share in taken:
+                for file, n, start, share in index.passages(words):
                     row, t = rows[file], lib.templates[n]
-                    row[5].add(t.label)
-                    row[6] = max(row[6], share)
-                    row[7].append((t.label, start - int(words.first[file]), len(t.words), share))
-                for file, n, start, share in based:
-                    row, start = rows[file], start - int(words.first[file])
-                    row[1] += 1
-                    row[2] = start if row[2] is None else min(row[2], start)
-                    row[3] = start if row[3] is None else max(row[3], start)
-                    row[4].add(lib.templates[n].label)
                     row[6] = max(row[6], share)
+                    if t.base:
+                        row[1] += 1
+                        row[2] = start if row[2] is None else min(row[2], start)
+                        row[3] = start if row[3] is None else max(row[3], start)
+                        row[4].add(t.label)
+                    else:
+                        row[5].add(t.label)
+                        row[7].append((t.label, start, len(t.words), share))
                 labels = lambda s: ",".join(sorted(s))
                 columns = zip(*[(r[0], r[1], r[2], r[3], labels(r[4]), labels(r[4] | r[5]), r[6], [dict(zip(("label", "first_word", "n_words", "share"), p)) for p in sorted(r[7])]) for r in rows])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), *[pa.array(c, t) for c, t in zip(columns, _TYPES)]], names=_NAMES)
