@@ -1,14 +1,16 @@
 """Media columns of MPEG audio: a lossless byte store in the frames of an MPEG-1 Layer III stream.
 
 ``encode`` lays a payload into the ancillary bytes of silent mono frames at 32 kHz, each with a CRC,
-behind an ID3v2 tag (title: the payload's length) and a VBR table (frames, bytes, 100 seek points).
+behind an ID3v2 tag (title: the payload's length and SHA-1) and a VBR table (frames, bytes, 100 seek points).
 ``decode`` assumes nothing about where frames lie: it skips tags, looks for a header that the next
 header confirms, checks every CRC, resynchronises after damage, and gives back payload, exact
-duration and the offsets of frames. ``store`` and ``features`` apply them to a table.
+duration and the offsets of frames. A stream is ``whole`` only if no frame is damaged, nothing was skipped, the
+VBR table's frames and bytes are there, and length and digest of the payload are those of the tag (the frames' own
+CRCs cover headers and side information alone). ``store`` and ``features`` apply them to a table.
 
-Defined results: null and empty texts store 64 zero bytes; columns beyond id and text are kept out;
-repeated rows give equal rows; an empty table gives an empty one. A frame with a wrong CRC is counted
-and its bytes are left out, so a damaged stream never passes for a whole one.
+Defined results: null and empty texts store 64 zero bytes; null ids are kept; texts of any length are stored whole;
+columns beyond id and text are kept out; repeated rows, equal texts and ties give equal values; an empty table gives
+an empty one. A frame with a wrong CRC is counted and its bytes are left out.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def encode(payload: bytes) -> bytes:
     whole = frame_size(14, RATE_INDEX, 0)
     seeks = bytes(min(255, 256 * (sizes + min(count * k // SEEKS, full) * whole) // total) for k in range(SEEKS))
     table = b"Xing" + struct.pack(">III", 0x7, count, total) + seeks
-    return b"".join([_tag(str(len(payload))), _lead(info_rate), table, bytes(ROOM[info_rate] - len(table)), *frames])
+    return b"".join([_tag(f"{len(payload)} {hashlib.sha1(payload).hexdigest()}"), _lead(info_rate), table, bytes(ROOM[info_rate] - len(table)), *frames])
 
 
 @dataclass
@@ -101,6 +103,7 @@ class Stream:
     promised: tuple[int, int] | None
     title: str | None
     skipped: int
+    whole: bool
 
     @property
     def seconds(self) -> float:
@@ -135,6 +138,7 @@ def decode(data: bytes) -> Stream:
                 title = data[inner + 11 : inner + 10 + n].decode("latin-1")
             inner += 10 + n
         at = 10 + size
+    begin = at
     out, offsets, seeks, promised = [], [], None, None
     damaged = skipped = rate = 0
     synced = True
@@ -161,9 +165,11 @@ def decode(data: bytes) -> Stream:
                 out.append(data[at + lead : end])
         at, synced = end, True
     payload = b"".join(out)
-    if title and title.isdigit():
-        payload = payload[: int(title)]
-    return Stream(payload, len(offsets), damaged, SAMPLES * len(offsets), rate, offsets, seeks, promised, title, skipped)
+    size, _, digest = (title or "").partition(" ")
+    if size.isdigit():
+        payload = payload[: int(size)]
+    whole = not damaged and not skipped and promised == (len(offsets), at - begin) and size == str(len(payload)) and digest == hashlib.sha1(payload).hexdigest()
+    return Stream(payload, len(offsets), damaged, SAMPLES * len(offsets), rate, offsets, seeks, promised, title, skipped, whole)
 
 
 def payload_of(text: bytes) -> bytes:
@@ -200,19 +206,14 @@ def features(media: DataFrame) -> DataFrame:
             rows = []
             for doc_id, n, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 s = decode(data)
-                told = s.promised == (s.frames, len(data) - (s.offsets[0] if s.offsets else 0) + frame_size(_info_rate(), RATE_INDEX, 0))
                 toc = hashlib.md5(s.seeks or b"").hexdigest()[:8]
-                feature = f"frames={s.frames};samples={s.samples};rate={s.rate};crc_errors={s.damaged};skipped={s.skipped};table={'ok' if told else 'bad'};toc={toc}"
+                feature = f"frames={s.frames};samples={s.samples};rate={s.rate};crc_errors={s.damaged};skipped={s.skipped};stream={'whole' if s.whole else 'damaged'};toc={toc}"
                 rows.append((doc_id, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature, s.seconds, s.frames, s.offsets))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _FEATURES)
 
 
-def _info_rate() -> int:
-    return next(b for b in range(1, 15) if ROOM[b] >= 16 + SEEKS)
-
-
 _NAMES = [x.split()[0] for x in _FEATURES.split(", ")]
 _TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}[x.split()[1]] for x in _FEATURES.split(", ")]
 
