@@ -2,27 +2,32 @@
 
 ``write_archives`` stores captures as gzipped WARC/1.1 records, one archive a task, each with a run: a
 CDX file sorted by URL key, timestamp and id, with a sparse index of line offsets. ``merge_runs`` cuts
-the key space at sampled keys, and each merge task seeks to its range in every run and merges the runs
-with a loser tree, which gives capture histories in global order. More than ``FAN_IN`` runs are first
-merged in groups. ``read_captures`` follows the merged index back into the archives.
+the key space at sampled keys into ranges of a bounded size, and each merge task seeks to its range in every run
+and merges the runs with a loser tree, which gives capture histories in global order. Where there are more than
+``FAN_IN`` runs, those of a range are merged in groups first. ``read_captures`` follows the merged index back into the
+archives.
 
 A cut is a whole key (URL key, timestamp, id), so a URL with any share of the captures is spread over
 merge tasks. A payload seen before (equal SHA-1) is stored as a revisit of the record with the smallest
-id; the join that finds it is an ordinary equi-join whose hot digests Spark splits at run time.
+id; the join that finds it is an ordinary equi-join whose hot digests Spark splits at run time. Indexes are read as
+streams; a task holds one record, and one line a run.
 
 Defined results: null payloads are empty, null URLs have the empty key, null ids are written as no id and
-never referred to while another id has the payload; repeated ids are records of their own; extra columns
-are never read; an empty table gives empty results.
+never referred to while another id has the payload; repeated ids are records of their own, and refer to none if
+theirs is the smallest; captures with equal keys keep any order among themselves; payloads of any length are stored
+whole; extra columns are never read; an empty table gives empty results.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 import json
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,8 +39,9 @@ from .shared import filesystem, partitions, shared_dir, small_batches
 FAN_IN = 256
 #: A run's sparse index has an entry for so many lines.
 STRIDE = 64
-#: Keys that are sampled from all runs together to cut the key space.
+#: Keys that are sampled from all runs together to cut the key space, and captures of a range, about.
 SAMPLE = 100_000
+RANGE = 1_000_000
 NO_ID = -(1 << 63)
 
 
@@ -100,39 +106,52 @@ def _key(line: bytes) -> Key:
 
 
 class RunWriter:
-    """Writes sorted lines and their sparse index."""
+    """Writes sorted lines, and the offset of every STRIDE-th one."""
 
     def __init__(self, fs, root: str, stem: str):
         self.fs, self.root, self.stem = fs, root, stem
-        self.out, self.at, self.n, self.sparse = fs.open_output_stream(f"{root}/{stem}.cdx"), 0, 0, []
+        self.out, self.at, self.n, self.sparse = fs.open_output_stream(f"{root}/{stem}.cdx"), 0, 0, array("q")
 
     def add(self, line: bytes) -> None:
         if self.n % STRIDE == 0:
-            self.sparse.append((*[x.decode() for x in line.split(b"\t", 3)[:3]], self.at))
+            self.sparse.append(self.at)
         self.out.write(line)
         self.at += len(line)
         self.n += 1
 
     def close(self) -> dict:
         self.out.close()
-        with self.fs.open_output_stream(f"{self.root}/{self.stem}.sparse") as out:
-            out.write(json.dumps(self.sparse).encode())
+        with self.fs.open_output_stream(f"{self.root}/{self.stem}.sparse", compression=None) as out:
+            out.write(self.sparse.tobytes())
         return {"stem": self.stem, "records": self.n}
 
 
-def _sparse(fs, root: str, stem: str) -> list[tuple[Key, int]]:
-    with fs.open_input_stream(f"{root}/{stem}.sparse") as f:
-        return [((a.encode(), b.encode(), int(c)), at) for a, b, c, at in json.loads(f.readall())]
+class Run:
+    """A run on disk, of which little is ever in memory."""
 
-
-def run_lines(fs, root: str, stem: str, low: Key | None, high: Key | None) -> Iterator[tuple[Key, bytes]]:
-    """Lines of a run with low <= key < high, from the sparse entry before ``low`` on."""
-    sparse = _sparse(fs, root, stem)
-    at = sparse[max(0, bisect.bisect_left(sparse, low, key=lambda x: x[0]) - 1)][1] if low and sparse else 0
-    with fs.open_input_file(f"{root}/{stem}.cdx") as f:
-        f.seek(at)
+    def __init__(self, fs, root: str, stem: str):
+        self.lines, self.sparse = fs.open_input_file(f"{root}/{stem}.cdx"), fs.open_input_file(f"{root}/{stem}.sparse")
+        self.entries = self.sparse.size() // 8
+
+    def key(self, entry: int) -> tuple[Key, int]:
+        """Key and offset of a line of the sparse index."""
+        self.sparse.seek(8 * entry)
+        (at,) = array("q", self.sparse.read(8))
+        self.lines.seek(at)
+        line = b""
+        while b"\n" not in line and (more := self.lines.read(512)):
+            line += more
+        return _key(line.partition(b"\n")[0]), at
+
+    def between(self, low: Key | None, high: Key | None) -> Iterator[tuple[Key, bytes]]:
+        """Lines with low <= key < high, from the sparse entry before ``low`` on."""
+        a, b = 0, self.entries if low else 0  # the first entry whose key is not below low
+        while a < b:
+            middle = (a + b) // 2
+            a, b = (middle + 1, b) if self.key(middle)[0] < low else (a, middle)
+        self.lines.seek(self.key(a - 1)[1] if a else 0)
         rest = b""
-        while block := f.read(1 << 16):
+        while block := self.lines.read(1 << 14):
             *lines, rest = (rest + block).split(b"\n")
             for line in lines:
                 key = _key(line)
@@ -198,7 +217,7 @@ def with_revisits(captures: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def write_archives(captures: DataFrame, folder: str) -> list[dict]:
     """Writes archives and their sorted runs; a manifest row (stem, records) for each."""
-    small_batches(captures.sparkSession, 500)
+    small_batches(captures.sparkSession)
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
 
@@ -220,14 +239,24 @@ def write_archives(captures: DataFrame, folder: str) -> list[dict]:
     return [r.asDict() for r in ordered.mapInArrow(run, _RUN).collect()]  # one row an archive
 
 
-def _cuts(fs, root: str, runs: list[dict], ranges: int) -> list[Key]:
+_KEY = "url_key string, stamp string, ident long, weight long"
+
+
+def _cuts(spark: SparkSession, folder: str, runs: list[dict], ranges: int) -> list[Key]:
+    """Keys that cut all captures into about ``ranges`` equal parts, from SAMPLE keys of the runs, one a run at least."""
     each = max(1, SAMPLE // max(1, len(runs)))
-    keys: list[tuple[Key, int]] = []
-    for r in runs:
-        sparse = _sparse(fs, root, r["stem"])
-        step = -(-len(sparse) // each)
-        keys += [(k, step) for k, _ in sparse[::step]]
-    keys.sort()
+
+    def run(batches):
+        fs, root = filesystem(folder)
+        for batch in batches:
+            for stem in batch.column(0).to_pylist():
+                own = Run(fs, root, stem)
+                step = max(1, -(-own.entries // each))
+                found = [own.key(i)[0] for i in range(0, own.entries, step)]
+                yield pa.RecordBatch.from_pydict({"url_key": [k[0].decode() for k in found], "stamp": [k[1].decode() for k in found], "ident": [k[2] for k in found], "weight": [step] * len(found)})
+
+    stems = spark.createDataFrame([(r["stem"],) for r in runs], "stem string").repartition(min(len(runs), partitions(spark)))
+    keys = sorted(((r["url_key"].encode(), r["stamp"].encode(), r["ident"]), r["weight"]) for r in stems.mapInArrow(run, _KEY).collect())
     total, out, seen = sum(w for _, w in keys), [], 0
     for k, w in keys:
         if seen * ranges >= (len(out) + 1) * total and (not out or k > out[-1]):
@@ -239,7 +268,6 @@ def _cuts(fs, root: str, runs: list[dict], ranges: int) -> list[Key]:
 def merge_runs(spark: SparkSession, folder: str, runs: list[dict], ranges: int | None = None) -> list[dict]:
     """Merges the runs into one sorted file a key range; manifest rows in key order, with the number of
     captures before each."""
-    fs, root = filesystem(folder)
 
     def merged(jobs: list[tuple[int, list[str], Key | None, Key | None]]) -> list[dict]:
         def run(batches):
@@ -248,8 +276,8 @@ def merge_runs(spark: SparkSession, folder: str, runs: list[dict], ranges: int |
                 for job in batch.column(0).to_pylist():
                     number, stems, low, high = json.loads(job)
                     low, high = ((x[0].encode(), x[1].encode(), x[2]) if x else None for x in (low, high))
-                    out = RunWriter(fs, root, f"{_stem('merged')}-{number}")
-                    for _, line in LoserTree(run_lines(fs, root, s, low, high) for s in stems):
+                    out = RunWriter(fs, root, f"{_stem('merged')}-{uuid.uuid4().hex}")
+                    for _, line in LoserTree(Run(fs, root, s).between(low, high) for s in stems):
                         out.add(line)
                     yield pa.RecordBatch.from_pydict({"number": [number]} | {k: [v] for k, v in out.close().items()})
 
@@ -257,15 +285,19 @@ def merge_runs(spark: SparkSession, folder: str, runs: list[dict], ranges: int |
         rows = spark.createDataFrame([(json.dumps([n, s, plain(a), plain(b)]),) for n, s, a, b in jobs], "job string").repartition(max(1, len(jobs)))
         return sorted((r.asDict() for r in rows.mapInArrow(run, "number long, " + _RUN).collect()), key=lambda r: r["number"])
 
-    while len(runs) > FAN_IN:
-        stems = [r["stem"] for r in runs]
-        runs = merged([(i, stems[i : i + FAN_IN], None, None) for i in range(0, len(stems), FAN_IN)])
     if not runs:
         return []
-    cuts = _cuts(fs, root, runs, ranges or partitions(spark))
+    cuts = _cuts(spark, folder, runs, ranges or max(partitions(spark), -(-sum(r["records"] for r in runs) // RANGE)))
     stems = [r["stem"] for r in runs]
+    jobs = [(i, stems, a, b) for i, (a, b) in enumerate(zip([None, *cuts], [*cuts, None]))]
+    while len(jobs[0][1]) > FAN_IN:
+        groups = [(i, own[at : at + FAN_IN], a, b) for i, own, a, b in jobs for at in range(0, len(own), FAN_IN)]
+        made: list[list[str]] = [[] for _ in jobs]
+        for row in merged(groups):
+            made[row["number"]].append(row["stem"])
+        jobs = [(i, own, None, None) for i, own in enumerate(made)]
     out, before = [], 0
-    for row in merged([(i, stems, a, b) for i, (a, b) in enumerate(zip([None, *cuts], [*cuts, None]))]):
+    for row in merged(jobs):
         out.append(row | {"before": before})
         before += row["records"]
     return out
@@ -281,11 +313,11 @@ def capture_histories(spark: SparkSession, folder: str, merged: list[dict]) -> D
         fs, root = filesystem(folder)
         for batch in batches:
             for stem, before in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = [line.decode().rstrip("\n").split("\t") for _, line in run_lines(fs, root, stem, None, None)]
-                for i in range(0, len(rows), 5000):
-                    part = rows[i : i + 5000]
+                lines = (line.decode().rstrip("\n").split("\t") for _, line in Run(fs, root, stem).between(None, None))
+                while part := list(islice(lines, 5000)):
                     key, stamp, _, archive, offset, length = zip(*part)
-                    yield pa.RecordBatch.from_pydict({"rank": list(range(before + i, before + i + len(part))), "url_key": key, "stamp": stamp, "archive": archive, "offset": list(map(int, offset)), "length": list(map(int, length))})
+                    yield pa.RecordBatch.from_pydict({"rank": list(range(before, before + len(part))), "url_key": key, "stamp": stamp, "archive": archive, "offset": list(map(int, offset)), "length": list(map(int, length))})
+                    before += len(part)
 
     files = spark.createDataFrame([(r["stem"], r["before"]) for r in merged], "stem string, before long")
     return files.repartition(max(1, len(merged))).mapInArrow(run, _CAPTURE)
