@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
-A source gets a target of words. Each of its documents is taken ``floor(rate)`` times for certain,
-``rate`` being target over source size; the rest of the rate is the chance of one more copy. For
-that copy, documents are ranked by ``(u / (1 - u)) / (p / (1 - p))`` (random odds over inclusion
-odds), and the first ones are taken until the source's words come closest to its target.
+A source gets a target of words. Each of its documents is taken ``floor(target / source size)`` times for
+certain; of the words that are left, each document has a chance of one more copy in proportion to its size, so
+that the expected words are those left. Chances that would pass 1 are copies that are certain, too: with sizes
+from the largest on, that is the first size at which the factor of the rest keeps chances within 1. For the other
+copies, documents are ranked by ``(u / (1 - u)) / (p / (1 - p))`` (random odds over inclusion odds), and the
+first ones are taken until the source's words come closest to its target.
 
 ``u`` comes from a digest of the id, so reruns agree. Defined results: null texts have size 0, the
 null source is a source of its own and comes last, null ids share one ``u``; rows with equal id,
@@ -63,22 +65,47 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     )
 
 
-def _ranked(rate: Column, u: Column) -> dict[str, Column]:
-    whole = F.floor(rate)
-    chance = rate - whole
-    return {"_whole": whole.cast("long"), "_odds": F.when(chance > 0, (u / (1 - u)) * ((1 - chance) / chance))}
+def _certain() -> Column:
+    """Whether a row that has _size and its source's _factor gets its further copy for certain."""
+    return F.col("_size") * F.col("_factor") >= 1
+
+
+def _odds() -> Column:
+    """Random odds over inclusion odds of a row that has _size, _u and its source's _factor; null without a chance."""
+    chance = F.col("_size") * F.col("_factor")
+    return F.when((chance > 0) & (chance < 1), (F.col("_u") / (1 - F.col("_u"))) * ((1 - chance) / chance))
+
+
+def _bin(odds: Column) -> Column:
+    return F.least(F.lit(BINS - 1), F.floor(F.lit(float(BINS)) * (odds / (1 + odds))))
+
+
+def _factors(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """(_s, _factor, _sure): chance by word of each source's documents, and the words of its certain further copies."""
+    sizes = sized.where("_size > 0").groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("_rows"))
+    words = F.col("_size").cast("decimal(38,0)") * F.col("_rows")
+    down = Window.partitionBy("_source").orderBy(F.col("_size").desc())
+    sizes = sizes.withColumn("_larger", F.coalesce(F.sum(words).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double"))
+    sizes = sizes.withColumn("_squares", F.sum(words * F.col("_size")).over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double"))
+    sizes = sizes.join(sources.select(F.col("_source").alias("_s"), "_rest"), F.col("_source").eqNullSafe(F.col("_s")))
+    sizes = sizes.withColumn("_factor", (F.col("_rest") - F.col("_larger")) / F.col("_squares")).where(F.col("_factor") * F.col("_size") <= 1)
+    return sizes.groupBy("_s").agg(F.max(F.struct("_size", "_factor", "_larger")).alias("_first")).select("_s", "_first._factor", F.col("_first._larger").alias("_sure"))
 
 
 def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(measured documents, one row a source with target and cut)."""
+    """(measured documents, one row a source with target, certain copies, chances and cut)."""
     sized = materialize(docs.select(*_measured(docs, seed)), "mixing-sizes")
     sizes = sized.groupBy("_source").agg(F.sum("_size").alias("source_size"))
-    sources = source_targets(sizes, weights, share, most).withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    sources = materialize(sources.withColumn("_rest", F.col("target") - F.floor("_rate") * F.col("source_size")), "mixing-sources")
+    sources = source_targets(sizes, weights, share, most)
+    sources = sources.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    sources = materialize(sources.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")), "mixing-sources")
+    factors = _factors(sized, sources)
+    sources = sources.join(factors, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    sources = materialize(sources.withColumns({"_factor": F.coalesce("_factor", F.lit(0.0)), "_rest": F.col("_rest") - F.coalesce("_sure", F.lit(0.0))}), "mixing-chances")
 
     one = sized.join(sources, sized["_source"].eqNullSafe(sources["_source"])).drop(sources["_source"])
-    one = one.withColumns(_ranked(F.col("_rate"), F.col("_u"))).where(F.col("_odds").isNotNull())
-    one = one.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(F.lit(float(BINS)) * (F.col("_odds") / (1 + F.col("_odds"))))))
+    one = one.withColumn("_odds", _odds()).where(F.col("_odds").isNotNull())
+    one = one.withColumn("_bin", _bin(F.col("_odds")))
     bins = one.groupBy("_source", "_bin").agg(F.sum("_size").alias("_words"), F.max("_rest").alias("_rest"))
     upto = Window.partitionBy("_source").orderBy("_bin")
     bins = bins.withColumn("_before", F.sum("_words").over(upto) - F.col("_words"))
@@ -99,12 +126,10 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 
 def _copies() -> Column:
     """Copies of a row that has _id, _size, _u and its source's plan."""
-    parts = _ranked(F.col("_rate"), F.col("_u"))
-    odds = parts["_odds"]
-    bin_of = F.least(F.lit(BINS - 1), F.floor(F.lit(float(BINS)) * (odds / (1 + odds))))
+    odds = _odds()
     own = F.struct(odds.alias("_odds"), F.coalesce("_id", F.lit(-(1 << 63))).alias("_id"), F.col("_size").alias("_size"))
-    taken = odds.isNotNull() & ((bin_of < F.col("_cut_bin")) | ((bin_of == F.col("_cut_bin")) & F.coalesce(own <= F.col("_last"), F.lit(False))))
-    return parts["_whole"] + F.coalesce(taken, F.lit(False)).cast("long")
+    taken = odds.isNotNull() & ((_bin(odds) < F.col("_cut_bin")) | ((_bin(odds) == F.col("_cut_bin")) & F.coalesce(own <= F.col("_last"), F.lit(False))))
+    return F.col("_whole") + F.coalesce(_certain() | taken, F.lit(False)).cast("long")
 
 
 def mixing_report(docs: DataFrame, **how) -> DataFrame:

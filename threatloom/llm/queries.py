@@ -18,8 +18,8 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    # the table has no capture time: captures are a second apart, in order of their ids
-    stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0))), "yyyyMMddHHmmss")
+    # the table has no capture time: captures are a second apart, in order of their ids, and start anew after 200 years
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(6_311_520_000))), "yyyyMMddHHmmss")
     return warc_index.archive_table(pages, stamp)
 
 
@@ -92,18 +92,28 @@ level AS (
 targets AS (
   SELECT source, source_size, least(cap, coalesce(w * (SELECT theta FROM level), cap)) AS target FROM levels),
 rates AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets),
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets),
+by_size AS (
+  SELECT source, size, sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS larger,
+         sum(n * size * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS squares
+  FROM (SELECT source, CAST(size AS HUGEINT) AS size, CAST(count(*) AS HUGEINT) AS n FROM sized WHERE size > 0 GROUP BY source, size)),
+fitting AS (
+  SELECT b.source, b.size, CAST(coalesce(larger, 0) AS DOUBLE) AS sure,
+         (target - whole * source_size - CAST(coalesce(larger, 0) AS DOUBLE)) / CAST(squares AS DOUBLE) AS factor
+  FROM by_size b JOIN rates r ON b.source IS NOT DISTINCT FROM r.source),
+factors AS (
+  SELECT source, arg_max(factor, size) AS factor, arg_max(sure, size) AS sure FROM fitting WHERE factor * size <= 1 GROUP BY source),
 ranked AS (
-  SELECT d.doc_id, d.source, d.size, d.u, r.source_size, r.target, floor(r.rate) AS whole, r.rate - floor(r.rate) AS chance,
-         r.target - floor(r.rate) * r.source_size AS rest
-  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+  SELECT d.doc_id, d.source, d.size, d.u, r.source_size, r.target, r.whole, d.size * coalesce(f.factor, 0.0) AS chance,
+         r.target - r.whole * r.source_size - coalesce(f.sure, 0.0) AS rest
+  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN factors f ON d.source IS NOT DISTINCT FROM f.source),
 odds AS (
-  SELECT *, CASE WHEN chance > 0 THEN (u / (1 - u)) * ((1 - chance) / chance) END AS q FROM ranked),
+  SELECT *, CASE WHEN chance > 0 AND chance < 1 THEN (u / (1 - u)) * ((1 - chance) / chance) END AS q FROM ranked),
 summed AS (
   SELECT *, sum(CASE WHEN q IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id NULLS FIRST, size) AS after,
          sum(size) OVER (PARTITION BY source, q, doc_id, size) AS own FROM odds)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN q IS NOT NULL AND after + after - own <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN chance >= 1 OR q IS NOT NULL AND after + after - own <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM summed
 """
 
