@@ -6,16 +6,19 @@ windows of four times the partition's least size: whatever passage holds an item
 and the Jaccard similarity there is bounded from below by the containment sought. From that bound the
 rows a band of the partition's index follow. Minima are taken once for the units of the smallest
 partition; those of larger windows are minima of minima. A document that collides with an item is
-verified: the share of the item's distinct shingles that occur anywhere in the document.
+verified: the share of the item's distinct shingles that occur anywhere in the document. Items of fewer than
+``SMALLEST`` shingles need no estimate: of a few of their shingles one must occur, so those are looked up.
 
 Words are runs of digits, ASCII letters (A-Z lowered) and all beyond ASCII; shingles have five words.
 
-The items are the stated query set: they are searched in blocks of ``BLOCK`` shingles, each against all
-documents, which are scanned but never shuffled. Nothing depends on how often a document repeats.
+The items are the stated query set: they are searched in blocks of ``BLOCK`` shingles, one after the other, each
+against all documents, which are scanned but never shuffled. A worker holds the index of one block. Nothing
+depends on how often a document repeats.
 
-Defined results: null and empty texts contain nothing; an item of fewer than five words has no shingle
-and is never found; null item ids are searched like others; repeated rows give repeated results; an empty
-document or benchmark table gives no leaks.
+Defined results: null and empty texts contain nothing; texts of any length are searched whole; an item of fewer
+than five words has no shingle and is never found, since such words stand in most clean texts; null ids are
+like others; repeated rows give repeated results; extra columns keep their values, whatever their names are, and are
+never read; an empty document or benchmark table gives no leaks.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .shared import small_batches
+from .shared import materialize, small_batches
 
 WIDTH = 5
 LEAST = 0.8
@@ -55,6 +58,8 @@ def _shingles(column, width: int):
 def band_rows(least: float, similarity_floor: float) -> int:
     """Most rows a band with which a passage at the floor is missed with a chance below MISS."""
     rows = 1
+    if (1 - similarity_floor) ** HASHES > MISS:
+        raise ValueError(f"no bands of {HASHES} hashes find {least:.0%} of an item with a chance of {1 - MISS}")
     while rows < 8 and (1 - similarity_floor ** (rows + 1)) ** (HASHES // (rows + 1)) <= MISS:
         rows += 1
     return rows
@@ -89,15 +94,31 @@ class Index:
     def __init__(self, ids: list, shingles: list[np.ndarray], least: float):
         self.ids, self.shingles, self.least = ids, shingles, least
         sizes: dict[int, list[int]] = {}
+        few: list[tuple[int, int]] = []
         for i, s in enumerate(shingles):
-            if len(s):
-                sizes.setdefault(max(SMALLEST, 1 << int(math.log2(len(s)))), []).append(i)
+            if len(s) >= SMALLEST:
+                sizes.setdefault(1 << int(math.log2(len(s))), []).append(i)
+            else:  # one more than may be missing
+                few += [(int(x), i) for x in s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]]
         self.partitions = [Partition(n, sizes[n], shingles, least) for n in sorted(sizes)]
+        few.sort()
+        self.few = np.array([x for x, _ in few], np.uint64), np.array([i for _, i in few], np.int64)
 
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """(row, item) pairs that collide in a band."""
-        if not len(hashes) or not self.partitions:
-            return np.zeros((0, 2), np.int64)
+        """(row, item) pairs that collide in a band, or in a shingle of a short item."""
+        found = [np.zeros((0, 2), np.int64)]
+        keys, items = self.few
+        if len(hashes) and len(keys):
+            low = np.searchsorted(keys, hashes)
+            hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == hashes)
+            n = np.searchsorted(keys, hashes[hit], "right") - low[hit]
+            row = np.searchsorted(first, hit, "right") - 1
+            found.append(np.stack([np.repeat(row, n), items[textops.ranges(low[hit], n)]], axis=1))
+        if len(hashes) and self.partitions:
+            found += self._colliding(hashes, first)
+        return np.unique(np.concatenate(found), axis=0)
+
+    def _colliding(self, hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         unit = self.partitions[0].unit
         counts = -(-np.diff(first) // unit)  # units of each row
         row = np.repeat(np.arange(len(counts)), counts)
@@ -121,7 +142,7 @@ class Index:
                 hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == key)
                 n = np.searchsorted(keys, key[hit], "right") - low[hit]
                 found.append(np.stack([np.repeat(row[hit], n), items[textops.ranges(low[hit], n)]], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+        return found
 
     def search(self, column, width: int):
         """(row, item, shared, size) of verified pairs."""
@@ -161,7 +182,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: flo
     while column in docs.columns:
         column = "_" + column
     out = docs.withColumn(column, F.array().cast(LEAK))
-    for ids, shingles in _blocks(items, width):
+    for searched, (ids, shingles) in enumerate(_blocks(items, width)):
         index = spark.sparkContext.broadcast(Index(ids, shingles, least))
         place, text = out.columns.index(column), out.columns.index("text")
 
@@ -172,6 +193,8 @@ def with_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: flo
                     leaks[row].append({"item_id": item, "shared": shared, "n_shingles": size, "containment": shared / size})
                 yield pa.RecordBatch.from_arrays([c if i != place else pa.array(leaks, _LEAK) for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
+        if searched:  # a worker would hold the indexes of all blocks of one plan
+            out = materialize(out, "leaks")
         out = out.mapInArrow(run, T.StructType(out.schema.fields))
     return out
 

@@ -7,13 +7,14 @@ representation gives the score. Labels are known for documents only; the gradien
 through their attention.
 
 The model is fitted on at most ``SAMPLE`` labelled documents, those with the smallest hashes of their
-ids, of each at most ``TRAIN_PASSAGES`` passages spread evenly; so what reaches the driver is bounded by
-these parameters. Scoring runs over every document in one pass without a shuffle.
-
-Defined results: null and empty texts are one empty passage and have a score like others; without
-labels of both kinds every score is the share of the label 1 (0.5 without labels); null labels are not
-used; several labels of a document count as their mean; repeated rows have equal scores; only text is
-ever an input of a score.
+ids, whole, as long as they have at most ``SAMPLE_PASSAGES`` passages together; so what reaches the driver is bounded
+by these parameters. Scoring runs over every document in one pass without a shuffle.
+
+Defined results: null and empty texts are one empty passage and have a score like others; texts of any length are
+scored whole; without labels of both kinds every score is the share of the label 1 (0.5 without labels); null labels
+are not used; several labels of a document count as their mean, a tie as 1; of several labelled rows with one id one
+is learned from; repeated rows and equal texts have equal scores; an empty table of documents gives an empty one;
+extra columns are kept and never read; only text is ever an input of a score.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .shared import crc_of_id, small_batches
+from .shared import crc_of_id, materialize, small_batches
 
 PASSAGE = 64
 SAMPLE = 4000
-TRAIN_PASSAGES = 32
+SAMPLE_PASSAGES = 60_000
 BUCKETS = 64
 HIDDEN, GATE = 24, 12
 EPOCHS, RATE, DECAY, BATCH = 30, 0.01, 1e-4, 64
@@ -109,32 +110,41 @@ class Model:
         return self.forward(x, first)["score"].astype(np.float64)
 
 
+def gradient(model: Model, x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss of bags, in the model's weights."""
+    p, f = model.weights, model.forward(x, first)
+    d = (f["score"] - labels) / len(labels)
+    dz = d[:, None] * p["b"]
+    dh = f["a"][:, None] * dz[f["bag"]]
+    da = (f["h"] * dz[f["bag"]]).sum(1)
+    raw = f["a"] * (da - np.add.reduceat(f["a"] * da, first[:-1])[f["bag"]])
+    dt, ds = raw[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2), raw[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
+    dh += dt @ p["V"].T + ds @ p["U"].T
+    dpre = dh * (1 - f["h"] ** 2)
+    return {"E": ((x - model.mean) / model.scale).T @ dpre, "e": dpre.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ raw, "b": f["z"].T @ d, "c": d.sum()}
+
+
+def begin(everything: np.ndarray, prior: float, seed: int) -> Model:
+    rng = np.random.default_rng(seed)
+    draw = lambda *s: rng.standard_normal(s) / np.sqrt(s[0])
+    weights = {"E": draw(everything.shape[1], HIDDEN), "e": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "w": draw(GATE), "b": draw(HIDDEN), "c": np.log(prior / (1 - prior)) * np.ones(())}
+    return Model(prior, everything.mean(0), everything.std(0) + 1e-3, weights)
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
     """Adam on the log loss; equal bags and labels in equal order give an equal model."""
     prior = float(labels.mean()) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
         return Model(prior)
-    rng = np.random.default_rng(seed)
-    everything = np.concatenate(bags)
-    model = Model(prior, everything.mean(0), everything.std(0) + 1e-3)
-    draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float64)
-    p = model.weights = {"E": draw(N_FEATURES, HIDDEN), "e": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "w": draw(GATE), "b": draw(HIDDEN), "c": np.log(prior / (1 - prior)) * np.ones(())}
+    model, rng = begin(np.concatenate(bags), prior, seed), np.random.default_rng(seed)
+    p = model.weights
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
             x, first = np.concatenate([bags[i] for i in own]), np.r_[0, np.cumsum([len(bags[i]) for i in own])]
-            f = model.forward(x, first)
-            d = (f["score"] - labels[own]) / len(own)
-            dz = d[:, None] * p["b"]
-            dh = f["a"][:, None] * dz[f["bag"]]
-            da = (f["h"] * dz[f["bag"]]).sum(1)
-            draw_ = f["a"] * (da - np.add.reduceat(f["a"] * da, first[:-1])[f["bag"]])
-            dt, ds = draw_[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2), draw_[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
-            dh += dt @ p["V"].T + ds @ p["U"].T
-            dpre = dh * (1 - f["h"] ** 2)
-            g = {"E": ((x - model.mean) / model.scale).T @ dpre, "e": dpre.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ draw_, "b": f["z"].T @ d, "c": d.sum()}
+            g = gradient(model, x, first, labels[own])
             step += 1
             for k in p:
                 grad = g[k] + DECAY * p[k]
@@ -159,16 +169,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             for at, data, offsets in textops.slices(batch.column(2)):
                 x, first = encode(data, offsets)
-                bags = []
-                for a, b in zip(first[:-1], first[1:]):
-                    pick = np.unique(np.linspace(a, b - 1, min(TRAIN_PASSAGES, b - a)).round().astype(np.int64))
-                    bags.append(x[pick].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bags)), batch.column(1).slice(at, len(bags)), pa.array(bags, pa.binary())], names=["_id", "_label", "bag"])
-
-    rows = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("text")).join(F.broadcast(known), "_id").select("_id", "_label", "text")  # at most `sample` rows
-    rows = sorted((r["_id"], r["_label"], bytes(r["bag"])) for r in rows.mapInArrow(run, "_id long, _label int, bag binary").collect())
-    bags = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES).astype(np.float64) for r in rows]
-    return fit(bags, np.array([r[1] for r in rows], np.float64))
+                bags = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bags)), batch.column(1).slice(at, len(bags)), pa.array(np.diff(first)), pa.array(bags, pa.binary())], names=["_id", "_label", "_n", "_bag"])
+
+    rows = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("text")).join(F.broadcast(known), "_id").select("_id", "_label", "text")  # at most `sample` labels
+    bags = rows.mapInArrow(run, "_id long, _label int, _n long, _bag binary").groupBy("_id", "_label").agg(F.min(F.struct("_n", "_bag")).alias("_one"))
+    bags = materialize(bags.select("_id", "_label", "_one.*"), "quality-bags")
+    wanted, passages = [], 0
+    for r in bags.select("_id", "_n").orderBy(F.xxhash64("_id"), "_id").collect():  # at most `sample` rows
+        if passages + r["_n"] <= SAMPLE_PASSAGES:
+            wanted.append(r["_id"])
+            passages += r["_n"]
+    rows = sorted((r["_id"], r["_label"], bytes(r["_bag"])) for r in bags.where(F.col("_id").isin(wanted)).collect()) if wanted else []
+    found = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES).astype(np.float64) for r in rows]
+    return fit(found, np.array([r[1] for r in rows], np.float64))
 
 
 def with_scores(docs: DataFrame, model: Model, column: str = "_score") -> DataFrame:

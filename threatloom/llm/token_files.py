@@ -9,8 +9,11 @@ files into memory, one task a shard.
 A file is named after the task attempt that wrote it, and the manifest lists the attempts that
 succeeded, so retried and speculative tasks leave at most unlisted files.
 
-Defined results: null and empty texts hold the end id alone; null ids come first, repeated ids stand
-in order of their texts; an empty table gives an empty manifest; extra columns are never read.
+Ranges are of ids and the beginnings of texts, so rows that share an id, or have none, are spread over shards.
+
+Defined results: null and empty texts hold the end id alone; texts of any length are encoded whole; null ids come
+first, repeated ids stand in order of their texts; an empty table gives an empty manifest; extra columns are never
+read.
 """
 
 from __future__ import annotations
@@ -30,8 +33,11 @@ from pyspark.sql import functions as F
 from .shared import filesystem, partitions, shared_dir, small_batches
 
 MAGIC = 0x58444E4B54464C54
-#: Encoded pieces that a Python worker remembers; later ones are encoded anew.
-REMEMBERED = 400_000
+#: Encoded pieces that a Python worker remembers (about 200 bytes each); later ones are encoded anew.
+REMEMBERED = 200_000
+#: Characters of a text that its place among the shards depends on, and documents that are read at once.
+LEADING = 64
+READ_DOCS = 1 << 16
 #: A space between two other characters starts a piece of its own in the tokenizers' pattern.
 _UNEVEN = re.compile(r"\s\s|\s\Z|[^\S \n]")
 _LETTERS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*%$#&]*)")
@@ -117,7 +123,7 @@ _SHARD = "shard long, stem string, docs long, tokens long, null_ids long, width
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, shards: int | None = None) -> list[dict]:
     """Writes the shards of ``docs`` (doc_id, text) and returns the manifest, also kept in the folder."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     tokenizer = tokenizer or default_tokenizer()
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
 
@@ -147,7 +153,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    ranged = rows.repartitionByRange(shards or partitions(spark), order[0]).sortWithinPartitions(*order)
+    leading = F.substring("text", 1, LEADING).asc_nulls_first()
+    ranged = rows.repartitionByRange(shards or partitions(spark), order[0], leading).sortWithinPartitions(*order)
     found = sorted((r.asDict() for r in ranged.mapInArrow(run, _SHARD).collect()), key=lambda r: r["shard"])  # one row a shard
     at_doc = at_token = 0
     for row in found:
@@ -188,11 +195,13 @@ def read(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 tokens, offsets, ids, nulls = open_shard(folder, row["stem"])
-                crc = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64(), mask=np.arange(len(ids)) < nulls), pa.array(offsets[:-1] + row["first_token"], pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                for at in range(0, len(ids), READ_DOCS):
+                    own, part = ids[at : at + READ_DOCS], offsets[at : at + READ_DOCS + 1]
+                    crc = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(part[:-1].tolist(), part[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own, pa.int64(), mask=at + np.arange(len(own)) < nulls), pa.array(part[:-1] + row["first_token"], pa.int64()), pa.array(np.diff(part), pa.int64()), pa.array(crc, pa.int64())],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
     shards = spark.createDataFrame([(r["stem"], r["first_token"]) for r in manifest], "stem string, first_token long")
     return shards.repartition(len(manifest)).mapInArrow(run, _READ)
