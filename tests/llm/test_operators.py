@@ -1,6 +1,8 @@
 """Operators against brute force, round trips and held-out labels, with hard cases in every table: nulls,
 empty and long texts, repeated rows and ids, extra columns, empty tables."""
 
+import base64
+import hashlib
 import re
 import string
 import zlib
@@ -84,13 +86,29 @@ def test_warc(spark):
     assert warc_index.archive_table(df.limit(0), stamp).count() == 0
 
 
-def test_loser_tree_and_groups_of_runs(monkeypatch):
+def test_loser_tree():
     rng = np.random.default_rng(1)
     for k in (0, 1, 2, 3, 7, 16):
         runs = [sorted(((str(x).encode(), b"0", int(x)), b"") for x in rng.integers(0, 50, rng.integers(0, 9))) for _ in range(k)]
         assert [h for h, _ in warc_index.LoserTree(iter(r) for r in runs)] == sorted(h for r in runs for h, _ in r)
 
 
+def test_groups_of_runs_and_cuts_inside_a_hot_url(spark, monkeypatch):
+    monkeypatch.setattr(warc_index, "FAN_IN", 3)
+    monkeypatch.setattr(warc_index, "RANGE", 50)
+    monkeypatch.setattr(warc_index, "STRIDE", 4)
+    pages = [(i, "http://hot.example.com/" if i % 3 else f"http://h{i % 7}.example.com/{i % 5}", f"page {i % 40}") for i in range(400)]
+    df = spark.createDataFrame([*pages, (5, "http://hot.example.com/", "page 5")], "page_id long, url string, html string").repartition(10)
+    stamp = F.concat(F.lit("2024010100000"), F.col("page_id") % 10)
+    got = warc_index.archive_table(df, stamp).collect()
+    assert sorted(r["history_rank"] for r in got) == list(range(401))
+    keys = [(r["url_key"], r["page_id"] % 10, r["page_id"]) for r in sorted(got, key=lambda r: r["history_rank"])]
+    assert keys == sorted(keys)
+    first = {f"page {k}": k for k in range(40)}
+    want = Counter((i, hashlib.sha1(h.encode()).digest(), None if i == first[h] else first[h]) for i, _, h in [*pages, (5, "", "page 5")])
+    assert Counter((r["page_id"], base64.b32decode(r["payload_digest"]), r["refers_to"]) for r in got) == want
+
+
 def shingles(text, width=5):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
@@ -112,6 +130,31 @@ def test_decontaminate(spark, docs, rows):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0 and decontaminate.leaks(empty(docs), items).count() == 0
 
 
+@pytest.mark.parametrize("block", [2_000_000, 20])
+def test_short_items_in_long_texts_and_blocks_of_items(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    items, texts = {}, {}
+    for i in range(60):
+        items[i] = [f"q{x}" for x in rng.integers(0, 300, int(rng.integers(3, 40)))]
+        filler = [f"f{x}" for x in rng.integers(0, 900, 1500)]
+        at, own = int(rng.integers(0, 1500)), list(items[i])
+        if i % 3 == 0 and len(own) > 5:
+            own[int(rng.integers(0, len(own)))] = "changed"
+        texts[i] = " ".join(filler[:at] + own + filler[at:])
+    df = lambda rows, name: spark.createDataFrame([(k, " ".join(v) if isinstance(v, list) else v) for k, v in rows.items()], f"{name} long, text string")
+    got = {(r["doc_id"], r["item_id"], r["shared"]) for r in decontaminate.leaks(df(texts, "doc_id"), df(items, "item_id")).collect()}
+    want = set()
+    for i, item in items.items():
+        q = shingles(" ".join(item))
+        for d, text in texts.items():
+            n = len(q & shingles(text))
+            if q and n >= 0.8 * len(q):
+                want.add((d, i, n))
+    assert len({i for _, i, _ in want}) > 40 and len(want - got) <= len(want) // 50 and not got - want
+    assert {w for w in want if len(shingles(" ".join(items[w[1]]))) < 8} <= got
+
+
 def fingerprint(text):
     words = WORD.findall(text.translate(LOWER))
     grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -149,6 +192,19 @@ def test_links_reach_what_pairs_reach(spark, monkeypatch, bucket, bits):
     assert [got.get(i, i) for i in range(len(values))] == root
 
 
+def test_report_equals_brute_force(docs, rows):
+    prints = [(d, fingerprint(t)) for d, t, _ in rows]
+    known = sorted({f for d, f in prints if d is not None})
+    group = {f: min(d for d, g in prints if g == f and d is not None) for f in known}
+    for _ in known:
+        for a in known:
+            for b in known:
+                if (a ^ b).bit_count() <= 2:
+                    group[a] = min(group[a], group[b])
+    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicate_report(docs).collect())
+    assert got == Counter((d, f"{f:016x}", group.get(f)) for d, f in prints)
+
+
 def test_keep_one(docs, rows):
     kept = simhash.keep_one(docs)
     ids = sorted(r["doc_id"] or -1 for r in kept.collect())
@@ -163,51 +219,109 @@ def test_keep_one_decides_for_rows(spark):
     assert Counter(tuple(r) for r in kept.collect()) == Counter([(None, texts[0]), (None, texts[1]), (1, texts[2]), (2, texts[3]), (2, texts[4])])
 
 
-def test_katz(docs, rows, monkeypatch):
-    monkeypatch.setattr(katz, "BLOCK", 500)
+def plain_good_turing(counter):
+    """Discounts by count, from the definition."""
+    n = Counter(counter.values())
+    for k in range(5, 0, -1):
+        if all(n[r] for r in range(1, k + 2)):
+            common = (k + 1) * n[k + 1] / n[1]
+            d = {r: ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common) for r in range(1, k + 1)} if common < 1 else {}
+            if d and all(0 < x < 1 for x in d.values()):
+                return lambda c: d.get(c, 1.0) * c
+    return lambda c: c - 0.5 if c <= 5 else c
+
+
+class PlainKatz:
+    def __init__(self, train):
+        self.grams = [Counter(), Counter(), Counter()]
+        for s in train:
+            padded = [0, 1, *s]
+            for i in range(2, len(padded)):
+                for k in range(3):
+                    self.grams[k][tuple(padded[i - k : i + 1])] += 1
+        self.cut = [plain_good_turing(g) for g in self.grams]
+        self.after = defaultdict(list)
+        for g in self.grams[1:]:
+            for gram in g:
+                self.after[gram[:-1]].append(gram[-1])
+        self.total = sum(self.grams[0].values())
+        self.history = Counter()
+        for g in self.grams[1:]:
+            for gram, c in g.items():
+                self.history[gram[:-1]] += c
+        self.weights = {}
+
+    def backoff(self, h):
+        if h not in self.weights:
+            if not self.history[h]:
+                self.weights[h] = (1, 1.0)
+            else:
+                kept = sum(self.cut[len(h)](self.grams[len(h)][(*h, w)]) for w in self.after[h])
+                n = self.history[h] + (self.history[h] - kept < 1e-9)
+                self.weights[h] = n, (1 - kept / n) / (1 - sum(self.p(w, h[1:]) for w in self.after[h]))
+        return self.weights[h]
+
+    def p(self, w, h):
+        c = self.grams[len(h)][(*h, w)]
+        if not h:
+            return self.cut[0](c) / self.total if c else 1 - sum(map(self.cut[0], self.grams[0].values())) / self.total
+        n, alpha = self.backoff(h)
+        return self.cut[len(h)](c) / n if c else alpha * self.p(w, h[1:])
+
+
+def katz_rows(rows):
     got = defaultdict(list)
-    for r in katz.katz_scores(docs).collect():
+    for r in rows.collect():
         got[r["doc_id"]].append(r)
+    return got
+
+
+def test_katz(docs, rows, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK", 500)
+    monkeypatch.setattr(katz, "ROW", 1)
+    got = katz_rows(katz.katz_scores(docs))
     seqs = [(d, WORD.findall(t.translate(LOWER)) + [None]) for d, t, _ in rows]
-    train = [s for d, s in seqs if zlib.crc32(("null" if d is None else str(d)).encode()) % 5 != 1]
-    uni, bi, hist, follow = Counter(), Counter(), Counter(), defaultdict(set)
-    for s in train:
-        h = "<s>"
-        for w in s:
-            uni[w] += 1
-            bi[h, w] += 1
-            hist[h] += 1
-            follow[h].add(w)
-            h = w
-    total = sum(uni.values())
-    d1, d2 = (katz.discounts(np.array([sum(v == r for v in c.values()) for r in range(1, katz.CUTOFF + 2)])) for c in (uni, bi))
-    cut = lambda c, d: (d[c] if c <= katz.CUTOFF else 1) * c
-    left = 1 - sum(cut(v, d1) for v in uni.values()) / total
-    p1 = lambda w: cut(uni[w], d1) / total if uni[w] else left
-
-    def backoff(h):
-        if not hist[h]:
-            return 1, 1.0
-        seen = sum(cut(bi[h, w], d2) for w in follow[h])
-        n = hist[h] + (hist[h] - seen < 1e-9)
-        return n, (1 - seen / n) / (1 - sum(p1(w) for w in follow[h]))
-
-    for h in list(follow)[:50]:
-        n, a = backoff(h)
-        assert sum(cut(bi[h, w], d2) for w in follow[h]) / n + a * (1 - sum(p1(w) for w in follow[h])) == pytest.approx(1)
+    learned = lambda d: zlib.crc32(("null" if d is None else str(d)).encode()) % 5 != 1
+    plain = PlainKatz([s for d, s in seqs if learned(d)])
+    words = [w for (w,) in plain.grams[0]]
+    for length in (1, 2):
+        for h in [h for h in plain.after if len(h) == length][:50]:
+            assert sum(plain.p(w, h) for w in words) + plain.p("never seen", h) == pytest.approx(1)
     want = defaultdict(list)
     for d, s in seqs:
-        score, h = 0.0, "<s>"
-        for w in s:
-            n, a = backoff(h)
-            score += np.log10(cut(bi[h, w], d2) / n) if bi[h, w] else np.log10(a) + np.log10(p1(w))
-            h = w
-        base = sum(np.log10((uni[w] + 0.5) / (total + 0.5 * (len(uni) + 1))) for w in s)
-        want[d].append((len(s), sum(uni[w] > 0 for w in s), base, score))
+        padded = [0, 1, *s]
+        score = sum(np.log10(plain.p(padded[i], tuple(padded[i - 2 : i]))) for i in range(2, len(padded)))
+        base = sum(np.log10((plain.grams[0][(w,)] + 0.5) / (plain.total + 0.5 * (len(words) + 1))) for w in s)
+        want[d].append((len(s), sum(plain.grams[0][(w,)] > 0 for w in s), base, score))
     for d in want:
         assert sorted((r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got[d]) == [pytest.approx(x) for x in sorted(want[d])]
-        assert {r["train_tokens"] for r in got[d]} == {total}
+        assert {r["train_tokens"] for r in got[d]} == {plain.total}
     assert katz.katz_scores(empty(docs)).count() == 0
+    # a kept model scores texts that it never saw as the joint run does
+    train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.lit(5)) != 1
+    later = katz_rows(katz.score(docs.where(~train), katz.fit(docs.where(train))))
+    assert later and all(sorted((x["n_known"], x["base_score"], x["score"]) for x in v) == [pytest.approx(x) for x in sorted((x["n_known"], x["base_score"], x["score"]) for x in got[d])] for d, v in later.items())
+    assert katz.fit(empty(docs)) is None
+
+
+@pytest.mark.parametrize("module", [katz, substring_dedup])
+def test_exchanged_rows_grow_as_the_input(spark, monkeypatch, module):
+    """Rows that blocks deal out, at two sizes of the input, the second eight times the first."""
+    monkeypatch.setattr(module, "BLOCK", 100)
+    monkeypatch.setattr(module, "ROW", 8)
+    made = []
+    for n in (40, 320):
+        words = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("word"), (F.col("id") * 131 + i * i) % 5003))
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text")).repartition(4)
+        if module is katz:
+            found = katz._run(docs.withColumn("train", F.lit(True)).select("doc_id", "train", "text"))
+            made.append(found[1][3].where("block IS NOT NULL").count())
+        else:
+            windows = docs.agg(F.sum(F.octet_length("text"))).first()[0] // 6
+            block = substring_dedup.block_size(windows, module.BLOCK, module.ROW)
+            rows = docs.select(F.xxhash64("doc_id", "text").alias("unit"), "doc_id", "text")
+            made.append(substring_dedup.repeated_windows(rows, block, max(4, -(-windows // block))).count())
+    assert made[1] < 16 * max(made[0], 10)
 
 
 def test_mixing(docs, rows):
@@ -238,6 +352,94 @@ def test_license_scan(spark):
     assert got[7]["labels"] == "gpl-3" and got[4]["last_word"] == 20007 and got[3]["score"] == 0 and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+LICENCE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def test_license_scan_equals_brute_force(spark):
+    """Every start of every template, in texts with passages that were changed in some words."""
+    rng = np.random.default_rng(4)
+    vocabulary = sorted({w for _, t, _ in license_scan.TEMPLATES for w in t.split()})
+    texts = {0: None, 1: "", 2: "mit " * 30}
+    for i in range(3, 120):
+        words = [vocabulary[k] for k in rng.integers(0, len(vocabulary), int(rng.integers(0, 60)))]
+        for _ in range(int(rng.integers(0, 3))):
+            passages = [t for _, t, _ in license_scan.TEMPLATES] + [t for t, _ in license_scan.BASE]
+            own = passages[int(rng.integers(0, len(passages)))].split()
+            for _ in range(int(rng.integers(0, 1 + len(own) // 3))):
+                own[int(rng.integers(0, len(own)))] = vocabulary[int(rng.integers(0, len(vocabulary)))]
+            at = int(rng.integers(0, len(words) + 1))
+            words[at:at] = own
+        texts[i] = "".join(w.upper() + ", " if rng.random() < 0.2 else w + " " for w in words)
+    texts[None] = texts[5]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    hits = 0
+    for i, text in texts.items():
+        words = LICENCE_WORD.findall((text or "").translate(LOWER))
+        found, based = [], []
+        for label, passage, keys in license_scan.TEMPLATES:
+            t = passage.split()
+            must = set()
+            for key in keys:
+                k = key.split()
+                place = next(p for p in range(len(t)) if t[p : p + len(k)] == k)
+                must |= set(range(place, place + len(k)))
+            for start in range(-len(t), len(words)):
+                same = [0 <= start + p < len(words) and words[start + p] == t[p] for p in range(len(t))]
+                if sum(same) >= 0.8 * len(t) - 1e-9 and all(same[p] for p in must):
+                    found.append((label, start, len(t)))
+        for phrase, label in license_scan.BASE:
+            t = phrase.split()
+            based += [(label, start) for start in range(len(words)) if words[start : start + len(t)] == t]
+        r = got[i]
+        assert sorted((p["label"], p["first_word"], p["n_words"]) for p in r["passages"]) == sorted(found)
+        assert (r["n_words"], r["n_base"]) == (len(words), len(based))
+        assert (r["first_word"], r["last_word"]) == ((min(s for _, s in based), max(s for _, s in based)) if based else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for x, _ in based})) and r["labels"] == ",".join(sorted({x for x, _ in based} | {x for x, _, _ in found}))
+        hits += len(found)
+    assert hits > 40 and len({x for x, _, _ in license_scan.TEMPLATES}) >= 40
+    assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_attention_and_gradient_equal_plain_ones():
+    rng = np.random.default_rng(6)
+    bags = [rng.standard_normal((n, 7)) for n in (1, 4, 2)]
+    labels, x, first = np.array([1.0, 0.0, 1.0]), np.concatenate(bags), np.array([0, 1, 5, 7])
+    model = quality_mil.begin(x, 0.6, 3)
+    p = model.weights
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def loss():
+        total = 0.0
+        for bag, y in zip(bags, labels):
+            h = [np.tanh((row - model.mean) / model.scale @ p["E"] + p["e"]) for row in bag]
+            raw = np.array([np.dot(p["w"], np.tanh(v @ p["V"]) * sigmoid(v @ p["U"])) for v in h])
+            a = np.exp(raw) / np.exp(raw).sum()
+            score = sigmoid(sum(w * v for w, v in zip(a, h)) @ p["b"] + p["c"])
+            total -= y * np.log(score) + (1 - y) * np.log(1 - score)
+        return total / len(bags)
+
+    scores = model.score(x, first)
+    assert loss() == pytest.approx(-np.mean(labels * np.log(scores) + (1 - labels) * np.log(1 - scores)))
+    for name, g in quality_mil.gradient(model, x, first, labels).items():
+        for at in [tuple(rng.integers(0, n) for n in np.shape(p[name])) for _ in range(6)]:
+            kept, both = p[name][at], []
+            for step in (1e-5, -1e-5):
+                p[name] = np.array(p[name])
+                p[name][at] = kept + step
+                both.append(loss())
+            p[name][at] = kept
+            assert (both[0] - both[1]) / 2e-5 == pytest.approx(np.asarray(g)[at], abs=1e-7)
+
+
+def test_quality_sample_holds_one_row_of_an_id(spark):
+    rows = [(1, "good words here")] * 50 + [(1, "other text of one")] * 50 + [(2, "BUY! BUY! " * 40), (3, "good words there"), (4, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 0), (4, 0)], "doc_id long, quality int")
+    got = quality_mil.quality_scores(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    assert quality_mil.quality_scores(empty(docs), labels).count() == 0
+
+
 def test_quality(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -265,17 +467,34 @@ def test_substring_dedup(docs, rows):
     assert substring_dedup.remove_repeats(empty(docs)).count() == 0
 
 
-def test_mpeg_round_trip_and_damage(docs, rows):
+def test_mpeg_round_trip_and_damage():
     for text in (b"", b"x" * 1417, bytes(range(200)) * 40):
         data = mpeg_audio.encode(mpeg_audio.payload_of(text))
         back = mpeg_audio.decode(data)
-        assert back.payload == mpeg_audio.payload_of(text) and not back.damaged and not back.skipped
+        assert back.payload == mpeg_audio.payload_of(text) and back.whole and not back.damaged and not back.skipped
         assert back.seconds == back.frames * 1152 / 32000
     at = back.offsets[1]
-    hurt = mpeg_audio.decode(data[: at + 8] + b"\x55" + data[at + 9 :])
-    assert hurt.damaged == 1 and hurt.payload != back.payload
-    lost = mpeg_audio.decode(data[:at] + b"junk!" + data[at:])
-    assert lost.skipped == 5 and lost.payload == back.payload
-    got = Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"]) for r in mpeg_audio.media_features(docs).collect())
-    assert got == Counter((d, len(t.encode()), len(mpeg_audio.payload_of(t.encode()))) for d, t, _ in rows)
+    head = mpeg_audio.decode(data[: at + 8] + b"\x55" + data[at + 9 :])
+    assert head.damaged == 1 and not head.whole
+    flipped = mpeg_audio.decode(data[: at + 100] + bytes([data[at + 100] ^ 1]) + data[at + 101 :])
+    assert len(flipped.payload) == len(back.payload) and not flipped.damaged and not flipped.whole
+    lost = mpeg_audio.decode(data[:at] + data[back.offsets[2] :])
+    assert lost.frames == back.frames - 1 and not lost.whole
+    cut = mpeg_audio.decode(data[:-5])
+    assert not cut.whole and not mpeg_audio.decode(b"").whole
+    junk = mpeg_audio.decode(data[:at] + b"junk!" + data[at:])
+    assert junk.skipped == 5 and junk.payload == back.payload and not junk.whole
+
+
+def test_media_features(docs, rows):
+    got = Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")) for r in mpeg_audio.media_features(docs).collect())
+    want = Counter()
+    for d, t, _ in rows:
+        text = t.encode()
+        payload = text + b"\0" * (64 if not text else -len(text) % 64)
+        media = mpeg_audio.encode(payload)
+        want[d, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()] += 1
+    assert got == want
+    features = {r["feature"] for r in mpeg_audio.media_features(docs.where("doc_id IN (1, 7)")).collect()}
+    assert len(features) == 1 and "stream=whole" in features.pop()
     assert mpeg_audio.media_features(empty(docs)).count() == 0
