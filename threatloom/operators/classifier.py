@@ -10,22 +10,28 @@ FITTED = ("punycode", "abused_tld_f", "many_subdomains", "host_digits_ratio", "h
 
 
 def held_out(key: str = "host"):
-    """A fifth of the rows, by a hash of their key."""
-    return F.pmod(F.xxhash64(key), F.lit(5)) == 0
+    """A fifth of the rows, by a digest of their key."""
+    return F.conv(F.substring(F.md5(F.col(key)), 1, 8), 16, 10).cast("long") % 5 == 0
 
 
-def train(labelled: DataFrame, l2: float = 0.001) -> dict:
-    """Non-negative L2 logistic regression on distinct feature vectors weighted by their counts:
-    {"bias", "weights"}, rounded to four places."""
+def train(labelled: DataFrame, features: tuple[str, ...] = FITTED, l2: float = 0.001) -> dict:
+    """Non-negative L2 logistic regression on distinct feature vectors of the rows that aren't held out, weighted by
+    their counts: {"bias", "weights", "n_rows"}, rounded to four places."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.linalg import Matrices
 
-    rows = labelled.where(~held_out()).groupBy(*FITTED, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    vectors = VectorAssembler(inputCols=list(FITTED), outputCol="features").transform(rows)
-    zero = Matrices.dense(1, len(FITTED), [0.0] * len(FITTED))
+    rows = labelled.where(~held_out()).groupBy(*features, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
+    zero = Matrices.dense(1, len(features), [0.0] * len(features))
     model = LogisticRegression(regParam=l2, elasticNetParam=0.0, standardization=False, weightCol="weight", family="binomial", maxIter=200, tol=1e-9, lowerBoundsOnCoefficients=zero).fit(vectors)
-    return {"bias": round(float(model.intercept), 4), "weights": {k: round(float(w), 4) for k, w in zip(FITTED, model.coefficients)}}
+    return {"bias": round(float(model.intercept), 4), "weights": {k: round(float(w), 4) for k, w in zip(features, model.coefficients)}, "n_rows": labelled.count()}
+
+
+def apply(rows: DataFrame, model: dict, column: str) -> DataFrame:
+    """``rows`` with the probability that a model gives, rounded to hundredths; 0 on trusted roots."""
+    z = " + ".join([f"{model['bias']}D", *(f"{k} * {w}D" for k, w in model["weights"].items())])
+    return rows.withColumn(column, F.expr(f"CASE WHEN trusted THEN 0D ELSE floor(1 / (1 + exp(-({z}))) * 100 + 0.5D) / 100 END"))
 
 
 def thresholds(scored: DataFrame, at: tuple[float, ...] = (0.8, 0.92)) -> DataFrame:

@@ -7,6 +7,7 @@ explodes them.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import unicodedata
@@ -74,6 +75,18 @@ def mnemonic(text: Column) -> Column:
     return F.size(words).isin(12, 15, 18, 21, 24) & F.forall(words, lambda w: w.rlike("^[a-z]{3,8}$")) & (F.size(F.array_distinct(words)) >= F.size(words) * 0.7) & (entropy(F.array_join(words, "")) > 3.4)
 
 
+def mnemonic_phrases(text: Column) -> Column:
+    """Every run of 12, 15, 18, 21 or 24 neighbouring words of three to eight lower-case letters, space-joined."""
+    words = F.transform(F.split(text, r"[ \t\n\f\r]+"), lambda t: F.when(t.rlike("^[a-z]{3,8}$"), t).otherwise("|"))
+    runs = F.filter(F.transform(F.split(F.array_join(words, " "), r"\|"), lambda r: F.split(F.trim(r), " ")), lambda w: F.size(w) >= 12)
+
+    def of(run: Column) -> Column:
+        each = lambda n: F.when(F.size(run) >= n, F.transform(F.sequence(F.lit(1), F.size(run) - n + 1), lambda i: F.array_join(F.slice(run, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+        return F.flatten(F.array(*[each(n) for n in (12, 15, 18, 21, 24)]))
+
+    return F.flatten(F.transform(runs, of))
+
+
 def redact(text: Column) -> Column:
     n = F.length(text)
     return F.when(n <= 6, F.repeat(F.lit("•"), n)).otherwise(F.concat(F.substring(text, 1, 2), F.repeat(F.lit("•"), F.least(n - 4, F.lit(10))), F.right(text, F.lit(2))))
@@ -159,6 +172,53 @@ def log_payload(value: Column) -> Column:
     return F.when(F.length(value) > 64, F.concat(F.substring(value, 1, 32), F.lit("…[trunc]"))).when(value.rlike("(?i)^https?://"), F.when(host == "", "[url]").otherwise(F.lower(host))).when(value.contains("@") & value.rlike(r"(?i)\.[a-z]{2,}"), "[email]").when(value.rlike(r"[A-Za-z0-9_\-]{20,}"), "[token]").otherwise(value)
 
 
+#: Keys whose values are never logged.
+SECRET_KEY = "(?i)value|token|password|secret|cookie|auth|email"
+
+
+def log_map(entry: Column, most: int = 16) -> Column:
+    """A map of log values made safe: at most ``most`` keys, secret-named ones hidden."""
+    kept = F.map_from_entries(F.slice(F.map_entries(entry), 1, most))
+    return F.transform_values(kept, lambda k, v: F.when(k.rlike(SECRET_KEY), "[redacted]").otherwise(log_payload(v)))
+
+
+def log_array(values: Column, most: int = 10) -> Column:
+    return F.transform(F.slice(values, 1, most), log_payload)
+
+
+def log_json(entry: str | None, depth: int = 0):
+    """A JSON log entry made safe, of any shape: two levels, 16 keys, 10 items."""
+    def safe(x, depth):
+        if depth > 2:
+            return "[depth]"
+        if isinstance(x, dict):
+            return {k: "[redacted]" if re.search(SECRET_KEY, k) else safe(v, depth + 1) for k, v in list(x.items())[:16]}
+        if isinstance(x, list):
+            return [safe(v, depth + 1) for v in x[:10]]
+        return _log_string(x) if isinstance(x, str) else x
+
+    try:
+        return json.dumps(safe(json.loads(entry), depth), ensure_ascii=False) if entry else None
+    except ValueError:
+        return json.dumps(_log_string(entry), ensure_ascii=False)
+
+
+def _log_string(s: str) -> str:
+    if len(s) > 64:
+        return s[:32] + "…[trunc]"
+    if re.match("(?i)https?://", s):
+        return re.match(r"(?i)https?://(?:[^/?#@]*@)?([^/?#]*)", s)[1].lower() or "[url]"
+    if "@" in s and re.search(r"(?i)\.[a-z]{2,}", s):
+        return "[email]"
+    return "[token]" if re.search(r"[A-Za-z0-9_\-]{20,}", s, re.A) else s
+
+
+@F.pandas_udf(T.StringType())
+def safe_log(entry: pd.Series) -> pd.Series:
+    """JSON log entries of any shape made safe."""
+    return entry.map(log_json)
+
+
 # context scan ---------------------------------------------------------------------------------------
 
 # Fixed values. (id, severity, confidence, pattern, options) in order.

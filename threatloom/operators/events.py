@@ -1,13 +1,19 @@
 """Ordered events: redirect chains, scans, sign-in flows, cool-downs, budgets, activity.
 
 Windows are partitioned by tab, flow or host. What is collected is cut before it is collected (the last 25
-of a chain, 64 steps of 5 minutes), so a busy key costs its own length and no more memory.
+of a chain, 64 steps of 5 minutes); cool-downs and budgets are read as sorted streams. So a busy key costs its own
+length and no more memory.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import hosts as H
 
@@ -63,41 +69,86 @@ def flow_anomalies(steps: Column) -> dict[str, Column]:
 
 
 def auth_flows(steps: DataFrame, ttl: int = TTL, keep: int = STEPS) -> DataFrame:
-    """Each step with the anomalies of its flow as of then: the last ``keep`` steps of ``ttl`` seconds."""
-    seconds = micros("ts")
-    rows = steps.withColumn("_us", seconds)
-    last = Window.partitionBy("flow_id").orderBy("_us").rangeBetween(-ttl * 1_000_000, 0)
-    seen = F.array_sort(F.collect_list(F.struct("_us", "seq", "kind", "origin", "post_origin", "in_iframe")).over(last))
-    # steps of the same instant count only up to this one
-    rows = rows.withColumn("_seen", F.filter(seen, lambda s: (s["_us"] < F.col("_us")) | (s["seq"] <= F.col("seq"))))
-    rows = rows.withColumn("_seen", F.slice("_seen", F.greatest(F.lit(1), F.size("_seen") - keep + 1), keep))
+    """Each step with the anomalies of its flow as of then: of the last ``keep`` steps those within ``ttl`` seconds. A
+    row holds ``keep`` steps at most, however busy its flow is."""
+    last = Window.partitionBy("flow_id").orderBy("_us", "seq").rowsBetween(1 - keep, 0)
+    rows = steps.withColumn("_us", micros("ts"))
+    rows = rows.withColumn("_seen", F.collect_list(F.struct("_us", "seq", "kind", "origin", "post_origin", "in_iframe")).over(last))
+    rows = rows.withColumn("_seen", F.filter("_seen", lambda s: s["_us"] >= F.col("_us") - ttl * 1_000_000))
     return rows.withColumns(flow_anomalies(F.col("_seen"))).withColumn("n_steps", F.size("_seen").cast("long")).drop("_seen", "_us")
 
 
+def _in_order(rows: DataFrame, keys: list[str], fold) -> DataFrame:
+    """``rows`` (keys, _us) in order of keys and times through ``fold``, a function of an iterator of (key, sorted
+    times of one batch) that gives Arrow batches. Times are read as a stream, so a key of any size takes little memory."""
+    ordered = rows.where("_us IS NOT NULL").repartition(*keys).sortWithinPartitions(*keys, "_us")
+
+    def run(batches):
+        def parts():
+            for batch in batches:
+                names = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+                times = batch.column("_us").to_pylist()
+                at = 0
+                while at < len(names):
+                    end = at
+                    while end < len(names) and names[end] == names[at]:
+                        end += 1
+                    yield names[at], times[at:end]
+                    at = end
+
+        yield from fold(parts())
+
+    return ordered, run
+
+
 def cooldown(warnings: DataFrame, seconds: int = 1800) -> DataFrame:
     """Warnings (host, kind, ts) that are shown: at most one a host and kind in ``seconds`` from the last
-    one shown. A fold over each key's times; times of one bucket of a day come together first."""
-    us = micros("ts")
-    keys = warnings.groupBy("host", "kind").agg(F.array_sort(F.collect_list(us)).alias("_t"))
-    step = lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= seconds * 1_000_000), F.concat(a, F.array(t))).otherwise(a)
-    start = F.array().cast("array<bigint>")
-    shown = F.aggregate("_t", start, lambda a, t: F.when(F.size(a) == 0, F.array(t)).otherwise(step(a, t)))
-    return keys.select("host", "kind", F.explode(shown).alias("_us")).select("host", "kind", F.timestamp_micros("_us").cast(warnings.schema["ts"].dataType).alias("ts"))
+    one shown. Each key's times are read in order, with the last one shown as the only state."""
+    us = seconds * 1_000_000
+
+    def fold(parts):
+        now, last = None, None
+        for key, times in parts:
+            if key != now:
+                now, last = key, None
+            shown, at = [], 0 if last is None else bisect_left(times, last + us)
+            while at < len(times):
+                last = times[at]
+                shown.append(last)
+                at = bisect_left(times, last + us, at + 1)
+            if shown:
+                yield pa.RecordBatch.from_pydict({"host": pa.array([key[0]] * len(shown), pa.string()), "kind": pa.array([key[1]] * len(shown), pa.string()), "_us": pa.array(shown, pa.int64())})
+
+    ordered, run = _in_order(warnings.select("host", "kind", micros("ts").alias("_us")), ["host", "kind"], fold)
+    return ordered.mapInArrow(run, "host string, kind string, _us long").select("host", "kind", F.timestamp_micros("_us").cast(warnings.schema["ts"].dataType).alias("ts"))
 
 
 def rate_budget(calls: DataFrame, most: int, seconds: float) -> DataFrame:
     """(key, n_calls, n_allowed): a call is allowed if fewer than ``most`` allowed ones lie within the last
-    ``seconds``; rejected calls don't count."""
-    us = int(seconds * 1_000_000)
-    keys = calls.groupBy("key").agg(F.array_sort(F.collect_list(micros("ts"))).alias("_t"))
-    zero = F.struct(F.array().cast("array<bigint>").alias("hits"), F.lit(0).cast("bigint").alias("n"))
-
-    def step(a: Column, t: Column) -> Column:
-        live = F.filter(a["hits"], lambda h: h >= t - us)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.concat(live, F.array(t))).otherwise(live).alias("hits"), (a["n"] + ok.cast("bigint")).alias("n"))
-
-    return keys.select("key", F.size("_t").cast("long").alias("n_calls"), F.aggregate("_t", zero, step, lambda a: a["n"]).alias("n_allowed"))
+    ``seconds``; rejected calls don't count. Each key's times are read in order; the last ``most`` allowed ones are
+    the state."""
+    us, kind = int(seconds * 1_000_000), calls.schema["key"].dataType
+
+    def fold(parts):
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], to_arrow_type(kind)), pa.array([n], pa.int64()), pa.array([allowed], pa.int64())], names=["key", "n_calls", "n_allowed"])
+
+        now, n, allowed, hits = None, 0, 0, deque(maxlen=most)
+        for key, times in parts:
+            if key != now:
+                if now is not None:
+                    yield row()
+                now, n, allowed, hits = key, 0, 0, deque(maxlen=most)
+            n += len(times)
+            for t in times:
+                if len(hits) < most or hits[0] < t - us:
+                    hits.append(t)
+                    allowed += 1
+        if now is not None:
+            yield row()
+
+    ordered, run = _in_order(calls.select("key", micros("ts").alias("_us")), ["key"], fold)
+    return ordered.mapInArrow(run, f"key {kind.simpleString()}, n_calls long, n_allowed long")
 
 
 def recent_activity(activity: DataFrame, now: Column, days: int = 7, keep: int = 200) -> DataFrame:

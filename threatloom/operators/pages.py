@@ -93,8 +93,8 @@ def _tags(html: Column, name: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
 
 
-def forms(html: Column, limit: int = 10) -> Column:
-    """Forms of a page: action, method, kinds of fields, counts."""
+def forms(html: Column, in_frame: Column, limit: int = 10) -> Column:
+    """Forms of a page: action, method, kinds of fields, counts, whether the page is inside a frame."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<form\b[^>]*>.*?</form>"), F.lit(0))
 
     def facts(form: Column) -> Column:
@@ -111,16 +111,17 @@ def forms(html: Column, limit: int = 10) -> Column:
             F.exists(inputs, lambda t: naming(t).rlike("otp|one[-_ ]?time|2fa|mfa|verification[-_ ]?code")).alias("has_otp"),
             F.size(F.filter(inputs, lambda t: kind(t) == "hidden")).alias("hidden_count"),
             F.size(inputs).alias("fields_count"),
-            F.lit(False).alias("inside_iframe"),
+            in_frame.alias("inside_iframe"),
         )
 
     return F.transform(F.slice(found, 1, limit), facts)
 
 
 def page_context(pages: DataFrame) -> DataFrame:
-    """Pages (page_id, url, html) with their facts; html is dropped."""
+    """Pages (page_id, url, html, and in_frame where it is known) with their facts; html is dropped."""
     html = F.substring(F.coalesce("html", F.lit("")), 1, MAX_HTML)
-    out = url_parts(pages.withColumn("html", html))
+    in_frame = F.coalesce("in_frame", F.lit(False)) if "in_frame" in pages.columns else F.lit(False)
+    out = url_parts(pages.withColumns({"html": html, "in_frame": in_frame}))
     plain = html_text(F.col("html"))
     drop_empty = lambda a: F.filter(a, lambda x: x != "")
     links = F.filter(_tags(F.col("html"), "link"), lambda t: F.lower(_attribute(t, "rel")).contains("icon"))
@@ -130,7 +131,7 @@ def page_context(pages: DataFrame) -> DataFrame:
             "page_origin": F.concat("scheme", F.lit("://"), "hostname"),
             "title": F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>([^<]*)", 1)),
             "has_password": F.col("html").rlike(r"(?is)<input[^>]+type\s*=\s*[\"']?password"),
-            "forms": forms(F.col("html")),
+            "forms": forms(F.col("html"), F.col("in_frame")),
             "scripts": F.slice(drop_empty(F.transform(_tags(F.col("html"), "script"), lambda t: _attribute(t, "src"))), 1, 60),
             "styles": F.slice(drop_empty(F.transform(F.filter(_tags(F.col("html"), "link"), lambda t: F.lower(_attribute(t, "rel")) == "stylesheet"), lambda t: _attribute(t, "href"))), 1, 60),
             "images": F.slice(drop_empty(F.transform(_tags(F.col("html"), "img"), lambda t: _attribute(t, "src"))), 1, 60),
@@ -187,7 +188,7 @@ AUTH = r"\b(sign in|log in|login|signin|verify your (account|identity)|confirm y
 ENTERPRISE = r"\b(continue to (your )?(organization|organisation|company|tenant|workspace)|device (verification|registration|trust)|approve (this )?sign[- ]?in request|sso (sign|log) ?in|enterprise (sign|log) ?in|use your (work|corporate|organization|company) account|verify it'?s you|complete sign[- ]?in on (another|your) device|your organization requires)\b"
 URGENT = r"\b(verify your (account|identity)|confirm your (account|identity)|account (has been |is |was )?(suspended|locked|disabled|limited|restricted|on hold)|unusual (activity|sign[- ]?in|login)|suspicious (activity|sign[- ]?in|login)|(re[- ]?)?verify (your|the) (account|identity|information) (to|before)|to (avoid|prevent) (suspension|closure|termination)|within [0-9]+ ?(hours|hrs|minutes|days) or|failure to (verify|confirm|respond)|action required)\b"
 
-# Rules of single forms: (id, severity, weight, confidence, condition over the form's facts).
+# Fixed values. Rules of single forms: (id, severity, weight, confidence, condition over the form's facts).
 FORM_SIGNALS = (
     ("form-javascript", "high", 30, 0.9, lambda f: f["script"]),
     ("external-form-post", "critical", 60, 0.95, lambda f: ~f["script"] & f["external"]),
@@ -195,7 +196,7 @@ FORM_SIGNALS = (
     ("hidden-login-fields", "medium", 16, 0.7, lambda f: ~f["script"] & f["resolved"] & (f["form"]["hidden_count"] >= 4) & ((f["form"]["fields_count"] <= 8) | (f["form"]["hidden_count"] * 2 >= f["form"]["fields_count"])) & ~f["trusted"]),
     ("iframe-credential-form", "high", 28, 0.85, lambda f: ~f["script"] & f["resolved"] & f["form"]["inside_iframe"] & ~f["trusted"] & (f["form"]["has_password"] | f["form"]["has_otp"])),
 )
-# (id, category, severity, weight, confidence, condition) of whole pages, before and after those of forms.
+# Fixed values. (id, category, severity, weight, confidence, condition) of whole pages, before and after those of forms.
 PAGE_BEFORE = (
     ("brand-impersonation", "identity", "'high'", "50", "0.85", "brand_hit IS NOT NULL AND brand_intent"),
     ("domain-spoofing", "identity", "CASE WHEN page_idn THEN 'critical' ELSE 'high' END", "CASE WHEN page_idn THEN 55 ELSE 38 END", "greatest(0.75, lookalike_conf)", "lookalike_kind IS NOT NULL"),
@@ -231,7 +232,7 @@ def phishing(facts: DataFrame) -> DataFrame:
     """Page facts (context with host facts) with phishing signals, flags, cap and forced status."""
     root = F.col("root")
     text = F.lower(F.concat("title", F.lit(" \n "), "visible_text"))
-    out = facts.withColumns({"page_trusted": H.one_of("root", C.PAGE_LOGIN_ROOTS), "_text": text, "top_level_iframe": F.lit(False), "page_idn": (F.coalesce("lookalike_kind", F.lit("")) == "punycode") | F.col("hostname").rlike(r"(^|\.)xn--")})
+    out = facts.withColumns({"page_trusted": H.one_of("root", C.PAGE_LOGIN_ROOTS), "_text": text, "top_level_iframe": F.col("in_frame"), "page_idn": (F.coalesce("lookalike_kind", F.lit("")) == "punycode") | F.col("hostname").rlike(r"(^|\.)xn--")})
     any_form = lambda test: F.exists("forms", test)
     login = any_form(lambda f: f["has_password"] | (f["has_email_like"] & f["has_otp"]))
     out = out.withColumns({"brand_hit": brand_hit(F.col("_text"), root, F.col("hostname")), "brand_intent": F.col("has_password") | any_form(lambda f: f["has_password"] | f["has_otp"]) | (F.size("oauth_buttons") > 0), "has_pwd": F.col("has_password") | login, "urgent": F.col("_text").rlike("(?i)" + URGENT), "targets": form_targets(F.col("forms"), F.col("page_origin"), root, F.col("page_trusted"))})
@@ -397,8 +398,10 @@ def clickfix_commands(text: Column) -> dict[str, Column]:
 
 
 def clickfix(df: DataFrame, copied: str, shown: str) -> DataFrame:
-    """Severity and confidence that a page makes its visitor run a command (copied text, shown text)."""
-    out = df.withColumns(clickfix_commands(F.col(copied)))
+    """Severity and confidence that a page makes its visitor run a command (array of copied texts, shown text)."""
+    each = F.transform(copied, lambda c: F.struct(*[v.alias(k) for k, v in clickfix_commands(c).items()]))
+    out = df.withColumn("_each", F.filter(each, lambda x: x["techniques"] != ""))
+    out = out.withColumns({"techniques": F.array_join(F.array_distinct(F.flatten(F.transform("_each", lambda x: F.split(x["techniques"], ",")))), ","), "command_conf": F.coalesce(F.array_max(F.transform("_each", lambda x: x["command_conf"])), F.lit(0.0))}).drop("_each")
     s = F.substring(F.col(shown), 1, 20000)
     out = out.withColumns({"run_phrase": _count(s, RUN_PHRASES) > 0, "fake_verify": _count(s, VERIFY_PHRASES) > 0})
     bad = F.col("techniques") != ""
@@ -450,7 +453,7 @@ def dom_features(facts: DataFrame) -> DataFrame:
     return facts.withColumns({"has_password_field": F.col("has_password").cast("double"), "cross_origin_form": cross.cast("double"), "many_external_scripts": F.when(external >= 8, 1.0).when(external >= 4, 0.5).otherwise(0.0), "obfuscation": F.col("text_sample").rlike(blob).cast("double")})
 
 
-# (id, severity, category, points, condition) of the page rule registry. Callers may add their own.
+# Fixed values. (id, severity, category, points, condition) of the page rule registry. Callers may add their own.
 PAGE_RULES = (
     ("external-form-post", "critical", "phishing", -60, "page_external_post"),
     ("brand-keyword-mismatch", "high", "phishing", -35, "brand_text"),
@@ -469,16 +472,15 @@ def page_rules(facts: DataFrame, rules=PAGE_RULES) -> DataFrame:
     return facts.select("page_id", F.explode(rows).alias("r")).select("page_id", "r.*")
 
 
-def page_facts(pages: DataFrame, blocklist: DataFrame | None = None) -> DataFrame:
-    """All facts of pages, ready for scoring."""
+def page_facts(pages: DataFrame, blocklist: DataFrame | None = None, evidence=()) -> DataFrame:
+    """All facts of pages, ready for scoring. Pages may carry what only a browser sees (in_frame, hidden_overlay,
+    csp_weakened, layout_clone, layout_conf) and the columns of ``urls.EVIDENCE``, or other tables have those."""
     from .feeds import blocklist_match
-    from .urls import classify, host_facts, open_redirects, reputation, structure, url_features
+    from .urls import classify, host_facts, open_redirects, reputation, structure, url_features, with_evidence
 
-    out = open_redirects(structure(reputation(host_facts(page_context(pages)))))
-    defaults = {"age_days": "CAST(NULL AS DOUBLE)", "hops": "0", "chain_roots": "0", "allowlisted": "false", "trust_count": "0", "ext_malicious": "false", "ext_engines": "0"}
-    out = out.withColumns({k: F.expr(v) for k, v in defaults.items() if k not in out.columns})
-    flags = ("flow_relay", "flow_token_drift", "flow_iframe_swap", "flow_mfa_split", "flow_redirect_storm", "hidden_overlay", "csp_weakened", "layout_clone")
-    out = out.withColumns({k: F.lit(False) for k in flags if k not in out.columns} | {"layout_conf": F.lit(0.0)})
+    out = open_redirects(structure(reputation(host_facts(with_evidence(page_context(pages), evidence)))))
+    seen = {"hidden_overlay": "false", "csp_weakened": "false", "layout_clone": "false", "layout_conf": "0D"}
+    out = out.withColumns({k: F.expr(f"coalesce({k}, {v})" if k in out.columns else v) for k, v in seen.items()})
     out = blocklist_match(out, blocklist) if blocklist is not None else out.withColumn("blocklisted", F.lit(False))
     out = clone_facts(auth_layout(phishing(out)))
     out = security_context(out)

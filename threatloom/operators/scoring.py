@@ -136,9 +136,6 @@ def signal_rows(verdicts: DataFrame, key: str) -> DataFrame:
     return verdicts.select(key, F.posexplode("signals").alias("place", "s")).select(key, "place", F.col("s.id").alias("signal_id"), "s.category", "s.severity", "s.weight", "s.confidence", "s.contribution")
 
 
-_RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
-
-
 def top_signals(verdicts: DataFrame, n: int = 2) -> DataFrame:
     """verdicts with ``top``: ids of the n most negative signals, ties in order."""
     order = F.transform("signals", lambda s, i: F.struct(s["contribution"].alias("points"), i.alias("place"), s["id"].alias("id")))
@@ -153,8 +150,31 @@ def top_risks(verdicts: DataFrame, n: int = 5) -> DataFrame:
     return verdicts.withColumn("risks", F.transform(F.slice(F.array_sort(order), 1, n), lambda x: x["id"]))
 
 
-def url_verdicts(urls: DataFrame, blocklist: DataFrame | None = None, sensitivity: float = 1.0) -> DataFrame:
+def trust_adds(n: int = 5) -> Column:
+    """Ids of what earned trust, the first n in the order of the pipeline."""
+    return F.expr("slice(array_compact(array(" + ", ".join(f"CASE WHEN {cond} THEN '{i}' END" for i, _, cond in R.TRUST) + f")), 1, {n})")
+
+
+def explained(verdicts: DataFrame) -> DataFrame:
+    """verdicts with ``risks``, ``trust`` and ``rules_by_cap``: what a report names, gravest first."""
+    rules = F.transform("rules", lambda r, i: F.struct(r["cap"].alias("cap"), i.alias("place"), r["id"].alias("id")))
+    return top_risks(verdicts).withColumns({"trust": F.when(F.col("valid"), trust_adds()).otherwise(F.array().cast("array<string>")), "rules_by_cap": F.transform(F.array_sort(rules), lambda r: r["id"])})
+
+
+def bullets(verdicts: DataFrame, signal_phrases: dict[str, str], rule_phrases: dict[str, str], calm: str) -> DataFrame:
+    """verdicts with ``bullets``: at most four distinct phrases, of the three gravest risks, then of the rules in
+    their order, then, if there are fewer than two, of what earned trust; ``calm`` for a safe page without any."""
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    told = lambda ids, d: F.array_compact(F.transform(ids, lambda i: F.try_element_at(table(d), i)))
+    out = explained(verdicts)
+    grave = F.slice(F.array_distinct(F.concat(told(F.slice("risks", 1, 3), signal_phrases), told(F.transform("rules", lambda r: r["id"]), rule_phrases))), 1, 4)
+    out = out.withColumn("_told", grave)
+    out = out.withColumn("_told", F.when(F.size("_told") < 2, F.slice(F.array_distinct(F.concat("_told", told(F.col("trust"), signal_phrases))), 1, 4)).otherwise(F.col("_told")))
+    return out.withColumn("bullets", F.when((F.size("_told") == 0) & (F.col("status") == "safe"), F.array(F.lit(calm))).otherwise(F.col("_told"))).drop("_told")
+
+
+def url_verdicts(urls: DataFrame, blocklist: DataFrame | None = None, sensitivity: float = 1.0, evidence=()) -> DataFrame:
     """URL-only verdicts from end to end."""
     from .urls import url_facts
 
-    return score(url_facts(urls, blocklist), sensitivity)
+    return score(url_facts(urls, blocklist, evidence), sensitivity)

@@ -142,10 +142,23 @@ def url_features(parts: DataFrame) -> DataFrame:
 
 
 def no_page(df: DataFrame) -> DataFrame:
-    """Page features and facts of a URL whose page isn't known."""
-    zero = {k: F.lit(0.0) for k in ("has_password_field", "cross_origin_form", "many_external_scripts", "obfuscation")}
-    flags = ("has_auth", "creds", "external_post", "page_external_post", "brand_text", "brand_image", "cross_origin_creds", "page_cross_origin", "oauth_spoof", "mfa_only", "email_first", "layout_clone", "hidden_overlay", "csp_weakened")
-    return df.withColumns(zero | {k: F.lit(False) for k in flags} | {"clone_conf": F.lit(0.0), "layout_conf": F.lit(0.0), "phish_conf": F.lit(0.0), "page_cap": F.lit(None).cast("int"), "page_force": F.lit(None).cast("string"), "page_signals": F.array().cast(SIGNALS), "context_score": F.lit(0.0)})
+    """Page features and facts of a URL whose page isn't known. What its sign-in flow shows counts all the same."""
+    zero = ("has_password_field", "cross_origin_form", "many_external_scripts", "obfuscation", "clone_conf", "layout_conf", "phish_conf", "context_score")
+    flags = ("has_auth", "creds", "page_external_post", "brand_text", "brand_image", "page_cross_origin", "mfa_only", "email_first", "layout_clone", "hidden_overlay", "csp_weakened")
+    flows = {"external_post": "flow_relay", "cross_origin_creds": "flow_iframe_swap", "oauth_spoof": "flow_token_drift"}
+    return df.withColumns({k: F.lit(0.0) for k in zero} | {k: F.lit(False) for k in flags} | {k: F.col(v) for k, v in flows.items()} | {"page_cap": F.lit(None).cast("int"), "page_force": F.lit(None).cast("string"), "page_signals": F.array().cast(SIGNALS)})
+
+
+#: What other tables may know of a URL, and what counts where they don't.
+EVIDENCE = {"age_days": "CAST(NULL AS DOUBLE)", "hops": "0", "chain_roots": "0", "allowlisted": "false", "trust_count": "0", "ext_malicious": "false", "ext_engines": "0"} | {f"flow_{k}": "false" for k in ("relay", "token_drift", "iframe_swap", "mfa_split", "redirect_storm")}
+
+
+def with_evidence(parts: DataFrame, evidence=()) -> DataFrame:
+    """``parts`` with the columns of EVIDENCE: own ones, or those of other tables. ``evidence`` has pairs of a table and
+    the column that it is joined by (url, root, tab_id); a table has one row a key."""
+    for table, key in evidence:
+        parts = parts.join(table, key, "left")
+    return parts.withColumns({k: F.expr(f"coalesce({k}, {v})" if k in parts.columns else v) for k, v in EVIDENCE.items()})
 
 
 SIGNALS = "array<struct<id: string, category: string, severity: string, weight: double, confidence: double, contribution: bigint>>"
@@ -165,8 +178,9 @@ def signals(table=R.URL_SIGNALS, sensitivity: float = 1.0) -> Column:
 
 def classify(df: DataFrame) -> DataFrame:
     """Probability of the bundled linear classifier, rounded to hundredths; 0 on trusted roots."""
-    z = " + ".join([f"{R.CLASSIFIER_BIAS}D", *(f"{name} * {weight}D" for name, weight in R.CLASSIFIER)])
-    return df.withColumn("probability", F.expr(f"CASE WHEN trusted THEN 0D ELSE floor(1 / (1 + exp(-({z}))) * 100 + 0.5D) / 100 END"))
+    from .classifier import apply
+
+    return apply(df, {"bias": R.CLASSIFIER_BIAS, "weights": dict(R.CLASSIFIER)}, "probability")
 
 
 def top_contributors(n: int = 4) -> Column:
@@ -175,13 +189,9 @@ def top_contributors(n: int = 4) -> Column:
     return F.slice(F.transform(F.array_sort(F.filter(terms, lambda t: t["key"] < 0)), lambda t: F.struct(t["feature"].alias("feature"), (-t["key"]).alias("contribution"))), 1, n)
 
 
-def url_facts(urls: DataFrame, blocklist: DataFrame | None = None) -> DataFrame:
-    """All facts of URLs without their pages. ``urls`` may carry age_days, hops, chain_roots, allowlisted,
-    trust_count and external verdicts; what it lacks counts as unknown."""
-    out = open_redirects(structure(reputation(host_facts(url_parts(urls)))))
-    defaults = {"age_days": "CAST(NULL AS DOUBLE)", "hops": "0", "chain_roots": "0", "allowlisted": "false", "trust_count": "0", "ext_malicious": "false", "ext_engines": "0"}
-    out = out.withColumns({k: F.expr(v) for k, v in defaults.items() if k not in out.columns})
-    out = out.withColumns({f"flow_{k}": F.lit(False) for k in ("relay", "token_drift", "iframe_swap", "mfa_split", "redirect_storm") if f"flow_{k}" not in out.columns})
+def url_facts(urls: DataFrame, blocklist: DataFrame | None = None, evidence=()) -> DataFrame:
+    """All facts of URLs without their pages. ``urls`` may carry columns of EVIDENCE, or other tables have them."""
+    out = open_redirects(structure(reputation(host_facts(with_evidence(url_parts(urls), evidence)))))
     if blocklist is not None:
         from .feeds import blocklist_match
 

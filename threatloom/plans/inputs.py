@@ -1,11 +1,14 @@
 """Inputs that queries derive from the driver's tables, as SQL that Spark and an oracle both run.
 
 The tables hold hardly any hostile URL, form or secret, so rows are dressed up by their ids: every kind of
-input grows with its table. Secret-like strings are put together here, never written whole.
+input grows with its table. Secret-like strings are made up from digests.
 """
 
 from __future__ import annotations
 
+import hashlib
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 
 _HOSTILE = (
@@ -48,24 +51,33 @@ _FORMS = (
     "<p>phishing analysis of a phishing kit: tutorial, documentation, oauth2, pkce, threat intelligence</p>",
 )
 _FORM_CASES = " ".join(f"WHEN {i + 1} THEN '{f}'" for i, f in enumerate(_FORMS))
-#: page_id, url, html with a form or lure for eleven of twelve pages.
-PAGES = f"""SELECT u.url_id AS page_id, u.url, replace(p.html, '</body>', (CASE p.page_id % 12 {_FORM_CASES} ELSE '' END) || '</body>') AS html
+#: page_id, url, tab_id, age_days, in_frame, hidden_overlay, csp_weakened, html with a form or lure for eleven of twelve pages.
+PAGES = f"""SELECT u.url_id AS page_id, u.url, u.tab_id, u.age_days, p.page_id % 13 = 0 AS in_frame, p.page_id % 29 = 0 AS hidden_overlay, p.page_id % 31 = 0 AS csp_weakened, replace(p.html, '</body>', (CASE p.page_id % 12 {_FORM_CASES} ELSE '' END) || '</body>') AS html
   FROM ({URLS}) u JOIN pages p ON p.page_id = u.url_id"""
 
+def _sample(seed: str, n: int, letters: str) -> str:
+    """Made-up characters that look random, the same in every run."""
+    digest = b"".join(hashlib.sha256(f"{seed}{i}".encode()).digest() for i in range(n // 32 + 1))
+    return "".join(letters[x % len(letters)] for x in digest[:n])
+
+
+_UPPER, _ANY = string.ascii_uppercase + string.digits, string.ascii_letters + string.digits
+SAMPLE_KEY, SAMPLE_TOKEN = "AKIA" + _sample("key", 16, _UPPER), "ghp_" + _sample("token", 36, _ANY)
 _SECRETS = (
-    "'AKIA' || 'ABCDEFGHIJKLMN' || 'OP'",
-    "'ghp' || '_' || 'abcdefghijklmnopqrstuvwxyz' || '0123456789'",
-    "'card 4111 1111 ' || '1111 1111 now'",
-    "'iban GB82WEST' || '12345698765432 ok'",
-    "'ssn 123-' || '45-6789 here'",
-    "'pan ABCDE' || '1234F end'",
-    "'eyJhbGciOiJI' || '.eyJzdWIiOiIx' || '.dBjftJeZ4CVP'",
-    "'test card 4242 4242 ' || '4242 4242'",
-    "'recovery code AB12-' || 'CD34-EF56'",
-    "'mail me at someone@' || 'example.org or +1 212-555-0147'",
+    SAMPLE_KEY,
+    SAMPLE_TOKEN,
+    "card 5500 0000 0000 0004 now",
+    "iban DE89370400440532013000 ok",
+    "ssn 219-09-9999 here",
+    "pan " + _sample("pan", 5, string.ascii_uppercase) + _sample("pan", 4, string.digits) + "K end",
+    ".".join(("eyJ" + _sample("head", 9, _ANY), "eyJ" + _sample("body", 9, _ANY), _sample("mark", 12, _ANY))),
+    "test card 4242 4242 4242 4242",
+    "recovery code " + "-".join(_sample(f"code{i}", 4, _UPPER) for i in range(3)),
+    "mail me at someone@example.org or +1 212-555-0147",
+    "seed " + " ".join(_sample(f"word{i}", 3 + i % 5, string.ascii_lowercase) for i in range(12)) + ".",
 )
-_SECRET_CASES = " ".join(f"WHEN {i} THEN ' ' || {s}" for i, s in enumerate(_SECRETS))
-#: doc_id, text with something secret-like at the end of ten of sixteen texts.
+_SECRET_CASES = " ".join(f"WHEN {i} THEN ' {s}'" for i, s in enumerate(_SECRETS))
+#: doc_id, text with something secret-like at the end of eleven of sixteen texts.
 TEXTS = f"SELECT doc_id, coalesce(text, '') || (CASE doc_id % 16 {_SECRET_CASES} ELSE '' END) AS text, source FROM documents"
 
 #: feed_id, feed_ord, line_no, line.
@@ -75,7 +87,7 @@ FEED = """SELECT CASE page_id % 3 WHEN 0 THEN 'urlhaus' WHEN 1 THEN 'phishing-ar
 
 #: flow_id, seq, ts, kind, origin, post_origin, in_iframe.
 STEPS = """SELECT user_id AS flow_id, event_id AS seq, ts,
-  CASE event_type WHEN 'view' THEN 'entry' WHEN 'click' THEN 'redirect' WHEN 'signup' THEN 'credential' WHEN 'purchase' THEN 'mfa' ELSE 'token' END AS kind,
+  CASE WHEN event_id % 7 = 3 THEN 'oauth' WHEN event_type = 'view' THEN 'entry' WHEN event_type = 'click' THEN 'redirect' WHEN event_type = 'signup' THEN 'credential' WHEN event_type = 'purchase' THEN 'mfa' ELSE 'token' END AS kind,
   'https://o' || (event_id % 6) || '.example' AS origin, CASE WHEN event_id % 4 = 0 THEN 'https://p' || (event_id % 5) || '.example' ELSE NULL END AS post_origin, event_id % 9 = 0 AS in_iframe FROM events"""
 
 #: tab_id, seq, ts, kind, url.
@@ -86,6 +98,13 @@ NAVIGATION = """SELECT user_id AS tab_id, event_id AS seq, ts, CASE WHEN event_t
 ACTIVITY = """SELECT user_id AS profile_id, ts AS at, event_type AS kind, 'h' || (event_id % 20) || '.example' AS host, event_id % 101 AS score,
   CASE WHEN event_id % 101 >= 71 THEN 'safe' WHEN event_id % 101 >= 41 THEN 'suspicious' ELSE 'dangerous' END AS status FROM events"""
 
+# What is known of URLs beside themselves: an outside service's findings, roots that were trusted before, roots that are
+# allowed by hand. (url, ext_malicious, ext_engines), (root of host, trust_count), (root of host)
+EXTERNAL = f"""SELECT url, max(CASE WHEN url_id % 60 = 0 THEN 1 ELSE 0 END) = 1 AS ext_malicious, max(CASE WHEN url_id % 60 = 30 THEN url_id % 7 ELSE 0 END) AS ext_engines
+  FROM ({URLS}) u WHERE url_id % 30 = 0 GROUP BY url"""
+TRUSTED_HOSTS = f"SELECT url, url_id FROM ({URLS}) u WHERE url_id % 24 IN (1, 18, 19, 22)"
+ALLOWED_HOSTS = f"SELECT url, url_id FROM ({URLS}) u WHERE url_id % 24 IN (10, 17, 20)"
+
 _TABLES = {"pages", "documents", "events", "labels", "conversations"}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import feeds, scoring, urls
+from ..operators import events, feeds, scoring, urls
 from . import inputs as I
 from . import oracle_parts as O
 
@@ -39,8 +39,22 @@ def blocklist(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(feeds.feed_host(F.col("line")).alias("host"), F.lit("feed").alias("source")).where("host IS NOT NULL").distinct()
 
 
+def evidence(spark: SparkSession, sf: str) -> list[tuple[DataFrame, str]]:
+    """What the tables tell of URLs beside themselves: the last redirect chain and the sign-in flow of their tab, an
+    outside service's findings, roots that were trusted before and roots that are allowed."""
+    chains = events.redirect_facts(events.redirect_chains(I.derived(spark, sf, I.NAVIGATION)))
+    chains = chains.groupBy("tab_id").agg(F.max_by(F.struct(F.col("n_hops").alias("hops"), "chain_roots"), "chain_no").alias("c")).select("tab_id", "c.*")
+    flags = [f"flow_{k}" for k in ("relay", "token_drift", "iframe_swap", "mfa_split", "redirect_storm")]
+    flows = events.auth_flows(I.derived(spark, sf, I.STEPS))
+    flows = flows.groupBy(F.col("flow_id").alias("tab_id")).agg(F.max_by(F.struct(*flags), F.struct("ts", "seq")).alias("f")).select("tab_id", "f.*")
+    roots = lambda text: urls.url_parts(I.derived(spark, sf, text)).where("valid").select("root")
+    learned = events.learned_safe(roots(I.TRUSTED_HOSTS).withColumn("ts", F.lit(0))).drop("last_ts")
+    allowed = roots(I.ALLOWED_HOSTS).distinct().withColumn("allowlisted", F.lit(True))
+    return [(chains, "tab_id"), (flows, "tab_id"), (I.derived(spark, sf, I.EXTERNAL), "url"), (learned, "root"), (allowed, "root")]
+
+
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    return urls.url_facts(url_table(spark, sf), blocklist(spark, sf))
+    return urls.url_facts(url_table(spark, sf), blocklist(spark, sf), evidence(spark, sf))
 
 
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +89,7 @@ def u4(spark, sf):
 
 
 def _one_signal(*wanted: str) -> str:
-    return O.TO_FACTS + ",\n" + O.SIGNALS + "SELECT url_id, s.id AS signal_id, s.weight AS weight, round(s.confidence, 6) AS confidence, s.contribution AS contribution FROM (SELECT url_id, unnest(signals) AS s FROM sig) WHERE s.id IN " + O.members(wanted)
+    return O.TO_FACTS + ",\n" + O.SIGNALS + "SELECT url_id, s.id AS signal_id, s.weight AS weight, round(s.confidence, 6) AS confidence, s.contribution AS contribution FROM (SELECT url_id, unnest(url_signals) AS s FROM sig WHERE valid) WHERE s.id IN " + O.members(wanted)
 
 
 def _signal_query(name: str, *wanted: str):
@@ -168,7 +182,7 @@ def j8(spark, sf):
 # scoring --------------------------------------------------------------------------------------------
 
 
-@query("a1_signal_contributions", O.TO_FACTS + ",\n" + O.SIGNALS + "SELECT url_id, s.place AS place, s.id AS signal_id, s.category AS category, s.severity AS severity, s.contribution AS contribution FROM (SELECT url_id, unnest(list_transform(signals, lambda s, i: struct_pack(place := i - 1, id := s.id, category := s.category, severity := s.severity, contribution := s.contribution))) AS s FROM sig)")
+@query("a1_signal_contributions", O.TO_FACTS + ",\n" + O.SIGNALS + "SELECT url_id, s.place AS place, s.id AS signal_id, s.category AS category, s.severity AS severity, s.contribution AS contribution FROM (SELECT url_id, unnest(list_transform(signals, lambda s, i: struct_pack(place := i - 1, id := s.id, category := s.category, severity := s.severity, contribution := s.contribution))) AS s FROM (SELECT url_id, url_signals AS signals FROM sig WHERE valid))")
 def a1(spark, sf):
     rows = facts(spark, sf).where("valid").select("url_id", F.posexplode(urls.signals()).alias("place", "s"))
     return rows.select("url_id", F.col("place").cast("long").alias("place"), F.col("s.id").alias("signal_id"), "s.category", "s.severity", "s.contribution")

@@ -11,7 +11,7 @@ from ..sources.shared import shared_path
 from ..streaming import streams
 from . import inputs as I
 from . import oracle_parts as O
-from .queries import blocklist, feed_table, query, url_table, verdicts
+from .queries import blocklist, evidence, feed_table, query, url_table, verdicts
 
 
 def navigation(spark, sf) -> DataFrame:
@@ -41,10 +41,7 @@ def w3(spark, sf):
     return events.scan_dedupe(navigation(spark, sf)).select("tab_id", "seq", "url")
 
 
-_FLOWS = f"""WITH steps AS ({I.STEPS}), w AS (SELECT *, list(struct_pack(ts := ts, seq := seq, kind := kind, origin := origin, post_origin := post_origin, in_iframe := in_iframe)) OVER (PARTITION BY flow_id ORDER BY ts RANGE BETWEEN INTERVAL 300 SECONDS PRECEDING AND CURRENT ROW) AS s0 FROM steps),
-s AS (SELECT flow_id, seq, list_sort(list_filter(s0, lambda x: x.ts < ts OR x.seq <= seq))[-64:] AS s FROM w), k AS (SELECT *, list_filter(s, lambda x: x.kind IN ('credential', 'mfa')) AS creds, list_filter(s, lambda x: x.kind = 'entry')[1] AS entry, list_filter(s, lambda x: x.kind = 'credential')[1] AS pw, list_filter(s, lambda x: x.kind = 'mfa')[1] AS mfa FROM s)
-SELECT flow_id, seq, len(s) AS n_steps, len(s) >= 2 AND len(list_filter(creds, lambda x: x.post_origin IS NOT NULL AND NOT list_contains(list_transform(s, lambda y: y.origin), x.post_origin))) > 0 AS flow_relay, false AS flow_token_drift,
-coalesce(len(s) >= 2 AND len(list_filter(creds, lambda x: x.in_iframe AND x.origin <> entry.origin)) > 0, false) AS flow_iframe_swap, len(s) >= 2 AND len(list_distinct(list_transform(list_filter(s, lambda x: x.kind = 'redirect'), lambda x: x.origin))) >= 4 AS flow_redirect_storm, coalesce(len(s) >= 2 AND pw.origin <> mfa.origin, false) AS flow_mfa_split FROM k"""
+_FLOWS = f"WITH {O.FLOWS} SELECT flow_id, seq, n_steps, flow_relay, flow_token_drift, flow_iframe_swap, flow_redirect_storm, flow_mfa_split FROM flow_rows"
 
 
 @query("w4_auth_flow_anomalies", _FLOWS)
@@ -61,9 +58,15 @@ def w5(spark, sf):
     return shown.groupBy("host", "kind").agg(F.count(F.lit(1)).alias("n_shown"), F.min("ts").alias("first_shown"), F.max("ts").alias("last_shown"))
 
 
-@query("w6_rate_budget")
+_CALLS = "SELECT event_id % 50 AS key, ts FROM events"
+
+
+# a call by the last three allowed ones before it, from the first call of each key on
+@query("w6_rate_budget", f"""WITH RECURSIVE calls AS ({_CALLS}), c AS (SELECT key, ts, row_number() OVER (PARTITION BY key ORDER BY ts) AS i, count(*) OVER (PARTITION BY key) AS n FROM calls),
+r AS (SELECT key, 0::BIGINT AS i, NULL::TIMESTAMP AS a, NULL::TIMESTAMP AS b, NULL::TIMESTAMP AS c, 0::BIGINT AS allowed FROM c WHERE i = 1 UNION ALL SELECT r.key, c.i, CASE WHEN ok THEN r.b ELSE r.a END, CASE WHEN ok THEN r.c ELSE r.b END, CASE WHEN ok THEN c.ts ELSE r.c END, r.allowed + ok::INT FROM r JOIN c ON c.key = r.key AND c.i = r.i + 1, LATERAL (SELECT r.a IS NULL OR r.a < c.ts - INTERVAL 3600 SECONDS AS ok))
+SELECT key, max(i) AS n_calls, max(allowed) AS n_allowed FROM r GROUP BY key""")
 def w6(spark, sf):
-    return events.rate_budget(I.derived(spark, sf, "SELECT event_id % 50 AS key, ts FROM events"), 3, 3600.0)
+    return events.rate_budget(I.derived(spark, sf, _CALLS), 3, 3600.0)
 
 
 # joins as of a time ---------------------------------------------------------------------------------
@@ -105,26 +108,58 @@ def g4(spark, sf):
     return scoring.top_signals(verdicts(spark, sf)).select("url_id", F.array_join("top", ",").alias("top"))
 
 
-@query("g5_explain_risks", O.TO_VERDICTS + "SELECT url_id, array_to_string(list_transform(list_sort(list_transform(list_filter(signals, lambda s: s.contribution < 0), lambda s: struct_pack(r := CASE s.severity WHEN 'critical' THEN -4 WHEN 'high' THEN -3 WHEN 'medium' THEN -2 WHEN 'low' THEN -1 ELSE 0 END, c := s.contribution, p := s.place, id := s.id)))[1:5], lambda s: s.id), ',') AS risks FROM verdicts")
+_RISKS = "list_transform(list_sort(list_transform(list_filter(signals, lambda s: s.contribution < 0), lambda s: struct_pack(r := CASE s.severity WHEN 'critical' THEN -4 WHEN 'high' THEN -3 WHEN 'medium' THEN -2 WHEN 'low' THEN -1 ELSE 0 END, c := s.contribution, p := s.place, id := s.id)))[1:5], lambda s: s.id)"
+_TRUSTED = "CASE WHEN valid THEN list_filter([" + ", ".join(f"CASE WHEN {cond} THEN '{i}' END" for i, _, cond in scoring.R.TRUST) + "], lambda x: x IS NOT NULL)[1:5] ELSE [] END"
+_BY_CAP = "list_transform(list_sort(list_transform(rules, lambda r, i: struct_pack(cap := r.cap, i := i, id := r.id))), lambda r: r.id)"
+
+
+@query("g5_explain_risks", O.TO_VERDICTS + f"SELECT url_id, array_to_string({_RISKS}, ',') AS risks, array_to_string({_TRUSTED}, ',') AS trust, array_to_string({_BY_CAP}, ',') AS rules FROM verdicts")
 def g5(spark, sf):
-    return scoring.top_risks(verdicts(spark, sf)).select("url_id", F.array_join("risks", ",").alias("risks"))
+    rows = scoring.explained(verdicts(spark, sf))
+    return rows.select("url_id", *[F.array_join(c, ",").alias(a) for c, a in (("risks", "risks"), ("trust", "trust"), ("rules_by_cap", "rules"))])
 
 
-#: Plain phrases of signals and rules, for readers of a report.
+#: Plain phrases of signals and of what earns trust, for readers of a report.
 PHRASES = {
     "no-https": "Anything typed here could be read on the way.", "userinfo": "The address begins with a user name, which hides the real site.", "ip-host": "The site has a bare number for a name.",
     "lookalike": "The address looks like that of a well-known site.", "threat-blocklist": "The site is on a list of known threats.", "brand-subdomain-spoof": "A well-known name stands in front of another site's address.",
     "open-redirect": "The link leads on to another site.", "new-domain": "The site is very new.", "auth-keyword": "The address itself contains sign-in words.", "mixed-script-host": "The address mixes alphabets.",
+    "many-dashes": "The address has an odd number of dashes.", "deep-subdomain": "The address has more parts than most.", "long-host": "The address is very long.", "long-redirects": "Many detours led to this page.",
+    "cross-domain-redirects": "Several other sites were passed on the way here.", "gsb": "A safe-browsing service warns of this address.", "vt": "Security vendors warn of this address.", "tld-swap": "A known name stands here with another ending.",
+    "abused-tld": "Addresses with this ending are often abused.", "url-shortener": "A short link hides where it leads.", "phishy-token": "The address has wording that lures use.", "ml-phishing-structure": "The address is built like those of fake pages.",
+    "brand-impersonation": "The page bears a well-known name that isn't its own.", "domain-spoofing": "The address passes itself off as another site's.", "form-javascript": "A script decides where the sign-in goes.", "external-form-post": "What is typed here goes to another site.",
+    "form-get": "The sign-in would put secrets into the address.", "hidden-login-fields": "The sign-in has fields that nobody sees.", "iframe-credential-form": "The sign-in box comes from elsewhere.", "oauth-impersonation": "A sign-in button isn't the provider's own.",
+    "auth-phrasing": "The page presses for a sign-in.", "iframe-login": "The sign-in happens inside a frame.", "generic-enterprise-auth": "The page poses as a company sign-in.", "clone": "The page looks like a copy.",
+    "authflow:credential-relay": "A sign-in was passed on to another site.", "authflow:oauth-token-drift": "The sign-in came back from another place than it began.", "authflow:iframe-origin-swap": "A frame of the sign-in changed its origin.",
+    "authflow:mfa-origin-split": "Password and code were asked for by different sites.", "authflow:redirect-storm": "The sign-in jumped between many sites.",
+    "https-trust": "The connection is private.", "known-reputable": "The site is well known.", "trusted-provider": "The site is a known sign-in provider.", "allowlist-trust": "The site is on the list of allowed ones.",
+    "learned-safe-trust": "The site was fine before.", "no-auth-risk": "The page asks for no sign-in.", "established-domain": "The site has been there for long.",
 }
+#: Plain phrases of arbitration rules.
+RULE_PHRASES = {
+    "threat-blocklist": "The site is on a list of known threats.", "brand-subdomain-creds": "A sign-in borrows a well-known name in its address.", "tld-swap-creds": "A sign-in uses a known name with another ending.", "tld-swap": "A known name stands here with another ending.",
+    "brand-subdomain": "A well-known name stands in front of another site's address.", "external-post-clone": "A copied page sends what is typed to another site.", "external-post": "What is typed here goes to another site.", "lookalike-creds": "A sign-in stands on an address that looks like a well-known one.",
+    "brand-creds": "A sign-in bears a name that isn't the site's own.", "clone-auth": "A copied page asks for a sign-in.", "idn-creds": "A sign-in stands on an address in mixed alphabets.", "cross-origin-credentials": "The sign-in box belongs to another site.", "oauth-spoof": "The sign-in passes through a wrong place.",
+    "mfa-harvest": "An unknown page asks for a code alone.", "auth-layout-clone": "The sign-in is laid out like a known provider's.", "lookalike-strong": "The address is nearly that of a well-known site.", "idn-auth": "The address uses look-alike letters before a sign-in.", "idn": "The address uses look-alike letters.",
+    "auth-layout-soft-unknown": "The layout is that of a known sign-in.", "clone-medium": "Much of the page looks copied.", "clone-soft": "Some of the page looks copied.", "brand-text": "The page speaks in the name of another site.", "unknown-login": "Nobody knows who runs this sign-in.", "unknown-auth": "Nobody knows who asks for a sign-in here.",
+    "abused-tld-auth": "A sign-in stands on an ending that is often abused.", "hidden-overlay": "Something unseen lies over the page.", "email-first": "An unknown page asks for an e-mail address first.", "auth-layout-soft": "The layout resembles a known sign-in.", "trusted-but-suspicious": "Something is amiss on a site of good name.",
+}
+CALM = "Nothing speaks against this page."
+
+
+def _told(ids: str, phrases: dict[str, str]) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in phrases.items())
+    return f"list_filter(list_transform({ids}, lambda x: CASE x {cases} END), lambda x: x IS NOT NULL)"
 
 
-@query("g6_explain_bullets")
+_FIRST_OF_EACH = lambda c: f"list_filter({c}, lambda x, i: list_position({c}, x) = i)[1:4]"
+
+
+@query("g6_explain_bullets", O.TO_VERDICTS + f""", b0 AS (SELECT url_id, status, list_concat({_told(f"({_RISKS})[1:3]", PHRASES)}, {_told("list_transform(rules, lambda r: r.id)", RULE_PHRASES)}) AS told, {_told(_TRUSTED, PHRASES)} AS trust FROM verdicts), b1 AS (SELECT url_id, status, {_FIRST_OF_EACH("told")} AS told, trust FROM b0),
+b2 AS (SELECT url_id, status, CASE WHEN len(told) < 2 THEN list_concat(told, trust) ELSE told END AS told FROM b1), b3 AS (SELECT url_id, status, {_FIRST_OF_EACH("told")} AS told FROM b2) SELECT url_id, CASE WHEN len(told) = 0 AND status = 'safe' THEN '{CALM}' ELSE array_to_string(told, ' | ') END AS bullets FROM b3""")
 def g6(spark, sf):
-    """At most four distinct phrases of the three gravest risks, by a join with the phrase table."""
-    table = F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])
-    rows = scoring.top_risks(verdicts(spark, sf), 3)
-    phrases = F.array_compact(F.transform("risks", lambda r: table[r]))
-    return rows.select("url_id", F.array_join(F.slice(F.array_distinct(phrases), 1, 4), " | ").alias("bullets"))
+    rows = scoring.bullets(verdicts(spark, sf), PHRASES, RULE_PHRASES, CALM)
+    return rows.select("url_id", F.array_join("bullets", " | ").alias("bullets"))
 
 
 _RECENT = "WITH a AS (SELECT user_id AS profile_id, ts AS seen, event_id AS seq, event_type AS kind FROM events), m AS (SELECT max(seen) AS now FROM a), r AS (SELECT a.*, row_number() OVER (PARTITION BY profile_id ORDER BY seen DESC, seq DESC) AS rank FROM a, m WHERE seen >= now - INTERVAL 7 DAYS)"
@@ -133,16 +168,14 @@ _RECENT = "WITH a AS (SELECT user_id AS profile_id, ts AS seen, event_id AS seq,
 @query("g7_recent_activity", _RECENT + "SELECT profile_id, seq, kind, CAST(rank AS INT) AS rank FROM r WHERE rank <= 200")
 def g7(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet").selectExpr("user_id AS profile_id", "ts AS at", "event_id AS seq", "event_type AS kind")
-    now = rows.agg(F.max("at")).first()[0]
-    return events.recent_activity(rows, F.lit(now)).select("profile_id", "seq", "kind", "rank")
+    return events.recent_activity(rows, rows.agg(F.max("at")).scalar()).select("profile_id", "seq", "kind", "rank")
 
 
 @query("g8_activity_sweep", "WITH m AS (SELECT max(ts) AS now FROM events) SELECT count(*) FILTER (WHERE ts >= now - INTERVAL 7 DAYS) AS kept, count(*) FILTER (WHERE ts < now - INTERVAL 7 DAYS) AS removed FROM events, m")
 def g8(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet")
-    now = rows.agg(F.max("ts")).first()[0]
-    old = F.col("ts") < F.lit(now) - F.expr("INTERVAL 7 DAYS")
-    return rows.agg(F.count_if(~old).alias("kept"), F.count_if(old).alias("removed"))
+    old = F.col("ts") < rows.agg(F.max("ts")).scalar() - F.expr("INTERVAL 7 DAYS")
+    return rows.select(old.alias("old")).agg(F.count_if(~F.col("old")).alias("kept"), F.count_if(F.col("old")).alias("removed"))
 
 
 @query("g9_latency_profile", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, max(CASE WHEN r = least(n - 1, floor(n * 0.95)) THEN value END) AS p95 FROM r GROUP BY event_type")
@@ -151,11 +184,16 @@ def g9(spark, sf):
     return rows.withColumn("mean", F.round("mean", 6))
 
 
-@query("g10_replay_metrics", "SELECT count(*) FILTER (WHERE l.toxic = 1) AS n_bad, round(avg(CASE WHEN l.quality = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE l.toxic = 1), 6) AS recall, round(avg(CASE WHEN l.quality = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE l.toxic = 0), 6) AS false_positive_rate FROM documents JOIN labels l USING (doc_id)")
+#: URLs of the inputs that are hostile by how they are made, and those that aren't.
+_BAD, _GOOD = "url_id % 24 IN (8, 9, 10, 17, 18, 21, 22, 23)", "url_id % 24 < 8"
+
+
+@query("g10_replay_metrics", O.TO_VERDICTS + f"SELECT count(*) FILTER (WHERE {_BAD}) AS n_bad, round(avg(CASE WHEN status <> 'safe' THEN 1.0 ELSE 0.0 END) FILTER (WHERE {_BAD}), 6) AS recall, round(avg(CASE WHEN status = 'dangerous' THEN 1.0 ELSE 0.0 END) FILTER (WHERE {_GOOD}), 6) AS false_positive_rate FROM verdicts")
 def g10(spark, sf):
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
-    hit = F.when(F.col("quality") == 0, 1.0).otherwise(0.0)
-    return rows.agg(F.count_if(F.col("toxic") == 1).alias("n_bad"), F.round(F.avg(F.when(F.col("toxic") == 1, hit)), 6).alias("recall"), F.round(F.avg(F.when(F.col("toxic") == 0, hit)), 6).alias("false_positive_rate"))
+    """Live verdicts against what is known of the URLs: recall of hostile ones, and how many others are called dangerous."""
+    rate = lambda hit, of: F.round(F.avg(F.when(F.expr(of), F.when(hit, 1.0).otherwise(0.0))), 6)
+    status = F.col("status")
+    return verdicts(spark, sf).agg(F.count_if(F.expr(_BAD)).alias("n_bad"), rate(status != "safe", _BAD).alias("recall"), rate(status == "dangerous", _GOOD).alias("false_positive_rate"))
 
 
 # sources and sinks ----------------------------------------------------------------------------------
@@ -170,7 +208,10 @@ def s1(spark, sf):
     return lines.groupBy("feed_id").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("line").alias("n_distinct"))
 
 
-@query("s2_read_upload_files")
+_PACKED = f"list_reduce(list_transform(docs, lambda d: [d]), lambda a, d: CASE WHEN length(a[-1]) + length(d[1]) + 2 <= {readers.MAX_TEXT} THEN a[1:-2] || [a[-1] || chr(10) || d[1]] ELSE a || d END)"
+
+
+@query("s2_read_upload_files", f"WITH g AS (SELECT doc_id // 64 AS g, list(text ORDER BY doc_id, text) AS docs FROM documents WHERE text IS NOT NULL GROUP BY 1), f AS (SELECT unnest({_PACKED}) AS value FROM g) SELECT least(length(value) + 1, {readers.MAX_TEXT}) AS n_chars, strlen(value) + 1 AS size FROM f WHERE strlen(value) + 1 <= {readers.MAX_FILE}")
 def s2(spark, sf):
     path = shared_path(spark, "uploads")
     rows = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL")
@@ -291,7 +332,7 @@ def t6(spark, sf):
     source, path = shared_path(spark, "urls"), shared_path(spark, "activity")
     table = url_table(spark, sf)
     table.write.parquet(source)
-    streams.verdicts_to(spark.readStream.schema(table.schema).parquet(source), blocklist(spark, sf), path)
+    streams.verdicts_to(spark.readStream.schema(table.schema).parquet(source), blocklist(spark, sf), path, evidence(spark, sf))
     return spark.read.parquet(path).select("url_id", "host", "score", "status")
 
 

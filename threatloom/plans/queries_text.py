@@ -9,8 +9,9 @@ from ..functions import constants as C
 from ..operators import classifier, dlp, feeds, pages, scoring, urls
 from ..session import spread
 from . import inputs as I
+from . import oracle_pages as OP
 from . import oracle_parts as O
-from .queries import blocklist, feed_table, query, url_table
+from .queries import SQL, blocklist, evidence, feed_table, query, url_table
 
 _TEXTS = f"WITH texts AS ({I.TEXTS})"
 
@@ -42,9 +43,9 @@ def d2(spark, sf):
     return dlp.entropy_blobs(texts(spark, sf))
 
 
-@query("d3_shannon_entropy", _TEXTS + "SELECT doc_id, round(list_aggregate(string_split(left(text, 2000), ''), 'entropy'), 6) AS entropy FROM texts WHERE length(text) > 0")
+@query("d3_shannon_entropy", _TEXTS + "SELECT doc_id, round(list_aggregate(string_split(text, ''), 'entropy'), 6) AS entropy FROM texts WHERE length(text) > 0")
 def d3(spark, sf):
-    return texts(spark, sf).where(F.length("text") > 0).select("doc_id", F.round(dlp.entropy(F.left("text", F.lit(2000))), 6).alias("entropy"))
+    return texts(spark, sf).where(F.length("text") > 0).select("doc_id", F.round(dlp.entropy(F.col("text")), 6).alias("entropy"))
 
 
 _CARDS = _TEXTS + ", c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b(?:\\d[ -]*?){13,19}\\b')) AS card FROM texts), d AS (SELECT doc_id, regexp_replace(card, '[^0-9]', '', 'g') AS digits FROM c)"
@@ -77,18 +78,20 @@ def d6(spark, sf):
     return rows.select("doc_id", "digits", dlp.aadhaar(F.col("digits")).alias("valid"))
 
 
-_W12 = "array_to_string(regexp_extract_all(text, '[a-z]+')[1:12], ' ')"
+_RUNS = "list_filter(list_transform(string_split(array_to_string(list_transform(regexp_split_to_array(text, '[ \\t\\n\\f\\r]+'), lambda t: CASE WHEN regexp_full_match(t, '[a-z]{3,8}') THEN t ELSE '|' END), ' '), '|'), lambda r: string_split(trim(r), ' ')), lambda w: len(w) >= 12)"
 
 
-@query("d7_mnemonic_check", _TEXTS + f", c AS (SELECT doc_id, {_W12} AS p, regexp_extract_all(text, '[a-z]+')[1:12] AS w FROM texts) SELECT doc_id, len(w) = 12 AND len(list_filter(w, lambda x: length(x) BETWEEN 3 AND 8)) = 12 AND len(list_distinct(w)) >= 8.4 AND list_aggregate(string_split(array_to_string(w, ''), ''), 'entropy') > 3.4 AS valid FROM c")
+@query("d7_mnemonic_check", _TEXTS + f""", r AS (SELECT doc_id, unnest({_RUNS}) AS w FROM texts), n AS (SELECT doc_id, w, unnest([12, 15, 18, 21, 24]) AS n FROM r), p AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: w[i:i + n - 1])) AS p FROM n WHERE len(w) >= n)
+SELECT doc_id, len(p) AS n_words, count(*) AS n_phrases FROM p WHERE len(list_distinct(p)) >= len(p) * 0.7e0 AND list_aggregate(string_split(array_to_string(p, ''), ''), 'entropy') > 3.4 GROUP BY ALL""")
 def d7(spark, sf):
-    phrase = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)), 1, 12), " ")
-    return texts(spark, sf).select("doc_id", dlp.mnemonic(phrase).alias("valid"))
+    rows = texts(spark, sf).select("doc_id", F.explode(dlp.mnemonic_phrases(F.col("text"))).alias("p"))
+    rows = rows.where(dlp.mnemonic(F.col("p"))).select("doc_id", (F.regexp_count("p", F.lit(" ")) + 1).cast("long").alias("n_words"))
+    return rows.groupBy("doc_id", "n_words").agg(F.count(F.lit(1)).alias("n_phrases"))
 
 
-@query("d8_redact", _TEXTS + f"SELECT doc_id, {_HIDE.format(v='source')} AS source_hidden, {_HIDE.format(v='left(text, 30)')} AS text_hidden FROM texts")
+@query("d8_redact", _TEXTS + f"SELECT doc_id, {_HIDE.format(v='source')} AS source_hidden, {_HIDE.format(v='text')} AS text_hidden FROM texts")
 def d8(spark, sf):
-    return texts(spark, sf).select("doc_id", dlp.redact(F.col("source")).alias("source_hidden"), dlp.redact(F.left("text", F.lit(30))).alias("text_hidden"))
+    return texts(spark, sf).select("doc_id", dlp.redact(F.col("source")).alias("source_hidden"), dlp.redact(F.col("text")).alias("text_hidden"))
 
 
 @query("d9_suppress_findings")
@@ -161,11 +164,18 @@ def d15(spark, sf):
 _LOGGED = "CASE WHEN length(v) > 64 THEN left(v, 32) || '…[trunc]' WHEN regexp_matches(v, '(?i)^https?://') THEN CASE WHEN regexp_extract(v, '(?i)^https?://(?:[^/?#@]*@)?([^/?#]*)', 1) = '' THEN '[url]' ELSE lower(regexp_extract(v, '(?i)^https?://(?:[^/?#@]*@)?([^/?#]*)', 1)) END WHEN contains(v, '@') AND regexp_matches(v, '(?i)\\.[a-z]{2,}') THEN '[email]' WHEN regexp_matches(v, '[A-Za-z0-9_\\-]{20,}') THEN '[token]' ELSE v END"
 
 
-@query("d16_redact_log_payload", f"WITH {O.URLS}, v AS (SELECT url_id, url AS v FROM urls UNION ALL SELECT url_id, 'user' || url_id || '@mail.example' FROM urls) SELECT url_id, {_LOGGED} AS logged FROM v")
+#: A log entry of each kind of value: strings, numbers, secret-named keys, nested entries, arrays.
+_ENTRY = """SELECT url_id, map('url', url, 'who', concat('user', url_id, '@mail.example'), 'code', concat('k', url_id), 'auth_header', concat('x', url_id)) AS plain, array(url, concat('n', url_id), 'a', 'b', 'c', 'd', 'e', 'f', 'g', 'h', 'i', 'j') AS items FROM urls"""
+_KEYED = "SELECT url_id, unnest(['url', 'who', 'code', 'auth_header']) AS k, unnest([url, 'user' || url_id || '@mail.example', 'k' || url_id, 'x' || url_id]) AS v FROM urls"
+_ITEMS = "SELECT url_id, 'items' AS k, unnest([url, 'n' || url_id, 'a', 'b', 'c', 'd', 'e', 'f', 'g', 'h']) AS v FROM urls"
+
+
+@query("d16_redact_log_payload", f"WITH {O.URLS}, v AS ({_KEYED} UNION ALL {_ITEMS}) SELECT url_id, k AS key, CASE WHEN regexp_matches(k, '(?i)value|token|password|secret|cookie|auth|email') THEN '[redacted]' ELSE {_LOGGED} END AS logged FROM v")
 def d16(spark, sf):
-    table = url_table(spark, sf)
-    rows = table.select("url_id", F.col("url").alias("v")).unionByName(table.select("url_id", F.concat(F.lit("user"), "url_id", F.lit("@mail.example")).alias("v")))
-    return rows.select("url_id", dlp.log_payload(F.col("v")).alias("logged"))
+    rows = spark.sql(_ENTRY.replace("FROM urls", "FROM {urls}"), urls=url_table(spark, sf))
+    rows = rows.select("url_id", dlp.log_map(F.col("plain")).alias("plain"), dlp.log_array(F.col("items")).alias("items"))
+    keyed = rows.select("url_id", F.explode("plain").alias("key", "logged"))
+    return keyed.unionByName(rows.select("url_id", F.lit("items").alias("key"), F.explode("items").alias("logged")))
 
 
 @query("d17_dlp_file_report", _FOUND + f"SELECT doc_id, count(*) AS n_findings, {_TOP} AS top_severity, array_to_string(list(kind ORDER BY p, i)[1:6], ',') AS items, CASE WHEN {_TOP} = 'low' THEN 'log' ELSE 'warn' END AS action FROM found GROUP BY doc_id")
@@ -181,7 +191,7 @@ def page_table(spark, sf) -> DataFrame:
 
 
 def page_facts(spark, sf) -> DataFrame:
-    return pages.page_facts(page_table(spark, sf), blocklist(spark, sf))
+    return pages.page_facts(page_table(spark, sf), blocklist(spark, sf), evidence(spark, sf))
 
 
 def page_verdicts(spark, sf) -> DataFrame:
@@ -203,13 +213,13 @@ def p1(spark, sf):
 
 @query("p2_page_forms", _FORMS + r"""SELECT page_id, form_no, regexp_extract(head, '(?is)\baction\s*=\s*["'']([^"'']*)["'']', 1) AS action, lower(CASE WHEN regexp_extract(head, '(?is)\bmethod\s*=\s*["'']([^"'']*)["'']', 1) = '' THEN 'post' ELSE regexp_extract(head, '(?is)\bmethod\s*=\s*["'']([^"'']*)["'']', 1) END) AS method,
 len(list_filter(inputs, lambda t: regexp_matches(t, '(?is)\btype\s*=\s*["'']?password'))) > 0 AS has_password, len(list_filter(inputs, lambda t: regexp_matches(t, '(?is)\btype\s*=\s*["'']?email') OR regexp_matches(lower(regexp_extract(t, '(?is)\bname\s*=\s*["'']([^"'']*)["'']', 1)), 'email|user(name)?|login|account'))) > 0 AS has_email_like,
-len(list_filter(inputs, lambda t: regexp_matches(lower(regexp_extract(t, '(?is)\bname\s*=\s*["'']([^"'']*)["'']', 1)), 'otp|one[-_ ]?time|2fa|mfa|verification[-_ ]?code'))) > 0 AS has_otp, len(list_filter(inputs, lambda t: regexp_matches(t, '(?is)\btype\s*=\s*["'']?hidden')))::INT AS hidden_count, len(inputs)::INT AS fields_count FROM i""")
+len(list_filter(inputs, lambda t: regexp_matches(lower(regexp_extract(t, '(?is)\bname\s*=\s*["'']([^"'']*)["'']', 1)), 'otp|one[-_ ]?time|2fa|mfa|verification[-_ ]?code'))) > 0 AS has_otp, len(list_filter(inputs, lambda t: regexp_matches(t, '(?is)\btype\s*=\s*["'']?hidden')))::INT AS hidden_count, len(inputs)::INT AS fields_count, page_id % 13 = 0 AS inside_iframe FROM i""")
 def p2(spark, sf):
     rows = pages.page_forms(pages.page_context(page_table(spark, sf)))
-    return rows.withColumn("form_no", F.col("form_no").cast("long")).drop("inside_iframe")
+    return rows.withColumn("form_no", F.col("form_no").cast("long"))
 
 
-@query("p3_visible_text")
+@query("p3_visible_text", "WITH " + OP.PAGES + ", " + OP.VISIBLE + "SELECT page_id, visible_text FROM seen")
 def p3(spark, sf):
     return page_table(spark, sf).select("page_id", pages.visible_text("html").alias("visible_text"))
 
@@ -219,10 +229,10 @@ def p4(spark, sf):
     return pages.page_context(page_table(spark, sf)).where(F.size("oauth_buttons") > 0).select("page_id", F.array_join(F.array_sort("oauth_buttons"), ",").alias("providers"))
 
 
-def _page_query(name: str, columns):
+def _page_query(name: str, columns, sql: str):
     """Registers a query over page facts; ``columns`` is called when it runs, as columns need a session."""
 
-    @query(name)
+    @query(name, OP.TO_PAGE_FACTS + f"SELECT url_id AS page_id, {sql} FROM facts")
     def run(spark, sf):
         return page_facts(spark, sf).select("page_id", *columns())
 
@@ -231,29 +241,34 @@ def _ids(c: str):
     return F.array_join(F.transform(c, lambda s: s["id"]), ",")
 
 
-_page_query("p5_phishing_signals", lambda: (_ids("page_signals").alias("signals"), "creds", "auth_risk", "page_external_post", "page_cap", "page_force", F.round("phish_conf", 6).alias("phish_conf"),))
-_page_query("p6_brand_impersonation", lambda: (F.col("brand_hit.brand").alias("brand"), F.col("brand_hit.evidence").alias("evidence"), "brand_text",))
-_page_query("p7_external_form_post", lambda: ("page_external_post", F.array_join(F.transform("targets", lambda t: t["target_root"]), ",").alias("target_roots"),))
-_page_query("p8_clone_signals", lambda: ("favicon_mismatch", "brand_image", "layout_signal", F.col("clone_signals").cast("long").alias("clone_signals"), F.round("clone_conf", 6).alias("clone_conf"),))
-_page_query("p9_auth_layout_fingerprint", lambda: ("zones", F.round("hidden_ratio", 6).alias("hidden_ratio"),))
-_page_query("p10_auth_layout_match", lambda: ("layout_template", "layout_match",))
-_page_query("p11_security_context", lambda: (F.col("research_terms").cast("long").alias("research_terms"), F.col("education_terms").cast("long").alias("education_terms"), F.col("auth_doc_terms").cast("long").alias("auth_doc_terms"), "context_score",))
+_IDS = lambda c: f"array_to_string(list_transform({c}, lambda s: s.id), ',')"
+_page_query("p5_phishing_signals", lambda: (_ids("page_signals").alias("signals"), "creds", "auth_risk", "page_external_post", "page_cap", "page_force", F.round("phish_conf", 6).alias("phish_conf"),), f"{_IDS('page_signals')} AS signals, creds, auth_risk, page_external_post, page_cap, page_force, round(phish_conf, 6) AS phish_conf")
+_page_query("p6_brand_impersonation", lambda: (F.col("brand_hit.brand").alias("brand"), F.col("brand_hit.evidence").alias("evidence"), "brand_text",), "brand_hit.brand AS brand, brand_hit.evidence AS evidence, brand_text")
+_page_query("p7_external_form_post", lambda: ("page_external_post", F.array_join(F.transform("targets", lambda t: t["target_root"]), ",").alias("target_roots"),), "page_external_post, array_to_string(list_transform(targets, lambda t: t.target_root), ',') AS target_roots")
+_page_query("p8_clone_signals", lambda: ("favicon_mismatch", "brand_image", "layout_signal", F.col("clone_signals").cast("long").alias("clone_signals"), F.round("clone_conf", 6).alias("clone_conf"),), "favicon_mismatch, brand_image, layout_signal, clone_signals::BIGINT AS clone_signals, round(clone_conf, 6) AS clone_conf")
+_page_query("p9_auth_layout_fingerprint", lambda: ("zones", F.round("hidden_ratio", 6).alias("hidden_ratio"),), "zones, round(hidden_ratio, 6) AS hidden_ratio")
+_page_query("p10_auth_layout_match", lambda: ("layout_template", "layout_match",), "layout_template, layout_match")
+_page_query("p11_security_context", lambda: (F.col("research_terms").cast("long").alias("research_terms"), F.col("education_terms").cast("long").alias("education_terms"), F.col("auth_doc_terms").cast("long").alias("auth_doc_terms"), "context_score",), "research_terms, education_terms, auth_doc_terms, context_score")
 
 
 def _re2(p: str) -> str:
     return p.replace("'", "''")
 
 
-_CODE = r"regexp_extract(html, '(?is)<code>(.*?)</code>', 1)"
+_CODES = r"regexp_extract_all(html, '(?is)<code>(.*?)</code>', 1)"
 _CMDS = "[" + ", ".join(f"CASE WHEN regexp_matches(c, '(?i){_re2(p)}') THEN '{i}' END" for i, p, _ in pages.COMMANDS) + "]"
 _STRONG = O.members([i for i, _, s in pages.COMMANDS if s])
 
 
-@query("p12_clickfix_commands", _PAGES + f", c AS (SELECT page_id, left({_CODE}, 8000) AS c FROM pg), h AS (SELECT page_id, list_filter({_CMDS}, lambda x: x IS NOT NULL) AS hits FROM c WHERE length(c) >= 6) SELECT page_id, array_to_string(hits, ',') AS techniques, round(CASE WHEN len(list_filter(hits, lambda x: x IN {_STRONG})) > 0 THEN least(0.98, 0.85 + (len(hits) - 1) * 0.05) ELSE least(0.8, 0.5 + (len(hits) - 1) * 0.1) END, 6)::DOUBLE AS command_conf FROM h WHERE len(hits) > 0")
+def codes():
+    return F.regexp_extract_all("html", F.lit(r"(?is)<code>(.*?)</code>"), F.lit(1))
+
+
+@query("p12_clickfix_commands", _PAGES + f", b AS (SELECT page_id, unnest({_CODES}) AS c, generate_subscripts({_CODES}, 1) AS block FROM pg), h AS (SELECT page_id, block, list_filter({_CMDS}, lambda x: x IS NOT NULL) AS hits FROM (SELECT page_id, block, left(c, 8000) AS c FROM b) WHERE length(c) >= 6) SELECT page_id, block::BIGINT AS block, array_to_string(hits, ',') AS techniques, round(CASE WHEN len(list_filter(hits, lambda x: x IN {_STRONG})) > 0 THEN least(0.98, 0.85 + (len(hits) - 1) * 0.05) ELSE least(0.8, 0.5 + (len(hits) - 1) * 0.1) END, 6)::DOUBLE AS command_conf FROM h WHERE len(hits) > 0")
 def p12(spark, sf):
-    code = F.regexp_extract("html", r"(?is)<code>(.*?)</code>", 1)
-    rows = page_table(spark, sf).withColumns(pages.clickfix_commands(code)).where("techniques <> ''")
-    return rows.select("page_id", "techniques", F.round("command_conf", 6).alias("command_conf"))
+    blocks = page_table(spark, sf).select("page_id", F.posexplode(codes()).alias("block", "code"))
+    rows = blocks.withColumns(pages.clickfix_commands(F.col("code"))).where("techniques <> ''")
+    return rows.select("page_id", (F.col("block") + 1).cast("long").alias("block"), "techniques", F.round("command_conf", 6).alias("command_conf"))
 
 
 _PLAIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')"
@@ -261,9 +276,9 @@ _ANY = lambda ps: "(" + " OR ".join(f"regexp_matches(t, '(?i){_re2(p)}')" for p
 _N = lambda ps: "(" + " + ".join(f"regexp_matches(t, '(?i){_re2(p)}')::INT" for p in ps) + ")"
 
 
-@query("p13_clickfix_page_verdict", _PAGES + f", c AS (SELECT page_id, left({_CODE}, 8000) AS c, left({_PLAIN}, 20000) AS t FROM pg), h AS (SELECT page_id, CASE WHEN length(c) >= 6 THEN list_filter({_CMDS}, lambda x: x IS NOT NULL) ELSE [] END AS hits, {_ANY(pages.RUN_PHRASES)} AS run_phrase, {_ANY(pages.VERIFY_PHRASES)} AS fake_verify FROM c) SELECT page_id, run_phrase, fake_verify, CASE WHEN len(hits) > 0 THEN 'critical' WHEN run_phrase AND fake_verify THEN 'high' ELSE 'none' END AS clickfix_severity FROM h")
+@query("p13_clickfix_page_verdict", _PAGES + f", c AS (SELECT page_id, list_filter(list_transform({_CODES}, lambda c: left(c, 8000)), lambda c: length(c) >= 6) AS cs, left({_PLAIN}, 20000) AS t FROM pg), h AS (SELECT page_id, flatten(list_transform(cs, lambda c: list_filter({_CMDS}, lambda x: x IS NOT NULL))) AS hits, {_ANY(pages.RUN_PHRASES)} AS run_phrase, {_ANY(pages.VERIFY_PHRASES)} AS fake_verify FROM c) SELECT page_id, run_phrase, fake_verify, CASE WHEN len(hits) > 0 THEN 'critical' WHEN run_phrase AND fake_verify THEN 'high' ELSE 'none' END AS clickfix_severity FROM h")
 def p13(spark, sf):
-    rows = page_table(spark, sf).withColumns({"code": F.regexp_extract("html", r"(?is)<code>(.*?)</code>", 1), "plain": pages.html_text(F.col("html"))})
+    rows = page_table(spark, sf).withColumns({"code": codes(), "plain": pages.html_text(F.col("html"))})
     return pages.clickfix(rows, "code", "plain").select("page_id", "run_phrase", "fake_verify", "clickfix_severity")
 
 
@@ -277,27 +292,30 @@ def p14(spark, sf):
     return pages.scareware(rows, "plain", F.col("tel")).select("page_id", "alarm_hits", "call_hits", "vendor_hit", "scam")
 
 
-@query("p15_page_rule_registry")
+_RULE_ROWS = "[" + ", ".join(f"struct_pack(rule_id := '{i}', severity := '{v}', category := '{c}', matched := coalesce({cond}, false), contribution := CASE WHEN {cond} THEN {p} ELSE 0 END)" for i, v, c, p, cond in pages.PAGE_RULES) + "]"
+
+
+@query("p15_page_rule_registry", OP.TO_PAGE_FACTS + f", r AS (SELECT url_id AS page_id, unnest({_RULE_ROWS}) AS r FROM facts) SELECT page_id, r.rule_id AS rule_id, r.severity AS severity, r.category AS category, r.matched AS matched, r.contribution AS contribution FROM r")
 def p15(spark, sf):
     return pages.page_rules(page_facts(spark, sf))
 
 
-@query("a4_context_damping")
+@query("a4_context_damping", OP.TO_PAGE_VERDICTS + "SELECT url_id AS page_id, context_score, damping, damping_points FROM verdicts")
 def a4(spark, sf):
     return page_verdicts(spark, sf).select("page_id", "context_score", "damping", "damping_points")
 
 
-@query("a5_trust_decay")
+@query("a5_trust_decay", OP.TO_PAGE_VERDICTS + "SELECT url_id AS page_id, reputable, provider, decay::BIGINT AS decay FROM verdicts")
 def a5(spark, sf):
     return page_verdicts(spark, sf).select("page_id", "reputable", "provider", F.col("decay").cast("long").alias("decay"))
 
 
-@query("a11_page_verdict")
+@query("a11_page_verdict", OP.TO_PAGE_VERDICTS + f"SELECT url_id AS page_id, score::INT AS score, status, level, {_IDS('rules')} AS rules, confidence, phishing_confidence FROM verdicts")
 def a11(spark, sf):
     return page_verdicts(spark, sf).select("page_id", "score", "status", "level", _ids("rules").alias("rules"), "confidence", "phishing_confidence")
 
 
-@query("j10_third_party_assets")
+@query("j10_third_party_assets", OP.TO_PAGED + f", a AS (SELECT url_id AS page_id, root, unnest(assets) AS asset FROM page0), h AS (SELECT *, {OP._HOST_OF('asset')} AS asset_host FROM a) SELECT page_id, asset, asset_host FROM h WHERE {OP._FOREIGN('asset_host')}")
 def j10(spark, sf):
     return pages.third_party_assets(pages.page_context(page_table(spark, sf))).select("page_id", "asset", "asset_host")
 
@@ -310,10 +328,12 @@ def j11(spark, sf):
     return feeds.ad_match(requests, domains)
 
 
-@query("j12_dangerous_downloads")
+_RUNS_FILE = pages.DANGEROUS.replace("'", "''")
+
+
+@query("j12_dangerous_downloads", OP.TO_PAGE_VERDICTS + f", l AS (SELECT url_id AS page_id, page_origin, status, unnest(links) AS href FROM verdicts), d AS (SELECT page_id, href, status IN ('suspicious', 'dangerous') AS low_trust, regexp_matches(href, '(?i)^https?://') AND lower(regexp_extract(href, '{O._RE}', 1)) || '://' || lower(regexp_extract(href, '{O._RE}', 3)) <> page_origin AS cross_origin FROM l WHERE regexp_matches(href, '{_RUNS_FILE}')) SELECT page_id, href, CASE WHEN low_trust THEN 'high' ELSE 'medium' END AS severity, cross_origin FROM d WHERE low_trust OR cross_origin")
 def j12(spark, sf):
-    facts = page_facts(spark, sf)
-    verdicts = scoring.score(facts).select("page_id", "status")
+    verdicts = page_verdicts(spark, sf).select("page_id", "status")
     return pages.dangerous_downloads(pages.page_context(page_table(spark, sf)), verdicts).select("page_id", "href", "severity", "cross_origin")
 
 
@@ -327,7 +347,7 @@ def j13(spark, sf):
     return rows.select("submit_id", F.size("f").cast("long").alias("n_findings"), (grave & (F.col("submit_id") % 2 == 0)).alias("warn"))
 
 
-@query("g11_asset_origin_ratio")
+@query("g11_asset_origin_ratio", OP.TO_PAGED + "SELECT url_id AS page_id, n_assets, n_foreign, n_foreign / n_assets >= 0.5 AND n_foreign >= 3 AS informational FROM paged WHERE n_assets > 0")
 def g11(spark, sf):
     rows = page_facts(spark, sf).where("n_assets > 0")
     return rows.select("page_id", F.col("n_assets").cast("long").alias("n_assets"), F.col("n_foreign").cast("long").alias("n_foreign"), F.expr("n_foreign / n_assets >= 0.5 AND n_foreign >= 3").alias("informational"))
@@ -348,14 +368,14 @@ def c1(spark, sf):
     return features(spark, sf).select("url_id", *[F.round(k, 9).alias(k) for k in _FEATURES])
 
 
-@query("c2_dom_features")
+@query("c2_dom_features", OP.TO_PAGED + "SELECT url_id AS page_id, has_password_field, cross_origin_form, many_external_scripts, obfuscation FROM paged")
 def c2(spark, sf):
     return page_facts(spark, sf).select("page_id", "has_password_field", "cross_origin_form", "many_external_scripts", "obfuscation")
 
 
 @query("c3_classify_pages", O.TO_FACTS + "SELECT url_id, probability, CASE WHEN probability >= 0.92 THEN 'phishing' WHEN probability >= 0.8 THEN 'suspicious' ELSE 'benign' END AS label FROM facts")
 def c3(spark, sf):
-    rows = urls.classify(urls.no_page(features(spark, sf)))
+    rows = urls.classify(urls.no_page(urls.with_evidence(features(spark, sf))))
     return rows.select("url_id", "probability", F.when(F.col("probability") >= 0.92, "phishing").when(F.col("probability") >= 0.8, "suspicious").otherwise("benign").alias("label"))
 
 
@@ -364,7 +384,7 @@ _TERMS = "[" + ", ".join(f"struct_pack(k := -floor({k} * {w}e0 * 100 + 0.5) / 10
 
 @query("c4_top_contributors", O.TO_FACTS + f"SELECT url_id, array_to_string(list_transform(list_sort(list_filter({_TERMS}, lambda t: t.k < 0))[1:4], lambda t: t.feature), ',') AS top FROM facts")
 def c4(spark, sf):
-    rows = urls.no_page(features(spark, sf))
+    rows = urls.no_page(urls.with_evidence(features(spark, sf)))
     return rows.select("url_id", F.array_join(F.transform(urls.top_contributors(), lambda t: t["feature"]), ",").alias("top"))
 
 
@@ -378,20 +398,28 @@ def corpus(spark, sf) -> DataFrame:
 @query("c5_train_classifier")
 def c5(spark, sf):
     model = classifier.train(corpus(spark, sf))
-    rows = [("bias", model["bias"]), *model["weights"].items()]
-    counts = corpus(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    fitted = spark.createDataFrame(rows, "feature string, weight double")
-    return fitted.join(counts.agg(F.sum("n").alias("n_rows")))
+    rows = [("bias", model["bias"], model["n_rows"]), *((k, w, model["n_rows"]) for k, w in model["weights"].items())]
+    return spark.createDataFrame(rows, "feature string, weight double, n_rows long")
 
 
 @query("c6_eval_thresholds")
 def c6(spark, sf):
-    return classifier.thresholds(urls.classify(urls.no_page(corpus(spark, sf))))
+    """The fitted model on the hosts that it was not fitted on."""
+    table = corpus(spark, sf)
+    return classifier.thresholds(classifier.apply(table.where(classifier.held_out()), classifier.train(table), "probability"))
 
 
-_GATE = "SELECT doc_id, 1 - quality AS label, (doc_id % 100) / 100.0 AS p_new, (doc_id % 90) / 100.0 AS p_old, doc_id % 3 = 0 AS is_login FROM labels"
+#: A model of top-level domains and wording alone, for the bundled one to be held against.
+_PLAIN_MODEL = {"bias": -1.519, "weights": {"abused_tld_f": 2.0011, "lure_tokens": 0.2319}}
+_PLAIN_Z = f"{_PLAIN_MODEL['bias']}e0 + " + " + ".join(f"{k} * {w}e0" for k, w in _PLAIN_MODEL["weights"].items())
+_CORPUS_URLS = f"urls AS (SELECT row_number() OVER (ORDER BY host) AS url_id, 'https://' || host || '/' AS url, label, NULL::BIGINT AS tab_id, NULL::DOUBLE AS age_days FROM ({SQL['e8_training_corpus'].replace('LIMIT 500', 'LIMIT 6000')}) e8)"
+_GATE = "WITH " + ", ".join((_CORPUS_URLS, *O._URL_FEATURES[1:])) + f""", s AS (SELECT label, contains(host, 'login') AS is_login, CASE WHEN trusted THEN 0e0 ELSE floor(1 / (1 + exp(-({O._Z.replace("has_password_field", "0e0").replace("cross_origin_form", "0e0").replace("many_external_scripts", "0e0").replace("obfuscation", "0e0")}))) * 100 + 0.5) / 100 END AS p_new,
+  CASE WHEN trusted THEN 0e0 ELSE floor(1 / (1 + exp(-({_PLAIN_Z}))) * 100 + 0.5) / 100 END AS p_old FROM features WHERE ('0x' || substr(md5(host), 1, 8))::BIGINT % 5 = 0)"""
 
 
-@query("c7_adopt_gate", f"WITH s AS ({_GATE}), a AS (SELECT  count(*) FILTER (WHERE label = 1) AS n_bad, count(*) FILTER (WHERE label <> 1) AS n_good, " + ", ".join(f"count(*) FILTER (WHERE p_{k} >= 0.8 AND label = 1) AS tp_{k}, count(*) FILTER (WHERE p_{k} >= 0.8 AND label <> 1) AS fp_{k}, count(*) FILTER (WHERE p_{k} >= 0.8 AND label <> 1 AND is_login) AS login_fp_{k}" for k in ("new", "old")) + " FROM s) SELECT n_bad, n_good, tp_new, fp_new, tp_old, fp_old, n_bad >= 120 AND n_good >= 120 AND tp_new / n_bad > tp_old / n_bad + 0.02 AND CASE WHEN tp_new + fp_new > 0 THEN tp_new / (tp_new + fp_new) ELSE 0 END >= CASE WHEN tp_old + fp_old > 0 THEN tp_old / (tp_old + fp_old) ELSE 0 END - 0.02 AND login_fp_new <= login_fp_old AS adopt FROM a")
+@query("c7_adopt_gate", _GATE + ", a AS (SELECT  count(*) FILTER (WHERE label = 1) AS n_bad, count(*) FILTER (WHERE label <> 1) AS n_good, " + ", ".join(f"count(*) FILTER (WHERE p_{k} >= 0.8 AND label = 1) AS tp_{k}, count(*) FILTER (WHERE p_{k} >= 0.8 AND label <> 1) AS fp_{k}, count(*) FILTER (WHERE p_{k} >= 0.8 AND label <> 1 AND is_login) AS login_fp_{k}" for k in ("new", "old")) + " FROM s) SELECT n_bad, n_good, tp_new, fp_new, tp_old, fp_old, n_bad >= 10 AND n_good >= 10 AND tp_new / n_bad > tp_old / n_bad + 0.02 AND CASE WHEN tp_new + fp_new > 0 THEN tp_new / (tp_new + fp_new) ELSE 0 END >= CASE WHEN tp_old + fp_old > 0 THEN tp_old / (tp_old + fp_old) ELSE 0 END - 0.02 AND login_fp_new <= login_fp_old AS adopt FROM a")
 def c7(spark, sf):
-    return classifier.adopt_gate(I.derived(spark, sf, _GATE)).select("n_bad", "n_good", "tp_new", "fp_new", "tp_old", "fp_old", "adopt")
+    """Whether the bundled model replaces a simpler one, by the hosts of the corpus that are held out."""
+    rows = urls.classify(urls.no_page(urls.with_evidence(corpus(spark, sf)))).where(classifier.held_out()).withColumnRenamed("probability", "p_new")
+    rows = classifier.apply(rows, _PLAIN_MODEL, "p_old").withColumn("is_login", F.col("host").contains("login"))
+    return classifier.adopt_gate(rows, least=10).select("n_bad", "n_good", "tp_new", "fp_new", "tp_old", "fp_old", "adopt")

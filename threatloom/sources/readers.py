@@ -29,6 +29,6 @@ def read_upload_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages (page_id, url, html) of 200 to any number of characters, the first 400 000."""
+    """Pages (page_id, url, html) of 200 characters or more, the first 400 000 of each."""
     pages = spark.read.parquet(path).select("page_id", "url", "html")
     return pages.where(F.length("html") >= MIN_PAGE).withColumn("html", F.substring("html", 1, MAX_PAGE))

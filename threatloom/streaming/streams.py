@@ -1,6 +1,8 @@
 """The same state as streams: chains, flows, cool-downs, dedupe, counters, verdicts, retention, feeds.
 
-State is kept a key and bounded (25 URLs, 64 steps, one time), and leaves by watermark or timeout.
+State is kept a key and bounded (a count, 64 steps, one time). It goes when the watermark has passed the last event
+of its key by the key's time to live, and a closed tab's at once. A key's events of one micro-batch are sorted together,
+so micro-batches should be bounded at the source (``maxFilesPerTrigger``); events behind the watermark are dropped.
 """
 
 from __future__ import annotations
@@ -20,22 +22,36 @@ def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
 
 
-def redirect_chains(nav: DataFrame, keep: int = CHAIN) -> DataFrame:
-    """Per event: the tab's chain so far (tab_id, seq, chain_no, n_hops); a close drops the tab's state."""
+def _keep(state: GroupState, value: tuple, last_us: int, ttl: int) -> None:
+    """Stores a key's state for ``ttl`` seconds of event time after its last event."""
+    state.update(value)
+    state.setTimeoutTimestamp(max(last_us // 1000, state.getCurrentWatermarkMs()) + ttl * 1000)
+
+
+def redirect_chains(nav: DataFrame, keep: int = CHAIN, ttl: int = 86_400, delay: str = "1 hour") -> DataFrame:
+    """Per event: the tab's chain so far (tab_id, seq, chain_no, n_hops); a close, or a day without events, drops the
+    tab's state."""
 
     def run(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         chain_no, hops = state.get if state.exists else (0, 0)
-        out = []
+        out, us = [], 0
         for row in _ordered(frames).itertuples():
+            us = row.ts.value // 1000
             if row.kind == "close":
                 chain_no, hops = 0, 0
                 continue
             chain_no, hops = (chain_no + 1, 1) if row.kind == "navigate" else (chain_no, min(keep, hops + 1))
             out.append((key[0], row.seq, chain_no, hops))
-        state.update((chain_no, hops))
+        if chain_no:
+            _keep(state, (chain_no, hops), us, ttl)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["tab_id", "seq", "chain_no", "n_hops"])
 
-    return nav.groupBy("tab_id").applyInPandasWithState(run, "tab_id long, seq long, chain_no long, n_hops long", "chain_no long, n_hops long", "append", GroupStateTimeout.NoTimeout)
+    return timed(nav, delay).groupBy("tab_id").applyInPandasWithState(run, "tab_id long, seq long, chain_no long, n_hops long", "chain_no long, n_hops long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def flow_step_anomalies(steps: list[tuple]) -> dict[str, bool]:
@@ -58,11 +74,14 @@ def flow_step_anomalies(steps: list[tuple]) -> dict[str, bool]:
 _FLAGS = ("flow_relay", "flow_token_drift", "flow_iframe_swap", "flow_redirect_storm", "flow_mfa_split")
 
 
-def auth_flows(steps: DataFrame, ttl: int = TTL, keep: int = STEPS) -> DataFrame:
-    """Per step: the anomalies of its flow's last ``ttl`` seconds and ``keep`` steps."""
+def auth_flows(steps: DataFrame, ttl: int = TTL, keep: int = STEPS, delay: str = "1 hour") -> DataFrame:
+    """Per step: the anomalies of its flow's last ``ttl`` seconds and ``keep`` steps, which are the state."""
     state_type = "steps array<struct<us: bigint, seq: bigint, kind: string, origin: string, post_origin: string, in_iframe: boolean>>"
 
     def run(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = [tuple(s) for s in state.get[0]] if state.exists else []
         out = []
         for row in _ordered(frames).itertuples():
@@ -71,16 +90,19 @@ def auth_flows(steps: DataFrame, ttl: int = TTL, keep: int = STEPS) -> DataFrame
             held.append((us, row.seq, row.kind, row.origin, row.post_origin if isinstance(row.post_origin, str) else None, bool(row.in_iframe)))
             held = held[-keep:]
             out.append((key[0], row.seq, len(held), *flow_step_anomalies(held).values()))
-        state.update(([s for s in held],))
+        _keep(state, (held,), held[-1][0], ttl)
         yield pd.DataFrame(out, columns=["flow_id", "seq", "n_steps", *_FLAGS])
 
-    return steps.groupBy("flow_id").applyInPandasWithState(run, "flow_id long, seq long, n_steps long, " + ", ".join(f"{f} boolean" for f in _FLAGS), state_type, "append", GroupStateTimeout.NoTimeout)
+    return timed(steps, delay).groupBy("flow_id").applyInPandasWithState(run, "flow_id long, seq long, n_steps long, " + ", ".join(f"{f} boolean" for f in _FLAGS), state_type, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def cooldown(warnings: DataFrame, seconds: int = 1800) -> DataFrame:
-    """Warnings that are shown; the state of a key is the time of its last one."""
+def cooldown(warnings: DataFrame, seconds: int = 1800, delay: str = "1 hour") -> DataFrame:
+    """Warnings that are shown; the state of a key is the time of its last one, for as long as it matters."""
 
     def run(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         out = []
         for row in _ordered(frames).itertuples():
@@ -89,10 +111,10 @@ def cooldown(warnings: DataFrame, seconds: int = 1800) -> DataFrame:
                 last = us
                 out.append((key[0], key[1], row.ts))
         if last is not None:
-            state.update((last,))
+            _keep(state, (last,), last, seconds)
         yield pd.DataFrame(out, columns=["host", "kind", "ts"])
 
-    return warnings.groupBy("host", "kind").applyInPandasWithState(run, "host string, kind string, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
+    return timed(warnings, delay).groupBy("host", "kind").applyInPandasWithState(run, "host string, kind string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def timed(events: DataFrame, delay: str) -> DataFrame:
@@ -120,23 +142,25 @@ def run_to(stream: DataFrame, path: str, mode: str = "append") -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def verdicts_to(urls: DataFrame, blocklist: DataFrame, path: str) -> None:
+def verdicts_to(urls: DataFrame, blocklist: DataFrame, path: str, evidence=()) -> None:
     """Scores a stream of URLs batch by batch against static lists; what isn't safe becomes activity.
     A batch overwrites its own folder, so a repeated batch adds nothing."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        found = scoring.url_verdicts(rows, blocklist).where("status <> 'safe'").select("url_id", "host", "score", "status")
+        found = scoring.url_verdicts(rows, blocklist, evidence=evidence).where("status <> 'safe'").select("url_id", "host", "score", "status")
         found.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     urls.writeStream.foreachBatch(batch).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
 
 
-def feeds_to(spark: SparkSession, lines: DataFrame, path: str) -> None:
-    """Refreshes the matching set from new feed files: each batch merges with the set so far."""
+def feeds_to(spark: SparkSession, lines: DataFrame, path: str, cap: int = feeds.FEED_CAP) -> None:
+    """Refreshes the matching set from new feed files: each batch merges with the set so far, whose hosts keep their
+    places; at most ``cap`` hosts in order of first sight."""
     def batch(rows: DataFrame, number: int) -> None:
-        hosts = feeds.merge_feeds(rows).select("host")
+        hosts = feeds.merge_feeds(rows, cap).select("host", F.struct(F.lit(number).alias("batch"), "feed_ord", "line_no").alias("seen"))
         if number:
-            hosts = hosts.unionByName(spark.read.parquet(f"{path}/set={number - 1}")).distinct()
+            known = spark.read.parquet(f"{path}/set={number - 1}")
+            hosts = known.unionByName(hosts).groupBy("host").agg(F.min("seen").alias("seen")).orderBy("seen", "host").limit(cap)
         hosts.write.mode("overwrite").parquet(f"{path}/set={number}")
 
     lines.writeStream.foreachBatch(batch).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
