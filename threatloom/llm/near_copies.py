@@ -1,21 +1,26 @@
 """Links between near copies: texts whose sets of word shingles have a Jaccard similarity of ``LEAST`` or more.
 
-Candidates share a band of MinHash values; at the bound a pair is missed with a chance of
-(1 - LEAST ** ROWS) ** BANDS, 3e-5. Every candidate is then verified with the exact similarity of its shingle
-sets (64-bit hashes). Texts with equal sets are one entry from the start.
+The join is exact (up to equal 64-bit hashes of different shingles). All shingles have one order, rare ones first:
+two sets of the similarity sought share a shingle among the first of each, before so many are left out that too few
+can still be shared (prefix and positional filter). The order comes from a table of ``COUNTERS`` counts by hash,
+whose size doesn't grow with the input; any order is right, a good one keeps passages that many texts share out of
+the beginnings. Candidates are verified with their whole sets. Texts with equal sets are one entry from the start.
 
-A band is not paired as it stands. First each member is compared with the band's smallest; then only members
-that are still in different components are compared. So links grow with the members of a large group of near
-copies, and all pairs that could join components are compared.
+A group of texts with a common beginning is not paired as it stands. First each member is compared with the group's
+most typical one (that whose shingles are the most frequent); then members outside that one's component are
+compared with members of other components. So links grow with the members of a large group of near copies, and all
+pairs that could join components are compared.
 
 Words are those of ``simhash``. Texts without words link nothing here.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
@@ -24,26 +29,14 @@ from .simhash import components
 
 WIDTH = 5
 LEAST = 0.8
-ROWS = 4
-BANDS = 20
-
-_MULTIPLIERS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def bands(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Keys of sets of shingle hashes (none empty), a column a band; keys of different bands differ."""
-    out = np.empty((len(first) - 1, BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(first) - 1, b, np.uint64)
-        for m in _MULTIPLIERS[b * ROWS : (b + 1) * ROWS]:
-            key = textops.mix(key) + np.minimum.reduceat(hashes * m, first[:-1])
-        out[:, b] = textops.mix(key)
-    return out.view(np.int64)
+#: Counters of the table of frequencies, and of a row on its way.
+COUNTERS = 1 << 20
+CHUNK = 1 << 16
 
 
 def _each(texts: DataFrame, width: int, schema: str, columns) -> DataFrame:
     """(node, ...) of every row of ``texts`` (node, text) with words: what ``columns`` makes of the sets of shingle
-    hashes of many texts, given one after the other and where each begins."""
+    hashes of many texts, each sorted and distinct."""
     small_batches(texts.sparkSession)
 
     def run(batches):
@@ -52,27 +45,50 @@ def _each(texts: DataFrame, width: int, schema: str, columns) -> DataFrame:
                 hashes, first = textops.shingles(textops.Words(data, offsets, lower=True), width)
                 full = np.flatnonzero(np.diff(first))
                 if len(full):
-                    first = np.r_[first[full], len(hashes)]
-                    nodes = batch.column(0).take(pa.array(at + full))
-                    yield pa.RecordBatch.from_arrays([nodes, *columns(hashes, first)], names=["node", *(c.split()[0] for c in schema.split(", "))])
+                    sets = [np.unique(hashes[first[i] : first[i + 1]]) for i in full]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + full)), *columns(sets)], names=["node", *(c.split()[0] for c in schema.split(", "))])
 
     return texts.select("node", "text").mapInArrow(run, f"node long, {schema}")
 
 
-def _distinct(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    return [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:])]
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
-def _sketch(hashes: np.ndarray, first: np.ndarray) -> list[pa.Array]:
-    from xxhash import xxh64_intdigest
+def frequencies(texts: DataFrame, width: int) -> np.ndarray:
+    """How many shingles of all texts fall to each counter."""
+    small_batches(texts.sparkSession)
 
-    sets, keys = _distinct(hashes, first), bands(hashes, first)
-    set_key = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-    return [pa.array(set_key), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.reshape(-1))]
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, data, offsets in textops.slices(batch.column(0)):
+                hashes, _ = textops.shingles(textops.Words(data, offsets, lower=True), width)
+                total += np.bincount(_counter(hashes), minlength=COUNTERS)
+        if total.any():
+            kept = total.astype(np.uint32 if total.max() < 1 << 32 else np.int64)
+            chunks = [textops.pack(kept[i : i + CHUNK]) for i in range(0, COUNTERS, CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "counts"])
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                totals.setdefault(chunk, np.zeros(CHUNK, np.int64))
+                totals[chunk] += textops.unpack(data)[0]
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([textops.pack(t) for t in totals.values()], pa.binary())], names=["chunk", "counts"])
+
+    schema = "chunk int, counts binary"
+    rows = texts.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
+    out = np.zeros(COUNTERS, np.int64)
+    for r in rows.collect():  # COUNTERS numbers in all
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = textops.unpack(r["counts"])[0]
+    return out
 
 
-def _sets(hashes: np.ndarray, first: np.ndarray) -> list[pa.Array]:
-    return [pa.array([s.tobytes() for s in _distinct(hashes, first)], pa.binary())]
+def _packed(sets: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array([s.tobytes() for s in sets], pa.binary())]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -93,31 +109,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def links(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """Edges (a, b), a < b, whose components are those of all near copies among ``texts`` (node, text)."""
-    sketches = materialize(_each(texts, width, "set_key long, size long, bands array<bigint>", _sketch), "copies-sketches")
+    spark = texts.sparkSession
+    table = spark.sparkContext.broadcast(frequencies(texts, width))  # COUNTERS numbers
+
+    def beginnings(sets: list[np.ndarray]) -> list[pa.Array]:
+        from xxhash import xxh64_intdigest
+
+        keys, weights, firsts = [], [], []
+        for s in sets:
+            often = table.value[_counter(s)]
+            keys.append(xxh64_intdigest(s.tobytes()))
+            weights.append(float(often.mean()))
+            firsts.append(s[np.lexsort((s, often))[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]])
+        offsets = np.r_[0, np.cumsum([len(f) for f in firsts])].astype(np.int32)
+        return [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(weights, pa.float64()), pa.ListArray.from_arrays(offsets, np.concatenate(firsts).view(np.int64))]
+
+    sketches = materialize(_each(texts, width, "set_key long, size long, weight double, beginning array<bigint>", beginnings), "copies-sketches")
     same = sketches.groupBy("set_key").agg(F.min("node").alias("a"))
     equal = sketches.select("set_key", F.col("node").alias("b")).join(same, "set_key").where("a < b").select("a", "b").distinct()
-    entries = sketches.join(same, "set_key").where("node = a").dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("band"))
-    sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("hub")).where("n > 1")
-    shared = materialize(entries.join(sizes, "band").select("band", "node", "size", "hub"), "copies-bands")
+    one_each = sketches.join(same, "set_key").where("node = a").dropDuplicates(["node"])
+    entries = one_each.select("node", "size", "weight", F.posexplode("beginning").alias("place", "shingle"))
+    hubs = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "node", "size", "place")).alias("hub")).where("n > 1")
+    shared = materialize(entries.join(hubs, "shingle").select("shingle", "node", "size", "weight", "place", "hub"), "copies-groups")
+
+    # few texts share a beginning with another; Spark broadcasts their keys only while they are few
+    wanted = texts.join(shared.select("node").distinct(), "node", "left_semi")
+    sets = materialize(_each(wanted, width, "shingles binary", _packed).dropDuplicates(["node"]), "copies-sets")
 
-    # few texts share a band with another; Spark broadcasts their keys only while they are few
-    wanted = texts.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(_each(wanted, width, "shingles binary", _sets), "copies-sets")
+    def may_link(size: Column, place: Column, size2: Column, place2: Column) -> Column:
+        """Whether sets whose first common shingle has these places (from 0) can have the similarity sought."""
+        need = (size + size2) * F.lit(least / (1 + least)) - 1e-9
+        return (F.least(size, size2) >= F.lit(least) * F.greatest(size, size2)) & (F.least(size - place, size2 - place2) >= need)
 
-    def alike(x: str, y: str):
-        return F.least(x, y) >= F.lit(least) * F.greatest(x, y)
+    def pair(one: str, two: str) -> list[Column]:
+        return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
-    stars = shared.where((F.col("node") > F.col("hub.node")) & alike("size", "hub.size")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    stars = shared.where((F.col("node") != F.col("hub.node")) & may_link(F.col("size"), F.col("place"), F.col("hub.size"), F.col("hub.place"))).select(*pair("node", "hub.node")).distinct()
     near = materialize(_verified(stars, sets, least), "copies-stars")
     found = components(near)
-    members = shared.join(found, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("component"))
-    open_bands = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    groups = members.join(open_bands, "band", "left_semi").groupBy("band", "component").agg(F.collect_list(F.struct("node", "size")).alias("nodes"))
-    groups = materialize(groups, "copies-groups")
-    other = groups.select("band", F.col("component").alias("component2"), F.col("nodes").alias("nodes2"))
-    cross = groups.join(other, "band").where("component < component2").select(F.explode("nodes").alias("x"), "nodes2").select("x", F.explode("nodes2").alias("y"))
-    cross = cross.where(alike("x.size", "y.size")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    members = materialize(shared.join(found, "node", "left").select("shingle", "node", "size", "place", "weight", F.coalesce("component", "node").alias("component")), "copies-members")
+    main = members.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", "node", "component")).alias("hub")).where("low < high").select("shingle", F.col("hub.component").alias("main"))
+    members = members.join(main, "shingle")
+    rest = members.where("component <> main").drop("weight")
+    other = members.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "place", "component")])
+    apart = (F.col("component") != F.col("component2")) & ((F.col("component2") == F.col("main")) | (F.col("node") < F.col("node2")))
+    cross = rest.join(other, "shingle").where(apart & may_link(F.col("size"), F.col("place"), F.col("size2"), F.col("place2"))).select(*pair("node", "node2")).distinct()
     late = _verified(cross.join(stars, ["a", "b"], "left_anti"), sets, least)
     out = materialize(equal.unionByName(near).unionByName(late), "copies-links")
-    discard(sketches, shared, sets, near, found, groups)
+    discard(sketches, shared, sets, near, members)
+    table.unpersist()
     return out
