@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from tests.conftest import SF
-from threatloom.llm import simhash
+from threatloom.llm import near_copies, simhash
 from threatloom.llm.shared import materialize
 
 
@@ -51,6 +51,31 @@ def test_near_dedup_finds_copies_of_similarity_four_fifths(spark):
     assert kept == set(group.values()) and kept < {r["doc_id"] for r in simhash.keep_one(docs).collect()}
 
 
+def test_large_groups_make_few_pairs(spark):
+    """Copies of one text with a word changed, and texts that share a long passage but little else: links are those
+    of all pairs, as components, and candidates grow with the texts."""
+    chance = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(base)]
+    for k in range(120):
+        changed = list(base)
+        changed[chance.randrange(60)] = f"x{k}"
+        texts.append(" ".join(changed))
+    texts += [passage + " " + " ".join(f"u{k}x{i}" for i in range(30)) for k in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = {r["node"]: r["component"] for r in simhash.components(near_copies.links(df)).collect()}
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert [found.get(i, i) for i in range(len(texts))] == root and root[:121] == [0] * 121 and root[121:] == list(range(121, 241))
+    assert near_copies.links(df).count() < 3 * len(texts)
+
+
 def test_empty_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
