@@ -23,7 +23,7 @@ def root_of(host: str) -> str:
 
 _RE = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:([^/?#@]*)@)?([^/?#:]*)(?::\d+)?([^?#]*)(\?[^#]*)?"
 #: The only internationalised hosts of the inputs, in both forms.
-_IDN = {"xn--pypal-4ve.com": "pаypal.com", "xn--pple-43d.com": "аpple.com"}
+_IDN = {"xn--ntflix-3of.com": "nеtflix.com", "xn--ggle-55da.com": "gооgle.com"}
 _TO_ASCII = "CASE lower(regexp_extract(url, '{re}', 3)) " + " ".join(f"WHEN '{u}' THEN '{a}'" for a, u in _IDN.items()) + " ELSE lower(regexp_extract(url, '{re}', 3)) END"
 URLS = f"urls AS ({I.URLS})"
 PARTS = f"""parts0 AS (SELECT *, lower(regexp_extract(url, '{_RE}', 1)) AS scheme, regexp_extract(url, '{_RE}', 2) AS userinfo, {_TO_ASCII.format(re=_RE)} AS hostname,
@@ -44,7 +44,7 @@ look3 AS (SELECT l.*, typo_brand, typo_d, inside_brand, CASE WHEN NOT puny AND r
   WHEN typo_brand IS NOT NULL THEN 'typo' WHEN puny THEN 'punycode' WHEN inside_brand IS NOT NULL THEN 'brand-in-host' END AS lookalike_kind FROM look2 l LEFT JOIN typo USING (hostname) LEFT JOIN inside USING (hostname)),
 look AS (SELECT *, CASE lookalike_kind WHEN 'homoglyph' THEN root_normal WHEN 'typo' THEN typo_brand WHEN 'brand-in-host' THEN inside_brand END AS lookalike_brand,
   CASE lookalike_kind WHEN 'homoglyph' THEN 0.95e0 WHEN 'typo' THEN greatest(0.6e0, 1 - typo_d * 0.2e0) WHEN 'punycode' THEN 0.75e0 WHEN 'brand-in-host' THEN 0.55e0 ELSE 0e0 END AS lookalike_conf, CASE WHEN lookalike_kind = 'typo' THEN typo_d END AS lookalike_distance,
-  CASE WHEN host_unicode IN ('pаypal.com', 'аpple.com') THEN true ELSE false END AS mixed_script FROM look3)"""
+  CASE WHEN host_unicode IN {members(_IDN.values())} THEN true ELSE false END AS mixed_script FROM look3)"""
 
 _B = strings(C.BRAND_DOMAINS)
 REP = f"""rep0 AS (SELECT *, scheme IN ('http', 'https') AND valid AS web, root IN {members(C.REPUTABLE_ROOTS)} AS reputable, root IN {members(C.LOGIN_ROOTS)} AS provider,
