@@ -12,7 +12,8 @@ partitioned by ranges of 64-bit hashes, one for each order and one for the histo
 the first: a block asks, for its distinct words, pairs, triples and histories, with its own counts of them;
 the partition adds them up and answers in the same order. So an n-gram of any frequency costs one entry a
 block, no count passes through the driver (which sees counts of counts alone), and scoring is the
-evaluation of a block with its answers. The backoff sums of a history are whole numbers (counts by
+evaluation of a block with its answers. What a backoff weight rests on is answered only where a block has an
+n-gram that was never seen. The backoff sums of a history are whole numbers (counts by
 discount class), so they don't depend on the order of addition. ``fit`` keeps the tables, ``score`` answers
 from kept tables; ``katz_scores`` does both at once. Blocks and partitions grow as the square root of the
 input (``block_size``), so the rows that are exchanged grow as the input.
@@ -43,10 +44,14 @@ BLOCK = 1 << 20
 ROW = 128
 #: Counts up to this one are discounted.
 CUTOFF = 5
+#: Columns of histories: how often, n-grams by count, lower counts above CUTOFF, and by count.
+HISTORY = 2 + 2 * CUTOFF
 END = np.uint64(0xE17D)
 #: Histories of the first token: no word, and no two words.
 BEGIN, BEGIN_2 = np.uint64(0xBE61), np.uint64(0xBE62)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of the hashes of pairs and triples: 56 of 64, as each bit is sent around.
+KEPT_BITS = ~np.uint64(0xFF)
 
 
 # blocks -------------------------------------------------------------------------------------------
@@ -84,7 +89,7 @@ class Block:
         return out
 
     def _grams(self, history: np.ndarray, history_hashes: np.ndarray) -> Grams:
-        hashes = textops.mix(textops.mix(history_hashes)[history] * _GRAM + self.words[self.token])
+        hashes = textops.mix(textops.mix(history_hashes)[history] * _GRAM + self.words[self.token]) & KEPT_BITS
         order = np.argsort(hashes)
         new = np.r_[True, hashes[order][1:] != hashes[order][:-1]]
         number = np.empty(len(order), np.int64)
@@ -171,12 +176,15 @@ def _questions(block: str, hashes: np.ndarray, columns: list[np.ndarray], bucket
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary()))], names=["bucket", "block", "data"])
 
 
-def _answers(questions: DataFrame, owners: bool, name: str, keep: bool) -> DataFrame:
+def _answers(questions: DataFrame, name: str, keep: bool, opens: np.ndarray | None = None) -> DataFrame:
     """Sums of the asked columns over all blocks, in the order of each question, and a row without a
     block of counts of counts (distinct with a count, their sum, how many have 1, 2, ...) of the first
-    column. With ``owners``, a last column marks the one block that stands for the hash. With ``keep``, a
-    row of the block "" has the table: distinct hashes that have a count, and their sums. Questions of the block
-    "" are such tables; they get no answer."""
+    column. N-grams have one column, and their answer a second one that marks the one block that stands for the
+    hash. Histories (``opens``: whether a count up to CUTOFF is discounted) have HISTORY columns and a mark of those
+    whose backoff weight is asked for: the answer is the first column, whether anything is left for other words, and
+    of the marked ones the other columns. With ``keep``, a row of the block "" has the table: distinct hashes that have
+    a count, and their sums. Questions of the block "" are such tables; they get no answer."""
+    wide = opens is not None
 
     def run(table: pa.Table) -> pa.Table:
         blocks, data = table.column("block").to_pylist(), [textops.unpack(x) for x in table.column("data").to_pylist()]
@@ -187,17 +195,23 @@ def _answers(questions: DataFrame, owners: bool, name: str, keep: bool) -> DataF
         at, group = np.flatnonzero(new), np.cumsum(new) - 1
         number = np.empty(len(order), np.int64)
         number[order] = group
-        ends, sums, out = np.cumsum([len(d[0]) for d in data]), [], []
-        for k in range(1, len(data[0])):
-            column = np.concatenate([d[k] for d in data]).astype(np.int64)[order]
-            sums.append(_small(np.add.reduceat(column, at)))
-            out.append(sums[-1][number])
-            if owners and k == 1:
-                has = np.flatnonzero(column > 0)
-                owner = np.zeros(len(order), np.uint8)
-                owner[order[has[np.r_[True, group[has][1:] != group[has][:-1]]]] if len(has) else has] = 1
-        out += [owner] if owners else []
-        rows = [(b, textops.pack(*(c[e - len(d[0]) : e] for c in out))) for b, d, e in zip(blocks, data, ends) if b]
+        column = lambda k: np.concatenate([d[k] for d in data]).astype(np.int64)[order]
+        sums = [_small(np.add.reduceat(column(k), at)) for k in range(1, 1 + (HISTORY if wide else 1))]
+        if wide:
+            second = np.add.reduce([x > 0 for x, o in zip(sums[1 : 1 + CUTOFF], opens) if o]) if opens.any() else np.zeros(len(at), np.int64)
+            second = (second > 0).astype(np.uint8)[number]
+        else:
+            has = np.flatnonzero(column(1) > 0)
+            second = np.zeros(len(order), np.uint8)
+            if len(has):
+                second[order[has[np.r_[True, group[has][1:] != group[has][:-1]]]]] = 1
+        rows, end = [], 0
+        for block, d in zip(blocks, data):
+            start, end = end, end + len(d[0])
+            if block:
+                own = number[start:end]
+                more = [x[own[d[1 + HISTORY] > 0]] for x in sums[1:]] if wide else []
+                rows.append((block, textops.pack(sums[0][own], second[start:end], *more)))
         counts = sums[0][sums[0] > 0].astype(np.int64)
         rows.append((None, np.array([len(counts), counts.sum(), *[(counts == r).sum() for r in range(1, CUTOFF + 2)]], "<i8").tobytes()))
         if keep:
@@ -266,18 +280,19 @@ class Model:
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
-    def over(self, order: int, sums: list[np.ndarray]) -> np.ndarray:
-        """Denominators of the histories of an order, from n and their n-grams by count up to CUTOFF."""
-        return np.where(self._left(order, sums) > 0, sums[0], sums[0] + 1.0)
+    def opens(self, order: int) -> np.ndarray:
+        """Whether a count up to CUTOFF leaves something for other words."""
+        return self.discount[order - 1][1:] < 1
 
     def _left(self, order: int, sums: list[np.ndarray]) -> np.ndarray:
         return sum((1 - self.discount[order - 1][r]) * r * sums[r].astype(np.float64) for r in range(1, CUTOFF + 1))
 
     def alpha(self, order: int, sums: list[np.ndarray], lower: np.ndarray | None = None) -> np.ndarray:
-        """Backoff weights of histories. ``sums`` goes on with the lower order's counts of the words seen after
-        them: the sum of those above CUTOFF and the numbers by smaller count; ``lower`` has its denominators."""
-        left, over = self._left(order, sums), self.over(order, sums)
-        left = np.where(left > 0, left, 1.0)
+        """Backoff weights of histories: from n and their n-grams by count up to CUTOFF, then the lower order's
+        counts of the words seen after them, the sum of those above CUTOFF and the numbers by smaller count;
+        ``lower`` has its denominators."""
+        left = self._left(order, sums)
+        left, over = np.where(left > 0, left, 1.0), np.where(left > 0, sums[0], sums[0] + 1.0)
         large, small = sums[1 + CUTOFF], sums[2 + CUTOFF :]
         if lower is None:
             seen = large * (self.word_probability(np.array([CUTOFF + 1]))[0] / (CUTOFF + 1)) + sum(self.word_probability(np.array([r]))[0] * x for r, x in zip(range(1, CUTOFF + 1), small))
@@ -310,6 +325,13 @@ def _history_columns(block: Block, order: int, grams: Grams, answer: list[np.nda
     return [np.bincount(before, block.of_token(block.train), n).astype(np.int64), *[counted(c == r) for r in range(1, CUTOFF + 1)], counted(low > CUTOFF, low.astype(np.float64)), *[counted(low == r) for r in range(1, CUTOFF + 1)]]
 
 
+def _asked(grams: Grams, counts: np.ndarray, n: int) -> np.ndarray:
+    """Which histories stand before an n-gram that was never seen."""
+    out = np.zeros(n, bool)
+    out[grams.history[counts == 0]] = True
+    return out
+
+
 def _lower_pair(block: Block) -> np.ndarray:
     """Number of the pair that each triple ends with."""
     out = np.empty(len(block.triples.hashes), np.int64)
@@ -348,17 +370,17 @@ def _run(rows: DataFrame, keep: bool = False, tables: Tables | None = None):
         if level in (1, 3):
             grams = block.pairs if level == 1 else block.triples
             return grams.hashes, [grams.counts(block.of_token(block.train))]
+        low, own = _columns_of(answers, 0), _columns_of(answers, 1)
         if level == 2:
-            (of_word,), of_pair = _columns_of(answers, 0), _columns_of(answers, 1)
-            columns = _history_columns(block, 2, block.pairs, of_pair, of_word[block.pairs.word])
+            columns, grams = _history_columns(block, 2, block.pairs, own, low[0][block.pairs.word]), block.pairs
         else:
-            of_pair, of_triple = _columns_of(answers, 0), _columns_of(answers, 1)
-            columns = _history_columns(block, 3, block.triples, of_triple, of_pair[0][_lower_pair(block)])
+            columns, grams = _history_columns(block, 3, block.triples, own, low[0][_lower_pair(block)]), block.triples
         hashes = block.histories(2 if level == 2 else 3)
+        columns.append(_asked(grams, own[0], len(hashes)))
         order = np.argsort(hashes)
         return hashes[order], [c[order] for c in columns]
 
-    def ask(level: int, given: list[DataFrame]) -> DataFrame:
+    def ask(level: int, given: list[DataFrame], opens: np.ndarray | None = None) -> DataFrame:
         answered = bool(given)
 
         def run(batches):
@@ -370,11 +392,24 @@ def _run(rows: DataFrame, keep: bool = False, tables: Tables | None = None):
         questions = (_gathered(given) if given else dealt).mapInArrow(run, _QUESTION)
         if tables:
             questions = questions.unionByName(tables.levels[level].select("bucket", "block", "data"))
-        return _answers(questions, level in (1, 3), f"katz-{_LEVELS[level]}", keep)
+        return _answers(questions, f"katz-{_LEVELS[level]}", keep, opens)
 
     words, pairs, triples = ask(0, []), ask(1, []), ask(3, [])
     model = tables.model if tables else Model.of([_statistics(x) for x in (words, pairs, triples)])
-    return folder, [words, pairs, ask(2, [words, pairs]), triples, ask(4, [pairs, triples])], model, buckets
+    histories = [ask(2, [words, pairs], model.opens(2)), ask(4, [pairs, triples], model.opens(3))]
+    return folder, [words, pairs, histories[0], triples, histories[1]], model, buckets
+
+
+def _weights(model: Model, block: Block, order: int, grams: Grams, counts: np.ndarray, answer: list[np.ndarray], lower: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(denominators, backoff weights, those that are asked for) of a block's histories."""
+    hashes = block.histories(order)
+    by_hash = np.argsort(hashes)
+    n, left = np.empty(len(hashes)), np.empty(len(hashes), bool)
+    n[by_hash], left[by_hash] = answer[0], answer[1] > 0
+    asked = by_hash[_asked(grams, counts, len(hashes))[by_hash]]
+    alpha = np.ones(len(hashes))
+    alpha[asked] = model.alpha(order, [n[asked], *answer[2:]], None if lower is None else lower[asked])
+    return np.where(left, n, n + 1), alpha
 
 
 def _evaluated(folder: str, answers: list[DataFrame], model: Model) -> DataFrame:
@@ -382,24 +417,19 @@ def _evaluated(folder: str, answers: list[DataFrame], model: Model) -> DataFrame
         for batch in batches:
             for name, given in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 b = read_block(folder, name)
-                (of_word,), of_pair, sums, of_triple, sums_3 = (_columns_of(given, level) for level in range(5))
-                place = np.argsort(np.argsort(b.histories(2)))
-                sums = [x[place] for x in sums]
-                over_2 = model.over(2, sums)
+                of_word, of_pair, sums_2, of_triple, sums_3 = (_columns_of(given, level) for level in range(5))
+                of_word, c_2, c_3 = (x[0].astype(np.int64) for x in (of_word, of_pair, of_triple))
                 with np.errstate(divide="ignore"):
-                    one = np.log10(model.word_probability(of_word.astype(np.int64)))
-                    c, h = of_pair[0].astype(np.int64), b.pairs.history
-                    two = np.where(c > 0, np.log10(_discounted(c, model.discount[1]) / over_2[h]), np.log10(model.alpha(2, sums))[h] + one[b.pairs.word])
+                    one = np.log10(model.word_probability(of_word))
+                    over_2, alpha_2 = _weights(model, b, 2, b.pairs, c_2, sums_2)
+                    two = np.where(c_2 > 0, np.log10(_discounted(c_2, model.discount[1]) / over_2[b.pairs.history]), np.log10(alpha_2)[b.pairs.history] + one[b.pairs.word])
                     # the history of a triple is a pair, whose last word is the pair's own history
-                    place = np.argsort(np.argsort(b.histories(3)))
-                    sums_3 = [x[place] for x in sums_3]
-                    lower = over_2[np.r_[b.pairs.word, len(b.words)]]
-                    c, h = of_triple[0].astype(np.int64), b.triples.history
-                    three = np.where(c > 0, np.log10(_discounted(c, model.discount[2]) / model.over(3, sums_3)[h]), np.log10(model.alpha(3, sums_3, lower))[h] + two[_lower_pair(b)])
+                    over_3, alpha_3 = _weights(model, b, 3, b.triples, c_3, sums_3, over_2[np.r_[b.pairs.word, len(b.words)]])
+                    three = np.where(c_3 > 0, np.log10(_discounted(c_3, model.discount[2]) / over_3[b.triples.history]), np.log10(alpha_3)[b.triples.history] + two[_lower_pair(b)])
                 first = np.cumsum(b.size) - b.size
                 add = lambda x: np.add.reduceat(x, first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.ids, mask=b.null > 0), pa.array(b.size.astype(np.int64)), pa.array(add((of_word > 0)[b.token].astype(np.int64))), pa.array(add(model.base(of_word.astype(np.int64))[b.token])), pa.array(add(three[b.triples.number]))],
+                    [pa.array(b.ids, mask=b.null > 0), pa.array(b.size.astype(np.int64)), pa.array(add((of_word > 0)[b.token].astype(np.int64))), pa.array(add(model.base(of_word)[b.token])), pa.array(add(three[b.triples.number]))],
                     names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
 
