@@ -95,9 +95,24 @@ def root_domain(host: Column | str) -> Column:
     """Registrable domain of a host (column or its name): three labels below a two-level suffix, else the
     last two."""
     if isinstance(host, str):
-        return F.expr(f"CASE WHEN size(split({host}, '[.]')) <= 2 THEN {host} WHEN substring_index({host}, '.', -2) IN ({sql_list(C.TWO_LEVEL_SUFFIXES)}) THEN substring_index({host}, '.', -3) ELSE substring_index({host}, '.', -2) END")
+        return F.expr(root_sql(host))
     last2 = F.substring_index(host, ".", -2)
-    return F.when(F.size(F.split(host, r"\.")) <= 2, host).when(last2.isin(*C.TWO_LEVEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(last2)
+    return F.when(F.size(F.split(host, r"\.")) <= 2, host).when(F.array_contains(letters(C.TWO_LEVEL_SUFFIXES), last2), F.substring_index(host, ".", -3)).otherwise(last2)
+
+
+def root_sql(host: str) -> str:
+    """The same of an SQL expression."""
+    return f"CASE WHEN size(split({host}, '[.]')) <= 2 THEN {host} WHEN substring_index({host}, '.', -2) IN ({sql_list(C.TWO_LEVEL_SUFFIXES)}) THEN substring_index({host}, '.', -3) ELSE substring_index({host}, '.', -2) END"
+
+
+def host_sql(url: str) -> str:
+    """The host, without ``www.``, of an SQL expression that may begin with ``//``."""
+    return rf"regexp_replace(lower(regexp_extract(CASE WHEN startswith({url}, '//') THEN concat('https:', {url}) ELSE {url} END, r'{URL}', 3)), r'^www\.', '')"
+
+
+def below_sql(host: str, names) -> str:
+    """Whether a host is one of the names or below one."""
+    return f"exists(array({sql_list(names)}), c -> {host} = c OR endswith({host}, concat('.', c)))"
 
 
 def letters(values) -> Column:

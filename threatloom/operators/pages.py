@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions import hosts as H
-from .urls import SIGNALS, signals, url_parts
+from .urls import SIGNALS, derive, signals, url_parts
 
 MAX_HTML = 400_000
 
@@ -271,75 +271,72 @@ TEMPLATES = (
 def auth_layout(facts: DataFrame) -> DataFrame:
     """Zones of the sign-in area as letters (logo, heading, email, next, password, otp, submit), and the
     provider template that fits best: ordered similarity, buttons, hidden fields, keywords."""
-    form = H.first_of(F.filter("forms", lambda f: f["has_password"] | f["has_email_like"]))
-    flag = lambda c, letter: F.when(F.coalesce(c, F.lit(False)), letter).otherwise("")
-    out = facts.withColumn("_form", form)
-    pwd, mail, otp = (F.col(f"_form.{k}") for k in ("has_password", "has_email_like", "has_otp"))
-    out = out.withColumns({"zones": F.concat(flag(F.col("has_logo_image"), "l"), flag(F.col("has_heading"), "h"), flag(mail, "e"), flag(mail & ~pwd, "n"), flag(pwd, "p"), flag(otp, "o"), flag(pwd | otp, "s")), "hidden_ratio": F.coalesce(F.when(F.col("_form.fields_count") > 0, F.col("_form.hidden_count") / F.col("_form.fields_count")), F.lit(0.0))})
-    text = F.lower(F.concat("visible_text", F.lit(" "), "title"))
+    flag = lambda c, letter: f"CASE WHEN coalesce({c}, false) THEN '{letter}' ELSE '' END"
+    pwd, mail, otp = (f"_form.{k}" for k in ("has_password", "has_email_like", "has_otp"))
+    zones = ((c, x) for c, x in (("has_logo_image", "l"), ("has_heading", "h"), (mail, "e"), (f"{mail} AND NOT {pwd}", "n"), (pwd, "p"), (otp, "o"), (f"{pwd} OR {otp}", "s")))
+    out = derive(facts, _form="try_element_at(filter(forms, f -> f.has_password OR f.has_email_like), 1)", _text="lower(concat(visible_text, ' ', title))")
+    out = derive(out, zones="concat(" + ", ".join(flag(*z) for z in zones) + ")", hidden_ratio="coalesce(CASE WHEN _form.fields_count > 0 THEN _form.hidden_count / _form.fields_count END, 0D)")
 
-    def fit(t) -> Column:
-        name, root, zones, oauth, low, high, words = t
-        alike = 1 - F.levenshtein("zones", F.lit(zones)) / F.greatest(F.length("zones"), F.lit(len(zones)))
-        hits = sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
-        score = alike * 0.55 + F.when((F.size("oauth_buttons") > 0) == F.lit(oauth), 0.1).otherwise(0.0) + F.when(F.col("hidden_ratio").between(low, high), 0.1).otherwise(0.0) + F.least(F.lit(0.25), hits * 0.12)
-        return F.struct((-F.least(F.lit(1.0), score)).alias("key"), F.lit(TEMPLATES.index(t)).alias("place"), F.lit(name).alias("template"), F.lit(root).alias("root"))
+    def fit(place: int, t) -> str:
+        name, root, letters, oauth, low, high, words = t
+        hits = " + ".join(f"CAST(contains(_text, '{w}') AS INT)" for w in words)
+        alike = f"(1 - levenshtein(zones, '{letters}') / greatest(length(zones), {len(letters)})) * 0.55D"
+        score = f"{alike} + CASE WHEN (size(oauth_buttons) > 0) = {str(oauth).lower()} THEN 0.1D ELSE 0D END + CASE WHEN hidden_ratio BETWEEN {low}D AND {high}D THEN 0.1D ELSE 0D END + least(0.25D, ({hits}) * 0.12D)"
+        return f"named_struct('key', -least(1D, {score}), 'place', {place}, 'template', '{name}', 'root', '{root}')"
 
-    best = F.array_min(F.array(*[fit(t) for t in TEMPLATES]))
-    out = out.withColumn("_best", F.when(F.length("zones") > 0, best))
-    return out.withColumns({"layout_template": F.col("_best.template"), "layout_root": F.col("_best.root"), "layout_match": F.floor(F.coalesce(-F.col("_best.key"), F.lit(0.0)) * 100 + 0.5) / 100}).drop("_form", "_best")
-
-
-def listed_or_below(host: Column, names) -> Column:
-    return F.exists(H.letters(names), lambda c: (host == c) | F.endswith(host, F.concat(F.lit("."), c)))
+    out = derive(out, _best="CASE WHEN length(zones) > 0 THEN array_min(array(" + ", ".join(fit(i, t) for i, t in enumerate(TEMPLATES)) + ")) END")
+    return derive(out, layout_template="_best.template", layout_root="_best.root", layout_match="floor(coalesce(-_best.key, 0D) * 100 + 0.5D) / 100").drop("_form", "_best", "_text")
 
 
 def _host_of(url: Column) -> Column:
     return H.no_www(F.lower(H.url_part(F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(url), 3)))
 
 
+def _foreign(host: str) -> str:
+    """Whether a host has another root than the page and isn't shared infrastructure."""
+    return f"({host} <> '' AND {H.root_sql(host)} <> root AND NOT {H.below_sql(host, C.CDN_HOSTS)} AND NOT {H.below_sql(host, C.INFRA_HOSTS)})"
+
+
 def clone_facts(facts: DataFrame) -> DataFrame:
     """Clone indicators (brand favicon, brand image, provider layout elsewhere, phishing evidence); two of
     four make a confidence. The share of foreign assets is reported and never counts."""
-    root = F.col("root")
-    foreign = lambda h: (h != "") & (H.root_domain(h) != root) & ~listed_or_below(h, C.CDN_HOSTS) & ~listed_or_below(h, C.INFRA_HOSTS)
-    brand = lambda h: F.array_contains(H.letters(C.CLONE_BRANDS), H.root_domain(h))
-    assets = F.concat("scripts", "styles")
-    icon = _host_of(F.col("favicon"))
-    tpl = F.col("layout_root")
-    elsewhere = F.when(tpl.contains("*"), ~root.contains("bank")).otherwise(H.root_domain(H.no_www(tpl)) != root)
-    out = facts.withColumns(
-        {
-            "n_assets": F.size(assets),
-            "n_foreign": F.size(F.filter(assets, lambda a: foreign(_host_of(a)))),
-            "favicon_mismatch": foreign(icon) & brand(icon),
-            "brand_image": F.exists(F.slice("images", 1, 50), lambda i: (_host_of(i) != "") & ~listed_or_below(_host_of(i), C.INFRA_HOSTS) & (H.root_domain(_host_of(i)) != root) & brand(_host_of(i))),
-            "layout_signal": F.coalesce(elsewhere & (F.col("layout_match") >= 0.7), F.lit(False)),
-            "_phish": F.col("creds") | F.col("page_external_post") | F.col("brand_text"),
-        }
+    brand = lambda h: f"{H.root_sql(h)} IN ({H.sql_list(C.CLONE_BRANDS)})"
+    out = derive(
+        facts,
+        _hosts=f"transform(concat(scripts, styles), a -> {H.host_sql('a')})",
+        _images=f"transform(slice(images, 1, 50), i -> {H.host_sql('i')})",
+        _icon=H.host_sql("favicon"),
+        _layout=H.root_sql("regexp_replace(layout_root, r'^www\\.', '')"),
+        clone_corroborated="creds OR page_external_post OR brand_text",
+    )
+    out = derive(
+        out,
+        n_assets="size(_hosts)",
+        n_foreign=f"size(filter(_hosts, h -> {_foreign('h')}))",
+        favicon_mismatch=f"{_foreign('_icon')} AND {brand('_icon')}",
+        brand_image=f"exists(_images, h -> h <> '' AND NOT {H.below_sql('h', C.INFRA_HOSTS)} AND {H.root_sql('h')} <> root AND {brand('h')})",
+        layout_signal="coalesce(CASE WHEN contains(layout_root, '*') THEN NOT contains(root, 'bank') ELSE _layout <> root END AND layout_match >= 0.7, false)",
     )
-    n = sum((F.col(c).cast("int") for c in ("favicon_mismatch", "brand_image", "layout_signal", "_phish")), F.lit(0))
-    bonus = F.when(F.col("layout_signal"), F.least(F.lit(0.15), F.col("layout_match") * 0.2)).otherwise(0.0)
-    return out.withColumns({"clone_signals": n, "clone_conf": F.when(n >= 2, F.least(F.lit(1.0), n * 0.25 + bonus)).otherwise(0.0), "clone_corroborated": F.col("_phish")}).drop("_phish")
+    out = derive(out, clone_signals="CAST(favicon_mismatch AS INT) + CAST(brand_image AS INT) + CAST(layout_signal AS INT) + CAST(clone_corroborated AS INT)")
+    out = derive(out, clone_conf="CASE WHEN clone_signals >= 2 THEN least(1D, clone_signals * 0.25D + CASE WHEN layout_signal THEN least(0.15D, layout_match * 0.2D) ELSE 0D END) ELSE 0D END")
+    return out.drop("_hosts", "_images", "_icon", "_layout")
 
 
 def security_context(facts: DataFrame) -> DataFrame:
     """Score that a page discusses security or teaches, from its words, host and path."""
-    text = F.lower(F.concat("title", F.lit("\n"), "visible_text"))
-    count = lambda terms: F.size(F.filter(H.letters(terms), lambda t: F.contains(text, t)))
-    host, path = F.col("hostname"), F.lower("path")
-    out = facts.withColumns({"research_terms": count(C.RESEARCH_TERMS), "education_terms": count(C.EDUCATION_TERMS), "auth_doc_terms": count(C.AUTH_DOC_TERMS)})
-    docs = F.exists(H.letters(C.DOC_HOST_PREFIXES), lambda p: F.startswith(host, p))
-    points = [
-        F.expr("CASE WHEN research_terms >= 2 THEN 0.45 WHEN research_terms = 1 THEN 0.15 ELSE 0.0 END"),
-        F.expr("CASE WHEN education_terms >= 3 THEN 0.3 WHEN education_terms >= 1 THEN 0.1 ELSE 0.0 END"),
-        F.expr("CASE WHEN auth_doc_terms >= 2 THEN 0.3 WHEN auth_doc_terms = 1 THEN 0.1 ELSE 0.0 END"),
-        F.when(F.exists(H.letters(C.RESEARCH_HOSTS), lambda f: F.contains(host, f)), 0.45).when(docs, 0.2).otherwise(0.0),
-        F.when(F.exists(H.letters(C.DOC_PATHS), lambda f: F.contains(path, f)), 0.15).otherwise(0.0),
-        F.when(host.rlike(r"github\.(com|io)$") & path.rlike("demo|example|sample|tutorial|awareness|training|playground"), 0.2).otherwise(0.0),
-    ]
-    total = sum((p.cast("double") for p in points), F.lit(0.0))
-    return out.withColumn("context_score", F.floor(F.least(F.lit(1.0), total) * 100 + 0.5) / 100)
+    any_of = lambda names, test: f"exists(array({H.sql_list(names)}), x -> {test})"
+    count = lambda terms: f"size(filter(array({H.sql_list(terms)}), x -> contains(_text, x)))"
+    out = derive(facts, _text=r"lower(concat(title, '\n', visible_text))")
+    out = derive(out, research_terms=count(C.RESEARCH_TERMS), education_terms=count(C.EDUCATION_TERMS), auth_doc_terms=count(C.AUTH_DOC_TERMS)).drop("_text")
+    points = (
+        "CASE WHEN research_terms >= 2 THEN 0.45D WHEN research_terms = 1 THEN 0.15D ELSE 0D END",
+        "CASE WHEN education_terms >= 3 THEN 0.3D WHEN education_terms >= 1 THEN 0.1D ELSE 0D END",
+        "CASE WHEN auth_doc_terms >= 2 THEN 0.3D WHEN auth_doc_terms = 1 THEN 0.1D ELSE 0D END",
+        f"CASE WHEN {any_of(C.RESEARCH_HOSTS, 'contains(hostname, x)')} THEN 0.45D WHEN {any_of(C.DOC_HOST_PREFIXES, 'startswith(hostname, x)')} THEN 0.2D ELSE 0D END",
+        f"CASE WHEN {any_of(C.DOC_PATHS, 'contains(lower(path), x)')} THEN 0.15D ELSE 0D END",
+        "CASE WHEN hostname RLIKE 'github[.](com|io)$' AND lower(path) RLIKE 'demo|example|sample|tutorial|awareness|training|playground' THEN 0.2D ELSE 0D END",
+    )
+    return derive(out, context_score="floor(least(1D, " + " + ".join(points) + ") * 100 + 0.5D) / 100")
 
 
 # lures ----------------------------------------------------------------------------------------------
@@ -423,8 +420,8 @@ def scareware(df: DataFrame, text: str, structural: Column) -> DataFrame:
 
 def third_party_assets(context: DataFrame) -> DataFrame:
     """One row a script or style from another root that isn't shared infrastructure."""
-    rows = context.select("page_id", "root", F.explode(F.concat("scripts", "styles")).alias("asset")).withColumn("asset_host", _host_of(F.col("asset")))
-    return rows.where((F.col("asset_host") != "") & (H.root_domain(F.col("asset_host")) != F.col("root")) & ~listed_or_below(F.col("asset_host"), C.CDN_HOSTS) & ~listed_or_below(F.col("asset_host"), C.INFRA_HOSTS))
+    rows = context.select("page_id", "root", F.explode(F.concat("scripts", "styles")).alias("asset"))
+    return derive(rows, asset_host=H.host_sql("asset")).where(_foreign("asset_host"))
 
 
 # Fixed values. File extensions that run.
@@ -480,18 +477,18 @@ def page_facts(pages: DataFrame, blocklist: DataFrame | None = None, evidence=()
 
     out = open_redirects(structure(reputation(host_facts(with_evidence(page_context(pages), evidence)))))
     seen = {"hidden_overlay": "false", "csp_weakened": "false", "layout_clone": "false", "layout_conf": "0D"}
-    out = out.withColumns({k: F.expr(f"coalesce({k}, {v})" if k in out.columns else v) for k, v in seen.items()})
+    known = set(out.columns)
+    out = derive(out, **{k: f"coalesce({k}, {v})" if k in known else v for k, v in seen.items()})
     out = blocklist_match(out, blocklist) if blocklist is not None else out.withColumn("blocklisted", F.lit(False))
     out = clone_facts(auth_layout(phishing(out)))
     out = security_context(out)
-    out = out.withColumns(
-        {
-            "has_auth": F.expr("creds OR auth_risk IN ('medium', 'critical') OR has_password") | F.exists("forms", lambda f: f["has_password"] | (f["has_email_like"] & f["has_otp"])),
-            "external_post": F.expr("page_external_post OR flow_relay"),
-            "cross_origin_creds": F.expr("page_cross_origin OR flow_iframe_swap"),
-        }
+    out = derive(
+        out,
+        has_auth="creds OR auth_risk IN ('medium', 'critical') OR has_password OR exists(forms, f -> f.has_password OR (f.has_email_like AND f.has_otp))",
+        external_post="page_external_post OR flow_relay",
+        cross_origin_creds="page_cross_origin OR flow_iframe_swap",
+        oauth_spoof="flow_token_drift OR (exists(page_signals, s -> s.id = 'oauth-impersonation') AND (page_external_post OR flow_relay))",
     )
-    out = out.withColumn("oauth_spoof", F.col("flow_token_drift") | (F.exists("page_signals", lambda s: s["id"] == "oauth-impersonation") & F.col("external_post")))
     clone = (("clone", "clone", "CASE WHEN clone_conf >= 0.8 THEN 'critical' ELSE 'high' END", "35", "clone_conf", "clone_conf >= 0.4 AND clone_corroborated AND NOT ((reputable OR provider) AND NOT brand_image)"),)
     out = out.withColumn("page_signals", F.concat("page_signals", signals(clone)))
     return classify(dom_features(url_features(out)))

@@ -9,59 +9,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from .urls import signals
+from .urls import SIGNALS, derive, signals
 
 _RULES = "array<struct<id: string, cap: int, force: string>>"
+_EXTERNAL = "ext_malicious OR ext_engines > 0"
 
 
-def rule_hits(table) -> Column:
-    """The rules of a table (id, cap, force, condition) that hold, in order."""
+def rule_hits(table) -> str:
+    """SQL of the rules of a table (id, cap, force, condition) that hold, in order."""
     force = lambda f: f"'{f}'" if f else "CAST(NULL AS STRING)"
-    return F.array_compact(F.expr("array(" + ", ".join(f"CASE WHEN {cond} THEN named_struct('id', '{rid}', 'cap', {cap}, 'force', {force(f)}) END" for rid, cap, f, cond in table) + ")")).cast(_RULES)
+    return "CAST(array_compact(array(" + ", ".join(f"CASE WHEN {cond} THEN named_struct('id', '{rid}', 'cap', {cap}, 'force', {force(f)}) END" for rid, cap, f, cond in table) + f")) AS {_RULES})"
 
 
-def worst(forces: Column) -> Column:
-    return F.when(F.array_contains(forces, "dangerous"), "dangerous").when(F.array_contains(forces, "suspicious"), "suspicious")
+def points(table) -> str:
+    """SQL of the sum of a table's points (id, points, condition)."""
+    return "(" + " + ".join(f"CASE WHEN {cond} THEN {points} ELSE 0 END" for _, points, cond in table) + ")"
 
 
 def arbitrate(facts: DataFrame) -> DataFrame:
     """Ordered hard rules: rules, cap, force and trust floor. An allowlisted root without malicious
     behaviour hits no rule; a trusted root without behavioural evidence keeps a floor instead of caps."""
-    out = facts.withColumns(
-        {
-            "unknown": ~F.col("reputable") & ~F.col("provider"),
-            "url_spoof": F.col("brand_subdomain").isNotNull(),
-            "swapped": F.col("tld_swap").isNotNull(),
-            "auth_or_creds": F.col("has_auth") | F.col("creds"),
-            "idn_spoof": (F.coalesce("lookalike_kind", F.lit("")) == "punycode") | F.col("hostname").rlike(r"(^|\.)xn--") | F.coalesce("mixed_script", F.lit(False)),
-        }
+    out = derive(
+        facts,
+        unknown="NOT reputable AND NOT provider",
+        url_spoof="brand_subdomain IS NOT NULL",
+        swapped="tld_swap IS NOT NULL",
+        auth_or_creds="has_auth OR creds",
+        idn_spoof=r"coalesce(lookalike_kind, '') = 'punycode' OR hostname RLIKE '(^|[.])xn--' OR coalesce(mixed_script, false)",
     )
-    ext = "ext_malicious OR ext_engines > 0"
-    out = out.withColumn("evidence", F.expr(f"external_post OR cross_origin_creds OR oauth_spoof OR idn_spoof OR mfa_only OR brand_text OR {ext} OR blocklisted OR url_spoof OR swapped"))
-    out = out.withColumn("corroborated", F.expr("evidence OR lookalike_arb > 0.5 OR clone_conf >= 0.4 OR phish_conf >= 0.4 OR abused_tld IS NOT NULL OR coalesce(age_days >= 0 AND age_days < 60, false) OR scheme <> 'https' OR hidden_overlay OR email_first"))
-    silent = F.expr(f"allowlisted AND NOT (external_post OR cross_origin_creds OR oauth_spoof OR {ext})")
-    hits = F.when(silent, F.array().cast(_RULES)).otherwise(rule_hits(R.ARBITRATION))
-    floored = F.expr("(reputable OR provider) AND NOT evidence") & ~silent
-    out = out.withColumns({"rules": hits, "_floored": floored})
-    login = F.array_contains(F.transform("rules", lambda r: r["id"]), "unknown-login") & (F.col("phish_conf") >= 0.5)
-    force = F.coalesce(worst(F.transform("rules", lambda r: r["force"])), F.when(login, "suspicious"))
-    return out.withColumns(
-        {
-            "arb_cap": F.when(~F.col("_floored"), F.array_min(F.transform("rules", lambda r: r["cap"]))),
-            "arb_force": F.when(~F.col("_floored"), force),
-            "trust_floor": F.when(F.col("_floored"), F.when(F.col("reputable"), 85).otherwise(80)),
-        }
-    ).drop("_floored")
-
-
-def trust_points() -> Column:
-    return F.expr(" + ".join(f"CASE WHEN {cond} THEN {points} ELSE 0 END" for _, points, cond in R.TRUST))
-
-
-def decay() -> Column:
-    """Points that contradicting behaviour takes from trusted roots."""
-    total = F.expr(" + ".join(f"CASE WHEN {cond} THEN {points} ELSE 0 END" for _, points, cond in R.DECAY))
-    return F.when(F.col("reputable") | F.col("provider") | F.col("allowlisted"), total).otherwise(0)
+    out = derive(out, evidence=f"external_post OR cross_origin_creds OR oauth_spoof OR idn_spoof OR mfa_only OR brand_text OR {_EXTERNAL} OR blocklisted OR url_spoof OR swapped")
+    out = derive(
+        out,
+        corroborated="evidence OR lookalike_arb > 0.5 OR clone_conf >= 0.4 OR phish_conf >= 0.4 OR abused_tld IS NOT NULL OR coalesce(age_days >= 0 AND age_days < 60, false) OR scheme <> 'https' OR hidden_overlay OR email_first",
+        _silent=f"allowlisted AND NOT (external_post OR cross_origin_creds OR oauth_spoof OR {_EXTERNAL})",
+    )
+    out = derive(out, rules=f"CASE WHEN _silent THEN CAST(array() AS {_RULES}) ELSE {rule_hits(R.ARBITRATION)} END", _floored="(reputable OR provider) AND NOT evidence AND NOT _silent")
+    return derive(
+        out,
+        arb_cap="CASE WHEN NOT _floored THEN array_min(transform(rules, r -> r.cap)) END",
+        arb_force="CASE WHEN NOT _floored THEN CASE WHEN exists(rules, r -> r.force <=> 'dangerous') THEN 'dangerous' WHEN exists(rules, r -> r.force <=> 'suspicious') OR (phish_conf >= 0.5 AND exists(rules, r -> r.id = 'unknown-login')) THEN 'suspicious' END END",
+        trust_floor="CASE WHEN _floored THEN CASE WHEN reputable THEN 85 ELSE 80 END END",
+    ).drop("_floored", "_silent")
 
 
 def flow_signals() -> tuple:
@@ -71,57 +59,66 @@ def flow_signals() -> tuple:
 def score(facts: DataFrame, sensitivity: float = 1.0) -> DataFrame:
     """Signals, score, status, confidence and band of every row of facts, in the order of the pipeline."""
     out = facts.withColumn("signals", F.concat(signals(R.URL_SIGNALS, sensitivity), F.col("page_signals"), signals(flow_signals(), sensitivity)))
-    penalty = F.aggregate("signals", F.lit(0).cast("long"), lambda a, s: a + s["contribution"])
-    floor = F.greatest(F.when(F.col("allowlisted"), 85).otherwise(0), F.when(F.col("trust_count") >= 3, 70).otherwise(0))
-    out = out.withColumns({"trust_gain": trust_points(), "penalty": penalty, "_floor": floor})
-    raw = F.greatest(F.lit(0), F.least(F.lit(100), F.lit(R.BASELINE) + F.col("trust_gain") + F.col("penalty")))
-    out = out.withColumn("base_score", F.greatest(raw, F.col("_floor")).cast("int"))
     # security-research pages: visual evidence counts less unless behaviour speaks against it
-    early = F.expr("external_post OR oauth_spoof OR creds OR cross_origin_creds OR ext_malicious OR ext_engines > 0 OR blocklisted OR brand_subdomain IS NOT NULL OR flow_relay OR flow_token_drift OR flow_iframe_swap")
-    damp = F.when((F.col("context_score") >= 0.6) & ~early & ~F.col("allowlisted"), F.col("context_score")).otherwise(0.0)
-    visual = F.aggregate(F.filter("signals", lambda s: s["id"].isin("lookalike", "clone", "brand-impersonation")), F.lit(0).cast("long"), lambda a, s: a - s["contribution"])
-    out = out.withColumn("damping", damp).withColumn("damping_points", F.floor(F.least(visual, F.lit(30)) * F.col("damping") * 0.8 + 0.5).cast("int"))
-    soft = 1 - F.col("damping") * 0.8
-    out = out.withColumns({"base_score": F.least(F.lit(100), F.col("base_score") + F.col("damping_points")), "lookalike_arb": F.coalesce(F.col("lookalike_conf"), F.lit(0.0)) * soft, "clone_conf": F.col("clone_conf") * soft, "phish_conf": F.col("phish_conf") * soft, "brand_text": F.col("brand_text") & (F.col("damping") == 0)})
+    out = derive(
+        out,
+        trust_gain=points(R.TRUST),
+        penalty="aggregate(signals, 0L, (a, s) -> a + s.contribution)",
+        _floor="greatest(CASE WHEN allowlisted THEN 85 ELSE 0 END, CASE WHEN trust_count >= 3 THEN 70 ELSE 0 END)",
+        _visual="aggregate(filter(signals, s -> s.id IN ('lookalike', 'clone', 'brand-impersonation')), 0L, (a, s) -> a - s.contribution)",
+        damping=f"CASE WHEN context_score >= 0.6 AND NOT allowlisted AND NOT (external_post OR oauth_spoof OR creds OR cross_origin_creds OR {_EXTERNAL} OR blocklisted OR brand_subdomain IS NOT NULL OR flow_relay OR flow_token_drift OR flow_iframe_swap) THEN context_score ELSE 0D END",
+        _decay=points(R.DECAY),
+    )
+    out = derive(out, damping_points="CAST(floor(least(_visual, 30) * damping * 0.8D + 0.5D) AS INT)", _raw=f"greatest(0, least(100, {R.BASELINE} + trust_gain + penalty))")
+    out = derive(
+        out,
+        base_score="CAST(least(100, greatest(_raw, _floor) + damping_points) AS INT)",
+        lookalike_arb="coalesce(lookalike_conf, 0D) * (1 - damping * 0.8D)",
+        clone_conf="clone_conf * (1 - damping * 0.8D)",
+        phish_conf="phish_conf * (1 - damping * 0.8D)",
+        brand_text="brand_text AND damping = 0",
+        _malicious=f"page_external_post OR page_cross_origin OR {_EXTERNAL} OR blocklisted OR brand_subdomain IS NOT NULL OR tld_swap IS NOT NULL OR coalesce(mixed_script, false)",
+    )
     out = arbitrate(out)
-    malicious = F.expr("page_external_post OR page_cross_origin OR ext_malicious OR ext_engines > 0 OR blocklisted OR brand_subdomain IS NOT NULL OR tld_swap IS NOT NULL OR coalesce(mixed_script, false)")
-    spoken = ~F.col("allowlisted") | malicious
-    none = F.lit(None).cast("int")
-    caps = [F.col("arb_cap"), F.when(F.col("lookalike_kind").isNotNull() & ((F.col("lookalike_kind") == "punycode") | F.col("hostname").rlike(r"(^|\.)xn--")), 45), F.when(F.col("brand_subdomain").isNotNull(), 25), F.when(F.col("mixed_script"), F.when(F.col("mixed_spoof"), 35).otherwise(50)), F.when(spoken, F.col("page_cap"))]
-    capped = F.least(F.col("base_score"), *[F.coalesce(c, F.lit(100)) for c in caps], F.coalesce(none, F.lit(100)))
-    capped = F.when(F.col("trust_floor").isNotNull() & (F.col("scheme") == "https"), F.greatest(capped, F.col("trust_floor"))).otherwise(capped)
-    out = out.withColumns({"decay": decay(), "_force": F.coalesce("arb_force", F.when(spoken, F.col("page_force"))), "behavioural": malicious | F.expr("flow_relay OR flow_token_drift OR flow_iframe_swap")})
-    out = out.withColumn("score", F.when(F.col("valid"), F.greatest(F.lit(0), capped - F.col("decay"))).otherwise(50).cast("int"))
-    by_score = F.when(F.col("score") >= 71, "safe").when(F.col("score") >= 41, "suspicious").otherwise("dangerous")
-    out = out.withColumn("status", F.when(~F.col("valid"), "suspicious").when(F.col("_force") == "dangerous", "dangerous").when((F.col("_force") == "suspicious") & (by_score == "safe"), "suspicious").otherwise(by_score))
-    out = out.withColumn("signals", F.when(F.col("valid"), F.col("signals")).otherwise(F.array().cast(out.schema["signals"].dataType)))
-    return suspicion(confidences(out)).drop("_floor", "_force")
-
-
-def confidences(df: DataFrame) -> DataFrame:
-    """Confidence in the verdict and in phishing, rounded to hundredths."""
-    def total(kept: Column, scale: float) -> Column:
-        return F.aggregate(kept, F.lit(0.0), lambda a, s: a + s["confidence"] * F.least(F.lit(1.0), s["weight"] / scale))
-
-    hundredths = lambda c: F.floor(c * 100 + 0.5) / 100
-    verdict = F.when(F.size("signals") == 0, 0.6).otherwise(F.least(F.lit(1.0), total(F.col("signals"), 30.0) / 1.5))
-    kinds = F.filter("signals", lambda s: s["category"].isin("identity", "structure", "behavior", "reputation", "clone"))
-    return df.withColumns({"confidence": F.when(F.col("valid"), hundredths(verdict)).otherwise(0.0), "phishing_confidence": hundredths(F.least(F.lit(1.0), total(kinds, 25.0) / 2))})
+    puny = r"lookalike_kind IS NOT NULL AND (lookalike_kind = 'punycode' OR hostname RLIKE '(^|[.])xn--')"
+    out = derive(
+        out,
+        _spoken="NOT allowlisted OR _malicious",
+        decay="CASE WHEN reputable OR provider OR allowlisted THEN _decay ELSE 0 END",
+        behavioural="_malicious OR flow_relay OR flow_token_drift OR flow_iframe_swap",
+    )
+    out = derive(
+        out,
+        _capped=f"least(base_score, coalesce(arb_cap, 100), CASE WHEN {puny} THEN 45 ELSE 100 END, CASE WHEN brand_subdomain IS NOT NULL THEN 25 ELSE 100 END, CASE WHEN mixed_script THEN CASE WHEN mixed_spoof THEN 35 ELSE 50 END ELSE 100 END, CASE WHEN _spoken THEN coalesce(page_cap, 100) ELSE 100 END)",
+        _force="coalesce(arb_force, CASE WHEN _spoken THEN page_force END)",
+    )
+    out = derive(out, score="CAST(CASE WHEN valid THEN greatest(0, CASE WHEN trust_floor IS NOT NULL AND scheme = 'https' THEN greatest(_capped, trust_floor) ELSE _capped END - decay) ELSE 50 END AS INT)", signals=f"CASE WHEN valid THEN signals ELSE CAST(array() AS {SIGNALS}) END")
+    by_score = "CASE WHEN score >= 71 THEN 'safe' WHEN score >= 41 THEN 'suspicious' ELSE 'dangerous' END"
+    out = derive(out, status=f"CASE WHEN NOT valid THEN 'suspicious' WHEN _force = 'dangerous' THEN 'dangerous' WHEN _force = 'suspicious' AND {by_score} = 'safe' THEN 'suspicious' ELSE {by_score} END", **_CONFIDENCES)
+    return suspicion(out).drop("_floor", "_visual", "_decay", "_raw", "_malicious", "_spoken", "_capped", "_force")
+
+
+def _total(kept: str, scale: float) -> str:
+    return f"aggregate({kept}, 0D, (a, s) -> a + s.confidence * least(1D, s.weight / {scale}D))"
+
+
+#: Confidence in the verdict and in phishing, rounded to hundredths.
+_CONFIDENCES = {
+    "confidence": f"CASE WHEN NOT valid THEN 0D WHEN size(signals) = 0 THEN 0.6D ELSE floor(least(1D, {_total('signals', 30)} / 1.5D) * 100 + 0.5D) / 100 END",
+    "phishing_confidence": "floor(least(1D, " + _total("filter(signals, s -> s.category IN ('identity', 'structure', 'behavior', 'reputation', 'clone'))", 25) + " / 2) * 100 + 0.5D) / 100",
+}
 
 
 def suspicion(df: DataFrame) -> DataFrame:
     """Progressive band, and how to present it."""
-    trusted = F.col("reputable") | F.col("provider") | F.col("allowlisted")
-    level = F.expr("CASE WHEN status = 'dangerous' AND behavioural THEN 'dangerous' WHEN status = 'dangerous' THEN 'highRisk' WHEN status = 'suspicious' AND behavioural THEN 'suspicious' WHEN status = 'suspicious' THEN 'contextual' WHEN score < 71 THEN 'contextual' ELSE 'informational' END")
-    level = F.when(trusted & (F.col("decay") >= 5) & (level == "informational"), "contextual").when(trusted & (level == "highRisk") & ~F.col("behavioural"), "suspicious").otherwise(level)
-    out = df.withColumn("level", level)
-    best = F.greatest("confidence", "phishing_confidence")
-    return out.withColumns(
-        {
-            "modal": F.when(F.col("level") == "dangerous", "hard").when(F.col("level") == "highRisk", "soft").otherwise("none"),
-            "badge": F.when(F.col("level").isin("dangerous", "highRisk"), "red").when(F.col("level") == "informational", "green").otherwise("amber"),
-            "presentation": F.when((F.col("status") == "dangerous") & (best >= 0.8), "modal").when(F.col("status").isin("dangerous", "suspicious"), "toast").otherwise("silent"),
-        }
+    level = "CASE WHEN status = 'dangerous' AND behavioural THEN 'dangerous' WHEN status = 'dangerous' THEN 'highRisk' WHEN status = 'suspicious' AND behavioural THEN 'suspicious' WHEN status = 'suspicious' THEN 'contextual' WHEN score < 71 THEN 'contextual' ELSE 'informational' END"
+    out = derive(df, _level=level, _trusted="reputable OR provider OR allowlisted")
+    out = derive(out, level="CASE WHEN _trusted AND decay >= 5 AND _level = 'informational' THEN 'contextual' WHEN _trusted AND _level = 'highRisk' AND NOT behavioural THEN 'suspicious' ELSE _level END").drop("_level", "_trusted")
+    return derive(
+        out,
+        modal="CASE level WHEN 'dangerous' THEN 'hard' WHEN 'highRisk' THEN 'soft' ELSE 'none' END",
+        badge="CASE WHEN level IN ('dangerous', 'highRisk') THEN 'red' WHEN level = 'informational' THEN 'green' ELSE 'amber' END",
+        presentation="CASE WHEN status = 'dangerous' AND greatest(confidence, phishing_confidence) >= 0.8 THEN 'modal' WHEN status IN ('dangerous', 'suspicious') THEN 'toast' ELSE 'silent' END",
     )
 
 

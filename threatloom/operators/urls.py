@@ -14,6 +14,11 @@ from ..functions import hosts as H
 from ..functions import rules as R
 
 
+def derive(df: DataFrame, **columns: str) -> DataFrame:
+    """``df`` with columns from SQL expressions over those it has: one step of the plan, parsed at once."""
+    return df.withColumns({name: F.expr(text) for name, text in columns.items()})
+
+
 def url_parts(urls: DataFrame) -> DataFrame:
     """Scheme, user info, hostname (ASCII, lower case), host without ``www.``, path, query, root, tld.
     ``valid`` is false for what isn't an absolute URL."""
@@ -76,28 +81,24 @@ def host_facts(parts: DataFrame) -> DataFrame:
 
 def reputation(parts: DataFrame) -> DataFrame:
     """Repute of the root, brands in subdomains or on other TLDs, abused TLDs, shorteners, lure wording."""
-    root, host = F.col("root"), F.col("host")
-    web = F.col("scheme").isin("http", "https") & F.col("valid")
-    out = parts.withColumns({"reputable": H.one_of("root", C.REPUTABLE_ROOTS), "provider": H.one_of("root", C.LOGIN_ROOTS)})
-    out = out.withColumn("trusted", F.col("reputable") | F.col("provider"))
-    # in order, up to the brand that the root itself is
-    brands = H.letters(C.BRAND_DOMAINS)
-    upto = F.when(F.array_position(brands, root) > 0, F.slice(brands, 1, F.array_position(brands, root).cast("int") - 1)).otherwise(brands)
-    spoof = H.first_of(F.filter(upto, lambda b: F.contains(host, F.concat(b, F.lit(".")))))
-    out = out.withColumn("brand_subdomain", F.when(web, spoof))
-    label = F.substring_index(root, ".", 1)
-    swap = H.first_of(F.filter(upto, lambda b: (F.length(F.substring_index(b, ".", 1)) >= 4) & (F.substring_index(b, ".", 1) == label)))
-    token = H.first_of(F.filter(H.letters(C.PHISHY_TOKENS), lambda t: F.contains(F.concat(host, F.lit(" "), F.lower("path")), t)))
-    kinds = F.expr("CASE " + " ".join(f"WHEN root IN ({H.sql_list(roots)}) THEN '{kind}'" for kind, roots in C.SAFELIST.items()) + " END")
-    return out.withColumns(
-        {
-            "tld_swap": F.when(web & F.col("brand_subdomain").isNull() & ~F.col("trusted"), swap),
-            "abused_tld": F.when(web & ~F.col("trusted") & H.one_of("tld", C.ABUSED_TLDS), F.col("tld")),
-            "shortener": web & H.one_of("root", C.URL_SHORTENERS),
-            "phishy_token": F.when(web & ~F.col("trusted"), token),
-            "safelist_kind": kinds,
-        }
+    brands, swapped = f"array({H.sql_list(C.BRAND_DOMAINS)})", "length(substring_index(b, '.', 1)) >= 4 AND substring_index(b, '.', 1) = substring_index(root, '.', 1)"
+    out = derive(
+        parts,
+        reputable=f"root IN ({H.sql_list(C.REPUTABLE_ROOTS)})",
+        provider=f"root IN ({H.sql_list(C.LOGIN_ROOTS)})",
+        _web="scheme IN ('http', 'https') AND valid",
+        # in order, up to the brand that the root itself is
+        _upto=f"CASE WHEN array_position({brands}, root) > 0 THEN slice({brands}, 1, CAST(array_position({brands}, root) AS INT) - 1) ELSE {brands} END",
+        safelist_kind="CASE " + " ".join(f"WHEN root IN ({H.sql_list(roots)}) THEN '{kind}'" for kind, roots in C.SAFELIST.items()) + " END",
+        shortener=f"scheme IN ('http', 'https') AND valid AND root IN ({H.sql_list(C.URL_SHORTENERS)})",
     )
+    out = derive(out, trusted="reputable OR provider", brand_subdomain="CASE WHEN _web THEN try_element_at(filter(_upto, b -> contains(host, concat(b, '.'))), 1) END")
+    return derive(
+        out,
+        tld_swap=f"CASE WHEN _web AND brand_subdomain IS NULL AND NOT trusted THEN try_element_at(filter(_upto, b -> {swapped}), 1) END",
+        abused_tld=f"CASE WHEN _web AND NOT trusted AND tld IN ({H.sql_list(C.ABUSED_TLDS)}) THEN tld END",
+        phishy_token=f"CASE WHEN _web AND NOT trusted THEN try_element_at(filter(array({H.sql_list(C.PHISHY_TOKENS)}), t -> contains(concat(host, ' ', lower(path)), t)), 1) END",
+    ).drop("_web", "_upto")
 
 
 def structure(parts: DataFrame) -> DataFrame:
