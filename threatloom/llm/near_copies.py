@@ -4,7 +4,7 @@ The join is exact (up to equal 64-bit hashes of different shingles). All shingle
 two sets of the similarity sought share a shingle among the first of each, before so many are left out that too few
 can still be shared (prefix and positional filter). The order comes from a table of ``COUNTERS`` counts by hash,
 whose size doesn't grow with the input; any order is right, a good one keeps passages that many texts share out of
-the beginnings. Candidates are verified with their whole sets. Texts with equal sets are one entry from the start.
+the beginnings. Candidates are verified with their whole sets. Equal texts are one entry from the start.
 
 A group of texts with a common beginning is not paired as it stands. First each member is compared with the group's
 most typical one (that whose shingles are the most frequent); then members outside that one's component are
@@ -113,24 +113,22 @@ def links(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFra
     table = spark.sparkContext.broadcast(frequencies(texts, width))  # COUNTERS numbers
 
     def beginnings(sets: list[np.ndarray]) -> list[pa.Array]:
-        from xxhash import xxh64_intdigest
-
-        keys, weights, firsts = [], [], []
+        weights, firsts = [], []
         for s in sets:
             often = table.value[_counter(s)]
-            keys.append(xxh64_intdigest(s.tobytes()))
             weights.append(float(often.mean()))
             firsts.append(s[np.lexsort((s, often))[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]])
         offsets = np.r_[0, np.cumsum([len(f) for f in firsts])].astype(np.int32)
-        return [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(weights, pa.float64()), pa.ListArray.from_arrays(offsets, np.concatenate(firsts).view(np.int64))]
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(weights, pa.float64()), pa.ListArray.from_arrays(offsets, np.concatenate(firsts).view(np.int64))]
 
-    sketches = materialize(_each(texts, width, "set_key long, size long, weight double, beginning array<bigint>", beginnings), "copies-sketches")
-    same = sketches.groupBy("set_key").agg(F.min("node").alias("a"))
-    equal = sketches.select("set_key", F.col("node").alias("b")).join(same, "set_key").where("a < b").select("a", "b").distinct()
-    one_each = sketches.join(same, "set_key").where("node = a").dropDuplicates(["node"])
-    entries = one_each.select("node", "size", "weight", F.posexplode("beginning").alias("place", "shingle"))
-    hubs = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "node", "size", "place")).alias("hub")).where("n > 1")
-    shared = materialize(entries.join(hubs, "shingle").select("shingle", "node", "size", "weight", "place", "hub"), "copies-groups")
+    sketches = materialize(_each(texts, width, "size long, weight double, beginning array<bigint>", beginnings).dropDuplicates(["node"]), "copies-sketches")
+    # most beginnings are nobody else's: only what the others need is sent on
+    entries = sketches.select("node", F.posexplode("beginning").alias("place", "shingle"))
+    common = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
+    sent = materialize(entries.join(common, "shingle"), "copies-entries")
+    entries = sent.join(sketches.select("node", "size", "weight"), "node")
+    hubs = entries.groupBy("shingle").agg(F.max(F.struct("weight", "node", "size", "place")).alias("hub"))
+    shared = materialize(entries.join(hubs, "shingle"), "copies-groups")
 
     # few texts share a beginning with another; Spark broadcasts their keys only while they are few
     wanted = texts.join(shared.select("node").distinct(), "node", "left_semi")
@@ -147,7 +145,7 @@ def links(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFra
     stars = shared.where((F.col("node") != F.col("hub.node")) & may_link(F.col("size"), F.col("place"), F.col("hub.size"), F.col("hub.place"))).select(*pair("node", "hub.node")).distinct()
     near = materialize(_verified(stars, sets, least), "copies-stars")
     found = components(near)
-    members = materialize(shared.join(found, "node", "left").select("shingle", "node", "size", "place", "weight", F.coalesce("component", "node").alias("component")), "copies-members")
+    members = shared.join(found, "node", "left").select("shingle", "node", "size", "place", "weight", F.coalesce("component", "node").alias("component"))
     main = members.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", "node", "component")).alias("hub")).where("low < high").select("shingle", F.col("hub.component").alias("main"))
     members = members.join(main, "shingle")
     rest = members.where("component <> main").drop("weight")
@@ -155,7 +153,7 @@ def links(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFra
     apart = (F.col("component") != F.col("component2")) & ((F.col("component2") == F.col("main")) | (F.col("node") < F.col("node2")))
     cross = rest.join(other, "shingle").where(apart & may_link(F.col("size"), F.col("place"), F.col("size2"), F.col("place2"))).select(*pair("node", "node2")).distinct()
     late = _verified(cross.join(stars, ["a", "b"], "left_anti"), sets, least)
-    out = materialize(equal.unionByName(near).unionByName(late), "copies-links")
-    discard(sketches, shared, sets, near, members)
+    out = materialize(near.unionByName(late), "copies-links")
+    discard(sketches, sent, shared, sets, near)
     table.unpersist()
     return out
