@@ -7,8 +7,8 @@ representation gives the score. Labels are known for documents only; the gradien
 through their attention.
 
 The model is fitted on at most ``SAMPLE`` labelled documents, those with the smallest hashes of their
-ids, whole, as long as they have at most ``SAMPLE_PASSAGES`` passages together; so what reaches the driver is bounded
-by these parameters. Scoring runs over every document in one pass without a shuffle.
+ids, whole, as long as they have at most ``SAMPLE_PASSAGES`` passages together; those of over ``LONGEST`` passages are left out.
+So what reaches the driver is bounded by these parameters. Scoring runs over every document in one pass without a shuffle.
 
 Defined results: null and empty texts are one empty passage and have a score like others; texts of any length are
 scored whole; without labels of both kinds every score is the share of the label 1 (0.5 without labels); null labels
@@ -32,7 +32,7 @@ from .shared import crc_of_id, materialize, small_batches
 
 PASSAGE = 64
 SAMPLE = 4000
-SAMPLE_PASSAGES = 60_000
+SAMPLE_PASSAGES, LONGEST = 60_000, 3_000
 BUCKETS = 64
 HIDDEN, GATE = 24, 12
 EPOCHS, RATE, DECAY, BATCH = 30, 0.01, 1e-4, 64
@@ -175,12 +175,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("text")).join(F.broadcast(known), "_id").select("_id", "_label", "text")  # at most `sample` labels
     bags = rows.mapInArrow(run, "_id long, _label int, _n long, _bag binary").groupBy("_id", "_label").agg(F.min(F.struct("_n", "_bag")).alias("_one"))
     bags = materialize(bags.select("_id", "_label", "_one.*"), "quality-bags")
-    wanted, passages = [], 0
-    for r in bags.select("_id", "_n").orderBy(F.xxhash64("_id"), "_id").collect():  # at most `sample` rows
-        if passages + r["_n"] <= SAMPLE_PASSAGES:
-            wanted.append(r["_id"])
-            passages += r["_n"]
-    rows = sorted((r["_id"], r["_label"], bytes(r["_bag"])) for r in bags.where(F.col("_id").isin(wanted)).collect()) if wanted else []
+    bags, last, passages = bags.where(F.col("_n") <= LONGEST), None, 0
+    for r in bags.select(F.xxhash64("_id").alias("_hash"), "_id", "_n").orderBy("_hash", "_id").collect():  # at most `sample` rows
+        passages += r["_n"]
+        if passages > SAMPLE_PASSAGES:
+            break
+        last = r
+    if last is None:
+        return fit([], np.zeros(0))
+    first_ones = F.struct(F.xxhash64("_id").alias("h"), "_id") <= F.struct(F.lit(last["_hash"]).alias("h"), F.lit(last["_id"]).alias("_id"))
+    rows = sorted((r["_id"], r["_label"], bytes(r["_bag"])) for r in bags.where(first_ones).collect())  # SAMPLE_PASSAGES at most
     found = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES).astype(np.float64) for r in rows]
     return fit(found, np.array([r[1] for r in rows], np.float64))
 
