@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from tests.conftest import SF
 from threatloom.plans import all_queries
 
-FAST = ["u1_url_parts", "u13_open_redirect", "j1_blocklist_match", "e2_merge_feeds", "e7_adblock_rules", "d4_card_check", "p2_page_forms", "w4_auth_flow_anomalies", "t2_stream_auth_flow", "t8_stream_feed_refresh", "g9_latency_profile"]
+FAST = ["u1_url_parts", "u13_open_redirect", "j1_blocklist_match", "e2_merge_feeds", "e7_adblock_rules", "d4_card_check", "p2_page_forms", "w4_auth_flow_anomalies", "t2_stream_auth_flow", "t8_stream_feed_refresh", "g9_latency_profile", "w6_rate_budget", "d7_mnemonic_check", "d16_redact_log_payload", "p3_visible_text", "s2_read_upload_files", "j10_third_party_assets"]
 
 
 def test_sql_only_for_known_queries():
