@@ -130,9 +130,10 @@ def links(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFra
     hubs = entries.groupBy("shingle").agg(F.max(F.struct("weight", "node", "size", "place")).alias("hub"))
     shared = materialize(entries.join(hubs, "shingle"), "copies-groups")
 
-    # few texts share a beginning with another; Spark broadcasts their keys only while they are few
-    wanted = texts.join(shared.select("node").distinct(), "node", "left_semi")
-    sets = materialize(_each(wanted, width, "shingles binary", _packed).dropDuplicates(["node"]), "copies-sets")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Sets of the texts of candidate pairs alone; Spark broadcasts their keys only while they are few."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return materialize(_each(texts.join(nodes, "node", "left_semi"), width, "shingles binary", _packed).dropDuplicates(["node"]), "copies-sets")
 
     def may_link(size: Column, place: Column, size2: Column, place2: Column) -> Column:
         """Whether sets whose first common shingle has these places (from 0) can have the similarity sought."""
@@ -143,7 +144,10 @@ def links(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFra
         return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
     stars = shared.where((F.col("node") != F.col("hub.node")) & may_link(F.col("size"), F.col("place"), F.col("hub.size"), F.col("hub.place"))).select(*pair("node", "hub.node")).distinct()
+    stars = materialize(stars, "copies-star-pairs")
+    sets = sets_of(stars)
     near = materialize(_verified(stars, sets, least), "copies-stars")
+    discard(sets)
     found = components(near)
     members = shared.join(found, "node", "left").select("shingle", "node", "size", "place", "weight", F.coalesce("component", "node").alias("component"))
     main = members.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", "node", "component")).alias("hub")).where("low < high").select("shingle", F.col("hub.component").alias("main"))
@@ -152,8 +156,10 @@ def links(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFra
     other = members.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "place", "component")])
     apart = (F.col("component") != F.col("component2")) & ((F.col("component2") == F.col("main")) | (F.col("node") < F.col("node2")))
     cross = rest.join(other, "shingle").where(apart & may_link(F.col("size"), F.col("place"), F.col("size2"), F.col("place2"))).select(*pair("node", "node2")).distinct()
-    late = _verified(cross.join(stars, ["a", "b"], "left_anti"), sets, least)
+    cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "copies-cross-pairs")
+    sets = sets_of(cross)
+    late = _verified(cross, sets, least)
     out = materialize(near.unionByName(late), "copies-links")
-    discard(sketches, sent, shared, sets, near)
+    discard(sketches, sent, shared, stars, cross, sets, near)
     table.unpersist()
     return out
