@@ -100,16 +100,16 @@ EVIDENCE = {"ext_malicious": "gsb", "ext_engines": "vt", "flow_relay": "authflow
 
 
 def test_evidence_of_other_tables_counts(spark):
-    url = CAFE + "/tables"
-    plain = spark.createDataFrame([(1, url, 7)], "url_id long, url string, tab_id long")
-    before = scoring.url_verdicts(plain).first()
+    columns = list(EVIDENCE)
+    plain = spark.createDataFrame([(i, f"{CAFE}/tables/{i}", i) for i in range(len(columns) + 1)], "url_id long, url string, tab_id long")
+    of = lambda names, key: spark.createDataFrame([(key(i), *[(c == columns[i] if kind == "boolean" else 6 * (c == columns[i])) for c, kind in names]) for i in range(len(columns))], [k for k, _ in [("url" if key(0) != 0 else "tab_id", ""), *names]])
+    by_tab = of([(c, "boolean" if c.startswith("flow") else "int") for c in columns if not c.startswith("ext")], lambda i: i)
+    by_url = of([("ext_malicious", "boolean"), ("ext_engines", "int")], lambda i: f"{CAFE}/tables/{i}")
+    rows = {r["url_id"]: r for r in scoring.url_verdicts(plain, evidence=[(by_tab, "tab_id"), (by_url, "url")]).collect()}
+    before = rows[len(columns)]  # of which nothing is known
     assert before["status"] == "safe"
-    for column, signal in EVIDENCE.items():
-        value = True if column.startswith(("flow", "ext_m")) else 6
-        key, where = ("url", url) if column.startswith("ext") else ("tab_id", 7)
-        table = spark.createDataFrame([(where, value), (where * 2, value)], [key, column])
-        row = scoring.url_verdicts(plain, evidence=[(table, key)]).first()
-        assert signal in [s["id"] for s in row["signals"]] and row["score"] < before["score"], column
+    for i, column in enumerate(columns):
+        assert EVIDENCE[column] in [s["id"] for s in rows[i]["signals"]] and rows[i]["score"] < before["score"], column
     roots = spark.createDataFrame([("harbour-cafe.net", True, 5)], "root string, allowlisted boolean, trust_count int")
     http = spark.createDataFrame([(1, "http://harbour-cafe.net/", 7)], "url_id long, url string, tab_id long")
     assert scoring.url_verdicts(http, evidence=[(roots.drop("trust_count"), "root")]).first()["score"] >= 85
