@@ -8,8 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, license_scan, mixing, mpeg_audio, quality_mil, simhash, substring_dedup, token_files, warc_index
-from .shared import documents
+from . import decontaminate, divergence, katz, license_scan, mixing, mpeg_audio, quality_mil, run_detection, simhash, substring_dedup, suffix_dedup, token_files, warc_index
+from .shared import WORD, crc_of_id, documents
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,29 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s", "frames", "seek_points")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with every tenth text, by a hash of its id, made periodic from some word on."""
+    docs = docs.select("doc_id", "text", crc_of_id(F.col("doc_id")).alias("h"))
+    parts = docs.where("h % 10 <> 0").select("doc_id", "text")
+    words = docs.where("h % 10 = 0").withColumns({"w": F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), "g": F.expr("h div 10")})
+    words = words.withColumn("n", F.size(F.coalesce("w", F.array().cast("array<string>")))).withColumn("a", F.expr("g % greatest(n, 1)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    periodic = F.expr("CASE WHEN n > 0 THEN array_join(transform(w, (x, i) -> CASE WHEN i < a THEN x ELSE w[CAST(a + (i - a) % p AS INT)] END), ' ') END")
+    return parts.unionByName(words.select("doc_id", periodic.alias("text")))
+
+
+def op12_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_detection.run_report(with_planted_runs(documents(spark, sf_dir)))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -69,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_mpeg_audio": op10_mpeg_audio,
+        "op11_suffix_dedup": op11_suffix_dedup,
+        "op12_run_detection": op12_run_detection,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -150,6 +176,38 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(len(kep
 FROM words LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
 
+OP13_SQL = r"""
+WITH given AS (
+  SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+tokens AS (
+  SELECT row_no, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM given),
+kept AS (SELECT lang, term, count(*) AS total FROM tokens GROUP BY lang, term HAVING count(DISTINCT row_no) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept USING (lang, term) GROUP BY lang, source, term),
+pools AS (SELECT DISTINCT lang, source FROM given),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS words FROM kept GROUP BY lang),
+sizes AS (SELECT lang, source, sum(n) AS words FROM counts GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(s.words, 0) + l.v) AS p,
+         1 + 1000000000::HUGEINT * (k.total + 1) // (l.words + l.v) AS q
+  FROM pools g JOIN kept k ON g.lang = k.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT g.lang, g.source, h.source AS item, coalesce(sum(CASE WHEN b.p IS NOT NULL THEN (a.p - b.p) * (a.p - b.p) // b.p END), 0) AS value
+  FROM pools g JOIN pools h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN shares a ON a.lang = g.lang AND a.source = g.source
+  LEFT JOIN shares b ON b.lang = h.lang AND b.source = h.source AND b.term = a.term
+  GROUP BY g.lang, g.source, h.source),
+terms AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, CAST(value AS BIGINT), row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) FROM terms)
+SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op6_source_mix": OP6_SQL}
+    return {"op13_source_divergence": OP13_SQL, "op3_decontaminate": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op6_source_mix": OP6_SQL}
