@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_path as shared_dir
 
-__all__ = ["WORD", "ascii_lower", "block_size", "crc_of_id", "discard", "documents", "filesystem", "materialize", "partitions", "shared_dir", "small_batches"]
+__all__ = ["WORD", "ascii_lower", "block_size", "crc_of_id", "discard", "documents", "filesystem", "held_by", "materialize", "partitions", "shared_dir", "small_batches"]
 
 #: Words are maximal runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +38,13 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def held_by(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, which reads ``table`` alone, so that ``discard`` removes the table with it."""
+    if path := _written.pop(table, None):
+        _written[df] = path
+    return df
+
+
 def discard(*frames: DataFrame) -> None:
     """Removes tables of ``materialize`` that nothing reads any more."""
     for df in frames:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize, small_batches
+from .shared import discard, held_by, materialize, small_batches
 
 WIDTH = 3
 MAX_BITS = 2
@@ -175,7 +175,8 @@ def components(edges: DataFrame) -> DataFrame:
         rounds += 1
         if now == before:
             break
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    out = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    return held_by(out, edges) if rounds else out
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
@@ -209,16 +210,20 @@ def keep_one(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS, more
     edges = links(nodes, max_bits)
     if more_links is not None:
         place = rows.select("text_key", "fp").distinct().join(nodes, "fp")
-        more = more_links(docs.select(F.xxhash64("text").alias("node"), "text"))
+        found = more_links(docs.select(F.xxhash64("text").alias("node"), "text"))
+        more = found
         for end in ("a", "b"):  # texts of one fingerprint are one node
             more = more.join(place.select(F.col("text_key").alias(end), F.col("node").alias(f"{end}_node")), end)
         more = more.where("a_node <> b_node").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-        edges = materialize(edges.unionByName(more).distinct(), "simhash-more")
+        few, edges = edges, materialize(edges.unionByName(more).distinct(), "simhash-more")
+        discard(few, found)
     found = components(edges)
+    discard(edges)
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n")).alias("first")
     least = rows.join(classes, "fp").groupBy("component").agg(first)
     kept = materialize(least.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.text_key").alias("_kept_key"), F.col("first.n").alias("_kept_n")), "simhash-kept")
+    discard(rows, nodes, found)
     # one plan at every size: the ids grow with the table, so they are never broadcast
     same = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.xxhash64(docs["text"]) == F.col("_kept_key"))
     out = docs.join(kept.hint("merge"), same, "left_semi")
