@@ -498,3 +498,18 @@ def test_media_features(docs, rows):
     features = {r["feature"] for r in mpeg_audio.media_features(docs.where("doc_id IN (1, 7)")).collect()}
     assert len(features) == 1 and "stream=whole" in features.pop()
     assert mpeg_audio.media_features(empty(docs)).count() == 0
+
+
+def test_long_words_that_differ_have_other_hashes(spark):
+    """Words whose polynomial hashes modulo 2**64 are equal whatever the base is, in the operators that hash words."""
+    pattern = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = pattern.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"r{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{pattern} {rest}"), (2, f"{other} {rest}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()] == [0, 0]
+    leaks = decontaminate.leaks(docs, spark.createDataFrame([(1, f"{pattern} r0 r1 r2 r3")], "item_id long, text string"))
+    assert [r["doc_id"] for r in leaks.collect()] == [1]
+    first = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 != 1)
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    pair = spark.createDataFrame([(first, f"{pattern} x"), (held, f"{other} x")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_known"] for r in katz.katz_scores(pair).collect()} == {first: 3, held: 2}

@@ -1,8 +1,9 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
 Works on the UTF-8 bytes of many texts at once, so that the Python side of a task does a few numpy
-calls a batch and no work per word. Hashes are 64-bit polynomials over random byte values, mixed at
-the end; they agree between tasks and runs.
+calls a batch and no work per word. A word's hash takes its length and eight of its bytes at a time, each mixed
+in before the next, so no two words of eight bytes or fewer share one; words of over LONG bytes have an XXH3.
+Windows of words have polynomials of these hashes. All agree between tasks and runs.
 """
 
 from __future__ import annotations
@@ -20,11 +21,8 @@ _BASE = 0x9E3779B97F4A7C15
 SLICE_BYTES = 1 << 20
 
 
-def _byte_values() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-
-
-BYTE_VALUE = _byte_values()
+#: Bytes of a word from which on it is hashed by itself.
+LONG = 64
 _powers = np.ones(1, U64)
 
 
@@ -107,11 +105,21 @@ class Words:
         if not len(self):
             return np.zeros(0, U64)
         size = self.ends - self.starts
-        begin = np.cumsum(size) - size  # of each word among the bytes of words
-        at = np.arange(int(size.sum()), dtype=np.int64)
-        within = at - np.repeat(begin, size)
-        values = BYTE_VALUE[self.data[at + np.repeat(self.starts - begin, size)]]
-        return mix(np.add.reduceat(values * powers(int(size.max()))[within], begin))
+        padded = np.r_[self.data, np.zeros(8, np.uint8)]
+        eight = np.lib.stride_tricks.as_strided(padded, (len(self.data), 8), (1, 1))
+        out = mix(size.astype(U64) * U64(_BASE))
+        own, most = np.arange(len(size)), int(min(size.max(), LONG))
+        for at in range(0, most, 8):
+            own = own[size[own] > at] if at else own
+            part = np.ascontiguousarray(eight[self.starts[own] + at]).view("<u8").reshape(-1)
+            unused = (8 - np.minimum(size[own] - at, 8)).astype(U64) * U64(8)
+            out[own] = mix(out[own] ^ (part << unused >> unused))
+        if size.max() > LONG:
+            from xxhash import xxh3_64_intdigest
+
+            for i in np.flatnonzero(size > LONG).tolist():
+                out[i] = xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes(), _BASE)
+        return out
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
