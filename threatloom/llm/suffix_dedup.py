@@ -37,10 +37,10 @@ from .shared import block_size, discard, materialize, partitions, small_batches
 
 LENGTH = 200
 #: Positions that a task sorts before it sends them off, at least, and entries of an exchanged row, on average.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 ROW = 128
-#: Bytes of a text that are handled at once.
-PIECE = 2 << 20
+#: Bytes of text that are named at once; numpy needs some 100 bytes of memory for each.
+PIECE = 1 << 18
 REPEATED, OPEN = 1, 2
 U64 = np.uint64
 
@@ -83,7 +83,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     # the next window's position is another one if its name is, or if this window begins with it
     fresh = np.r_[True, (at[1:] != at[:-1] + 1) | (name[1:] != name[:-1]) | (short[at[:-1]] == name[:-1])]
     begin = np.flatnonzero(fresh)
-    return at[begin], np.diff(np.r_[begin, len(at)]), name[begin]
+    # smallest names are small numbers: mixed, so that ranges of them are even
+    return at[begin], np.diff(np.r_[begin, len(at)]), textops.mix(name[begin] ^ U64(length))
 
 
 def pieces(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -247,8 +248,8 @@ def _by_window(texts: DataFrame, block: int, groups: int, length: int) -> DataFr
             for unit, packed, opened in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 text = np.frombuffer(opener.decompress(packed), np.uint8)
                 start, number, twice = textops.unpack(opened)
-                for a in range(0, len(start), 4096):  # of bounded memory
-                    begin, count, sure = start[a : a + 4096].astype(np.int64), number[a : a + 4096].astype(np.int64), twice[a : a + 4096].astype(bool)
+                for a in range(0, len(start), 1024):  # of bounded memory
+                    begin, count, sure = start[a : a + 1024].astype(np.int64), number[a : a + 1024].astype(np.int64), twice[a : a + 1024].astype(bool)
                     data = text[textops.ranges(begin, count + length - 1)]
                     fore = np.cumsum(count + length - 1) - (count + length - 1)
                     at = textops.ranges(fore, count)
@@ -256,9 +257,9 @@ def _by_window(texts: DataFrame, block: int, groups: int, length: int) -> DataFr
                     name = textops.mix(low[at] + textops.mix(low[at + length - half] + U64(half)))
                     held.append((np.full(len(at), unit), textops.ranges(begin, count), name, (names(data, length, salt=0x51ED)[at] >> U64(32)).astype(np.uint32), np.repeat(sure, count)))
                     n += len(at)
-            if n >= block:
-                yield flush()
-                held, n = [], 0
+                    if n >= block:
+                        yield flush()
+                        held, n = [], 0
         if held:
             yield flush()
 
