@@ -12,7 +12,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from functools import reduce
+from functools import cache, reduce
 from operator import or_
 
 import pandas as pd
@@ -249,7 +249,10 @@ SENSITIVE = (
 )
 _COMPILED = [(i, s, c, re.compile(p, re.A), {k: re.compile(v, re.A | re.I) if k in ("hints", "negative") else v for k, v in o.items()}) for i, s, c, p, o in SENSITIVE]
 DOC_CONTEXT = re.compile(r"\b(curl\s+-X|fetch\(|axios\.|require\(|import\s+\{|getenv|process\.env|export\s+(const|let|var)|api\s+reference|see\s+docs|getting started|tutorial)\b", re.A | re.I)
+#: Part of each of its branches, without regard to what is around.
+_DOC_HINT = r"(?i)curl|fetch\(|axios|require\(|import|env|export|reference|docs|started|tutorial"
 PER_PATTERN, WINDOW = 25, 80
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{32,}")
 
 
 def bits(s: str) -> float:
@@ -304,31 +307,46 @@ def sensitive(text: str | None) -> list[dict]:
     if not text or len(text) > MAX_TEXT:
         return []
     text = unicodedata.normalize("NFKC", text)
-    docs, out = bool(DOC_CONTEXT.search(text)), []
+    return _findings([(0, 0, text, len(text))], bool(DOC_CONTEXT.search(text)))
+
+
+def _findings(windows: list[tuple[int, int, str, int]], docs: bool) -> list[dict]:
+    """Findings of a text from its windows in order: (where the phrase begins in the text, characters of context
+    before it, context and phrase and context, characters of the phrase)."""
+    out = []
     for sid, severity, base, pattern, opt in _COMPILED:
-        for n, m in enumerate(pattern.finditer(text)):
+        n = 0
+        for begin, before, window, size in windows:
             if n >= PER_PATTERN:
                 break
-            raw, at = m[0], m.start()
-            near = text[max(0, at - WINDOW) : at + len(raw) + WINDOW].lower()
-            if "check" in opt and not _CHECKS[opt["check"]](raw) or bits(raw) < opt.get("entropy", 0) or "hints" in opt and not opt["hints"].search(near):
-                continue
-            conf, why = base, None
-            if "negative" in opt and opt["negative"].search(near):
-                why = "negative-context"
-            elif _placeholder(near):
-                why = "placeholder-token"
-            elif _mock(raw):
-                why = "mock-number"
-            elif docs and severity != "critical":
-                conf *= 0.6
-                why = "doc-context" if conf < 0.5 else None
-            if not why and "hints" in opt and abs(len(near) / 2 - opt["hints"].search(near).start()) < 30:
-                conf = min(1, conf + 0.1)
-            out.append({"id": sid, "severity": severity, "confidence": _round2(conf), "redacted": _hidden(raw), "offset": at, "suppressed": why is not None, "reason": why})
+            for m in pattern.finditer(window[before : before + size]):
+                n += 1
+                if n > PER_PATTERN:
+                    break
+                raw, at = m[0], begin + m.start()
+                here = before + m.start()
+                near = window[max(0, here - WINDOW) : here + len(raw) + WINDOW].lower()
+                if "check" in opt and not _CHECKS[opt["check"]](raw) or bits(raw) < opt.get("entropy", 0) or "hints" in opt and not opt["hints"].search(near):
+                    continue
+                conf, why = base, None
+                if "negative" in opt and opt["negative"].search(near):
+                    why = "negative-context"
+                elif _placeholder(near):
+                    why = "placeholder-token"
+                elif _mock(raw):
+                    why = "mock-number"
+                elif docs and severity != "critical":
+                    conf *= 0.6
+                    why = "doc-context" if conf < 0.5 else None
+                if not why and "hints" in opt and abs(len(near) / 2 - opt["hints"].search(near).start()) < 30:
+                    conf = min(1, conf + 0.1)
+                out.append({"id": sid, "severity": severity, "confidence": _round2(conf), "redacted": _hidden(raw), "offset": at, "suppressed": why is not None, "reason": why})
     taken = {f["offset"] for f in out}
-    for token in re.findall(r"[A-Za-z0-9+/_=-]{32,}", text)[:40]:
-        at, h = text.index(token), bits(token)
+    phrases = [(begin, window[before : before + size]) for begin, before, window, size in windows]
+    tokens = [t for _, phrase in phrases for t in _TOKEN.findall(phrase)][:40]
+    for token in tokens:
+        at = next(begin + phrase.index(token) for begin, phrase in phrases if token in phrase)
+        h = bits(token)
         if at in taken or h < 4.5 or _placeholder(token):
             continue
         taken.add(at)
@@ -339,20 +357,79 @@ def sensitive(text: str | None) -> list[dict]:
 FINDINGS = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("id", T.StringType()), ("severity", T.StringType()), ("confidence", T.DoubleType()), ("redacted", T.StringType()), ("offset", T.IntegerType()), ("suppressed", T.BooleanType()), ("reason", T.StringType()))]))
 
 
+#: Characters that no match holds, a full stop that ends a sentence included. Texts are cut to phrases there, and no
+#: finding crosses a cut; next to one, word boundaries and look-arounds see what they see at an end.
+_CUT = r"[^A-Za-z0-9_/+=%:.\"\s-]|\.(?![A-Za-z0-9_-])"
+#: What a phrase with a match of each kind holds at least, without regard to what is around it.
+_HELD = {
+    "long token": r"[A-Za-z0-9+/_=-]{32}",
+    "nine digits": r"[0-9](?:[\s-]*[0-9]){8}",
+    "capitals": r"[A-Z]{6}[A-Z0-9]{2}|[A-Z]{5}[0-9]|[A-Z]{2}[0-9]{2}[A-Z0-9]{10}|[A-Z0-9]{4}-[A-Z0-9]{4}-",
+    "marks": r"AKIA|ASIA|AIza|\"type\"|(?:sv|sig)=|ghp_|github_pat_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_|sk-|PRIVATE KEY|ssh-|eyJ",
+    "twelve words": r"(?:[a-z]{3,8}\s+){11}[a-z]{3,8}",
+}
+_WORTH = "|".join(_HELD.values())
+
+
+@cache
+def _unstable(first: int, last: int) -> str:
+    """A character class of all in a range that NFKC changes, or may join or reorder with a neighbour."""
+    def moved(c: str) -> bool:
+        return unicodedata.normalize("NFKC", c) != c or unicodedata.category(c)[0] == "M" or 0x1160 <= ord(c) <= 0x11FF
+
+    points = [i for i in range(first, last + 1) if not 0xD800 <= i < 0xE000 and moved(chr(i))]
+    ranges: list[list[int]] = []
+    for i in points:
+        if ranges and ranges[-1][1] == i - 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def may_change(text: Column) -> Column:
+    """Whether NFKC may change a text. Characters beyond Latin-1 are rare, and a large class is slow, so they are taken out
+    first; beyond the first two planes all count."""
+    far = F.regexp_replace(text, r"[\x00-\xff]+", "")
+    return text.rlike(_unstable(0x80, 0xFF)) | far.rlike(_unstable(0x100, 0x1FFFF) + r"|[\x{20000}-\x{10ffff}]")
+
+
 @F.pandas_udf(FINDINGS)
-def _sensitive_udf(text: pd.Series) -> pd.Series:
-    return text.map(sensitive)
+def _validated(windows: pd.Series, docs: pd.Series) -> pd.Series:
+    def of(own, in_docs):
+        if own is None or not len(own):
+            return []
+        if own[0].startswith("whole "):
+            return sensitive(own[0][6:])
+        parts = [w.split(" ", 3) for w in own]
+        return _findings([(int(at), int(before), body, int(size)) for at, before, size, body in parts], bool(in_docs))
+
+    return pd.Series([of(*row) for row in zip(windows, docs)])
+
+
+def candidate_windows(text: Column) -> Column:
+    """Windows of a text that may hold a match, as "at before size body": each phrase that holds what a match needs, with
+    80 characters to both sides. Phrases are found in their order, each from the end of the one before; an earlier place
+    of the same characters would be part of a phrase that is in the list itself."""
+    phrases = F.filter(F.split(text, _CUT, -1), lambda p: (F.length(p) >= 8) & p.rlike(_WORTH))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("found"))
 
+    def add(state, phrase):
+        at = F.call_function("locate", phrase, text, state["next"])
+        before = F.least(at - 1, F.lit(WINDOW))
+        size = F.length(phrase)
+        window = F.concat_ws(" ", at - 1, before, size, F.substring(text, at - before, before + size + WINDOW))
+        return F.struct((at + size).alias("next"), F.concat(state["found"], F.array(window)).alias("found"))
 
-#: What every finding has in its text, after normal forms: digits or capitals in a row, a known mark, a long token, or
-#: a run of lower-case words.
-_WORTH = r"[0-9][ -]?[0-9]|[0-9]-|[A-Z0-9]{4}|(?:sv|sig)=|\"type\"|ghp_|github_pat_|glpat-|xox|_live_|_test_|sk-|AIza|eyJ|PRIVATE KEY|ssh-|[A-Za-z0-9+/_=-]{32}|(?:[a-z]{3,8}\s+){11}[a-z]{3,8}|[^\x00-\x7f]"
+    return F.aggregate(phrases, start, add, lambda state: state["found"])
 
 
 def sensitive_findings(text: Column | str) -> Column:
-    """Findings of texts; texts that can have none never leave the JVM."""
+    """Findings of texts. Only windows around possible matches leave the JVM, and whole texts that NFKC may change."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(_sensitive_udf(F.when(text.rlike(_WORTH), text)), F.array().cast(FINDINGS))
+    windows = F.when(F.length(text) > MAX_TEXT, None).when(may_change(text), F.array(F.concat(F.lit("whole "), text))).otherwise(candidate_windows(text))
+    docs = text.rlike(_DOC_HINT) & text.rlike("(?i)" + bounded(DOC_CONTEXT.pattern))
+    return F.coalesce(_validated(windows, docs), F.array().cast(FINDINGS))
 
 
 def risk(findings: Column, trusted: Column | None = None) -> dict[str, Column]:

@@ -1,13 +1,12 @@
 """Ordered events: redirect chains, scans, sign-in flows, cool-downs, budgets, activity.
 
-Windows are partitioned by tab, flow or host. What is collected is cut before it is collected (the last 25
-of a chain, 64 steps of 5 minutes); cool-downs and budgets are read as sorted streams. So a busy key costs its own
-length and no more memory.
+A key's rows are cut at times (``segments``), so a busy tab, host or URL is many tasks; what is collected is cut before
+it is collected (the last 25 of a chain, 64 steps of 5 minutes). Flows look back 64 rows. A budget's key is cut at its
+pauses alone: one that never pauses for its time is one sorted stream, in little memory.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import deque
 
 import pyarrow as pa
@@ -16,22 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import hosts as H
+from . import segments as S
+from .segments import micros
 
 CHAIN, STEPS, TTL = 25, 64, 300
 
 
-def micros(name: str) -> Column:
-    """Microseconds of a time, with or without zone (one without is read in the session's zone)."""
-    return F.unix_micros(F.col(name).cast("timestamp"))
-
-
-def redirect_chains(nav: DataFrame, keep: int = CHAIN) -> DataFrame:
+def redirect_chains(nav: DataFrame, keep: int = CHAIN, bucket: float = S.BUCKET) -> DataFrame:
     """(tab_id, chain_no, n_hops, urls): a navigation begins a chain, redirects extend it, the last
-    ``keep`` URLs stay."""
-    order = Window.partitionBy("tab_id").orderBy("ts", "seq")
-    rows = nav.where("kind IN ('navigate', 'redirect')").withColumn("chain_no", F.sum((F.col("kind") == "navigate").cast("long")).over(order))
-    last = Window.partitionBy("tab_id", "chain_no").orderBy(F.col("ts").desc(), F.col("seq").desc())
-    rows = rows.withColumn("_back", F.row_number().over(last)).where(F.col("_back") <= keep)
+    ``keep`` URLs stay. Chain numbers add up over buckets of ``bucket`` seconds, and each bucket gives its chains' last
+    URLs."""
+    rows = nav.where("kind IN ('navigate', 'redirect')").select("tab_id", "ts", "seq", "kind", "url", S.bucket_of(micros("ts"), bucket).alias("_bucket"))
+    rows = S.running_count(rows, "tab_id", F.col("kind") == "navigate", ["ts", "seq"], "chain_no")
+    for part in (["tab_id", "_bucket", "chain_no"], ["tab_id", "chain_no"]):
+        last = Window.partitionBy(*part).orderBy(F.col("ts").desc(), F.col("seq").desc())
+        rows = rows.withColumn("_back", F.row_number().over(last)).where(F.col("_back") <= keep)
     grouped = rows.groupBy("tab_id", "chain_no").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "url"))).alias("_c"))
     return grouped.select("tab_id", "chain_no", F.size("_c").cast("long").alias("n_hops"), F.transform("_c", lambda x: x["url"]).alias("urls"))
 
@@ -43,10 +41,11 @@ def redirect_facts(chains: DataFrame) -> DataFrame:
     return out.withColumns({"long_conf": F.when(F.col("n_hops") > 3, F.least(F.lit(1.0), (F.col("n_hops") - 3) / 5)), "cross_conf": F.when(F.col("chain_roots") >= 3, 0.8)})
 
 
-def scan_dedupe(nav: DataFrame) -> DataFrame:
+def scan_dedupe(nav: DataFrame, bucket: float = S.BUCKET) -> DataFrame:
     """Events whose URL differs from the one before in the same tab."""
-    before = F.lag("url").over(Window.partitionBy("tab_id").orderBy("ts", "seq"))
-    return nav.withColumn("_before", before).where(~F.col("url").eqNullSafe(F.col("_before"))).drop("_before")
+    rows = nav.withColumns({"_bucket": S.bucket_of(micros("ts"), bucket), "_url": F.struct("url")})
+    rows = S.last_before(rows, "tab_id", "_url", ["ts", "seq"], "_before", including=False)
+    return rows.where(~F.col("url").eqNullSafe(F.col("_before.url"))).select(*nav.columns)
 
 
 def flow_anomalies(steps: Column) -> dict[str, Column]:
@@ -78,77 +77,45 @@ def auth_flows(steps: DataFrame, ttl: int = TTL, keep: int = STEPS) -> DataFrame
     return rows.withColumns(flow_anomalies(F.col("_seen"))).withColumn("n_steps", F.size("_seen").cast("long")).drop("_seen", "_us")
 
 
-def _in_order(rows: DataFrame, keys: list[str], fold) -> DataFrame:
-    """``rows`` (keys, _us) in order of keys and times through ``fold``, a function of an iterator of (key, sorted
-    times of one batch) that gives Arrow batches. Times are read as a stream, so a key of any size takes little memory."""
-    ordered = rows.where("_us IS NOT NULL").repartition(*keys).sortWithinPartitions(*keys, "_us")
-
-    def run(batches):
-        def parts():
-            for batch in batches:
-                names = list(zip(*(batch.column(k).to_pylist() for k in keys)))
-                times = batch.column("_us").to_pylist()
-                at = 0
-                while at < len(names):
-                    end = at
-                    while end < len(names) and names[end] == names[at]:
-                        end += 1
-                    yield names[at], times[at:end]
-                    at = end
-
-        yield from fold(parts())
-
-    return ordered, run
-
-
 def cooldown(warnings: DataFrame, seconds: int = 1800) -> DataFrame:
     """Warnings (host, kind, ts) that are shown: at most one a host and kind in ``seconds`` from the last
-    one shown. Each key's times are read in order, with the last one shown as the only state."""
-    us = seconds * 1_000_000
-
-    def fold(parts):
-        now, last = None, None
-        for key, times in parts:
-            if key != now:
-                now, last = key, None
-            shown, at = [], 0 if last is None else bisect_left(times, last + us)
-            while at < len(times):
-                last = times[at]
-                shown.append(last)
-                at = bisect_left(times, last + us, at + 1)
-            if shown:
-                yield pa.RecordBatch.from_pydict({"host": pa.array([key[0]] * len(shown), pa.string()), "kind": pa.array([key[1]] * len(shown), pa.string()), "_us": pa.array(shown, pa.int64())})
-
-    ordered, run = _in_order(warnings.select("host", "kind", micros("ts").alias("_us")), ["host", "kind"], fold)
-    return ordered.mapInArrow(run, "host string, kind string, _us long").select("host", "kind", F.timestamp_micros("_us").cast(warnings.schema["ts"].dataType).alias("ts"))
+    one shown."""
+    shown = S.spaced(warnings.select("host", "kind", micros("ts").alias("_us")), ["host", "kind"], seconds)
+    return shown.select("host", "kind", F.timestamp_micros("_us").cast(warnings.schema["ts"].dataType).alias("ts"))
 
 
 def rate_budget(calls: DataFrame, most: int, seconds: float) -> DataFrame:
     """(key, n_calls, n_allowed): a call is allowed if fewer than ``most`` allowed ones lie within the last
-    ``seconds``; rejected calls don't count. Each key's times are read in order; the last ``most`` allowed ones are
-    the state."""
-    us, kind = int(seconds * 1_000_000), calls.schema["key"].dataType
-
-    def fold(parts):
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], to_arrow_type(kind)), pa.array([n], pa.int64()), pa.array([allowed], pa.int64())], names=["key", "n_calls", "n_allowed"])
-
-        now, n, allowed, hits = None, 0, 0, deque(maxlen=most)
-        for key, times in parts:
+    ``seconds``; rejected calls don't count. After a pause of more than ``seconds`` nothing before matters, so a key is
+    cut there; each part's times are read in order, with the last ``most`` allowed ones as the state."""
+    us, kind = int(seconds * 1_000_000), to_arrow_type(calls.schema["key"].dataType)
+    rows = S.independent_parts(calls.select("key", micros("ts").alias("_us")).where("_us IS NOT NULL"), "key", seconds)
+
+    def fold(batches):
+        now, n, allowed, hits, out = None, 0, 0, deque(maxlen=most), []
+        for key, part in S.parts_in_order(batches, 2):
             if key != now:
                 if now is not None:
-                    yield row()
+                    out.append((now[0], n, allowed))
                 now, n, allowed, hits = key, 0, 0, deque(maxlen=most)
+            times = part.column(2).to_pylist()
             n += len(times)
             for t in times:
                 if len(hits) < most or hits[0] < t - us:
                     hits.append(t)
                     allowed += 1
+            if len(out) >= 10_000:
+                yield of(out)
+                out = []
         if now is not None:
-            yield row()
+            yield of([*out, (now[0], n, allowed)])
+
+    def of(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (kind, pa.int64(), pa.int64()))], names=["key", "n_calls", "n_allowed"])
 
-    ordered, run = _in_order(calls.select("key", micros("ts").alias("_us")), ["key"], fold)
-    return ordered.mapInArrow(run, f"key {kind.simpleString()}, n_calls long, n_allowed long")
+    ordered = rows.select("key", "_part", "_us").repartition("key", "_part").sortWithinPartitions("key", "_part", "_us")
+    parts = ordered.mapInArrow(fold, f"key {calls.schema['key'].dataType.simpleString()}, n_calls long, n_allowed long")
+    return parts.groupBy("key").agg(F.sum("n_calls").alias("n_calls"), F.sum("n_allowed").alias("n_allowed"))
 
 
 def recent_activity(activity: DataFrame, now: Column, days: int = 7, keep: int = 200) -> DataFrame:
@@ -158,15 +125,16 @@ def recent_activity(activity: DataFrame, now: Column, days: int = 7, keep: int =
     return rows.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= keep)
 
 
-def verdict_asof(requests: DataFrame, cache: DataFrame) -> DataFrame:
+def verdict_asof(requests: DataFrame, cache: DataFrame, bucket: float = S.BUCKET) -> DataFrame:
     """Requests (request_id, url, ts) with the newest cached verdict (url, cached_at, expires_at, status) that
-    had not expired: one window over both, no range join."""
+    had not expired: both in one order, no range join. A bucket's requests see its own verdicts, else the newest one
+    that the buckets before hand on."""
     left = requests.select("url", F.col("ts").alias("_t"), F.lit(1).alias("_side"), "request_id", F.lit(None).cast("struct<expires_at: timestamp, status: string>").alias("_v"))
     right = cache.select("url", F.col("cached_at").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("request_id"), F.struct("expires_at", "status").cast("struct<expires_at: timestamp, status: string>").alias("_v"))
-    seen = F.last("_v", ignorenulls=True).over(Window.partitionBy("url").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    rows = left.unionByName(right).withColumn("_v", seen).where("_side = 1")
-    good = F.col("_v.expires_at") > F.col("_t")
-    return rows.select("request_id", "url", F.when(good, F.col("_v.status")).alias("cached_status"))
+    both = left.unionByName(right).withColumn("_bucket", S.bucket_of(micros("_t"), bucket))
+    rows = S.last_before(both, "url", "_v", ["_t", "_side"], "_seen", including=True).where("_side = 1")
+    good = F.col("_seen.expires_at") > F.col("_t")
+    return rows.select("request_id", "url", F.when(good, F.col("_seen.status")).alias("cached_status"))
 
 
 def learned_safe(bumps: DataFrame, most: int = 50) -> DataFrame:
@@ -174,16 +142,16 @@ def learned_safe(bumps: DataFrame, most: int = 50) -> DataFrame:
     return bumps.groupBy("root").agg(F.least(F.lit(most), F.count(F.lit(1))).cast("long").alias("trust_count"), F.max("ts").alias("last_ts"))
 
 
-def learned_safe_decay(changes: DataFrame, most: int = 50) -> DataFrame:
-    """(root, trust_count) of +1 and -1 changes in order of time, kept between 0 and ``most``."""
-    keys = changes.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "step"))).alias("_c"))
-    return keys.select("root", F.aggregate("_c", F.lit(0).cast("bigint"), lambda a, c: F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(most).cast("bigint"), a + c["step"]))).alias("trust_count"))
+def learned_safe_decay(changes: DataFrame, most: int = 50, bucket: float = S.BUCKET) -> DataFrame:
+    """(root, trust_count) of +1 and -1 changes (root, ts, seq, step) in order of time, kept between 0 and ``most``."""
+    time = micros("ts") if "timestamp" in changes.schema["ts"].dataType.simpleString() else F.col("ts") * 1_000_000
+    rows = changes.withColumn("_bucket", S.bucket_of(time, bucket))
+    return S.clamped_sums(rows, "root", "step", ["ts", "seq"], most).withColumnRenamed("total", "trust_count")
 
 
 def latency_profile(rows: DataFrame, value: str, by: str) -> DataFrame:
     """n, min, max, mean and exact p95 (sorted value number min(n - 1, floor(0.95 n)))."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    ranked = rows.where(F.col(value).isNotNull()).select(by, value, rank.alias("_r"), n.alias("_n"))
-    at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * 0.95))
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.max(F.when(F.col("_r") == at, F.col(value))).alias("p95"))
+    rows = rows.where(F.col(value).isNotNull())
+    facts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    ranked = S.exact_rank(rows, by, value, F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)))
+    return facts.join(ranked.select(F.col(by).alias("_by"), F.col(value).alias("p95")), F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")

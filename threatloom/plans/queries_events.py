@@ -98,6 +98,13 @@ def g2(spark, sf):
     return events.learned_safe(I.derived(spark, sf, _BUMPS).where("step = 1"))
 
 
+@query("g2_trust_decay", f"""WITH RECURSIVE b AS (SELECT root, step, row_number() OVER (PARTITION BY root ORDER BY ts, seq) AS i FROM ({_BUMPS}) x),
+r AS (SELECT DISTINCT root, 0::BIGINT AS i, 0 AS trust FROM b UNION ALL SELECT r.root, b.i, greatest(0, least(50, r.trust + b.step)) FROM r JOIN b ON b.root = r.root AND b.i = r.i + 1)
+SELECT root, CAST(max_by(trust, i) AS BIGINT) AS trust_count FROM r GROUP BY root""")
+def g2_decay(spark, sf):
+    return events.learned_safe_decay(I.derived(spark, sf, _BUMPS))
+
+
 @query("g3_activity_from_verdicts", O.TO_VERDICTS + "SELECT status, count(*) AS n, min(score)::INT AS least, max(score)::INT AS most FROM verdicts WHERE status <> 'safe' GROUP BY status")
 def g3(spark, sf):
     return verdicts(spark, sf).where("status <> 'safe'").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"), F.max("score").alias("most"))
