@@ -143,14 +143,19 @@ def test_short_items_in_long_texts_and_blocks_of_items(spark, monkeypatch, block
             own[int(rng.integers(0, len(own)))] = "changed"
         texts[i] = " ".join(filler[:at] + own + filler[at:])
     df = lambda rows, name: spark.createDataFrame([(k, " ".join(v) if isinstance(v, list) else v) for k, v in rows.items()], f"{name} long, text string")
-    got = {(r["doc_id"], r["item_id"], r["shared"]) for r in decontaminate.leaks(df(texts, "doc_id"), df(items, "item_id")).collect()}
     want = set()
+    texts[60] = "so " + " ".join(next(v for v in items.values() if len(v) < 5)) + " it is"
     for i, item in items.items():
-        q = shingles(" ".join(item))
+        width = min(5, len(item))  # an item of fewer words is one shingle
+        q = shingles(" ".join(item), width)
         for d, text in texts.items():
-            n = len(q & shingles(text))
-            if q and n >= 0.8 * len(q):
+            n = len(q & shingles(text, width))
+            if n >= 0.8 * len(q):
                 want.add((d, i, n))
+    got = {(r["doc_id"], r["item_id"], r["shared"]) for r in decontaminate.leaks(df(texts, "doc_id"), df(items, "item_id")).collect()}
+    assert {d for d, i, _ in got if len(items[i]) < 5} >= {60}
+    clean = {r["doc_id"] for r in decontaminate.decontaminate(df(texts, "doc_id"), df(items, "item_id")).collect()}
+    assert clean == set(texts) - {d for d, i, _ in got if len(items[i]) >= 5}
     assert len({i for _, i, _ in want}) > 40 and len(want - got) <= len(want) // 50 and not got - want
     assert {w for w in want if len(shingles(" ".join(items[w[1]]))) < 8} <= got
 
@@ -513,3 +518,79 @@ def test_long_words_that_differ_have_other_hashes(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     pair = spark.createDataFrame([(first, f"{pattern} x"), (held, f"{other} x")], "doc_id long, text string")
     assert {r["doc_id"]: r["n_known"] for r in katz.katz_scores(pair).collect()} == {first: 3, held: 2}
+
+
+def test_blocks_of_items_are_searched_in_one_pass(spark, monkeypatch):
+    """However many blocks, documents are read once and nothing is written again."""
+    monkeypatch.setattr(decontaminate, "BLOCK", 20)
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before w{i}x0 " + " ".join(f"w{i}x{k}" for k in range(12)) + " after") for i in range(40)], "doc_id long, text string")
+    found = decontaminate.with_leaks(docs, items)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == {(i, i) for i in range(30)}
+
+
+def test_shards_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 2000)
+    rows = [(i, f"text number {i} " * 10) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = token_files.write(docs.where("doc_id < 50"), token_files.shared_dir(spark, "few"))
+    many = token_files.write(docs, token_files.shared_dir(spark, "many"))
+    assert 2 * len(few) < len(many) and sum(r["docs"] for r in many) == 200
+    assert [r["doc_id"] for r in token_files.token_table(docs).orderBy("start").collect()] == list(range(200))
+
+
+def test_merge_jobs_stay_linear(spark, monkeypatch):
+    """With four times the runs there are some four times the jobs and opened files, not sixteen."""
+    monkeypatch.setattr(warc_index, "FAN_IN", 4)
+    monkeypatch.setattr(warc_index, "RANGE", 60)
+    monkeypatch.setattr(warc_index, "STRIDE", 4)
+    seen, real = [], warc_index.json.dumps
+    monkeypatch.setattr(warc_index.json, "dumps", lambda x, **k: (seen.append(len(x[1])) if isinstance(x, list) and len(x) == 4 else None, real(x, **k))[1])
+    opened = []
+    for n in (16, 64):
+        pages = [(i, f"http://h{i % 37}.example.com/{i % 11}", f"page {i}") for i in range(25 * n)]
+        df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(n)
+        before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        seen.clear()
+        got = warc_index.archive_table(df, F.concat(F.lit("2024010100000"), F.col("page_id") % 10)).collect()
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+        assert sorted(r["history_rank"] for r in got) == list(range(25 * n)) and max(seen) <= 4 * 2
+        opened.append(sum(seen))
+    assert opened[1] < 8 * opened[0]
+
+
+def test_licence_postings_of_whole_texts(spark):
+    """Ten templates of some 1500 words each, as whole licences are: passages are those of brute force."""
+    rng = np.random.default_rng(9)
+    common = [f"c{i}" for i in range(400)]
+    templates = []
+    for k in range(10):
+        words = [common[i] for i in rng.integers(0, 400, 1500)]
+        words[700:703] = [f"key{k}a", f"key{k}b", f"key{k}c"]
+        templates.append((f"t{k}", " ".join(words), (f"key{k}a key{k}b key{k}c",)))
+    texts = {}
+    for d in range(30):
+        words = templates[d % 10][1].split()
+        for i in rng.integers(0, 1500, int(rng.integers(0, 420))):
+            words[int(i)] = "other"
+        if d % 7 == 3:
+            words[701] = "other"
+        texts[d] = " ".join([common[i] for i in rng.integers(0, 400, 300)] + words)
+    got = {r["doc_id"]: {(p["label"], p["first_word"]) for p in r["passages"]} for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), templates).collect()}
+    found = 0
+    for d, text in texts.items():
+        own, want = np.array(text.split()), set()
+        for label, passage, _ in templates:
+            p = np.array(passage.split())
+            for s in range(-300, len(own)):
+                a, b = max(0, s), min(len(own), s + len(p))
+                same = own[a:b] == p[a - s : b - s]
+                if same.sum() >= 1200 and same[700 - (a - s) : 703 - (a - s)].all() and s <= 700:
+                    want.add((label, s))
+        assert got[d] == want
+        found += len(want)
+    assert 10 < found < 30

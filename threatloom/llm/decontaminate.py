@@ -11,19 +11,20 @@ verified: the share of the item's distinct shingles that occur anywhere in the d
 
 Words are runs of digits, ASCII letters (A-Z lowered) and all beyond ASCII; shingles have five words.
 
-The items are the stated query set: they are searched in blocks of ``BLOCK`` shingles, one after the other, each
-against all documents, which are scanned but never shuffled. A worker holds the index of one block. Nothing
-depends on how often a document repeats.
+The items are the stated query set: they are searched in blocks of ``BLOCK`` shingles, each against all documents,
+which are scanned once and never shuffled. A worker holds some documents and the index of one block at a time; the
+indexes of several blocks are files. Nothing depends on how often a document repeats.
 
-Defined results: null and empty texts contain nothing; texts of any length are searched whole; an item of fewer
-than five words has no shingle and is never found, since such words stand in most clean texts; null ids are
-like others; repeated rows give repeated results; extra columns keep their values, whatever their names are, and are
+Defined results: null and empty texts contain nothing; texts of any length are searched whole; an item of one to
+four words is one shingle, all of them, and is found where they stand in a row, but ``decontaminate`` keeps documents for
+its sake, since such words stand in most clean texts; an item without words is never found; null ids are like others; repeated rows give repeated results; extra columns keep their values, whatever their names are, and are
 never read; an empty document or benchmark table gives no leaks.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .shared import materialize, small_batches
+from .shared import filesystem, shared_dir, small_batches
 
 WIDTH = 5
 LEAST = 0.8
@@ -42,6 +43,8 @@ MISS = 0.005
 #: Shingles of the smallest size partition, and of items that are searched at once.
 SMALLEST = 8
 BLOCK = 2_000_000
+#: Bytes of documents that are held while the indexes of several blocks are read.
+HELD_BYTES = 64 << 20
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -103,6 +106,7 @@ class Index:
         self.partitions = [Partition(n, sizes[n], shingles, least) for n in sorted(sizes)]
         few.sort()
         self.few = np.array([x for x, _ in few], np.uint64), np.array([i for _, i in few], np.int64)
+        self.tiny: dict[int, dict[int, list]] = {}  # by number of words, below a shingle's: hash -> ids
 
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """(row, item) pairs that collide in a band, or in a shingle of a short item."""
@@ -157,22 +161,60 @@ class Index:
                     shared = int((own[np.minimum(np.searchsorted(own, sought), len(own) - 1)] == sought).sum())
                     if shared >= self.least * len(sought):
                         yield at + row, self.ids[item], shared, len(sought)
+        yield from self._search_tiny(column)
+
+    def _search_tiny(self, column):
+        for at, data, offsets in textops.slices(column) if self.tiny else ():
+            words = textops.Words(data, offsets, textops.ALNUM_WORD, lower=True)
+            own = words.hashes()
+            for width, sought in self.tiny.items():
+                hashes, start = textops.windows(own, words.first, width)
+                hit = np.flatnonzero(np.isin(hashes, np.fromiter(sought, np.uint64)))
+                rows = np.searchsorted(words.first, start[hit], "right") - 1
+                for row, value in sorted(set(zip(rows.tolist(), hashes[hit].tolist()))):
+                    for item in sought[value]:
+                        yield at + row, item, 1, 1
 
 
 LEAK = "array<struct<item_id: bigint, shared: bigint, n_shingles: bigint, containment: double>>"
 _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("n_shingles", pa.int64()), ("containment", pa.float64())]))
 
 
-def _blocks(items: DataFrame, width: int):
-    """The items in blocks of a bounded number of shingles: by ranges of a running total of sizes."""
-    items = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // (4 * BLOCK)))
+def _indexes(items: DataFrame, width: int, least: float, parts: int):
+    """The indexes of the items, in ``parts`` blocks by a hash."""
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy(F.col("item_id").asc_nulls_first(), "text").collect()
-        texts = pa.array([r["text"] or "" for r in rows], pa.large_string())
-        shingles = [np.unique(h[f[i] : f[i + 1]]) for _, n, h, f in _shingles(texts, width) for i in range(n)]
-        yield [r["item_id"] for r in rows], shingles
+        texts, ids = pa.array([r["text"] or "" for r in rows], pa.large_string()), [r["item_id"] for r in rows]
+        index = Index(ids, [np.unique(h[f[i] : f[i + 1]]) for _, n, h, f in _shingles(texts, width) for i in range(n)], least)
+        for at, data, offsets in textops.slices(texts):
+            words = textops.Words(data, offsets, textops.ALNUM_WORD, lower=True)
+            for n in range(1, width):
+                rolled, start = textops.windows(words.hashes(), words.first, n)
+                row = np.searchsorted(words.first, start, "right") - 1
+                for value, item in zip(rolled[words.counts[row] == n].tolist(), row[words.counts[row] == n].tolist()):
+                    index.tiny.setdefault(n, {}).setdefault(value, []).append(ids[at + item])
+        yield index
+
+
+def _placed(spark, indexes, parts: int):
+    """A function that gives the indexes one after the other in a worker: a broadcast one, or files in the shared folder."""
+    if parts == 1:
+        only = spark.sparkContext.broadcast(next(indexes))  # a block of items
+        return lambda: iter([only.value])
+    folder = shared_dir(spark, "leak-indexes")
+    fs, root = filesystem(folder)
+    fs.create_dir(root, recursive=True)
+    for k, index in enumerate(indexes):
+        with fs.open_output_stream(f"{root}/{k}") as out:
+            out.write(pickle.dumps(index))
+
+    def read():
+        fs, root = filesystem(folder)
+        for k in range(parts):
+            with fs.open_input_stream(f"{root}/{k}") as data:
+                yield pickle.loads(data.read())
+
+    return read
 
 
 def with_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: float = LEAST, column: str = "_leaks") -> DataFrame:
@@ -181,22 +223,33 @@ def with_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: flo
     small_batches(spark)
     while column in docs.columns:
         column = "_" + column
+    items = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].alias("text"))
+    parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (4 * BLOCK)))
+    indexes = _placed(spark, _indexes(items, width, least, parts), parts)
     out = docs.withColumn(column, F.array().cast(LEAK))
-    for searched, (ids, shingles) in enumerate(_blocks(items, width)):
-        index = spark.sparkContext.broadcast(Index(ids, shingles, least))
-        place, text = out.columns.index(column), out.columns.index("text")
-
-        def run(batches, index=index, place=place, text=text):
-            for batch in batches:
-                leaks = batch.column(place).to_pylist()
-                for row, item, shared, size in index.value.search(batch.column(text), width):
-                    leaks[row].append({"item_id": item, "shared": shared, "n_shingles": size, "containment": shared / size})
-                yield pa.RecordBatch.from_arrays([c if i != place else pa.array(leaks, _LEAK) for i, c in enumerate(batch.columns)], names=batch.schema.names)
-
-        if searched:  # a worker would hold the indexes of all blocks of one plan
-            out = materialize(out, "leaks")
-        out = out.mapInArrow(run, T.StructType(out.schema.fields))
-    return out
+    place, text = out.columns.index(column), out.columns.index("text")
+
+    def searched(held):
+        leaks = [[[] for _ in range(len(batch))] for batch in held]
+        for index in indexes():
+            for batch, own in zip(held, leaks):
+                for row, item, shared, size in index.search(batch.column(text), width):
+                    own[row].append({"item_id": item, "shared": shared, "n_shingles": size, "containment": shared / size})
+        for batch, own in zip(held, leaks):
+            yield pa.RecordBatch.from_arrays([c if i != place else pa.array(own, _LEAK) for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if parts == 1 or size >= HELD_BYTES:  # several indexes are read once for so many documents
+                yield from searched(held)
+                held, size = [], 0
+        if held:
+            yield from searched(held)
+
+    return out.mapInArrow(run, T.StructType(out.schema.fields))
 
 
 def leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
@@ -206,6 +259,8 @@ def leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that contain no item."""
-    found = with_leaks(docs, items, **how)
+    """The rows of ``docs`` that contain no item of five words or more."""
+    width = how.get("width", WIDTH)
+    words = F.regexp_count(F.translate(items["text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    found = with_leaks(docs, items.where(words >= width), **how)
     return found.where(F.size(found.columns[-1]) == 0).select(*[found[c] for c in docs.columns])

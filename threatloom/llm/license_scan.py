@@ -168,48 +168,54 @@ def inverse_frequencies(frequencies: np.ndarray, files: int) -> np.ndarray:
 
 
 class Index:
-    """Positional postings of the templates, and where files hold their passages."""
+    """Positional postings of each template's rarest words.
+
+    A passage may differ in ``slack`` places of its template, so of any slack + 2 places two agree at least. The
+    postings hold those with the highest IDF: word -> (template, place). A file's words are looked up once each; the
+    places of the passage that they vote for are intersected, and only what two of them agree on is compared in full.
+    """
 
     def __init__(self, lib: Library, idf: np.ndarray, least: float):
-        self.lib, self.least = lib, least
+        self.lib = lib
         self.slack = np.array([t.slack(least) for t in lib.templates])
-        # places of each word in each template, and each template's places from the highest IDF on
-        self.places = np.zeros((len(lib.vocabulary), len(lib.templates)), np.int32)
+        self.sizes = np.array([len(t.words) for t in lib.templates])
+        postings = []
         for n, t in enumerate(lib.templates):
-            np.add.at(self.places[:, n], t.words, 1)
-        self.by_idf = [np.lexsort((np.arange(len(t.words)), -idf[t.words])) for t in lib.templates]
-
-    def candidates(self, words: textops.Words, numbers: np.ndarray):
-        """(file, template, places whose words the file lacks) where the file has enough of the words."""
-        hit = np.flatnonzero(numbers >= 0)
-        present = np.zeros((len(words.first) - 1, len(self.lib.vocabulary)), bool)
-        present[np.searchsorted(words.first, hit, "right") - 1, numbers[hit]] = True
-        absent = self.places.sum(0) - present.astype(np.int32) @ self.places
-        for file, template in np.argwhere(absent <= self.slack).tolist():
-            yield file, template, present[file], int(absent[file, template])
+            rare = np.lexsort((np.arange(len(t.words)), -idf[t.words]))[: self.slack[n] + 2]
+            postings += [(int(t.words[p]), n, int(p)) for p in rare]
+        postings.sort()
+        word, self.template, self.place = np.array(postings, np.int64).reshape(-1, 3).T
+        self.begin = np.searchsorted(word, np.arange(len(lib.vocabulary) + 1))
+        self.votes = np.minimum(2, self.slack + 2).clip(max=self.sizes)
+
+    def candidates(self, words: textops.Words, numbers: np.ndarray) -> np.ndarray:
+        """(template, file, first word of the passage in the run of files) that enough rare words vote for."""
+        at = np.flatnonzero(numbers >= 0)
+        begin = self.begin[numbers[at]]
+        n = self.begin[numbers[at] + 1] - begin
+        entry, at = textops.ranges(begin, n), np.repeat(at, n)
+        file, template, start = np.searchsorted(words.first, at, "right") - 1, self.template[entry], at - self.place[entry]
+        order = np.lexsort((start, file, template))
+        found = np.stack([template, file, start])[:, order]
+        fresh = np.flatnonzero(np.r_[True, (found[:, 1:] != found[:, :-1]).any(axis=0)]) if len(at) else np.zeros(0, np.int64)
+        votes = np.diff(np.r_[fresh, len(at)])
+        return found[:, fresh[votes >= self.votes[found[0, fresh]]]]
 
     def passages(self, words: textops.Words):
-        """(file, template, first word in the run of files, agreeing share) of every passage found."""
-        numbers, known = self.lib.numbers(words.hashes()), (-1, {})
-        for file, n, present, absent in self.candidates(words, numbers):
-            t, low, high = self.lib.templates[n], int(words.first[file]), int(words.first[file + 1])
-            own = numbers[low:high]
-            if known[0] != file:
-                known = (file, {})
-            anchors = [p for p in self.by_idf[n].tolist() if present[t.words[p]]][: int(self.slack[n]) - absent + 2]
-            begins = []
-            for p in anchors:
-                w = int(t.words[p])
-                if w not in known[1]:
-                    known[1][w] = np.flatnonzero(own == w)
-                begins.append(known[1][w] - p)
-            start, votes = np.unique(np.concatenate(begins), return_counts=True)
-            start = start[votes >= min(2, len(anchors))]
-            at = start[:, None] + np.arange(len(t.words))
-            same = (at >= 0) & (at < len(own)) & (own[np.clip(at, 0, len(own) - 1)] == t.words)
-            share = same.mean(axis=1)
-            good = same[:, t.keys].all(axis=1) & (same.sum(axis=1) >= len(t.words) - self.slack[n])
-            yield from zip([file] * int(good.sum()), [n] * int(good.sum()), start[good].tolist(), share[good].tolist())
+        """(file, template, first word in its file, agreeing share) of every passage found."""
+        numbers = self.lib.numbers(words.hashes())
+        template, file, start = self.candidates(words, numbers)
+        cut = np.flatnonzero(np.r_[True, template[1:] != template[:-1]]) if len(template) else []
+        for a, b in zip(cut, [*cut[1:], len(template)]):
+            n = int(template[a])
+            t = self.lib.templates[n]
+            for a in range(a, b, 4096):  # of bounded memory
+                own, begin = file[a : min(b, a + 4096)], start[a : min(b, a + 4096)]
+                at = begin[:, None] + np.arange(len(t.words))
+                inside = (at >= words.first[own][:, None]) & (at < words.first[own + 1][:, None])
+                same = inside & (numbers[np.clip(at, 0, len(numbers) - 1)] == t.words)
+                good = same[:, t.keys].all(axis=1) & (same.sum(axis=1) >= len(t.words) - self.slack[n])
+                yield from zip(own[good].tolist(), [n] * int(good.sum()), (begin - words.first[own])[good].tolist(), same.mean(axis=1)[good].tolist())
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, least: float = LEAST) -> DataFrame:

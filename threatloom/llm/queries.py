@@ -153,10 +153,14 @@ item_shingles AS (
   SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words)),
 doc_shingles AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc_words)),
-sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id)
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id),
+tiny AS (SELECT item_id, len(w) AS k, array_to_string(w, ' ') AS s FROM item_words WHERE len(w) BETWEEN 1 AND 4),
+tiny_found AS (
+  SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc_words, (SELECT DISTINCT k FROM tiny) ks)) JOIN tiny USING (k, s))
 SELECT doc_id, item_id, count(*) AS shared, any_value(n_shingles) AS n_shingles, count(*)::DOUBLE / any_value(n_shingles) AS containment
 FROM doc_shingles JOIN item_shingles USING (s) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) >= 0.8::DOUBLE * any_value(n_shingles)
+UNION ALL SELECT doc_id, item_id, 1, 1, 1e0 FROM tiny_found
 """
 
 OP9_SQL = r"""

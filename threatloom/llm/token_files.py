@@ -117,6 +117,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 256 << 20
 _SHARD = "shard long, stem string, docs long, tokens long, null_ids long, width long"
 
 
@@ -133,7 +135,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         task, fs_path, enc = TaskContext.get(), filesystem(folder), encoder(tokenizer)
         fs, root = fs_path
         stem = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        ids, counts, nulls, end = [], [], 0, enc._pack([end_id])
+        ids, counts, nulls, end = array("q"), array("q"), 0, enc._pack([end_id])
         with fs.open_output_stream(f"{root}/{stem}.bin") as out:
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -146,15 +148,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         if not ids:
             fs.delete_file(f"{root}/{stem}.bin")
             return
-        offsets = np.concatenate([[0], np.cumsum(counts)])
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.frombuffer(counts, np.int64))])
         with fs.open_output_stream(f"{root}/{stem}.idx") as out:
-            out.write(np.array([MAGIC, 1, enc.width, len(ids), nulls, *offsets, *ids], "<i8").tobytes())
+            for part in ([MAGIC, 1, enc.width, len(ids), nulls], offsets, np.frombuffer(ids, np.int64)):
+                out.write(np.asarray(part, "<i8").tobytes())
         yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "stem": [stem], "docs": [len(ids)], "tokens": [int(offsets[-1])], "null_ids": [nulls], "width": [enc.width]})
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     leading = F.substring("text", 1, LEADING).asc_nulls_first()
-    ranged = rows.repartitionByRange(shards or partitions(spark), order[0], leading).sortWithinPartitions(*order)
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(partitions(spark), -(-size // SHARD_BYTES))
+    ranged = rows.repartitionByRange(shards, order[0], leading).sortWithinPartitions(*order)
     found = sorted((r.asDict() for r in ranged.mapInArrow(run, _SHARD).collect()), key=lambda r: r["shard"])  # one row a shard
     at_doc = at_token = 0
     for row in found:

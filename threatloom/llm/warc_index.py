@@ -287,17 +287,29 @@ def merge_runs(spark: SparkSession, folder: str, runs: list[dict], ranges: int |
 
     if not runs:
         return []
-    cuts = _cuts(spark, folder, runs, ranges or max(partitions(spark), -(-sum(r["records"] for r in runs) // RANGE)))
-    stems = [r["stem"] for r in runs]
-    jobs = [(i, stems, a, b) for i, (a, b) in enumerate(zip([None, *cuts], [*cuts, None]))]
-    while len(jobs[0][1]) > FAN_IN:
-        groups = [(i, own[at : at + FAN_IN], a, b) for i, own, a, b in jobs for at in range(0, len(own), FAN_IN)]
-        made: list[list[str]] = [[] for _ in jobs]
-        for row in merged(groups):
-            made[row["number"]].append(row["stem"])
-        jobs = [(i, own, None, None) for i, own in enumerate(made)]
+    total = sum(r["records"] for r in runs)
+    cuts = _cuts(spark, folder, runs, ranges or max(partitions(spark), -(-total // RANGE)))
+    parts = len(cuts) + 1
+
+    def job(number: int, low: int, high: int, group: list[list[tuple]]) -> tuple:
+        stems = [stem for run in group for begin, end, stem, _ in run if begin < high and end > low]
+        return number, stems, cuts[low - 1] if low else None, cuts[high - 1] if high < parts else None
+
+    # a run is a list of files (first range, range after the last, stem, records) in order of their keys
+    sorted_runs = [[(0, parts, r["stem"], r["records"])] for r in runs]
+    while len(sorted_runs) > FAN_IN:
+        # groups of runs become one run each, in as many files as the group has ranges' worth of records
+        groups = [sorted_runs[at : at + FAN_IN] for at in range(0, len(sorted_runs), FAN_IN)]
+        places = []
+        for k, group in enumerate(groups):
+            n = max(1, min(parts, parts * sum(f[3] for run in group for f in run) // total))
+            places += [(k, parts * i // n, parts * (i + 1) // n) for i in range(n)]
+        sorted_runs = [[] for _ in groups]
+        for row in merged([job(i, low, high, groups[k]) for i, (k, low, high) in enumerate(places)]):
+            k, low, high = places[row["number"]]
+            sorted_runs[k].append((low, high, row["stem"], row["records"]))
     out, before = [], 0
-    for row in merged(jobs):
+    for row in merged([job(i, i, i + 1, sorted_runs) for i in range(parts)]):
         out.append(row | {"before": before})
         before += row["records"]
     return out
