@@ -355,5 +355,4 @@ def t8(spark, sf):
     table = feed_table(spark, sf)
     table.write.parquet(source)
     streams.feeds_to(spark, spark.readStream.schema(table.schema).parquet(source), path)
-    newest = spark.read.parquet(path).agg(F.max("set")).first()[0]
-    return spark.read.parquet(f"{path}/set={newest}").select("host")
+    return streams.feed_set(spark, path).select("host")

@@ -1,120 +1,205 @@
 """The same state as streams: chains, flows, cool-downs, dedupe, counters, verdicts, retention, feeds.
 
-State is kept a key and bounded (a count, 64 steps, one time). It goes when the watermark has passed the last event
-of its key by the key's time to live, and a closed tab's at once. A key's events of one micro-batch are sorted together,
-so micro-batches should be bounded at the source (``maxFilesPerTrigger``); events behind the watermark are dropped.
+State is kept a key and bounded (two counts, 64 steps, one time), in typed state variables. A timer removes it when the
+watermark has passed the last event of its key by the key's time to live, and a closed tab's goes at once. A key's
+events of one micro-batch are sorted together and worked on as arrays, so micro-batches should be bounded at the source
+(``maxFilesPerTrigger``); events behind the watermark are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import feeds, scoring
 from ..operators.events import CHAIN, STEPS, TTL
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
 
+def _ordered(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    return pd.concat(list(frames)).sort_values(by, kind="stable", ignore_index=True)
 
-def _keep(state: GroupState, value: tuple, last_us: int, ttl: int) -> None:
-    """Stores a key's state for ``ttl`` seconds of event time after its last event."""
-    state.update(value)
-    state.setTimeoutTimestamp(max(last_us // 1000, state.getCurrentWatermarkMs()) + ttl * 1000)
+
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[us]").astype(np.int64)
+
+
+class _Expiring(StatefulProcessor):
+    """State of a key that goes ``ttl`` seconds of event time after its last event."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.expiry = handle.getValueState("expiry", "at long")
+        self.open(handle)
+
+    def keep(self, last_us: int, timers) -> None:
+        """The timer moves on with the newest event; it stays where it is if that is no later."""
+        at = max(last_us // 1000, timers.getCurrentWatermarkInMs()) + self.ttl * 1000
+        before = self.expiry.get()[0] if self.expiry.exists() else None
+        if before is None or at > before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+            self.expiry.update((at,))
+
+    def forget(self) -> None:
+        if self.expiry.exists():
+            self.handle.deleteTimer(self.expiry.get()[0])
+        self.clear()
+
+    def clear(self) -> None:
+        self.expiry.clear()
+        self.state.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def chain_steps(kind: np.ndarray, chain_no: int, hops: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chain number and hops after each event in order, from those before: a navigation begins a chain, a close ends all."""
+    place, begins, closes = np.arange(len(kind)), kind == "navigate", kind == "close"
+    reset = np.maximum.accumulate(np.where(begins | closes, place, -1))
+    closed = np.maximum.accumulate(np.where(closes, place, -1))
+    count = np.cumsum(begins)
+    number = np.where(closed >= 0, count - count[closed], chain_no + count)
+    since = np.where(reset < 0, hops + place + 1, place - reset + begins[reset])
+    return number, np.minimum(keep, since)
+
+
+class _Chains(_Expiring):
+    def __init__(self, keep: int, ttl: int):
+        super().__init__(ttl)
+        self.most = keep
+
+    def open(self, handle):
+        self.state = handle.getValueState("chain", "chain_no long, n_hops long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = _ordered(rows, ["ts", "seq"])
+        before = self.state.get() if self.state.exists() else (0, 0)
+        kind = frame["kind"].to_numpy()
+        number, hops = chain_steps(kind, *before, self.most)
+        if kind[-1] == "close":
+            number[-1] = hops[-1] = 0
+        if number[-1]:
+            self.state.update((int(number[-1]), int(hops[-1])))
+            self.keep(int(_micros(frame["ts"])[-1]), timerValues)
+        elif self.state.exists():
+            self.forget()
+        out = kind != "close"
+        yield pd.DataFrame({"tab_id": key[0], "seq": frame["seq"][out], "chain_no": number[out], "n_hops": hops[out]})
+
+
+def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "eventtime")
 
 
 def redirect_chains(nav: DataFrame, keep: int = CHAIN, ttl: int = 86_400, delay: str = "1 hour") -> DataFrame:
     """Per event: the tab's chain so far (tab_id, seq, chain_no, n_hops); a close, or a day without events, drops the
     tab's state."""
+    return _stateful(timed(nav, delay), ["tab_id"], _Chains(keep, ttl), "tab_id long, seq long, chain_no long, n_hops long")
 
-    def run(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        chain_no, hops = state.get if state.exists else (0, 0)
-        out, us = [], 0
-        for row in _ordered(frames).itertuples():
-            us = row.ts.value // 1000
-            if row.kind == "close":
-                chain_no, hops = 0, 0
-                continue
-            chain_no, hops = (chain_no + 1, 1) if row.kind == "navigate" else (chain_no, min(keep, hops + 1))
-            out.append((key[0], row.seq, chain_no, hops))
-        if chain_no:
-            _keep(state, (chain_no, hops), us, ttl)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["tab_id", "seq", "chain_no", "n_hops"])
-
-    return timed(nav, delay).groupBy("tab_id").applyInPandasWithState(run, "tab_id long, seq long, chain_no long, n_hops long", "chain_no long, n_hops long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def flow_step_anomalies(steps: list[tuple]) -> dict[str, bool]:
-    """Flags of ordered steps (us, seq, kind, origin, post_origin, in_iframe)."""
-    origins = {s[3] for s in steps}
-    creds = [s for s in steps if s[2] in ("credential", "mfa")]
-    issuers, tokens = ({s[3] for s in steps if s[2] == k} for k in ("oauth", "token"))
-    entry = next((s for s in steps if s[2] == "entry"), None)
-    first = {k: next((s for s in creds if s[2] == k), None) for k in ("credential", "mfa")}
-    enough = len(steps) >= 2
-    return {
-        "flow_relay": enough and any(s[4] and s[4] not in origins for s in creds),
-        "flow_token_drift": enough and bool(issuers) and bool(tokens - issuers),
-        "flow_iframe_swap": enough and entry is not None and any(s[5] and s[3] != entry[3] for s in creds),
-        "flow_redirect_storm": enough and len({s[3] for s in steps if s[2] == "redirect"}) >= 4,
-        "flow_mfa_split": enough and all(first.values()) and first["credential"][3] != first["mfa"][3],
+
+_FLAGS = ("flow_relay", "flow_token_drift", "flow_iframe_swap", "flow_redirect_storm", "flow_mfa_split")
+
+
+def flow_flags(us: np.ndarray, kind: np.ndarray, origin: np.ndarray, post: np.ndarray, in_iframe: np.ndarray, ttl_us: int, keep: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """For each step in order of time the first step that counts with it (of the last ``keep`` those within ``ttl_us``), and
+    the flags of these steps. Every origin's last place up to a step tells whether it is among them."""
+    place = np.arange(len(us))
+    begin = np.maximum(place + 1 - keep, np.searchsorted(us, us - ttl_us))
+    creds = (kind == "credential") | (kind == "mfa")
+
+    def last(mask: np.ndarray) -> np.ndarray:
+        return np.maximum.accumulate(np.where(mask, place, -1))
+
+    def first(mask: np.ndarray) -> np.ndarray:
+        """The first such step among those that count, or -1."""
+        at = np.append(np.flatnonzero(mask), len(us))
+        found = at[np.searchsorted(at, begin)]
+        return np.where(found <= place, found, -1)
+
+    def any_of(values, mask: np.ndarray, by: np.ndarray, but) -> np.ndarray:
+        """Whether some value has a step of ``mask`` among those that count and ``but`` (its name) holds."""
+        out = np.zeros(len(us), bool)
+        for v in values:
+            out |= (last(mask & (by == v)) >= begin) & but(v)
+        return out
+
+    oauth, token, jump = kind == "oauth", kind == "token", kind == "redirect"
+    entry = first(kind == "entry")
+    password, code = first(kind == "credential"), first(kind == "mfa")
+    posted = creds & (post != "")
+    flags = {
+        "flow_relay": any_of(set(post[posted]), posted, post, lambda v: last(origin == v) < begin),
+        "flow_token_drift": any_of(set(origin[token]), token, origin, lambda v: last(oauth & (origin == v)) < begin) & (last(oauth) >= begin),
+        "flow_iframe_swap": any_of(set(origin[creds & in_iframe]), creds & in_iframe, origin, lambda v: (entry >= 0) & (origin[entry] != v)),
+        "flow_redirect_storm": sum(((last(jump & (origin == v)) >= begin).astype(int) for v in set(origin[jump])), np.zeros(len(us), int)) >= 4,
+        "flow_mfa_split": (password >= 0) & (code >= 0) & (origin[password] != origin[code]),
     }
+    return begin, {k: v & (place > begin) for k, v in flags.items()}
 
 
-_FLAGS = ("flow_relay", "flow_token_drift", "flow_iframe_swap", "flow_redirect_storm", "flow_mfa_split")
+class _Flows(_Expiring):
+    def __init__(self, keep: int, ttl: int):
+        super().__init__(ttl)
+        self.most = keep
+
+    def open(self, handle):
+        self.state = handle.getListState("steps", "us long, seq long, kind string, origin string, post_origin string, in_iframe boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = _ordered(rows, ["ts", "seq"])
+        held = list(self.state.get()) if self.state.exists() else []
+        new = zip(_micros(frame["ts"]).tolist(), frame["seq"].tolist(), frame["kind"], frame["origin"], frame["post_origin"], frame["in_iframe"])
+        steps = [*held, *((us, seq, kind, origin, post if isinstance(post, str) else "", bool(frame)) for us, seq, kind, origin, post, frame in new)]
+        us, _, kind, origin, post, in_iframe = (np.array(c, t) for c, t in zip(zip(*steps), (np.int64, np.int64, object, object, object, bool)))
+        begin, flags = flow_flags(np.maximum.accumulate(us), kind, origin, post, in_iframe, self.ttl * 1_000_000, self.most)
+        self.state.put(steps[begin[-1] :])
+        self.keep(int(us[-1]), timerValues)
+        n = len(held)
+        yield pd.DataFrame({"flow_id": key[0], "seq": frame["seq"].to_numpy(), "n_steps": (np.arange(len(us)) - begin + 1)[n:], **{k: flags[k][n:] for k in _FLAGS}})
 
 
 def auth_flows(steps: DataFrame, ttl: int = TTL, keep: int = STEPS, delay: str = "1 hour") -> DataFrame:
     """Per step: the anomalies of its flow's last ``ttl`` seconds and ``keep`` steps, which are the state."""
-    state_type = "steps array<struct<us: bigint, seq: bigint, kind: string, origin: string, post_origin: string, in_iframe: boolean>>"
+    return _stateful(timed(steps, delay), ["flow_id"], _Flows(keep, ttl), "flow_id long, seq long, n_steps long, " + ", ".join(f"{f} boolean" for f in _FLAGS))
 
-    def run(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = [tuple(s) for s in state.get[0]] if state.exists else []
-        out = []
-        for row in _ordered(frames).itertuples():
-            us = row.ts.value // 1000
-            held = [s for s in held if s[0] >= us - ttl * 1_000_000]
-            held.append((us, row.seq, row.kind, row.origin, row.post_origin if isinstance(row.post_origin, str) else None, bool(row.in_iframe)))
-            held = held[-keep:]
-            out.append((key[0], row.seq, len(held), *flow_step_anomalies(held).values()))
-        _keep(state, (held,), held[-1][0], ttl)
-        yield pd.DataFrame(out, columns=["flow_id", "seq", "n_steps", *_FLAGS])
 
-    return timed(steps, delay).groupBy("flow_id").applyInPandasWithState(run, "flow_id long, seq long, n_steps long, " + ", ".join(f"{f} boolean" for f in _FLAGS), state_type, "append", GroupStateTimeout.EventTimeTimeout)
+class _Cooldown(_Expiring):
+    def open(self, handle):
+        self.state = handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = _ordered(rows, ["ts"])
+        us, wait, shown = _micros(frame["ts"]), self.ttl * 1_000_000, []
+        at = int(np.searchsorted(us, self.state.get()[0] + wait)) if self.state.exists() else 0
+        while at < len(us):
+            shown.append(at)
+            at = max(at + 1, int(np.searchsorted(us, us[at] + wait)))
+        if shown:
+            self.state.update((int(us[shown[-1]]),))
+            self.keep(int(us[shown[-1]]), timerValues)
+        yield pd.DataFrame({"host": [key[0]] * len(shown), "kind": [key[1]] * len(shown), "ts": frame["ts"].iloc[shown]})
 
 
 def cooldown(warnings: DataFrame, seconds: int = 1800, delay: str = "1 hour") -> DataFrame:
     """Warnings that are shown; the state of a key is the time of its last one, for as long as it matters."""
-
-    def run(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        out = []
-        for row in _ordered(frames).itertuples():
-            us = row.ts.value // 1000
-            if last is None or us - last >= seconds * 1_000_000:
-                last = us
-                out.append((key[0], key[1], row.ts))
-        if last is not None:
-            _keep(state, (last,), last, seconds)
-        yield pd.DataFrame(out, columns=["host", "kind", "ts"])
-
-    return timed(warnings, delay).groupBy("host", "kind").applyInPandasWithState(run, "host string, kind string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _stateful(timed(warnings, delay), ["host", "kind"], _Cooldown(seconds), "host string, kind string, ts timestamp")
 
 
 def timed(events: DataFrame, delay: str) -> DataFrame:
@@ -138,8 +223,14 @@ def retained(activity: DataFrame, cutoff: str, days: int = 7) -> DataFrame:
 
 
 def run_to(stream: DataFrame, path: str, mode: str = "append") -> None:
-    """Runs a stream over what is there now, into Parquet."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    """Runs a stream over what is there now, into Parquet. State variables and timers need the RocksDB state store."""
+    spark = stream.sparkSession
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 def verdicts_to(urls: DataFrame, blocklist: DataFrame, path: str, evidence=()) -> None:
@@ -153,14 +244,57 @@ def verdicts_to(urls: DataFrame, blocklist: DataFrame, path: str, evidence=()) -
     urls.writeStream.foreachBatch(batch).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
 
 
-def feeds_to(spark: SparkSession, lines: DataFrame, path: str, cap: int = feeds.FEED_CAP) -> None:
+#: Changes that are read over a full list, at most; then the next batch writes a full list.
+COMPACT_AFTER = 8
+
+
+def feed_set(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The matching set (host, seen) of ``feeds_to`` as of its newest batch, or of batch ``upto``: the newest full list with
+    the additions and removals after it."""
+    versions = spark.read.schema("host string, seen struct<batch: int, feed_ord: bigint, line_no: bigint>, change string, batch int").parquet(path)
+    if upto is not None:
+        versions = versions.where(F.col("batch") <= upto)
+    base = versions.where("change = 'full'").agg(F.max("batch")).scalar()
+    after = versions.where(F.col("batch") >= F.coalesce(base, F.lit(-1)))
+    newest = after.groupBy("host").agg(F.max_by(F.struct("seen", "change"), "batch").alias("n"))
+    return newest.where("host IS NOT NULL AND n.change <> 'removed'").select("host", "n.seen")
+
+
+def feeds_to(spark: SparkSession, lines: DataFrame, path: str, cap: int = feeds.FEED_CAP, compact_after: int = COMPACT_AFTER) -> None:
     """Refreshes the matching set from new feed files: each batch merges with the set so far, whose hosts keep their
-    places; at most ``cap`` hosts in order of first sight."""
+    places; at most ``cap`` hosts in order of first sight.
+
+    A batch writes only the hosts that come, and those that the cap puts out, as ``change=added|removed``; after
+    ``compact_after`` such batches the whole set is written (``change=full``) and the versions that nothing reads any
+    more, those before the full list before, are removed. A repeated batch overwrites its own folder."""
+
     def batch(rows: DataFrame, number: int) -> None:
-        hosts = feeds.merge_feeds(rows, cap).select("host", F.struct(F.lit(number).alias("batch"), "feed_ord", "line_no").alias("seen"))
-        if number:
-            known = spark.read.parquet(f"{path}/set={number - 1}")
-            hosts = known.unionByName(hosts).groupBy("host").agg(F.min("seen").alias("seen")).orderBy("seen", "host").limit(cap)
-        hosts.write.mode("overwrite").parquet(f"{path}/set={number}")
+        own = f"{path}/batch={number}"
+        hosts = feeds.merge_feeds(rows, cap).select("host", F.struct(F.lit(number).alias("batch"), F.col("feed_ord").cast("long").alias("feed_ord"), F.col("line_no").cast("long").alias("line_no")).alias("seen"))
+        if not number:
+            hosts.withColumn("change", F.lit("full")).write.mode("overwrite").partitionBy("change").parquet(own)
+            return
+        known = feed_set(spark, path, number - 1)
+        new = hosts.join(known, "host", "left_anti")
+        union = known.select("host", "seen", F.lit(True).alias("old")).unionByName(new.select("host", "seen", F.lit(False).alias("old")))
+        kept = union.orderBy("seen", "host").limit(cap)
+        if number % (compact_after + 1) == 0:
+            kept.select("host", "seen", F.lit("full").alias("change")).write.mode("overwrite").partitionBy("change").parquet(own)
+            vacuum(spark, path, number - compact_after - 1)
+            return
+        added = kept.where("NOT old").select("host", "seen", F.lit("added").alias("change"))
+        # hosts keep their places, so a full list has no room for new ones and puts out none
+        removed = known.join(kept.select("host"), "host", "left_anti").select("host", "seen", F.lit("removed").alias("change"))
+        added.unionByName(removed).write.mode("overwrite").partitionBy("change").parquet(own)
 
     lines.writeStream.foreachBatch(batch).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
+
+
+def vacuum(spark: SparkSession, path: str, before: int) -> None:
+    """Removes the versions of batches before ``before``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(hadoop):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < before:
+            fs.delete(status.getPath(), True)
