@@ -40,7 +40,7 @@ from . import textops
 from .shared import block_size, crc_of_id, filesystem, materialize, partitions, shared_dir, small_batches
 
 #: Tokens of a block, at least, and entries of an exchanged row, on average.
-BLOCK = 1 << 20
+BLOCK = 3 << 18
 ROW = 128
 #: Counts up to this one are discounted.
 CUTOFF = 5

@@ -34,12 +34,13 @@ from .shared import filesystem, partitions, shared_dir, small_batches
 
 MAGIC = 0x58444E4B54464C54
 #: Encoded pieces that a Python worker remembers (about 200 bytes each); later ones are encoded anew.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: Characters of a text that its place among the shards depends on, and documents that are read at once.
 LEADING = 64
 READ_DOCS = 1 << 16
 #: A space between two other characters starts a piece of its own in the tokenizers' pattern.
-_UNEVEN = re.compile(r"\s\s|\s\Z|[^\S \n]")
+_RUNS = ("  ", "\n\n", " \n", "\n ")
+_OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 _LETTERS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*%$#&]*)")
 
 
@@ -49,6 +50,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def uneven(text: str) -> bool:
+    """Whether a text has white space other than single spaces and line ends between other characters."""
+    return text[-1:] in (" ", "\n") or any(x in text for x in _RUNS) or any(x in text for x in _OTHER_SPACE)
+
+
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them.
 
@@ -105,7 +111,7 @@ class Encoder:
         return found
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or _UNEVEN.search(text) or any(x in text for x in self.special):
+        if text and (not self.by_piece or uneven(text) or any(x in text for x in self.special)):
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         head, *rest = text.split(" ")
         known, piece = self.known.get, self._piece
@@ -119,9 +125,20 @@ def encoder(path: str) -> Encoder:
 
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 256 << 20
+#: Bytes of text for a byte of a table's files.
+PACKED = 2
 _SHARD = "shard long, stem string, docs long, tokens long, null_ids long, width long"
 
 
+def text_bytes(rows: DataFrame, docs: DataFrame) -> int:
+    """Bytes of text in ``rows``, about: PACKED times the files of ``docs``, without a scan; a table without files is summed up."""
+    folders = {f.rpartition("/")[0] for f in docs.inputFiles()}
+    if not folders:
+        return rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    hadoop, conf = docs.sparkSession._jvm.org.apache.hadoop.fs.Path, docs.sparkSession._jsc.hadoopConfiguration()
+    return PACKED * sum(hadoop(f).getFileSystem(conf).getContentSummary(hadoop(f)).getLength() for f in folders)
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, shards: int | None = None) -> list[dict]:
     """Writes the shards of ``docs`` (doc_id, text) and returns the manifest, also kept in the folder."""
     spark = docs.sparkSession
@@ -158,8 +175,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     leading = F.substring("text", 1, LEADING).asc_nulls_first()
     if shards is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(partitions(spark), -(-size // SHARD_BYTES))
+        shards = max(partitions(spark), -(-text_bytes(rows, docs) // SHARD_BYTES))
     ranged = rows.repartitionByRange(shards, order[0], leading).sortWithinPartitions(*order)
     found = sorted((r.asDict() for r in ranged.mapInArrow(run, _SHARD).collect()), key=lambda r: r["shard"])  # one row a shard
     at_doc = at_token = 0
