@@ -129,17 +129,80 @@ def test_adopt_gate_needs_rows(spark):
     assert classifier.adopt_gate(rows, least=1).first()["adopt"]
 
 
-def test_submissions_stay_bounded(spark, tmp_path):
-    rows = [(200 * k, f"field {k} " + "plain words " * 80, "web") for k in range(400)] + [(i, f"short {i}", "web") for i in range(1, 60)]
+def test_submissions_by_where_they_go(spark, tmp_path):
+    rows = [(200 * k, f"field {k} " + "plain words " * 80, "web") for k in range(400)] + [(i, f"short {i}", "web") for i in range(1, 200)] + [(77, "x" * 3000, "web")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    want = {}
+    fields, forms = {}, {}
     for doc_id, text in sorted((r["doc_id"], r["text"]) for r in queries_text.texts(spark, str(tmp_path)).collect()):
-        if doc_id % 11:
-            want.setdefault(doc_id // 8, []).append(text)
-    found = {k: dlp.sensitive("\n".join(v)) for k, v in want.items()}
-    got = {r["submit_id"]: (r["n_findings"], r["warn"]) for r in queries_text.j13(spark, str(tmp_path)).collect()}
-    assert got == {k: (len(f), k % 2 == 0 and any(not x["suppressed"] and x["severity"] in ("high", "critical") and x["confidence"] >= 0.85 for x in f)) for k, f in found.items()}
-    assert any(n for n, _ in got.values()) and any(w for _, w in got.values())
+        k = doc_id // 8
+        forms[k] = k % 6 in (3, 4, 5)  # the action is on another host
+        if doc_id % 11 and doc_id % 13 and len(text) < 2000:
+            fields.setdefault(k, []).append(text)
+    want = {}
+    for k, own in fields.items():
+        sure = [f for f in dlp.sensitive(" ".join(own)) if not f["suppressed"] and f["confidence"] >= 0.85 and f["id"] != "entropy_blob"]
+        grave = any(f["severity"] in ("high", "critical") for f in sure)
+        want[k] = (len(sure), forms[k], "none" if not grave else "warn" if forms[k] else "toast")
+    got = {r["submit_id"]: (r["n_findings"], r["cross_origin"], r["decision"]) for r in queries_text.j13(spark, str(tmp_path)).collect()}
+    assert got == want and {d for _, _, d in got.values()} == {"none", "warn", "toast"}
+
+
+def test_activity_keeps_safe_fields(spark):
+    rows = spark.createDataFrame([(1, i, i, "seen", "h" * 300, "secret", 5) for i in range(30)], "profile_id long, at long, seq long, kind string, host string, cookie string, score int")
+    out = events.recent_activity(rows.withColumn("at", F.timestamp_seconds("at")), F.lit("1970-01-02").cast("timestamp"), keep=25)
+    assert set(out.columns) == {"profile_id", "at", "seq", "kind", "host", "score", "rank", "shown"}
+    got = out.collect()
+    assert len(got) == 25 and sum(r["shown"] for r in got) == 20 and {len(r["host"]) for r in got} == {256}
+    assert {r["seq"] for r in got if r["shown"]} == set(range(10, 30))
+
+
+def test_short_ad_lists_are_refused(spark, tmp_path):
+    rules = feeds.ad_rules(spark.createDataFrame([(f"||ads{i}.example.com^",) for i in range(499)], "line string"))
+    with pytest.raises(sinks.ShortList):
+        sinks.write_dnr_rules(rules, f"{tmp_path}/rules")
+    assert not (tmp_path / "rules").exists()
+    sinks.write_dnr_rules(rules, f"{tmp_path}/rules", least=499)
+
+
+def test_lookalikes_of_ten_thousand_brands(spark):
+    """The index of brands against a plain pass over all of them."""
+    import random
+
+    from threatloom.operators import urls
+
+    rng = random.Random(4)
+    brands = sorted({"".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 10))) + ".com" for _ in range(10_000)})
+    hosts = set()
+    for b in rng.sample(brands, 60):
+        name = list(b)
+        for _ in range(rng.randrange(4)):
+            at, what = rng.randrange(len(name) - 4), rng.randrange(3)
+            name[at : at + (what != 1)] = [] if what == 0 and len(name) > 6 else [rng.choice("abcxyz")]
+        hosts.add("".join(name))
+    df = spark.createDataFrame([(h, h, h) for h in sorted(hosts)], "hostname string, host string, host_unicode string")
+    found = {r["hostname"]: r for r in urls.lookalikes_of(df, spark.createDataFrame(list(enumerate(brands)), "place int, brand string")).collect()}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for h in hosts:
+        near = [(d, i, b) for i, b in enumerate(brands) if abs(len(b) - len(h)) <= 2 and 0 < (d := edits(h, b)) <= 2] if h not in brands else []
+        want = min(near)[2] if near else None
+        assert (found[h]["lookalike_brand"] if found[h]["lookalike_kind"] == "typo" else None) == want, h
+
+
+def test_repeated_evidence_makes_no_further_verdicts(spark):
+    from threatloom.operators import scoring
+
+    rows = spark.createDataFrame([("https://a.example/", 1), ("https://b.example/", 2)], "url string, tab_id long")
+    twice = spark.createDataFrame([(1, 5, 2), (1, 3, 1)], "tab_id long, hops int, chain_roots int")
+    out = scoring.url_verdicts(rows, evidence=[(twice, "tab_id")]).select("url", "hops").collect()
+    assert sorted(map(tuple, out)) == [("https://a.example/", 5), ("https://b.example/", 0)]
 
 
 def test_upload_files_hold_every_document(spark, tmp_path):

@@ -28,7 +28,7 @@ _B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 def bounded(pattern: str) -> str:
     """A pattern with ASCII word boundaries for \\b; before a sure word character that is a look-behind."""
-    pattern = re.sub(r"(^|\||\(\?i\))\\b(?=[A-Za-z]|\[[0-9A-Z]|\((?:\?:)?(?:[A-Z]|api|\[0-9\]|\?!))", r"\1(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", pattern)
+    pattern = re.sub(r"(^|\||\(\?i\))\\b(?=[A-Za-z]|\[[0-9A-Z]|\\d|\((?:\?:)?(?:[A-Z]|api|\[0-9\]|\\d|\?!))", r"\1(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", pattern)
     return pattern.replace(r"\b", _B)
 
 
@@ -97,19 +97,19 @@ def redact(text: Column) -> Column:
 # Fixed values. (kind, severity, region, pattern), in order.
 PII = (
     ("email", "low", "global", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
-    ("phoneIN", "medium", "india", r"(?:\+?91[\s-]?)?[6-9][0-9]{9}\b"),
-    ("phoneUS", "medium", "us", r"\b(?:\+?1[\s-]?)?\(?[0-9]{3}\)?[\s.-]?[0-9]{3}[\s.-]?[0-9]{4}\b"),
-    ("aadhaar", "critical", "india", r"\b[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}\b"),
-    ("pan", "high", "india", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"),
-    ("ssn", "critical", "us", r"\b(?!000|666|9[0-9][0-9])[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}\b"),
-    ("iban", "high", "eu", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}\b"),
-    ("creditCard", "critical", "global", r"\b(?:[0-9][ -]*?){13,19}\b"),
-    ("awsKey", "critical", "global", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
+    ("phoneIN", "medium", "india", r"(?:\+?91[\s-]?)?[6-9]\d{9}\b"),
+    ("phoneUS", "medium", "us", r"\b(?:\+?1[\s-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b"),
+    ("aadhaar", "critical", "india", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}\b"),
+    ("pan", "high", "india", r"\b[A-Z]{5}\d{4}[A-Z]\b"),
+    ("ssn", "critical", "us", r"\b(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}\b"),
+    ("iban", "high", "eu", r"\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b"),
+    ("creditCard", "critical", "global", r"\b(?:\d[ -]*?){13,19}\b"),
+    ("awsKey", "critical", "global", r"\b(AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("awsSecret", "critical", "global", r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+=]{40}(?![A-Za-z0-9/+=])"),
     ("ghToken", "critical", "global", r"\bghp_[A-Za-z0-9]{36}\b|\bgithub_pat_[A-Za-z0-9_]{60,}\b"),
     ("slackToken", "critical", "global", r"\bxox[abps]-[A-Za-z0-9-]{10,}\b"),
     ("jwt", "high", "global", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b"),
-    ("privateKey", "critical", "global", r"-----BEGIN (?:(?:RSA|EC|OPENSSH|PGP) )?PRIVATE KEY-----"),
+    ("privateKey", "critical", "global", r"-----BEGIN ((RSA|EC|OPENSSH|PGP) )?PRIVATE KEY-----"),
     ("genericApiKey", "high", "global", r"(?i)\b(?:api[_-]?key|secret|token)[\"':=\s]+[\"']?[A-Za-z0-9_\-]{24,}"),
 )
 _FOUND = "array<struct<kind: string, severity: string, value: string>>"
@@ -444,6 +444,20 @@ def risk(findings: Column, trusted: Column | None = None) -> dict[str, Column]:
     return {"risk_score": F.floor(top * 100 + 0.5) / 100, "risk_level": level, "types": F.array_join(F.array_distinct(F.transform(live, lambda f: f["id"])), ","), "n_suppressed": (F.size(findings) - F.size(live)).cast("long")}
 
 
+def submissions(fields: DataFrame, submits: DataFrame, limit: int = 2000) -> DataFrame:
+    """Warnings about forms that send data off. ``fields`` has submit_id, place, field_type and value, ``submits``
+    submit_id, page_url and action. Fields of fewer than ``limit`` characters that aren't secret or buttons are scanned
+    together; e-mail and entropy don't count. ``warn`` if something grave goes to another host, ``toast`` if it stays."""
+    typed = fields.where(~F.lower("field_type").isin("password", "submit", "button", "hidden") & (F.length("value") < limit))
+    joined = typed.groupBy("submit_id").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("_v"))
+    rows = joined.join(submits, "submit_id").withColumn("_f", sensitive_findings(F.array_join(F.transform("_v", lambda x: x["value"]), " ")))
+    sure = F.filter("_f", lambda f: ~f["suppressed"] & (f["confidence"] >= 0.85) & ~f["id"].isin("entropy_blob", "email"))
+    grave = F.exists(sure, lambda f: f["severity"].isin("high", "critical"))
+    host = lambda url: F.lower(F.regexp_extract(url, r"(?i)^(?:https?:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    away = (host(F.col("action")) != "") & (host(F.col("action")) != host(F.col("page_url")))
+    return rows.select("submit_id", F.size(sure).cast("long").alias("n_findings"), away.alias("cross_origin"), F.when(~grave, "none").when(away, "warn").otherwise("toast").alias("decision"))
+
+
 def paste_decision(found: Column, dev_host: Column) -> Column:
     """warn, toast or ignore for pasted text: ``found`` holds kind, severity and confidence."""
     strong = F.exists(found, lambda f: (f["confidence"] >= 0.85) & (f["kind"] != "entropy"))

@@ -118,11 +118,24 @@ def rate_budget(calls: DataFrame, most: int, seconds: float) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("n_calls").alias("n_calls"), F.sum("n_allowed").alias("n_allowed"))
 
 
+# Fixed values. Fields of an activity entry that are ever stored.
+ACTIVITY_FIELDS = ("kind", "host", "score", "status", "ruleId", "reason", "severity")
+VIEW = 20
+
+
+def safe_activity(activity: DataFrame, most: int = 256) -> DataFrame:
+    """Activity with nothing but its profile, time, number and the fields that may be stored, strings cut to ``most``."""
+    kept = [c for c in activity.columns if c in ACTIVITY_FIELDS]
+    cut = [F.substring(c, 1, most).alias(c) if activity.schema[c].dataType.simpleString() == "string" else F.col(c) for c in kept]
+    return activity.select("profile_id", "at", "seq", *cut)
+
+
 def recent_activity(activity: DataFrame, now: Column, days: int = 7, keep: int = 200) -> DataFrame:
-    """The newest ``keep`` entries of each profile within ``days``."""
-    rows = activity.where(F.col("at") >= now - F.expr(f"INTERVAL {days} DAYS"))
+    """The newest ``keep`` entries of each profile within ``days``, safe to store, with their rank; the first VIEW of them
+    are shown."""
+    rows = safe_activity(activity).where(F.col("at") >= now - F.expr(f"INTERVAL {days} DAYS"))
     newest = Window.partitionBy("profile_id").orderBy(F.col("at").desc(), F.col("seq").desc())
-    return rows.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= keep)
+    return rows.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= keep).withColumn("shown", F.col("rank") <= VIEW)
 
 
 def verdict_asof(requests: DataFrame, cache: DataFrame, bucket: float = S.BUCKET) -> DataFrame:

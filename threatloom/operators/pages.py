@@ -375,7 +375,7 @@ ALARMS = (
 )
 CALLS = (
     r"\bcall\s+(us|now|immediately|microsoft|apple|windows|support|toll[- ]?free)\b", r"\b(toll[- ]?free|helpline|support\s+(line|number|team))\b", r"\bcontact\s+(microsoft|apple|windows)\s+(support|technician)\b",
-    r"\bdo\s+not\s+(close|restart|shut\s*down|turn\s*off|ignore)\b", r"\bcall\s*[:.]?\s*(\+?[0-9][0-9\s().-]{7,}[0-9])\b",
+    r"\bdo\s+not\s+(close|restart|shut\s*down|turn\s*off|ignore)\b", r"\bcall\s*[:.]?\s*(\+?\d[\d\s().-]{7,}\d)\b",
 )
 VENDORS = r"\b(windows\s+defender|microsoft\s+(security|support)|apple\s+support|norton|mcafee)\b"
 

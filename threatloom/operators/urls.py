@@ -50,8 +50,12 @@ def lookalikes(hosts: DataFrame) -> DataFrame:
     words = F.flatten(F.array(*[F.split(F.col(c), "[.-]") for c in ("host_unicode", "host", "root_normal")]))
     inside = F.filter(brands, lambda b: (F.length(b["name"]) >= 4) & (F.col("root_normal") != b["brand"]) & F.array_contains(words, b["name"]))
     out = out.withColumns({"_typo": F.array_min(near), "_inside": H.first_of(inside)["brand"]})
-    known = H.one_of("root_normal", C.LOOKALIKE_BRANDS)
-    exact = ~F.col("punycode") & H.one_of("root_unicode", C.LOOKALIKE_BRANDS)
+    return _kinds(out, H.one_of("root_normal", C.LOOKALIKE_BRANDS), H.one_of("root_unicode", C.LOOKALIKE_BRANDS))
+
+
+def _kinds(out: DataFrame, known: Column, same: Column) -> DataFrame:
+    """Kind, brand and confidence from _typo, _inside and whether the root's normal and own forms are brands."""
+    exact = ~F.col("punycode") & same
     kind = (
         F.when(exact, None)
         .when((F.col("root_normal") != F.col("root_unicode")) & known, "homoglyph")
@@ -65,6 +69,48 @@ def lookalikes(hosts: DataFrame) -> DataFrame:
     return out.withColumns({"lookalike_brand": brand, "lookalike_conf": F.coalesce(conf, F.lit(0.0)), "lookalike_distance": F.when(F.col("lookalike_kind") == "typo", F.col("_typo.distance"))}).drop("_typo", "_inside")
 
 
+def deletions(text: Column, most: int = 2) -> Column:
+    """A string and all that is left of it without up to ``most`` of its characters."""
+    def shorter(s: Column) -> Column:
+        places = F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+
+    last, all_ = F.array(text), F.array(text)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, shorter)))
+        all_ = F.concat(all_, last)
+    return F.array_distinct(all_)
+
+
+def near_brands(hosts: DataFrame, brands: DataFrame) -> DataFrame:
+    """(hostname, _typo): the nearest brand within two edits of a form of the root, for a list (place, brand) of any size.
+
+    Two strings within two edits of each other have a string in common that each becomes by leaving out up to two
+    characters; those are the join keys, so a host meets few brands. Forms too long for any brand have no keys."""
+    longest = brands.agg(F.max(F.length("brand"))).scalar() + 2
+    index = brands.select("place", "brand", F.explode(deletions(F.col("brand"))).alias("key"))
+    forms = hosts.select("hostname", F.length("root_normal").alias("size"), F.explode(F.array_distinct(F.array("root_unicode", "root_normal", "root_ascii"))).alias("form"))
+    keys = forms.where(F.length("form") <= longest).withColumn("key", F.explode(deletions(F.col("form"))))
+    met = keys.join(index, "key").select("hostname", "size", "form", "place", "brand").distinct()
+    edits = met.withColumn("edits", F.levenshtein("form", "brand", 2)).where("edits >= 0 AND abs(size - length(brand)) <= 3")
+    best = edits.groupBy("hostname", "place", "brand").agg(F.min("edits").alias("distance")).where("distance > 0")
+    return best.groupBy("hostname").agg(F.min(F.struct("distance", "place", "brand")).alias("_typo"))
+
+
+def lookalikes_of(hosts: DataFrame, brands: DataFrame) -> DataFrame:
+    """``lookalikes`` for a table of brands (place, brand) of any size: joins by equality instead of a pass over the list."""
+    out = hosts.withColumns({"root_unicode": H.root_domain("host_unicode"), "root_ascii": H.root_domain("host"), "punycode": F.col("host").rlike(r"(^|\.)xn--")})
+    out = out.withColumn("root_normal", H.normal_form(F.col("root_unicode")))
+    words = out.select("hostname", "root_normal", F.explode(F.array_distinct(F.flatten(F.array(*[F.split(F.col(c), "[.-]") for c in ("host_unicode", "host", "root_normal")])))).alias("name"))
+    named = brands.select("place", "brand", F.substring_index("brand", ".", 1).alias("name")).where("length(name) >= 4")
+    inside = words.join(named, "name").where("root_normal <> brand").groupBy("hostname").agg(F.min(F.struct("place", "brand"))["brand"].alias("_inside"))
+    out = out.join(near_brands(out, brands), "hostname", "left").join(inside, "hostname", "left")
+    for form in ("root_normal", "root_unicode"):
+        out = out.join(brands.select(F.col("brand").alias(form), F.lit(True).alias(f"_{form}_known")).distinct(), form, "left")
+    is_known = lambda form: F.coalesce(f"_{form}_known", F.lit(False))
+    return _kinds(out, is_known("root_normal"), is_known("root_unicode")).drop("_root_normal_known", "_root_unicode_known")
+
+
 def mixed_scripts(hosts: DataFrame) -> DataFrame:
     """The first label that mixes alphabets, and whether Latin meets one that can pass for it."""
     labels = F.transform(F.split("host_unicode", r"\."), lambda x: F.struct(x.alias("label"), H.scripts_of(x).alias("scripts")))
@@ -156,8 +202,12 @@ EVIDENCE = {"age_days": "CAST(NULL AS DOUBLE)", "hops": "0", "chain_roots": "0",
 
 def with_evidence(parts: DataFrame, evidence=()) -> DataFrame:
     """``parts`` with the columns of EVIDENCE: own ones, or those of other tables. ``evidence`` has pairs of a table and
-    the column that it is joined by (url, root, tab_id); a table has one row a key."""
-    for table, key in evidence:
+    the column that it is joined by (url, root, tab_id). Of several rows of a key the greatest counts, so none multiplies
+    verdicts; a third element that is true says that keys are unique by how the table is made."""
+    for table, key, *unique in evidence:
+        if not any(unique):
+            facts = [c for c in table.columns if c != key]
+            table = table.groupBy(key).agg(F.max(F.struct(*facts)).alias("_e")).select(key, "_e.*")
         parts = parts.join(table, key, "left")
     return parts.withColumns({k: F.expr(f"coalesce({k}, {v})" if k in parts.columns else v) for k, v in EVIDENCE.items()})
 

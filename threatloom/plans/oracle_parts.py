@@ -71,7 +71,7 @@ FEED_HOSTS = r"""fh0 AS (SELECT *, regexp_replace(trim(line), '^(0\.0\.0\.0|127\
 fh1 AS (SELECT *, regexp_replace(regexp_replace(lower(CASE WHEN regexp_matches(t, '(?i)^https?://') THEN regexp_extract(t, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)', 1) ELSE string_split(t, '/')[1] END), '^www\.', ''), '\.$', '') AS h FROM fh0),
 feed_hosts AS (SELECT feed_id, feed_ord, line_no, CASE WHEN NOT regexp_matches(trim(line), '^[#!]') AND contains(h, '.') AND NOT regexp_matches(h, '\s') AND length(h) <= 253 THEN h END AS host FROM fh1)"""
 KEPT = members(sorted({*C.REPUTABLE_ROOTS, *C.LOGIN_ROOTS, *(r for v in C.SAFELIST.values() for r in v)}))
-BLOCK = "blocklist AS (SELECT DISTINCT host FROM feed_hosts WHERE host IS NOT NULL AND feed_ord = 0)"
+BLOCK = "blocklist AS (SELECT DISTINCT host FROM feed_hosts WHERE host IS NOT NULL)"
 
 _LURE, _CT = strings(C.LURE_TOKENS), members(C.CLASSIFIER_TLDS)
 FEATURES = f"""features AS (SELECT s.*, look.* EXCLUDE (hostname, host), redirect_param, redirect_host, coalesce(redirect_risky, false) AS redirect_risky,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events, feeds, scoring, urls
+from ..sources.shared import kept
 from . import inputs as I
 from . import oracle_parts as O
 
@@ -35,7 +36,8 @@ def feed_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blocklist(spark: SparkSession, sf: str) -> DataFrame:
-    lines = feed_table(spark, sf).where("feed_ord = 0")
+    """Hosts of all feeds."""
+    lines = feed_table(spark, sf)
     return lines.select(feeds.feed_host(F.col("line")).alias("host"), F.lit("feed").alias("source")).where("host IS NOT NULL").distinct()
 
 
@@ -50,7 +52,8 @@ def evidence(spark: SparkSession, sf: str) -> list[tuple[DataFrame, str]]:
     roots = lambda text: urls.url_parts(I.derived(spark, sf, text)).where("valid").select("root")
     learned = events.learned_safe(roots(I.TRUSTED_HOSTS).withColumn("ts", F.lit(0))).drop("last_ts")
     allowed = roots(I.ALLOWED_HOSTS).distinct().withColumn("allowlisted", F.lit(True))
-    return [(chains, "tab_id"), (flows, "tab_id"), (I.derived(spark, sf, I.EXTERNAL), "url"), (learned, "root"), (allowed, "root")]
+    tables = ((chains, "tab_id"), (flows, "tab_id"), (I.derived(spark, sf, I.EXTERNAL), "url"), (learned, "root"), (allowed, "root"))
+    return [(table, key, True) for table, key in tables]  # each is grouped by its key
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +61,9 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.score(facts(spark, sf))
+    """Verdicts of all URLs. The facts, with their dozen joins, are a table first: each stage of an adaptive plan would plan the
+    many steps of the score anew."""
+    return scoring.score(kept(facts(spark, sf), "url-facts"))
 
 
 def ids(column):
@@ -136,6 +141,17 @@ def j2(spark, sf):
     return urls.lookalikes(urls.unicode_hosts(urls.url_parts(url_table(spark, sf)))).where("lookalike_kind = 'typo'").select("hostname", "lookalike_brand", "lookalike_distance")
 
 
+def brand_table(spark) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(urls.C.LOOKALIKE_BRANDS)), "place int, brand string")
+
+
+@query("j2_lookalike_index", _LOOK + "SELECT hostname, lookalike_kind, lookalike_brand, round(lookalike_conf, 6) AS lookalike_conf FROM look")
+def j2_index(spark, sf):
+    """All look-alikes by the index for brand lists of any size, here that of the fixed list."""
+    rows = urls.lookalikes_of(urls.unicode_hosts(urls.url_parts(url_table(spark, sf))), brand_table(spark))
+    return rows.select("hostname", "lookalike_kind", "lookalike_brand", F.round("lookalike_conf", 6).alias("lookalike_conf"))
+
+
 @query("j3_lookalike_brand_in_host", _LOOK + "SELECT hostname, lookalike_brand, lookalike_conf FROM look WHERE lookalike_kind = 'brand-in-host'")
 def j3(spark, sf):
     return urls.lookalikes(urls.unicode_hosts(urls.url_parts(url_table(spark, sf)))).where("lookalike_kind = 'brand-in-host'").select("hostname", "lookalike_brand", "lookalike_conf")

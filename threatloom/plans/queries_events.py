@@ -85,11 +85,6 @@ def j9(spark, sf):
 # reports --------------------------------------------------------------------------------------------
 
 
-@query("g1_threat_metrics", O.TO_VERDICTS + "SELECT count(*) FILTER (WHERE status = 'dangerous') AS threats_prevented, count(*) FILTER (WHERE status = 'suspicious') AS suspicious, count(*) AS n FROM verdicts")
-def g1(spark, sf):
-    return verdicts(spark, sf).agg(F.count_if(F.col("status") == "dangerous").alias("threats_prevented"), F.count_if(F.col("status") == "suspicious").alias("suspicious"), F.count(F.lit(1)).alias("n"))
-
-
 _BUMPS = "SELECT 'r' || (event_id % 30) AS root, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS step FROM events"
 
 
@@ -169,13 +164,13 @@ def g6(spark, sf):
     return rows.select("url_id", F.array_join("bullets", " | ").alias("bullets"))
 
 
-_RECENT = "WITH a AS (SELECT user_id AS profile_id, ts AS seen, event_id AS seq, event_type AS kind FROM events), m AS (SELECT max(seen) AS now FROM a), r AS (SELECT a.*, row_number() OVER (PARTITION BY profile_id ORDER BY seen DESC, seq DESC) AS rank FROM a, m WHERE seen >= now - INTERVAL 7 DAYS)"
+_RECENT = "WITH a AS (SELECT user_id AS profile_id, ts AS seen, event_id AS seq, event_type AS kind, 'h' || (event_id % 20) || '.example' AS host, repeat('because ' || event_id || ' ', event_id % 40) AS reason FROM events), m AS (SELECT max(seen) AS now FROM a), r AS (SELECT a.*, row_number() OVER (PARTITION BY profile_id ORDER BY seen DESC, seq DESC) AS rank FROM a, m WHERE seen >= now - INTERVAL 7 DAYS)"
 
 
-@query("g7_recent_activity", _RECENT + "SELECT profile_id, seq, kind, CAST(rank AS INT) AS rank FROM r WHERE rank <= 200")
+@query("g7_recent_activity", _RECENT + "SELECT profile_id, seq, kind, host, left(reason, 256) AS reason, CAST(rank AS INT) AS rank, rank <= 20 AS shown FROM r WHERE rank <= 200")
 def g7(spark, sf):
-    rows = spark.read.parquet(f"{sf}/events.parquet").selectExpr("user_id AS profile_id", "ts AS at", "event_id AS seq", "event_type AS kind")
-    return events.recent_activity(rows, rows.agg(F.max("at")).scalar()).select("profile_id", "seq", "kind", "rank")
+    rows = spark.read.parquet(f"{sf}/events.parquet").selectExpr("user_id AS profile_id", "ts AS at", "event_id AS seq", "event_type AS kind", "concat('h', event_id % 20, '.example') AS host", "repeat(concat('because ', event_id, ' '), CAST(event_id % 40 AS INT)) AS reason", "concat('https://h.example/', event_id) AS url")
+    return events.recent_activity(rows, rows.agg(F.max("at")).scalar()).select("profile_id", "seq", "kind", "host", "reason", "rank", "shown")
 
 
 @query("g8_activity_sweep", "WITH m AS (SELECT max(ts) AS now FROM events) SELECT count(*) FILTER (WHERE ts >= now - INTERVAL 7 DAYS) AS kept, count(*) FILTER (WHERE ts < now - INTERVAL 7 DAYS) AS removed FROM events, m")
@@ -255,7 +250,7 @@ ads AS (SELECT DISTINCT d FROM a1 WHERE NOT regexp_matches(t, '^[#!]') AND conta
 @query("s5_write_dnr_rules", _ADS + f", kept AS (SELECT row_number() OVER (ORDER BY d) - 1 AS i FROM ads WHERE d NOT IN {O.KEPT} AND {O.root_of('d')} NOT IN {O.KEPT}) SELECT i // 50 + 1 AS id, 'block' AS type, count(*) AS n_domains FROM kept WHERE i < 6000 GROUP BY 1")
 def s5(spark, sf):
     path = shared_path(spark, "rules")
-    sinks.write_dnr_rules(feeds.ad_rules(feed_table(spark, sf), chunk=50), path)
+    sinks.write_dnr_rules(feeds.ad_rules(feed_table(spark, sf), chunk=50), path, least=20)  # made-up feeds are short
     return spark.read.json(path).select("id", "action.type", F.size("condition.requestDomains").cast("long").alias("n_domains"))
 
 

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..operators import classifier, dlp, feeds, pages, scoring, urls
 from ..session import spread
+from ..sources.shared import kept
 from . import inputs as I
 from . import oracle_pages as OP
 from . import oracle_parts as O
-from .queries import SQL, blocklist, evidence, feed_table, query, url_table
+from .queries import SQL, blocklist, evidence, feed_table, query, url_table, verdicts
 
 _TEXTS = f"WITH texts AS ({I.TEXTS})"
 
 
 def texts(spark, sf) -> DataFrame:
-    return spread(I.derived(spark, sf, I.TEXTS))
+    return spread(I.derived(spark, sf, I.TEXTS), f"{sf}/documents.parquet")
 
 
 def hundredths(x: str) -> str:
@@ -187,7 +188,7 @@ def d17(spark, sf):
 
 
 def page_table(spark, sf) -> DataFrame:
-    return spread(I.derived(spark, sf, I.PAGES))
+    return spread(I.derived(spark, sf, I.PAGES), f"{sf}/pages.parquet")
 
 
 def page_facts(spark, sf) -> DataFrame:
@@ -195,7 +196,7 @@ def page_facts(spark, sf) -> DataFrame:
 
 
 def page_verdicts(spark, sf) -> DataFrame:
-    return scoring.score(page_facts(spark, sf))
+    return scoring.score(kept(page_facts(spark, sf), "page-facts"))
 
 
 _PAGES = f"WITH pg AS ({I.PAGES})"
@@ -337,14 +338,35 @@ def j12(spark, sf):
     return pages.dangerous_downloads(pages.page_context(page_table(spark, sf)), verdicts).select("page_id", "href", "severity", "cross_origin")
 
 
+#: Forms of up to eight fields each, so their number grows with the table and not their text; some go to another host.
+_SUBMITS = """SELECT submit_id, concat('https://shop', submit_id % 5, '.example/form') AS page_url,
+  CASE submit_id % 6 WHEN 0 THEN '' WHEN 1 THEN '/save' WHEN 2 THEN concat('https://shop', submit_id % 5, '.example/save') WHEN 3 THEN concat('//collect', submit_id % 3, '.example/in') ELSE concat('https://collect', submit_id % 7, '.example/in') END AS action
+  FROM (SELECT DISTINCT doc_id DIV 8 AS submit_id FROM documents) d"""
+
+
 @query("j13_cross_domain_submissions")
 def j13(spark, sf):
-    """Submissions of at most eight fields, so their number grows with the table and not their text."""
-    fields = texts(spark, sf).where(F.length("text") < 2000).select(F.expr("doc_id DIV 8").alias("submit_id"), "doc_id", "text", F.when(F.col("doc_id") % 11 == 0, "password").otherwise("text").alias("field_type"))
-    joined = fields.where("field_type NOT IN ('password', 'hidden')").groupBy("submit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    rows = joined.withColumn("f", dlp.sensitive_findings("text"))
-    grave = F.exists("f", lambda x: ~x["suppressed"] & x["severity"].isin("high", "critical") & (x["confidence"] >= 0.85))
-    return rows.select("submit_id", F.size("f").cast("long").alias("n_findings"), (grave & (F.col("submit_id") % 2 == 0)).alias("warn"))
+    kind = F.when(F.col("doc_id") % 11 == 0, "password").when(F.col("doc_id") % 13 == 0, "hidden").otherwise("text")
+    fields = texts(spark, sf).select(F.expr("doc_id DIV 8").alias("submit_id"), F.col("doc_id").alias("place"), kind.alias("field_type"), F.col("text").alias("value"))
+    return dlp.submissions(fields, I.derived(spark, sf, _SUBMITS))
+
+
+@query("d16_redact_nested_log", f"""WITH {O.URLS}, e AS (SELECT url_id, url, 'k' || url_id AS k FROM urls), l AS (SELECT url_id, k, {_LOGGED.replace("v,", "url,").replace("(v)", "(url)").replace("ELSE v END", "ELSE url END")} AS u FROM e)
+SELECT url_id, '{{"page": {{"url": "' || u || '", "tag": "' || k || '", "deep": {{"x": "[depth]", "n": "[depth]"}}, "session_token": "[redacted]"}}, "items": ["' || u || '", 1, true, null' || repeat(', "y"', 6) || '], "password": "[redacted]", "n": ' || url_id || '}}' AS logged FROM l""")
+def d16_nested(spark, sf):
+    """Entries with entries in them, two levels deep, and lists that are cut."""
+    entry = F.to_json(F.struct(F.struct(F.col("url").alias("url"), F.concat(F.lit("k"), "url_id").alias("tag"), F.struct(F.struct(F.lit(1).alias("y")).alias("x"), F.lit(7).alias("n")).alias("deep"), F.lit("abc").alias("session_token")).alias("page"), F.lit("ITEMS").alias("items"), F.lit("hidden").alias("password"), F.col("url_id").alias("n")))
+    items = F.concat(F.lit("["), F.to_json(F.struct("url")).substr(F.lit(8), F.length(F.to_json(F.struct("url"))) - 8), F.lit(', 1, true, null' + ', "y"' * 9 + "]"))
+    return url_table(spark, sf).select("url_id", dlp.safe_log(F.replace(entry, F.lit('"ITEMS"'), items)).alias("logged"))
+
+
+@query("g1_threat_metrics", f"SELECT (SELECT count(*) FROM ({SQL['a10_url_verdict']}) v WHERE status = 'dangerous') AS threats_prevented, (SELECT count(*) FROM ({SQL['a10_url_verdict']}) v WHERE status = 'suspicious') AS suspicious, (SELECT count(*) FROM ({SQL['a10_url_verdict']}) v) AS n, (SELECT count(*) FROM ({SQL['d15_paste_decision']}) p WHERE action = 'warn') AS pastes_blocked, (SELECT count(*) FROM ({SQL['p13_clickfix_page_verdict']}) c WHERE clickfix_severity = 'critical') AS clickfix_blocked")
+def g1(spark, sf):
+    """Counters of what was prevented: addresses, pastes that were held back, copied commands that were defused."""
+    kinds = verdicts(spark, sf).select(F.lit("url").alias("of"), F.col("status").alias("what"))
+    kinds = kinds.unionByName(d15(spark, sf).select(F.lit("paste").alias("of"), F.col("action").alias("what"))).unionByName(p13(spark, sf).select(F.lit("command").alias("of"), F.col("clickfix_severity").alias("what")))
+    count = lambda of, what=None: F.count_if((F.col("of") == of) & (F.col("what") == what if what else F.lit(True)))
+    return kinds.agg(count("url", "dangerous").alias("threats_prevented"), count("url", "suspicious").alias("suspicious"), count("url").alias("n"), count("paste", "warn").alias("pastes_blocked"), count("command", "critical").alias("clickfix_blocked"))
 
 
 @query("g11_asset_origin_ratio", OP.TO_PAGED + "SELECT url_id AS page_id, n_assets, n_foreign, n_foreign / n_assets >= 0.5 AND n_foreign >= 3 AS informational FROM paged WHERE n_assets > 0")

@@ -26,9 +26,13 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt round robin over the cores if its files have fewer than two splits a core. Scans of whole
-    texts and pages are bound by the processor, and however a small file is split, one task reads each
-    row group. Larger inputs stay where they are: nothing is shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+def spread(df: DataFrame, table: str) -> DataFrame:
+    """``df``, which reads the Parquet ``table``, dealt round robin over the cores if the files make fewer than two splits a
+    core. Scans of whole texts and pages are bound by the processor, and however a small file is split, one task reads
+    each row group. Larger inputs stay where they are: nothing is shuffled. The size is that of the files: no job runs."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < 2 * cores * split else df

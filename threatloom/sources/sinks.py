@@ -17,8 +17,15 @@ def write_block_snapshot(hosts: DataFrame, path: str) -> None:
     hosts.select("host").distinct().orderBy("host").write.mode("overwrite").text(path)
 
 
-def write_dnr_rules(rules: DataFrame, path: str) -> None:
-    """Ad rules (id, domains) as JSON lines of block rules for sub-resources."""
+class ShortList(ValueError):
+    """A list with so few entries that its source must be broken."""
+
+
+def write_dnr_rules(rules: DataFrame, path: str, least: int = 500) -> None:
+    """Ad rules (id, domains) as JSON lines of block rules for sub-resources; fewer than ``least`` domains overwrite nothing."""
+    found = rules.agg(F.coalesce(F.sum(F.size("domains")), F.lit(0))).first()[0]
+    if found < least:
+        raise ShortList(f"{found} domains for {path}")
     kinds = ("script", "image", "xmlhttprequest", "sub_frame", "media", "font", "ping", "websocket", "other")
     condition = F.struct(F.col("domains").alias("requestDomains"), F.array(*map(F.lit, kinds)).alias("resourceTypes"))
     rules.select("id", F.lit(1).alias("priority"), F.struct(F.lit("block").alias("type")).alias("action"), condition.alias("condition")).write.mode("overwrite").json(path)
