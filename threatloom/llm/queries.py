@@ -212,6 +212,28 @@ ranked AS (
 SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
+OP11_SQL = r"""
+WITH given AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (
+  SELECT r, b, substr(h, 2 * b + 1, 2398) AS p FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199, 1000)) AS b FROM given)),
+starts AS (
+  SELECT r, b + i AS i, md5_number(substr(p, 2 * i + 1, 400)) AS s FROM (SELECT r, b, p, unnest(range(0, least(1000, length(p) // 2 - 199))) AS i FROM pieces)),
+repeated AS (SELECT s FROM starts GROUP BY s HAVING count(*) > 1),
+edges AS (
+  SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM starts JOIN repeated USING (s)),
+runs AS (
+  SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS n FROM edges),
+spans AS (SELECT r, n, min(i) AS first, max(i) + 199 AS last FROM runs GROUP BY r, n),
+gaps AS (
+  SELECT r, n, last, coalesce(lead(first) OVER (PARTITION BY r ORDER BY n), -1) AS next, n = 1 AS begins, first FROM spans),
+left_over AS (
+  SELECT r, string_agg(CASE WHEN begins THEN substr(h, 1, 2 * first) ELSE '' END || substr(h, 2 * last + 3, CASE WHEN next < 0 THEN length(h) ELSE 2 * (next - last - 1) END), '' ORDER BY n) AS k, count(*) AS n_spans, sum(last - first + 1) AS n_removed
+  FROM gaps JOIN given USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM given LEFT JOIN left_over USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_source_divergence": OP13_SQL, "op3_decontaminate": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op6_source_mix": OP6_SQL}
+    return {"op11_suffix_dedup": OP11_SQL, "op13_source_divergence": OP13_SQL, "op3_decontaminate": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op6_source_mix": OP6_SQL}
