@@ -7,6 +7,7 @@ arrays in its row, so the html column can be dropped right after ``page_context`
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -66,14 +67,88 @@ class _Visible(HTMLParser):
             self.parts.append(" ".join(data.split()))
 
 
-def visible(html: str | None, limit: int = 4000) -> str:
+def _parsed(html: str) -> tuple[str, list[str]]:
     parser = _Visible()
     try:
-        parser.feed(html or "")
+        parser.feed(html)
         parser.close()
     except (AssertionError, ValueError):
         pass
-    return " ".join([parser.title.strip(), *parser.parts])[:limit]
+    return parser.title, parser.parts
+
+
+#: A tag or comment that parsers agree on: a plain name, attributes that are quoted or plain, and nothing left open.
+_TAG = re.compile(r"""<(?:(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n\r\f]+[a-zA-Z_:@][a-zA-Z0-9_:.@-]*(?:=(?:"[^"]*"|'[^']*'|[a-zA-Z0-9_.:#%-]+(?!/)))?)*)[ \t\n\r\f]*(/?)>|!--(?!-?>)(?:(?!--|<!).)*-->|!(?i:doctype)[^<>]*>)""", re.S)
+_ATTRIBUTE = re.compile(r"""[ \t\n\r\f]([a-zA-Z_:@][a-zA-Z0-9_:.@-]*)(?:=(?:"([^"]*)"|'([^']*)'|([a-zA-Z0-9_.:#%-]+)))?""")
+_TELLING = re.compile("hidden|style", re.I)
+#: Elements whose content isn't markup in some parsers.
+_RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
+
+
+_END = {t: re.compile(rf"</{t}(?=[ >])", re.I) for t in ("script", "style")}
+_MARKUP = re.compile("<")
+
+
+def _hides(tag: str, attributes: str) -> bool:
+    if tag in _SKIP or not _TELLING.search(attributes):
+        return tag in _SKIP
+    a = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), None) for m in _ATTRIBUTE.finditer(attributes)}
+    return a.get("aria-hidden") == "true" or "hidden" in a or bool(_HIDDEN.search(unescape(a.get("style") or "")))
+
+
+def _scanned(html: str) -> tuple[str, list[str]] | None:
+    """Title and visible parts from one pass over the tags, with the depth of hidden and of kept elements running along;
+    None for markup that parsers read differently."""
+    title, parts, opened = [], [], []
+    hidden = kept = at = 0
+    in_title = False
+    while True:
+        m = _TAG.search(html, at)
+        data = html[at : m.start()] if m else html[at:]
+        if "<" in data:
+            return None
+        if data and (in_title or kept and not hidden):
+            text = unescape(data) if "&" in data else data
+            if in_title:
+                title.append(text)
+            elif words := text.split():
+                parts.append(" ".join(words))
+        if not m:
+            return "".join(title), parts
+        at = m.end()
+        if not m[2]:
+            continue
+        tag = m[2].lower()
+        if not m[1]:
+            if tag in _RAW and not m[4]:
+                # of scripts all but the end tag is content; in other such elements nothing but text may stand before it
+                end = _END.get(tag, _MARKUP).search(html, at)
+                if tag == "plaintext" or not end or tag in _END and "<!--" in html[at : end.start()]:
+                    return None
+                if tag not in _END and not re.match(rf"</{tag}[ >]", html[end.start() : end.start() + 14], re.I):
+                    return None
+                at = end.start() if tag in _END else at
+            in_title |= tag == "title"
+            if tag not in _VOID:
+                hides = _hides(tag, m[3])
+                opened.append((tag, hides))
+                hidden += hides
+                kept += tag in _KEEP
+        if m[1] or m[4]:
+            in_title &= tag != "title"
+            for i in range(len(opened) - 1, -1, -1):
+                if opened[i][0] == tag:
+                    for t, hides in opened[i:]:
+                        hidden -= hides
+                        kept -= t in _KEEP
+                    del opened[i:]
+                    break
+
+
+def visible(html: str | None, limit: int = 4000) -> str:
+    """Title and visible text, by a scan of the tags; markup that isn't plain goes through a whole parser."""
+    title, parts = _scanned(html or "") or _parsed(html or "")
+    return " ".join([title.strip(), *parts])[:limit]
 
 
 @F.pandas_udf(T.StringType())
