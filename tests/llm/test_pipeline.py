@@ -81,3 +81,31 @@ def test_empty_corpus(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF), f"test-empty-{name}")
         assert docs.count() == 0
+
+
+def test_stages_with_hard_cases(spark):
+    """Nulls in every column, blank and very long texts, repeated rows and ids, columns with names that stages use."""
+    from pyspark.sql import functions as F
+
+    own = "".join(f"plain{i} sentence{i % 97} number{i % 89} " for i in range(30))
+    odd = [(900, None, "s"), (901, "", "s"), (902, " \t\n", None), (None, None, None), (None, own + "alpha", "s"), (903, own + "alpha", "s"), (904, own + "alpha", None), (905, "first text of an id " * 9, "s"), (905, "second and other text " * 9, "s"), (906, own + "beta gamma", None), (906, own + "beta gamma", None), (907, "long " + " ".join(f"t{i} v{i % 991}" for i in range(40_000)), "s")]
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 80").select("doc_id", "text", "source")
+    docs = base.unionByName(spark.createDataFrame(odd, "doc_id long, text string, source string"))
+    clash = {"fp": F.lit("x"), "_row": F.lit(1), "_leaks": F.lit(2), "node": F.lit("n"), "text_key": F.lit(3), "_kept_id": F.lit(4), "_n": F.lit(5), "_source": F.lit("y"), "score": F.lit(None).cast("double"), "component": F.col("doc_id"), "shard": F.lit(6)}
+    docs = materialize(docs.withColumns(clash), "test-hard").orderBy("doc_id", "text")
+    counted = lambda df: {(r["doc_id"], r["text"], r["source"]): r["n"] for r in df.groupBy("doc_id", "text", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    given = counted(docs)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = materialize(stage(spark, docs, SF), f"test-hard-{name}")
+        assert out.columns == docs.columns and out.where("fp <> 'x' OR _n <> 5 OR shard <> 6 OR NOT component <=> doc_id").count() == 0
+        got = counted(out)
+        assert set(got) <= set(given) and (name == "source_mix" or all(got[k] <= given[k] for k in got))
+        if name == "near_dedup":
+            blank = [k for k in got if not (k[1] or "").split()]
+            assert [k[0] for k in blank] == [900] and got[blank[0]] == 1
+            assert {k[0] for k in got if k[1] and k[1].startswith("plain0")} == {903}  # of all near copies the one with the smallest id
+            assert sum(n for k, n in got.items() if k[0] == 905) == 2 and (907 in {k[0] for k in got})
+        if name == "no_benchmark":
+            assert all(got.get(k) == n for k, n in given.items() if not (k[1] or "").split())
+    tokens = corpus_pipeline.token_output(spark, docs, SF)
+    assert tokens.count() == docs.count() and tokens.where("n_tokens = 1").count() == 3

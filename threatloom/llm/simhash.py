@@ -218,15 +218,17 @@ def keep_one(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS, more
         few, edges = edges, materialize(edges.unionByName(more).distinct(), "simhash-more")
         discard(few, found)
     found = components(edges)
-    discard(edges)
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n")).alias("first")
     least = rows.join(classes, "fp").groupBy("component").agg(first)
     kept = materialize(least.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.text_key").alias("_kept_key"), F.col("first.n").alias("_kept_n")), "simhash-kept")
-    discard(rows, nodes, found)
+    discard(rows, nodes, edges, found)
     # one plan at every size: the ids grow with the table, so they are never broadcast
-    same = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.xxhash64(docs["text"]) == F.col("_kept_key"))
-    out = docs.join(kept.hint("merge"), same, "left_semi")
+    kept = kept.hint("merge")
+    same = docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (F.xxhash64(docs["text"]) == kept["_kept_key"])
+    out = docs.join(kept, same, "left_semi")
     if kept.where("_kept_n > 1").isEmpty():
         return out
-    return out.withColumn("_kept_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_kept_key"]).select(*docs.columns)
+    # rows apart from the names of their columns
+    rows = out.select(F.struct(*[out[c] for c in out.columns]).alias("row"), out["doc_id"].alias("id"), F.xxhash64(out["text"]).alias("key"))
+    return rows.dropDuplicates(["id", "key"]).select("row.*")
