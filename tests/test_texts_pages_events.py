@@ -157,7 +157,7 @@ def test_activity_keeps_safe_fields(spark):
 
 
 def test_short_ad_lists_are_refused(spark, tmp_path):
-    rules = feeds.ad_rules(spark.createDataFrame([(f"||ads{i}.example.com^",) for i in range(499)], "line string"))
+    rules = feeds.ad_rules(spark.createDataFrame([(f"||ads{i}.tracking.example^",) for i in range(499)], "line string"))
     with pytest.raises(sinks.ShortList):
         sinks.write_dnr_rules(rules, f"{tmp_path}/rules")
     assert not (tmp_path / "rules").exists()
