@@ -369,6 +369,7 @@ _HELD = {
     "twelve words": r"(?:[a-z]{3,8}\s+){11}[a-z]{3,8}",
 }
 _WORTH = "|".join(_HELD.values())
+_SIGN = r"[0-9\"=_-]|[A-Z]{2}|eyJ"
 
 
 @cache
@@ -411,7 +412,11 @@ def candidate_windows(text: Column) -> Column:
     """Windows of a text that may hold a match, as "at before size body": each phrase that holds what a match needs, with
     80 characters to both sides. Phrases are found in their order, each from the end of the one before; an earlier place
     of the same characters would be part of a phrase that is in the list itself."""
-    phrases = F.filter(F.split(text, _CUT, -1), lambda p: (F.length(p) >= 8) & p.rlike(_WORTH))
+    long_, words = _HELD["long token"], _HELD["twelve words"]
+    others = "|".join(v for v in _HELD.values() if v not in (long_, words))
+    # a cheap look first: the two kinds of letters alone are long, all others hold a digit, two capitals or a mark
+    worth = lambda p: p.rlike(_SIGN) & p.rlike(others) | (F.length(p) >= 32) & p.rlike(long_) | (F.length(p) >= 47) & p.rlike(words)
+    phrases = F.filter(F.split(text, _CUT, -1), lambda p: (F.length(p) >= 8) & worth(p))
     start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("found"))
 
     def add(state, phrase):
