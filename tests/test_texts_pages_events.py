@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from threatloom.operators import classifier, dlp, events, feeds, pages, scoring
 from threatloom.plans import inputs, queries_events, queries_text
 from threatloom.sources import readers, sinks
@@ -380,3 +381,19 @@ def test_findings_equal_a_plain_scan(spark):
         top = 0.0 if not live else max(0.0, top - 0.2) if r["doc_id"] % 2 == 0 else min(1.0, top + 0.1)
         assert r["risk_score"] == pytest.approx(int(top * 100 + 0.5 + 1e-9) / 100, abs=0.011) and r["n_suppressed"] == len(found[r["doc_id"]]) - len(live)
         assert r["risk_level"] == ("none" if not live else "critical" if top >= 0.85 else "high" if top >= 0.6 else "medium" if top >= 0.35 else "low")
+
+
+def test_python_gets_pages_and_texts_in_small_batches(spark):
+    """A worker's memory is bounded by batches of some MB, not by the rows of its task."""
+    key, rows = "spark.sql.execution.arrow.maxBytesPerBatch", page(spark, "https://a.example/", "x")
+    before = spark.conf.get(key)
+    try:
+        for plan in (lambda: pages.page_context(rows), lambda: queries_text.page_table(spark, SF), lambda: queries_text.texts(spark, SF)):
+            spark.conf.set(key, f"{64 << 20}b")
+            plan()
+            assert spark.conf.get(key) == str(4 << 20)
+        spark.conf.set(key, "1m")
+        pages.page_context(rows)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
