@@ -30,7 +30,7 @@ LEAST_DOCS = 3
 TOP = 200
 SHARE = 1_000_000_000
 #: Words of a shard, about, and pointers that numpy sorts without a further pivot.
-SHARD = 3 << 20
+SHARD = 2 << 20
 SMALL = 1 << 15
 #: Pairs of sources that are compared at once.
 PAIRS = 1 << 20
