@@ -101,6 +101,88 @@ def test_flows_after_restarts(spark, tmp_path):
     assert {r["seq"]: (r["n_steps"], *(r[k] for k in streams._FLAGS)) for r in got} == want
 
 
+def test_flags_of_flows_one_after_the_other():
+    """Flows in one pass have the flags that each has alone, also with as many origins as steps."""
+    rng = random.Random(21)
+    for origins in (2, 6, 400):
+        flows = []
+        for _ in range(30):
+            us = sorted(rng.randrange(1500) for _ in range(rng.randrange(1, 90)))
+            flows.append([(t, i, rng.choice(KINDS), rng.choice([None, *(f"o{k}" for k in range(origins))]), rng.choice(["", "o1", "p1", f"o{rng.randrange(origins)}"]), rng.random() < 0.3) for i, t in enumerate(us)])
+        columns = [np.array(c, d) for c, d in zip(zip(*(s for f in flows for s in f)), (np.int64, np.int64, object, object, object, bool))]
+        starts = np.cumsum([0, *map(len, flows[:-1])])
+        begin, flags = streams.flow_flags(columns[0], *columns[2:], 200, 12, starts)
+        for start, steps in zip(starts, flows):
+            for i in range(len(steps)):
+                own = [s for s in steps[: i + 1] if s[0] >= steps[i][0] - 200][-12:]
+                assert start + i - begin[start + i] + 1 == len(own)
+                assert tuple(bool(flags[k][start + i]) for k in streams._FLAGS) == plain_flags(own)
+
+
+def test_groups_of_flows_after_restarts(spark, tmp_path):
+    """Many flows in three groups, some without an id, some with ids that no double holds."""
+    rng = random.Random(22)
+    ids = [None, *range(40), 2**60 + 1, 2**60 + 2, -5]
+    rows = [(rng.choice(ids), i, at(2 * i + rng.randrange(2)), rng.choice(KINDS), f"o{rng.randrange(5)}", rng.choice([None, "o1", "p1"]), rng.random() < 0.3) for i in range(1500)]
+    held, want = defaultdict(list), {}
+    for flow, seq, ts, kind, origin, post, frame in rows:
+        held[flow] = [*(s for s in held[flow] if s[0] >= ts - timedelta(seconds=300)), (ts, seq, kind, origin, post, frame)][-64:]
+        want[seq] = (flow, len(held[flow]), *plain_flags(held[flow]))
+    schema = "flow_id long, seq long, ts timestamp, kind string, origin string, post_origin string, in_iframe boolean"
+    got = run_in_parts(spark, tmp_path, rows, schema, lambda s: streams.auth_flows(s, groups=3), 3)
+    assert len(got) == len(want) and {r["seq"]: (r["flow_id"], r["n_steps"], *(r[k] for k in streams._FLAGS)) for r in got} == want
+
+
+def test_one_call_takes_all_flows_of_a_group():
+    """Its state holds the steps that still count, of flows without new steps too, until the watermark passes them."""
+    import pandas as pd
+
+    class Kept:
+        rows, timers, watermark = None, set(), 0
+
+        def exists(self):
+            return self.rows is not None
+
+        def get(self):
+            return self.rows
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        update = put
+
+        def clear(self):
+            self.rows = None
+
+        def getListState(self, *_):
+            return self
+
+        def getValueState(self, *_):
+            return Kept()
+
+        def registerTimer(self, ms):
+            self.timers.add(ms)
+
+        def deleteTimer(self, ms):
+            self.timers.discard(ms)
+
+        def getCurrentWatermarkInMs(self):
+            return self.watermark
+
+    kept, flows = Kept(), streams._Flows(4, 300)
+    flows.init(kept)
+
+    def call(rows):
+        frame = pd.DataFrame([(f, i, START.replace(tzinfo=None) + timedelta(seconds=s), "entry", "o", None, False) for i, (f, s) in enumerate(rows)], columns=["flow", "seq", "ts", "kind", "origin", "post_origin", "in_iframe"])
+        return sorted(tuple(r) for r in pd.concat(list(flows.handleInputRows((0,), iter([frame[:3], frame[3:]]), kept)))[["flow", "seq", "n_steps"]].itertuples(index=False))
+
+    assert call([("a", 10), ("b", 0), ("a", 0), ("b", 20), ("a", 900), *(("c", 880 + i) for i in range(6))]) == [("a", 0, 2), ("a", 2, 1), ("a", 4, 1), ("b", 1, 1), ("b", 3, 2), *(("c", 5 + i, min(4, i + 1)) for i in range(6))]
+    assert Counter(r[0] for r in kept.rows) == {"a": 1, "b": 2, "c": 4} and len(kept.timers) == 1
+    kept.watermark = int(at(800).timestamp() * 1000)
+    assert call([("a", 1000)]) == [("a", 0, 2)]
+    assert Counter(r[0] for r in kept.rows) == {"a": 2, "c": 4} and kept.timers == {int(at(1300).timestamp() * 1000)}
+
+
 def test_state_expires(spark, tmp_path):
     """A tab's numbers start anew once the watermark has passed its last event by the time to live; others go on."""
     rows = [(1, at(0), 0, "navigate"), (1, at(5), 1, "navigate"), (2, at(10), 2, "navigate"), (2, at(9000), 3, "redirect"), (2, at(9100), 4, "redirect"), (1, at(9200), 5, "redirect")]
