@@ -62,3 +62,8 @@ def test_page_verdicts(spark, tables):
     assert "brand-creds" in rows["brand"]["rules"] and rows["brand"]["status"] == "dangerous"
     assert "external-post" in rows["form"]["rules"] and "external-post" in rows["html"]["rules"] and rows["html"]["status"] == "dangerous"
     assert rows["plain"]["status"] != "dangerous" and rows["assets"]["status"] == "dangerous"
+
+
+def test_context_damping(spark, tables):
+    rows = both(spark, tables, "a4_context_damping")
+    assert rows["terms"]["context_score"] == 0.85 and rows["plain"]["context_score"] == 0
