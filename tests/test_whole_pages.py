@@ -67,3 +67,10 @@ def test_page_verdicts(spark, tables):
 def test_context_damping(spark, tables):
     rows = both(spark, tables, "a4_context_damping")
     assert rows["terms"]["context_score"] == 0.85 and rows["plain"]["context_score"] == 0
+
+
+def test_layout_match(spark, tables):
+    """Keywords of a template count wherever they stand, and so does a form behind ten others."""
+    rows = both(spark, tables, "p10_auth_layout_match")
+    assert rows["layout"]["layout_template"] == "google" and rows["layout"]["layout_match"] == 0.9
+    assert rows["form"]["layout_match"] > 0
