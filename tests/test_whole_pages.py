@@ -74,3 +74,11 @@ def test_layout_match(spark, tables):
     rows = both(spark, tables, "p10_auth_layout_match")
     assert rows["layout"]["layout_template"] == "google" and rows["layout"]["layout_match"] == 0.9
     assert rows["form"]["layout_match"] > 0
+
+
+def test_phishing_signals(spark, tables):
+    rows = both(spark, tables, "p5_phishing_signals")
+    assert "brand-impersonation" in rows["brand"]["signals"] and "external-form-post" in rows["form"]["signals"] and rows["form"]["page_external_post"]
+    assert rows["html"]["page_external_post"] and rows["html"]["auth_risk"] == "critical"
+    # the mark of a brand is the 71st image
+    assert "clone" in rows["assets"]["signals"].split(",") and "brand-impersonation" not in rows["plain"]["signals"]
